@@ -1 +1,99 @@
-"""Driver queries (filled in below)."""
+"""Driver queries: cleaners and validity split."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from intakeflow.operators.cleaners import (deduplicate, fillna_and_trim, normalize_dates,
+                                           test_clean, test_clean_flagged)
+from intakeflow.operators.split import counters, error_rows
+from intakeflow.plans.catalog import register
+from intakeflow.sources.fixtures import RAW_SQL, raw_rows, with_cte
+
+_NUM = "try_cast({c} AS DOUBLE)"
+_VALUE = ("CASE WHEN try_cast(value AS DOUBLE) IS NULL OR isnan(try_cast(value AS DOUBLE)) "
+          "THEN 0.0 ELSE try_cast(value AS DOUBLE) END")
+_SCORE_X = ("CASE WHEN try_cast(score AS DOUBLE) IS NULL OR isnan(try_cast(score AS DOUBLE)) "
+            "THEN 0.0 ELSE try_cast(score AS DOUBLE) END")
+_STATUS = "lower(trim(coalesce(status, 'None')))"
+_BLANK = "(name IS NULL OR trim(name) = '' OR name = 'None')"
+
+TEST_CLEAN_SQL = f"""
+SELECT coalesce(id, '') AS id, trim(name) AS name, {_VALUE} AS value,
+       strftime(try_strptime(substr(date, 1, 10), '%Y-%m-%d'), '%Y-%m-%d') AS date,
+       CASE WHEN {_STATUS} IN ('', 'none', 'nan') THEN 'unknown' ELSE {_STATUS} END AS status,
+       CAST(trunc(least(greatest({_SCORE_X}, 0.0), 100.0)) AS INTEGER) AS score
+FROM raw WHERE NOT {_BLANK}
+"""
+
+
+@register("clean_composite", oracle=with_cte(TEST_CLEAN_SQL, raw=RAW_SQL))
+def clean_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U5 (F8, F5, F4, F6, F7) on dirty string rows."""
+    return test_clean(raw_rows(spark, sf_dir))
+
+
+def _fill(c: str) -> str:
+    t = f"trim(coalesce({c}, 'None'))"
+    return f"CASE WHEN {t} IN ('nan', 'None', 'NaN') THEN '' ELSE {t} END AS {c}"
+
+
+_RAW_COLS = ("id", "name", "value", "date", "status", "score")
+
+
+@register("clean_fillna_trim", oracle=with_cte(f"""
+SELECT {", ".join(_fill(c) for c in _RAW_COLS)}
+FROM raw WHERE NOT ({" AND ".join(f"{c} IS NULL" for c in _RAW_COLS)})
+""", raw=RAW_SQL))
+def clean_fillna_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop all-NULL rows, strip text and blank the null tokens."""
+    return fillna_and_trim(raw_rows(spark, sf_dir))
+
+
+@register("clean_dedup", oracle=with_cte("SELECT DISTINCT * FROM raw", raw=RAW_SQL))
+def clean_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact duplicate rows removed."""
+    return deduplicate(raw_rows(spark, sf_dir))
+
+
+_PARSED = ("coalesce(try_strptime(date, '%Y-%m-%d %H:%M:%S'), try_strptime(date, '%Y-%m-%dT%H:%M:%S'), "
+           "try_strptime(date, '%Y-%m-%d %H:%M'), try_strptime(date, '%Y-%m-%d'), "
+           "try_strptime(date, '%Y/%m/%d %H:%M:%S'), try_strptime(date, '%Y/%m/%d'))")
+
+
+@register("clean_dates", oracle=with_cte(f"""
+SELECT id, name, value,
+       CASE WHEN (SELECT avg(CASE WHEN {_PARSED} IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM raw) > 0.5
+            THEN strftime({_PARSED}, '%Y-%m-%d') ELSE date END AS date,
+       status, score
+FROM raw
+""", raw=RAW_SQL))
+def clean_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """columns named like dates are normalised when more than half their values parse."""
+    return normalize_dates(raw_rows(spark, sf_dir))
+
+
+@register("validity_split", oracle=with_cte(f"""
+SELECT id, name, value, date, status, score, 'blank name' AS _error FROM raw WHERE {_BLANK}
+""", raw=RAW_SQL))
+def validity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rows of the composite cleaner with their original values (true identity)."""
+    raw = raw_rows(spark, sf_dir)
+    flagged = test_clean_flagged(raw.select(*[F.col(c).alias(f"in_{c}") for c in raw.columns], *raw.columns),
+                                 keep=[f"in_{c}" for c in raw.columns])
+    errs = error_rows(flagged)
+    return errs.select(*[F.col(f"in_{c}").alias(c) for c in raw.columns], "_error")
+
+
+@register("run_summary", oracle=with_cte(f"""
+SELECT count(*) AS raw_count,
+       count(*) FILTER (WHERE NOT {_BLANK}) AS valid_count,
+       count(*) FILTER (WHERE {_BLANK}) AS error_count,
+       count(*) - count(*) FILTER (WHERE NOT {_BLANK}) AS dropped
+FROM raw
+""", raw=RAW_SQL))
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Original vs cleaned counts of one run; dropped = original - cleaned."""
+    c = counters(test_clean_flagged(raw_rows(spark, sf_dir)))
+    return c.withColumn("dropped", F.col("raw_count") - F.col("valid_count"))
