@@ -133,3 +133,31 @@ def lease_expiry(as_of: Column, seconds: int = CLAIM_LEASE_SECONDS) -> Column:
 def display_time(processed_at: Column, created_at: Column) -> Column:
     """``processed_at or created_at``."""
     return F.coalesce(processed_at, created_at)
+
+
+def avg_half_up(c: Column, decimals_in: int, places: int) -> Column:
+    """``ROUND(AVG(c), places)`` computed exactly, as a decimal engine would.
+
+    ``c`` holds non-negative fixed-point values with ``decimals_in`` decimals
+    (e.g. scores stored as DECIMAL(5,2), or integer milliseconds).  The sum is
+    taken over scaled integers and divided with HALF_UP in integer arithmetic,
+    so no binary-float tie can round differently between engines.
+    """
+    if places < decimals_in:
+        raise ValueError("places must be >= decimals_in")
+    scaled = F.round(c * F.lit(10 ** decimals_in)).cast("bigint")
+    s = F.sum(scaled) * F.lit(10 ** (places - decimals_in))
+    n = F.count(c)
+    q = (F.lit(2) * s + n).cast("bigint")
+    # q and 2n are integers; the double quotient is exact enough for floor() while
+    # quotient * count stays below 2^52 (true remainders are >= 1/(2n)).
+    units = F.when(n > 0, F.floor(q.cast("double") / (F.lit(2) * n).cast("double")))
+    return (units / F.lit(10 ** places)).cast("double")
+
+
+def avg_half_up_sql(expr: str, decimals_in: int, places: int) -> str:
+    """DuckDB twin of ``avg_half_up``."""
+    s = f"sum(CAST(round(({expr}) * {10 ** decimals_in}) AS BIGINT)) * {10 ** (places - decimals_in)}"
+    n = f"count({expr})"
+    return (f"CAST(CASE WHEN {n} > 0 THEN ((2 * {s} + {n}) // (2 * {n})) END AS DOUBLE) "
+            f"/ {10 ** places}")
