@@ -194,19 +194,21 @@ FILE_EVENTS_SQL = """
 SELECT event_id AS id,
        '/in/u' || CAST(user_id AS STRING) || '/' || event_type || '.csv' AS file_path,
        ts,
+       CAST(ts AS DATE) AS file_day,
        CAST(floor(value) AS BIGINT) % 3 AS file_size
 FROM events
 """
 
 
 def file_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watcher observations: one per event, path from (user, type), size from value."""
+    """Watcher observations: one per event; path from (user, type), (day, size) as the file's signature."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("/in/u"), F.col("user_id").cast("string"), F.lit("/"),
                  F.col("event_type"), F.lit(".csv")).alias("file_path"),
         F.col("ts"),
+        F.col("ts").cast("date").alias("file_day"),
         (F.floor("value").cast("bigint") % 3).alias("file_size"))
 
 
@@ -237,6 +239,8 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_cte(body: str, **ctes: str) -> str:
-    """Prefix an oracle query with fixture CTEs."""
+    """Prefix an oracle query with fixture CTEs (a body starting with ',' adds more CTEs)."""
     parts = [f"{name} AS ({sql.strip()})" for name, sql in ctes.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    body = body.strip()
+    sep = "" if body.startswith(",") else "\n"
+    return "WITH " + ",\n".join(parts) + sep + body
