@@ -30,7 +30,8 @@ def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = EXT
     """Directory listing (path, file_name, ext, file_size, file_mtime ms, modified_at).
 
     Extensions are matched lower-cased (G12); ``modified_after`` is the
-    incremental-poll bound (``YYYY-MM-DDTHH:MM:SS``).
+    incremental-poll bound (``YYYY-MM-DDTHH:MM:SS``).  Spark's file scan does
+    not hand out zero-byte files, so they never appear here (nothing to load).
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if modified_after:

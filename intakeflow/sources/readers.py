@@ -53,41 +53,57 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "u
     return _with_identity(df)
 
 
+def _json_text(spark: SparkSession, paths, recursive: bool) -> DataFrame:
+    r = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower())
+    df = r.text(list(paths) if not isinstance(paths, str) else paths)
+    return df.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias(FILE), "value")
+
+
+def _item_schema(spark: SparkSession, paths, recursive: bool) -> T.DataType:
+    """Schema of a document, primitives as strings (one inference pass over the files)."""
+    r = (spark.read.option("multiLine", True).option("primitivesAsString", True)
+         .option("recursiveFileLookup", str(recursive).lower())
+         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+    sch = r.json(list(paths) if not isinstance(paths, str) else paths).schema
+    return T.StructType([f for f in sch.fields if f.name != CORRUPT])
+
+
+def _parse_documents(spark: SparkSession, paths, json_path: str | None, recursive: bool):
+    """(file, parsed array of items or NULL when the document does not parse)."""
+    doc = _item_schema(spark, paths, recursive)
+    parts = [p for p in (json_path or "").split(".") if p and p != "item"]
+    text = _json_text(spark, paths, recursive)
+    if not parts:  # top-level array: the inferred schema is the item schema
+        parsed = F.from_json("value", T.ArrayType(doc), {"mode": "PERMISSIVE"})
+        return text.select(FILE, parsed.alias("_items"))
+    parsed = F.from_json("value", doc, {"mode": "PERMISSIVE"})
+    arr = parsed
+    for p in parts:
+        arr = arr.getField(p)
+    return text.select(FILE, parsed.isNull().alias("_bad"), arr.alias("_items")) \
+        .select(FILE, F.when(~F.col("_bad"), F.col("_items")).alias("_items"))
+
+
 def read_json(spark: SparkSession, paths: str | Sequence[str], json_path: str | None = None,
               recursive: bool = False) -> DataFrame:
     """Items of a top-level array, or of the array at ``json_path`` (e.g. ``data.item``
     or ``data``; a trailing ``.item`` means "the items of").  Primitive values are read as strings.
 
-    A file with any parse error is skipped whole: its rows are dropped and it is
-    reported by ``json_skips``.
+    Each file is one document parsed in one task; a file that does not parse is
+    skipped whole (its rows never appear; ``json_skips`` reports it).  ``_row`` is
+    the item's position in the document.
     """
-    r = (spark.read.option("multiLine", True).option("primitivesAsString", True)
-         .option("recursiveFileLookup", str(recursive).lower())
-         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
-    raw = _with_identity(r.json(list(paths) if not isinstance(paths, str) else paths))
-    if CORRUPT in raw.columns:
-        bad = raw.filter(F.col(CORRUPT).isNotNull()).select(FILE).distinct()
-        raw = raw.join(bad, FILE, "left_anti").drop(CORRUPT)
-    if json_path:
-        parts = [p for p in json_path.split(".") if p and p != "item"]
-        if parts:
-            arr = F.col(parts[0])
-            for p in parts[1:]:
-                arr = arr.getField(p)
-            raw = raw.select(FILE, ROW, F.posexplode(arr).alias("_pos", "_item")) \
-                .select(FILE, (F.col(ROW) * 1_000_000 + F.col("_pos")).alias(ROW), "_item.*")
-    return raw
-
-
-def json_skips(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    docs = _parse_documents(spark, paths, json_path, recursive)
+    return docs.select(FILE, F.posexplode("_items").alias(ROW, "_item")).select(
+        FILE, F.col(ROW).cast("long").alias(ROW), "_item.*")
+
+
+def json_skips(spark: SparkSession, paths: str | Sequence[str], json_path: str | None = None,
+               recursive: bool = False) -> DataFrame:
     """Files that fail to parse, with a skip reason."""
-    r = (spark.read.option("multiLine", True).option("primitivesAsString", True)
-         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
-    raw = _with_identity(r.json(list(paths) if not isinstance(paths, str) else paths))
-    if CORRUPT not in raw.columns:
-        return raw.select(FILE).limit(0).withColumn("skip_reason", F.lit(None).cast("string"))
-    return raw.filter(F.col(CORRUPT).isNotNull()).select(FILE).distinct().withColumn(
-        "skip_reason", F.concat(F.lit("JSON parse error in "), F.col(FILE)))
+    docs = _parse_documents(spark, paths, json_path, recursive)
+    return docs.filter(F.col("_items").isNull()).select(
+        FILE, F.concat(F.lit("JSON parse error in "), F.col(FILE)).alias("skip_reason"))
 
 
 # ---------------------------------------------------------------------------

@@ -9,8 +9,9 @@ keeps / deletes / archives finished files (K6).
 
 Each micro-batch runs, in order: ledger check (files already SUCCESS are
 dropped), cleaning with a validity flag, month routing, the first-wins write,
-then ledger SUCCESS events and quality rows per file.  Data is written before
-the ledger; replaying a batch after a crash re-inserts nothing (T7).
+quality rows and alerts per file, and last the ledger SUCCESS events (the
+commit point).  Replaying a batch after a crash re-inserts nothing (T7) and
+re-appends quality rows, of which the latest per file is read (K3).
 """
 
 from __future__ import annotations
@@ -64,8 +65,7 @@ def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: st
     return df.select(
         "*", F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias(FILE),
         (F.unix_micros(F.col("_metadata.file_modification_time")) / 1000).cast("long").alias("_mtime"),
-        F.col("_metadata.file_size").alias("_size"),
-        F.monotonically_increasing_id().alias(ROW))
+        F.col("_metadata.file_size").alias("_size"))
 
 
 def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -84,11 +84,20 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
     spark = batch.sparkSession
     now = as_of()
     batch = batch.withColumn("task_id", F.lit(spec.task_id))
+    if ROW not in batch.columns:  # each file is read by one task in order (multiLine)
+        batch = batch.withColumn(ROW, F.monotonically_increasing_id())
     ledger = _read_ledger(spark, paths.ledger)
     if ledger is not None:  # T6: a file already SUCCESS is never loaded again
+        files = batch.select("task_id", FILE, "_mtime").distinct()
         done = ledger.filter(F.col("event") == "SUCCESS").select(
-            "task_id", F.col("file_path").alias(FILE), F.col("file_mtime").alias("_mtime")).distinct()
-        batch = batch.join(done, ["task_id", FILE, "_mtime"], "left_anti")
+            "task_id", F.col("file_path").alias(FILE), F.col("file_mtime").alias("_mtime"))
+        # The batch's files are bounded by maxFilesPerTrigger; resolving them to a local
+        # relation keeps the cached batch independent of the ledger appends below
+        # (a write to a path re-caches every plan that reads it).
+        hit = files.join(done, ["task_id", FILE, "_mtime"], "left_semi").collect()
+        if hit:
+            local = spark.createDataFrame(hit, files.schema)
+            batch = batch.join(F.broadcast(local), ["task_id", FILE, "_mtime"], "left_anti")
     batch = batch.persist()
     try:
         flagged = flag(batch)
@@ -102,7 +111,6 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             F.lit(int(batch_id)).cast("long").alias("seq"), F.lit(f"batch-{batch_id}").alias("owner"),
             F.col("_size").alias("file_size"), F.col("total_rows").alias("row_count"),
             F.col("valid_rows").alias("valid_row_count"), F.lit(now).cast("timestamp_ntz").alias("processed_at"))
-        conform(events).write.mode("append").parquet(paths.ledger)
         quality = per_file.select(
             F.abs(F.xxhash64(*[F.col(k) for k in ("task_id", FILE, "_mtime")])).alias("file_id"),
             "task_id", F.col(FILE).alias("file_path"), F.lit(now).cast("timestamp_ntz").alias("batch_time"),
@@ -110,6 +118,7 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
         quality.write.mode("append").parquet(paths.quality)
         quality_alerts(quality, QUALITY_ALERT_MIN_SCORE).write.mode("append").parquet(paths.alerts)
+        conform(events).write.mode("append").parquet(paths.ledger)  # the file's commit point
     finally:
         batch.unpersist()
     return counts

@@ -22,11 +22,16 @@ from intakeflow.spec import BREAKER_FAILURE_THRESHOLD, BREAKER_RECOVERY_SECONDS
 def debounce_stream(events: DataFrame, gap_seconds: int, watermark: str,
                     key: str = "file_path", ts: str = "ts") -> DataFrame:
     """T4: one row per closed session (append mode): key, session_start, session_end, events, fire_at."""
+    ntz = isinstance(events.schema[ts].dataType, T.TimestampNTZType)
+    if ntz:  # event time must be TIMESTAMP for watermarks; the session time zone maps it 1:1
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     w = F.session_window(F.col(ts), f"{int(gap_seconds)} seconds")
     g = events.withWatermark(ts, watermark).groupBy(F.col(key), w.alias("s")).agg(
         F.max(ts).alias("session_end"), F.count(F.lit(1)).alias("events"))
-    return g.select(key, F.col("s.start").alias("session_start"), "session_end", "events",
-                    (F.col("session_end") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds)))
+    back = (lambda c: c.cast("timestamp_ntz")) if ntz else (lambda c: c)
+    return g.select(key, back(F.col("s.start")).alias("session_start"), back(F.col("session_end")).alias("session_end"),
+                    "events",
+                    back(F.col("session_end") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds)))
                     .alias("fire_at"))
 
 
