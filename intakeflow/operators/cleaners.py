@@ -181,27 +181,31 @@ class TransformContractError(RuntimeError):
 
 
 def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_schema: T.StructType,
-                       id_col: str = ROW_ID) -> DataFrame:
+                       id_col: str = ROW_ID, keep: Iterable[str] = ()) -> DataFrame:
     """Run ``fn(rows) -> rows`` per Arrow batch.
 
     ``df`` must carry a unique ``id_col``.  An output row keeps the input's id
     when ``fn`` passes it through (dict copy); otherwise outputs pair with
     inputs by position.  Inputs without a surviving output are emitted with
-    ``_valid = false`` and the input columns stored as JSON in ``_error``.
-    Output columns: ``out_schema`` + id_col + ``_valid`` + ``_error``.
+    ``_valid = false`` and the input row as JSON in ``_error``.  ``keep`` columns
+    are copied from the paired input row onto every output (identity, G1).
+    Output columns: keep + ``out_schema`` + id_col + ``_valid`` + ``_error``.
     """
     import json
 
     import pandas as pd
 
+    keep = [k for k in keep]
     fields = [f.name for f in out_schema.fields]
-    schema = T.StructType(list(out_schema.fields) + [
+    kept_fields = [df.schema[k] for k in keep]
+    schema = T.StructType(kept_fields + list(out_schema.fields) + [
         T.StructField(id_col, T.LongType()), T.StructField(VALID, T.BooleanType()),
         T.StructField(REASON, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+            by_id = {r[id_col]: r for r in rows}
             result = fn([dict(r) for r in rows])
             if not isinstance(result, list):
                 raise TransformContractError(
@@ -216,12 +220,13 @@ def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_sche
                 if rid is None and pos < len(rows):
                     rid = rows[pos][id_col]
                 seen.add(rid)
-                ok.append({**{k: r.get(k) for k in fields}, id_col: rid, VALID: True, REASON: None})
-            bad = [{**{k: None for k in fields}, id_col: r[id_col], VALID: False,
-                    REASON: json.dumps({k: v for k, v in r.items() if k != id_col}, default=str)}
+                src = by_id.get(rid, {})
+                ok.append({**{k: src.get(k) for k in keep}, **{k: r.get(k) for k in fields},
+                           id_col: rid, VALID: True, REASON: None})
+            bad = [{**{k: r.get(k) for k in keep}, **{k: None for k in fields}, id_col: r[id_col],
+                    VALID: False, REASON: json.dumps({k: v for k, v in r.items() if k != id_col}, default=str)}
                    for r in rows if r[id_col] not in seen]
-            out = pd.DataFrame(ok + bad, columns=schema.fieldNames())
-            yield out
+            yield pd.DataFrame(ok + bad, columns=schema.fieldNames())
 
     return df.mapInPandas(run, schema)
 

@@ -236,6 +236,14 @@ def listing_minus_done(listing: DataFrame, current: DataFrame) -> DataFrame:
     return listing.join(done, list(KEY), "left_anti")
 
 
+def status_lookup(current: DataFrame, task_id: str, file_path: str, file_mtime: int | None = None) -> DataFrame:
+    """L4: status and retry count of one file; without an mtime the newest version answers."""
+    hit = current.filter((F.col("task_id") == task_id) & (F.col("file_path") == file_path))
+    if file_mtime is not None:
+        return hit.filter(F.col("file_mtime") == file_mtime).select(*KEY, "status", "retry_count")
+    return hit.orderBy(F.desc("file_mtime")).limit(1).select(*KEY, "status", "retry_count")
+
+
 def alert_name(path: Column) -> Column:
     """Alerts carry only the base name of a path."""
     return base_name(path)

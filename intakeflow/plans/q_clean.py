@@ -97,3 +97,55 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original vs cleaned counts of one run; dropped = original - cleaned."""
     c = counters(test_clean_flagged(raw_rows(spark, sf_dir)))
     return c.withColumn("dropped", F.col("raw_count") - F.col("valid_count"))
+
+
+@register("clean_preview", oracle=with_cte(TEST_CLEAN_SQL.strip() + """
+ORDER BY CAST(id AS BIGINT), name, value, date, status, score LIMIT 50""", raw=RAW_SQL))
+def clean_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workbench preview - first 50 cleaned rows in a stable order (the limit is the feature)."""
+    out = test_clean(raw_rows(spark, sf_dir))
+    return out.orderBy(F.col("id").cast("bigint"), "name", "value", "date", "status", "score").limit(50)
+
+
+def _flag_rows(rows: list) -> list:
+    """A user row function: reject rows without a name, mark the others processed."""
+    out = []
+    for r in rows:
+        name = r.get("name")
+        if name is None or str(name).strip() == "" or str(name) == "None":
+            out.append(None)
+        else:
+            out.append({**r, "processed": True})
+    return out
+
+
+@register("row_udf_flag", oracle=with_cte(f"""
+SELECT id, name, CASE WHEN NOT {_BLANK} THEN TRUE END AS processed, NOT {_BLANK} AS _valid FROM raw
+""", raw=RAW_SQL))
+def row_udf_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python row function over Arrow batches; rejected rows come back with their identity."""
+    from pyspark.sql import types as T
+
+    from intakeflow.operators.cleaners import apply_row_function
+
+    ided = raw_rows(spark, sf_dir).withColumn("_row_id", F.monotonically_increasing_id())
+    out_schema = T.StructType([T.StructField("processed", T.BooleanType())])
+    res = apply_row_function(ided, _flag_rows, out_schema, keep=("id", "name"))
+    return res.select("id", "name", "processed", "_valid")
+
+
+@register("frame_udf_dedup", oracle=with_cte("""
+SELECT DISTINCT 'raw_' || CAST(CAST(id AS BIGINT) // 1000 AS STRING) AS _file, * FROM raw
+""", raw=RAW_SQL))
+def frame_udf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pandas ``clean_data(df)`` run once per file (files of at most 1000 order keys)."""
+    from intakeflow.operators.cleaners import apply_frame_function
+
+    raw = raw_rows(spark, sf_dir)
+    files = raw.withColumn("_file", F.concat(F.lit("raw_"), F.floor(F.col("id").cast("bigint") / 1000)
+                                             .cast("bigint").cast("string")))
+
+    def clean_data(pdf):
+        return pdf.drop_duplicates(keep="first").reset_index(drop=True)
+
+    return apply_frame_function(files, clean_data, files.schema)

@@ -119,3 +119,23 @@ def schema_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"),
         F.col("c_acctbal").alias("amount"))
     return align_columns([o, c])
+
+
+# A fixed demonstration key (16 bytes -> AES-128); real tasks pass their own.
+DEMO_KEY = "0123456789abcdef"
+
+
+@register("encrypt_roundtrip", oracle="""
+SELECT c_custkey, c_name, TRUE AS balance_matches, TRUE AS ciphertext_differs FROM customer
+""")
+def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured fields encrypted (AES-GCM) before routing, then decrypted back."""
+    from intakeflow.functions.crypto import decrypt_fields, encrypt_fields
+
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("bal"),
+        F.col("c_acctbal").cast("string").alias("plain_bal"))
+    enc = encrypt_fields(c, ["c_name", "bal"], DEMO_KEY).withColumn("cipher", F.col("c_name"))
+    dec = decrypt_fields(enc, ["c_name", "bal"], DEMO_KEY)
+    return dec.select("c_custkey", "c_name", (F.col("bal") == F.col("plain_bal")).alias("balance_matches"),
+                      (F.col("cipher") != F.col("c_name")).alias("ciphertext_differs"))

@@ -14,7 +14,7 @@ from intakeflow.plans.catalog import AS_OF_ORDERS, register
 from intakeflow.plans.q_ingest import first_wins_table
 from intakeflow.plans.reports import registry_listing
 from intakeflow.sources.fixtures import DQ_SQL, PF_SQL, ledger_rows, quality_log_rows, table, with_cte
-from intakeflow.streaming.alerts import all_alerts, failure_alerts, quality_alerts
+from intakeflow.streaming.alerts import all_alerts, failed_files_alerts, failure_alerts, quality_alerts
 
 OWNER = "worker-1"
 MAX_RETRIES = 3
@@ -177,9 +177,26 @@ UNION ALL
 SELECT CASE WHEN error_type IS NULL OR error_type <> 'RetryableError' THEN 'pipeline_failure' ELSE 'dead_letter' END,
        task_id, file_name, CAST(retry_count AS DOUBLE)
 FROM pf WHERE status = 'FAILED' AND (error_type IS NULL OR error_type <> 'RetryableError' OR retry_count >= 2)
+UNION ALL
+SELECT 'failed_files', task_id, NULL, CAST(count(*) AS DOUBLE) FROM pf WHERE status = 'FAILED'
+GROUP BY task_id HAVING count(*) > 10
 """, pf=PF_SQL, dq=DQ_SQL))
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Low-quality, fatal-failure and dead-letter alert rows (base names only)."""
+    """Low-quality, fatal-failure, dead-letter and too-many-failures alert rows (base names only)."""
+    pf = ledger_rows(spark, sf_dir)
     q = quality_alerts(quality_log_rows(spark, sf_dir))
-    f = failure_alerts(L.dead_letter(ledger_rows(spark, sf_dir), max_retries=2))
-    return all_alerts(q, f)
+    f = failure_alerts(L.dead_letter(pf, max_retries=2))
+    return all_alerts(q, f, failed_files_alerts(pf, threshold=10))
+
+
+@register("status_lookup", oracle=with_cte("""
+SELECT * FROM (SELECT task_id, file_path, file_mtime, status, retry_count FROM pf
+               WHERE task_id = 'task_3' AND file_path = '/in/order_' || (SELECT CAST(max(id) AS STRING) FROM pf
+                                                                       WHERE task_id = 'task_3') || '.csv'
+               ORDER BY file_mtime DESC LIMIT 1) t
+""", pf=PF_SQL))
+def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4: status and retry count of one file by (task, path); without an mtime the newest answers."""
+    pf = ledger_rows(spark, sf_dir)
+    newest = pf.filter(F.col("task_id") == "task_3").agg(F.max("id")).first()[0]
+    return L.status_lookup(pf, "task_3", f"/in/order_{newest}.csv")
