@@ -31,7 +31,7 @@ from intakeflow.operators.quality import quality_report
 from intakeflow.operators.route import MONTH, route_months
 from intakeflow.operators.split import pass_through
 from intakeflow.operators.writer import write_first_wins
-from intakeflow.sources.readers import FILE, ROW
+from intakeflow.sources.readers import CORRUPT, FILE, ROW, parse_xlsx
 from intakeflow.spec import QUALITY_ALERT_MIN_SCORE, TaskSpec
 from intakeflow.streaming.alerts import quality_alerts
 
@@ -47,7 +47,9 @@ class IntakePaths:
 
 def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str,
                  max_files: int | None, clean_source: str, archive_dir: str | None,
-                 recursive: bool) -> DataFrame:
+                 recursive: bool, encoding: str | None = None) -> DataFrame:
+    if fmt == "json" and CORRUPT not in schema.fieldNames():
+        schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     r = spark.readStream.schema(schema).option("recursiveFileLookup", str(recursive).lower())
     if max_files:
         r = r.option("maxFilesPerTrigger", int(max_files))
@@ -56,10 +58,15 @@ def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: st
         if clean_source == "archive":
             r = r.option("sourceArchiveDir", archive_dir)
     if fmt == "csv":
+        if encoding and encoding.lower().replace("-", "") not in ("utf8", "utf8sig"):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         df = (r.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("pathGlobFilter", "*.csv").csv(folder))
+              .option("encoding", encoding or "utf-8").option("pathGlobFilter", "*.csv").csv(folder))
     elif fmt == "json":
-        df = r.option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+        df = (r.option("multiLine", True).option("pathGlobFilter", "*.json")
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(folder))
+    elif fmt == "excel":
+        return _excel_stream(spark, folder, schema, max_files, recursive)
     else:
         raise ValueError(f"unsupported stream format {fmt}")
     return df.select(
@@ -68,6 +75,41 @@ def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: st
         F.col("_metadata.file_size").alias("_size"))
 
 
+def _excel_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int | None,
+                  recursive: bool) -> DataFrame:
+    """S4 as a stream: ``binaryFile`` source, one workbook per row, parsed per file in ``mapInPandas``."""
+    binary = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+                           T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+    r = spark.readStream.format("binaryFile").schema(binary).option("pathGlobFilter", "*.xlsx") \
+        .option("recursiveFileLookup", str(recursive).lower())
+    if max_files:
+        r = r.option("maxFilesPerTrigger", int(max_files))
+    files = r.load(folder).select(
+        F.regexp_replace("path", "^file:", "").alias("path"), "content",
+        (F.unix_micros("modificationTime") / 1000).cast("long").alias("_mtime"), F.col("length").alias("_size"))
+    names = schema.fieldNames()
+    out = T.StructType(list(schema.fields) + [T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType()),
+                                              T.StructField("_mtime", T.LongType()), T.StructField("_size", T.LongType()),
+                                              T.StructField(CORRUPT, T.StringType())])
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            rows = []
+            for path, content, mt, size in zip(pdf["path"], pdf["content"], pdf["_mtime"], pdf["_size"]):
+                try:
+                    header, data = parse_xlsx(bytes(content))
+                except Exception as exc:  # noqa: BLE001 - unreadable workbook: the file is skipped
+                    rows.append([None] * len(names) + [path, -1, mt, size, f"Failed to open Excel file: {exc}"])
+                    continue
+                for i, r in enumerate(data):
+                    cells = dict(zip(header, r))
+                    rows.append([cells.get(n) for n in names] + [path, i, mt, size, None])
+            yield pd.DataFrame(rows, columns=out.fieldNames())
+
+    return files.mapInPandas(run, out)
+
+
 def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -79,8 +121,12 @@ def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
 
 def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: IntakePaths,
                   flag: Callable[[DataFrame], DataFrame], as_of: Callable[[], _dt.datetime],
-                  order_cols: tuple[str, ...]) -> dict:
-    """One micro-batch (also callable on a plain DataFrame with the same columns)."""
+                  order_cols: tuple[str, ...],
+                  prepare: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """One micro-batch (also callable on a plain DataFrame with the same columns).
+
+    ``prepare`` reshapes parsed rows first (e.g. ``explode_json_path`` for nested JSON).
+    """
     spark = batch.sparkSession
     now = as_of()
     batch = batch.withColumn("task_id", F.lit(spec.task_id))
@@ -98,8 +144,21 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
         if hit:
             local = spark.createDataFrame(hit, files.schema)
             batch = batch.join(F.broadcast(local), ["task_id", FILE, "_mtime"], "left_anti")
-    batch = batch.persist()
+    base = batch.persist()  # cached: the checks below and the writes reuse one read of the files
+    batch = base
+    skipped = None
     try:
+        if CORRUPT in batch.columns:  # S2 / S4: a file that does not parse is skipped whole
+            bad_files = batch.filter(F.col(CORRUPT).isNotNull()).select(
+                "task_id", FILE, "_mtime", "_size", CORRUPT).dropDuplicates(["task_id", FILE, "_mtime"])
+            skipped = bad_files.collect()  # files of one micro-batch: bounded by maxFilesPerTrigger
+            if skipped:
+                local = spark.createDataFrame([(r["task_id"], r[FILE], r["_mtime"]) for r in skipped],
+                                              "task_id string, _file string, _mtime long")
+                batch = batch.join(F.broadcast(local), ["task_id", FILE, "_mtime"], "left_anti")
+            batch = batch.drop(CORRUPT)
+        if prepare is not None:
+            batch = prepare(batch)
         flagged = flag(batch)
         routed = route_months(flagged, spec, now)
         valid = routed.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_mtime", "_size")
@@ -118,9 +177,17 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
         quality.write.mode("append").parquet(paths.quality)
         quality_alerts(quality, QUALITY_ALERT_MIN_SCORE).write.mode("append").parquet(paths.alerts)
+        if skipped:
+            skips = spark.createDataFrame(
+                [(r["task_id"], r[FILE], r["_mtime"], r["_size"], str(r[CORRUPT])[:300]) for r in skipped],
+                "task_id string, file_path string, file_mtime long, file_size long, error_message string")
+            events = conform(events).unionByName(conform(skips.select(
+                "*", F.lit("SKIPPED").alias("event"), F.lit(now).cast("timestamp_ntz").alias("event_time"),
+                F.lit(int(batch_id)).cast("long").alias("seq"),
+                F.lit("ParseError").alias("error_type"))))
         conform(events).write.mode("append").parquet(paths.ledger)  # the file's commit point
     finally:
-        batch.unpersist()
+        base.unpersist()
     return counts
 
 
@@ -130,15 +197,20 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
                  archive_dir: str | None = None, recursive: bool = False,
                  available_now: bool = False, poll_seconds: int | None = None,
                  as_of: Callable[[], _dt.datetime] | None = None,
-                 order_cols: tuple[str, ...] = (FILE, ROW)) -> StreamingQuery:
-    """Start the intake stream for one task; returns the running query."""
+                 order_cols: tuple[str, ...] = (FILE, ROW),
+                 prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Start the intake stream for one task; returns the running query.
+
+    ``fmt`` is ``csv`` (``spec.encoding`` applies), ``json`` or ``excel``; for JSON with a
+    nested ``spec.json_path`` pass ``prepare=lambda df: explode_json_path(df, spec.json_path)``.
+    """
     stream = _read_stream(spark, folder, schema, fmt, max_files_per_trigger, clean_source,
-                          archive_dir, recursive)
+                          archive_dir, recursive, spec.encoding)
     flag = flag or pass_through
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
 
     def run(df: DataFrame, batch_id: int) -> None:
-        process_batch(df, batch_id, spec, paths, flag, clock, order_cols)
+        process_batch(df, batch_id, spec, paths, flag, clock, order_cols, prepare)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint)
     if available_now:
@@ -148,6 +220,20 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
     return w.start()
 
 
+def explode_json_path(df: DataFrame, json_path: str) -> DataFrame:
+    """S3 inside a micro-batch: rows of the array at ``json_path`` (``data.item`` style)."""
+    parts = [p for p in json_path.split(".") if p and p != "item"]
+    if not parts:
+        return df
+    arr = F.col(parts[0])
+    for p in parts[1:]:
+        arr = arr.getField(p)
+    keep = [c for c in df.columns if c.startswith("_") or c == "task_id"]
+    return df.select(*keep, F.posexplode(arr).alias("_pos", "_item")).select(
+        *[c for c in keep if c != ROW], (F.col(ROW) * 1_000_000 + F.col("_pos")).alias(ROW)
+        if ROW in keep else F.col("_pos").cast("long").alias(ROW), "_item.*")
+
+
 def read_target(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).withColumn(MONTH, F.col(MONTH).cast("string"))
 

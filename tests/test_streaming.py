@@ -107,3 +107,42 @@ def test_debounce_stream_closed_sessions(spark, tmpdir_path):
     b = {(r.file_path, r.session_start, r.events) for r in debounce_sessions(ev, 600).collect()}
     # append mode emits a session once the watermark has passed it; every emitted one equals the batch twin
     assert s and s <= b
+
+
+def test_intake_stream_json_and_excel(spark, tmpdir_path):
+    from intakeflow.streaming.intake import explode_json_path
+    from tests.xlsx_fixture import make_xlsx
+
+    spec = TaskSpec(task_id="js", base_table="js", keys=("id",), partition_field="date", json_path="data.item")
+    js = f"{tmpdir_path}/js"
+    os.makedirs(js)
+    with open(f"{js}/a.json", "w") as f:
+        f.write('{"data": [{"id": "1", "date": "2026-01-02"}, {"id": "2", "date": "2026-02-03"}]}')
+    with open(f"{js}/bad.json", "w") as f:
+        f.write('{"data": [{"id": "3", "date": ')
+    item = T.StructType([T.StructField("id", T.StringType()), T.StructField("date", T.StringType())])
+    schema = T.StructType([T.StructField("data", T.ArrayType(item))])
+    paths = _paths(f"{tmpdir_path}/jsrun")
+    q = start_intake(spark, js, spec, schema, paths, fmt="json", available_now=True, as_of=lambda: AS_OF,
+                     prepare=lambda df: explode_json_path(df, spec.json_path))
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert {(r.month, r.id) for r in read_target(spark, paths.target).collect()} == {("202601", "1"), ("202602", "2")}
+    cur = {os.path.basename(r.file_path): r.status for r in fold(spark.read.parquet(paths.ledger)).collect()}
+    assert cur == {"a.json": "SUCCESS", "bad.json": "SKIPPED"}
+
+    xl = f"{tmpdir_path}/xl"
+    os.makedirs(xl)
+    with open(f"{xl}/a.xlsx", "wb") as f:
+        f.write(make_xlsx([["id", "date"], [1, "2026-01-05"], [2, "2026-03-01"]]))
+    with open(f"{xl}/broken.xlsx", "wb") as f:
+        f.write(b"not a zip")
+    xspec = TaskSpec(task_id="xl", base_table="xl", keys=("id",), partition_field="date")
+    xschema = T.StructType([T.StructField("id", T.StringType()), T.StructField("date", T.StringType())])
+    xpaths = _paths(f"{tmpdir_path}/xlrun")
+    q = start_intake(spark, xl, xspec, xschema, xpaths, fmt="excel", available_now=True, as_of=lambda: AS_OF)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert {(r.month, r.id) for r in read_target(spark, xpaths.target).collect()} == {("202601", "1"), ("202603", "2")}
+    cur = {os.path.basename(r.file_path): r.status for r in fold(spark.read.parquet(xpaths.ledger)).collect()}
+    assert cur == {"a.xlsx": "SUCCESS", "broken.xlsx": "SKIPPED"}
