@@ -129,7 +129,9 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
     existing = read_target(spark, target_path, months)
     if existing is not None:
         existing = existing.select(MONTH, *keys)
-    to_insert = plan_first_wins(body, existing, keys, order_cols).observe(
+    # REBALANCE by month: AQE sizes the write tasks per month (few files per month partition,
+    # a hot month split into several tasks) instead of every task writing into every month.
+    to_insert = plan_first_wins(body, existing, keys, order_cols).hint("rebalance", MONTH).observe(
         obs_out, F.count(F.lit(1)).alias("n"))
     to_insert.write.mode("append").partitionBy(MONTH).parquet(target_path)
     got, put = obs_in.get, obs_out.get
