@@ -197,6 +197,19 @@ def dead_letter(current: DataFrame, max_retries: int | Column = 3,
     return failed.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
+def dead_letter_events(dead: DataFrame, as_of: _dt.datetime) -> DataFrame:
+    """K7: DEAD_LETTER events for the rows of ``dead_letter`` (reason kept as the message)."""
+    return conform(dead.select(
+        *KEY, F.lit("DEAD_LETTER").alias("event"), F.lit(as_of).alias("event_time"),
+        F.lit(3).cast("long").alias("seq"), F.col("reason").alias("error_message")))
+
+
+def write_quarantine(dead: DataFrame, path: str) -> None:
+    """K7: append the diverted files' identity and reason to the quarantine dataset."""
+    dead.select(*KEY, "file_name", "retry_count", "error_type", "error_message", "reason") \
+        .write.mode("append").parquet(path)
+
+
 def backoff_delay(retry_count: Column, backoff: Sequence[int] = RETRY_BACKOFF_SECONDS) -> Column:
     """Seconds to wait after the n-th failure (last value repeats)."""
     arr = F.array(*[F.lit(int(b)) for b in backoff])

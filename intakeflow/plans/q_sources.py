@@ -84,10 +84,19 @@ def json_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       F.count_distinct("o_custkey").alias("customers"))
 
 
-@register("file_manifest")
+@register("file_manifest", oracle="""
+SELECT 'csv' AS fmt, 4 AS files, 4 AS distinct_hashes, 0 AS skipped, count(*) AS rows_read FROM orders
+""")
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing of the CSV deliveries with format, skip reason and fingerprint."""
+    """Listing of four CSV deliveries with format, skip reason and fingerprint, joined
+    with the rows each file yields; totals per format."""
     folder = write_csv_deliveries(spark, sf_dir, "orders", files=4)
     manifest = with_format(list_files(spark, folder, (".csv",)))
-    return manifest.join(fingerprints(spark, folder).drop("file_size"), "path", "left") \
-        .select("file_name", "ext", "file_size", "fmt", "skip_reason", "file_hash")
+    hashed = manifest.join(fingerprints(spark, folder).drop("file_size"), "path", "left")
+    per_file = read_csv(spark, folder).groupBy(F.col("_file").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    j = hashed.join(per_file, "path", "left")
+    return j.groupBy("fmt").agg(
+        F.count(F.lit(1)).cast("int").alias("files"),
+        F.count_distinct("file_hash").cast("int").alias("distinct_hashes"),
+        F.count_if(F.col("skip_reason").isNotNull()).cast("int").alias("skipped"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_read"))

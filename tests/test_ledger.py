@@ -67,3 +67,45 @@ def test_worklist_order_and_backoff(spark):
     assert [(r.task_id, r.file_path) for r in w.collect()] == [("t1", "/b"), ("t2", "/a")]
     w2 = L.worklist(dec, tasks, at(3), last_failure=F.col("failed_at"))
     assert [(r.task_id, r.file_path) for r in w2.collect()] == [("t1", "/a"), ("t1", "/b"), ("t2", "/a")]
+
+
+def test_dead_letter_events_block_claims(spark):
+    k = ("t", "/in/z.csv", 1)
+    e = ev(spark, [(*k, "CLAIMED", at(0), 1, "w", None), (*k, "FAILED", at(1), 1, None, "ValueError")])
+    cur = L.fold(e)
+    dead = L.dead_letter(cur, 3)
+    assert [r.reason for r in dead.collect()] == ["fatal"]
+    cur2 = L.fold(e.unionByName(L.dead_letter_events(dead, at(2))))
+    assert cur2.first().dead_lettered
+    arr = spark.createDataFrame([k], "task_id string, file_path string, file_mtime long")
+    # a fatal failure has retry_count 1 < 3, yet the dead-letter event keeps it from being claimed
+    assert L.claim_decisions(arr, cur2, at(3), 3).first().decision == "HOLD"
+
+
+def test_claim_rule_matches_python_twin(spark):
+    import random
+    rng = random.Random(11)
+    statuses = [None, "PENDING", "CLAIMED", "PROCESSING", "SUCCESS", "FAILED", "SKIPPED"]
+    rows = []
+    for i in range(400):
+        st = rng.choice(statuses)
+        rows.append(("t", f"/in/{i}.csv", i, st, rng.randint(0, 4), at(rng.randint(-30, 30)), rng.random() < 0.2))
+    cur = spark.createDataFrame([r for r in rows if r[3] is not None],
+                                "task_id string, file_path string, file_mtime long, status string, "
+                                "retry_count long, claim_expires_at timestamp_ntz, dead_lettered boolean")
+    arr = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "task_id string, file_path string, file_mtime long")
+    got = {r.file_path: r.decision for r in L.claim_decisions(arr, cur, at(0), 3).collect()}
+
+    def twin(st, rc, exp, dead):
+        if st is None:
+            return "CLAIM_NEW"
+        if st == "FAILED" and rc < 3 and not dead:
+            return "CLAIM_RETRY"
+        if st == "PENDING":
+            return "CLAIM_PENDING"
+        if st in ("CLAIMED", "PROCESSING") and exp < at(0):
+            return "CLAIM_EXPIRED"
+        return "HOLD"
+
+    for r in rows:
+        assert got[r[1]] == twin(r[3], r[4], r[5], r[6]), r
