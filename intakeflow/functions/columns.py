@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeflow.spec import (CLAIM_LEASE_SECONDS, NULL_TOKENS_EXACT, NULL_TOKENS_LOWER,
-                             QUALITY_BAND_FAIR, QUALITY_BAND_GOOD, month_of,
+                             QUALITY_BAND_FAIR, QUALITY_BAND_GOOD, UNKNOWN_STATUS, month_of,
                              strptime_to_spark)
 
 # Python's str.strip() removes Unicode white space; Spark's trim() only U+0020.
@@ -86,7 +86,7 @@ def clamp_int(c: Column, lo: int = 0, hi: int = 100) -> Column:
     return F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))).cast("int")
 
 
-def status_token(c: Column, unknown: str = "unknown") -> Column:
+def status_token(c: Column, unknown: str = UNKNOWN_STATUS) -> Column:
     """``str(v).lower().strip()``; '', 'none', 'nan' -> unknown (NULL reads as 'None')."""
     s = py_strip(F.lower(F.coalesce(c.cast("string"), F.lit("None"))))
     return F.when(s.isin(*NULL_TOKENS_LOWER), F.lit(unknown)).otherwise(s)

@@ -25,10 +25,21 @@ TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 JSON_ROWS_PER_FILE = 5000
 
 
+# Rows per written CSV delivery: a multi-line CSV file is read by one task, so the
+# number of files grows with the table.
+CSV_ROWS_PER_FILE = 200_000
+
+
+def delivery_count(rows: int, minimum: int) -> int:
+    return max(minimum, -(-rows // CSV_ROWS_PER_FILE))
+
+
 def write_csv_deliveries(spark: SparkSession, sf_dir: str, name: str = "lineitem", files: int = 8) -> str:
-    """Write a test table as ``files`` CSV deliveries (header, quoted) and return the folder."""
+    """Write a test table as CSV deliveries (header, quoted; at least ``files`` files, at most
+    ``CSV_ROWS_PER_FILE`` rows each) and return the folder."""
     out = scratch_path(spark, f"deliveries-{name}-{uuid.uuid4().hex[:8]}")
-    (table(spark, sf_dir, name).repartition(files)
+    df = table(spark, sf_dir, name)
+    (df.repartition(delivery_count(df.count(), files))
      .write.option("header", True).option("escape", '"').option("timestampNTZFormat", TS_TEXT)
      .csv(out))
     return out
@@ -85,11 +96,14 @@ def json_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("file_manifest", oracle="""
-SELECT 'csv' AS fmt, 4 AS files, 4 AS distinct_hashes, 0 AS skipped, count(*) AS rows_read FROM orders
+SELECT 'csv' AS fmt, CAST(greatest(4, ceil(count(*) / 200000.0)) AS INTEGER) AS files,
+       CAST(greatest(4, ceil(count(*) / 200000.0)) AS INTEGER) AS distinct_hashes, 0 AS skipped,
+       count(*) AS rows_read
+FROM orders
 """)
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing of four CSV deliveries with format, skip reason and fingerprint, joined
-    with the rows each file yields; totals per format."""
+    """Listing of the CSV deliveries (four or more) with format, skip reason and
+    fingerprint, joined with the rows each file yields; totals per format."""
     folder = write_csv_deliveries(spark, sf_dir, "orders", files=4)
     manifest = with_format(list_files(spark, folder, (".csv",)))
     hashed = manifest.join(fingerprints(spark, folder).drop("file_size"), "path", "left")

@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intakeflow.spec import CHARSET_SAMPLE, EXTENSIONS, FINGERPRINT_SAMPLE
-
-FORMATS = {".csv": "csv", ".json": "json", ".xlsx": "excel", ".xls": "xls"}
+from intakeflow.spec import CHARSET_SAMPLE, EXTENSIONS, FINGERPRINT_SAMPLE, FORMATS
 
 
 def _ext(path: Column) -> Column:
@@ -53,7 +51,7 @@ def with_format(manifest: DataFrame) -> DataFrame:
     fmt = F.coalesce(*[F.when(F.col("ext") == e, F.lit(f)) for e, f in FORMATS.items()])
     reason = (F.when(F.col("file_size") == 0, F.concat(F.lit("Empty file: "), F.col("path")))
               .when(fmt.isNull(), F.concat(F.lit("Unsupported format: "), F.col("ext")))
-              .when(fmt == "xls", F.lit("Legacy .xls workbooks are not readable")))
+              .when(F.col("ext") == ".xls", F.lit("Legacy .xls workbooks are not readable")))
     return manifest.withColumn("fmt", fmt).withColumn("skip_reason", reason)
 
 

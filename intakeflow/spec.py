@@ -15,8 +15,9 @@ STATUSES = ("PENDING", "CLAIMED", "PROCESSING", "SUCCESS", "FAILED", "SKIPPED")
 PENDING_STATES = ("PENDING", "CLAIMED", "PROCESSING")
 # Month-table lifecycle values.
 LIFECYCLE = ("ACTIVE", "ARCHIVED", "DROPPED")
-# Accepted file extensions, matched lower-cased.
+# Accepted file extensions, matched lower-cased, and the reader each one selects.
 EXTENSIONS = (".csv", ".json", ".xlsx", ".xls")
+FORMATS = {".csv": "csv", ".json": "json", ".xlsx": "excel", ".xls": "excel"}
 # Table-name rule: lowercase letters, digits, underscore; starts with a letter; at most 64 chars.
 TABLE_NAME_PATTERN = r"^[a-z][a-z0-9_]*$"
 TABLE_NAME_MAX_LEN = 64
@@ -35,6 +36,8 @@ QUALITY_BAND_GOOD = 90.0
 QUALITY_BAND_FAIR = 70.0
 # Column-name keywords that mark a date column for the date normaliser.
 DATE_KEYWORDS = ("date", "time", "日期", "时间", "dt", "ts")
+# Status given to blank values by the composite cleaner.
+UNKNOWN_STATUS = "unknown"
 # Values treated as "no value" by the text cleaners.
 NULL_TOKENS_LOWER = ("", "none", "nan")
 NULL_TOKENS_EXACT = ("nan", "None", "NaN")

@@ -43,7 +43,7 @@ def test_manifest_skips(spark, tmpdir_path):
     m = with_format(list_files(spark, d)).collect()
     got = {r.file_name: (r.fmt, r.skip_reason is not None) for r in m}
     # the binaryFile scan never hands out zero-byte files, so they are not listed at all
-    assert got == {"ok.CSV": ("csv", False), "old.xls": ("xls", True)}
+    assert got == {"ok.CSV": ("csv", False), "old.xls": ("excel", True)}
     listed = spark.createDataFrame([("/in/empty.csv", "empty.csv", ".csv", 0), ("/in/x.txt", "x.txt", ".txt", 5)],
                                    "path string, file_name string, ext string, file_size long")
     reasons = {r.file_name: r.skip_reason for r in with_format(listed).collect()}
