@@ -80,3 +80,27 @@ def quality_band_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files per task and quality band."""
     return with_band(quality_log_rows(spark, sf_dir)).groupBy("task_id", "band").agg(
         F.count(F.lit(1)).alias("files"), avg_half_up(F.col("quality_score"), 2, 2).alias("avg_score"))
+
+
+@register("quality_rerun_latest", oracle=with_cte("""
+SELECT file_id, task_id, batch_time, total_rows, error_rows, quality_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY batch_time DESC, run DESC) AS rn FROM (
+    SELECT *, 0 AS run FROM dq
+    UNION ALL
+    SELECT file_id, task_id, batch_time + INTERVAL 1 DAY, total_rows, 0, 100.0, 1 FROM dq WHERE error_rows > 0) u
+  WHERE file_id > 0) t
+WHERE rn = 1
+""", dq=DQ_SQL))
+def quality_rerun_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: the quality log is appended on every run; a file's latest report replaces the earlier ones
+    (rows without a ledger id, ``file_id <= 0``, are not kept).  Files with errors are re-run a day
+    later (clean this time)."""
+    from intakeflow.operators.quality import latest_per_file
+
+    dq = quality_log_rows(spark, sf_dir).withColumn("run", F.lit(0))
+    rerun = dq.filter(F.col("error_rows") > 0).select(
+        "file_id", "task_id", (F.col("batch_time") + F.expr("INTERVAL 1 DAY")).alias("batch_time"),
+        "total_rows", F.lit(0).cast("bigint").alias("error_rows"), F.lit(100.0).alias("quality_score"),
+        F.lit(1).alias("run"))
+    latest = latest_per_file(dq.unionByName(rerun), "file_id", "batch_time", tie="run")
+    return latest.drop("run")

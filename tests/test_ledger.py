@@ -109,3 +109,30 @@ def test_claim_rule_matches_python_twin(spark):
 
     for r in rows:
         assert got[r[1]] == twin(r[3], r[4], r[5], r[6]), r
+
+
+def test_listing_minus_done_and_registry(spark):
+    import datetime as _dt
+
+    from intakeflow.operators.route import registry_additions
+    cur = spark.createDataFrame([("t", "/a", 1, "SUCCESS"), ("t", "/b", 1, "FAILED")],
+                                "task_id string, file_path string, file_mtime long, status string")
+    listing = spark.createDataFrame([("t", "/a", 1), ("t", "/a", 2), ("t", "/b", 1)],
+                                    "task_id string, file_path string, file_mtime long")
+    left = {(r.file_path, r.file_mtime) for r in L.listing_minus_done(listing, cur).collect()}
+    assert left == {("/a", 2), ("/b", 1)}  # a changed file (new mtime) is a new key
+    written = spark.createDataFrame([("202601",), ("202601",), ("202602",)], "month string")
+    reg = spark.createDataFrame([("t", "x_202601")], "task_id string, table_name string")
+    add = registry_additions(written, reg, "t", "x", _dt.datetime(2026, 3, 1)).collect()
+    assert [(r.table_name, r.year_month, r.lifecycle_status) for r in add] == [("x_202602", "2026-02", "ACTIVE")]
+
+
+def test_cleaner_registry(spark):
+    import pytest
+
+    from intakeflow.operators.cleaners import cleaner, list_cleaners, run_cleaners
+    assert list_cleaners() == ["deduplicate", "fillna_and_trim", "normalize_dates", "test_clean"]
+    with pytest.raises(KeyError):
+        cleaner("nope")
+    df = spark.createDataFrame([(" a ", None), (" a ", None)], "name string, value string")
+    assert run_cleaners(df, ["fillna_and_trim", "deduplicate"]).collect()[0].name == "a"

@@ -100,3 +100,10 @@ def test_excel_active_sheet(spark, tmpdir_path):
     assert cells.filter(F.col("skip_reason").isNotNull()).count() == 1
     got = [tuple(r)[2:] for r in excel_columns(cells, ["id", "col_1", "when"]).orderBy("_row").collect()]
     assert got == [("1", "a", "2024-01-01 00:00:00"), ("2", "True", None)]
+
+
+def test_workbench_infer_read(spark, tmpdir_path):
+    d = f"{tmpdir_path}/wb"
+    write(f"{d}/w.csv", "id,price,name\n1,2.5,a\n2,3.0,b\n")
+    df = read_csv(spark, d, infer=True)
+    assert dict(df.dtypes)["id"] == "int" and dict(df.dtypes)["price"] == "double"
