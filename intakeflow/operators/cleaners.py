@@ -231,11 +231,32 @@ def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_sche
     return df.mapInPandas(run, schema)
 
 
+# Largest file (in rows) handed whole to a pandas frame function; larger files must use
+# native cleaners or the row adapter, which stream per Arrow batch.
+MAX_FRAME_ROWS = 2_000_000
+
+
+class FrameTooLargeError(RuntimeError):
+    """A file is too large to be handed to a pandas frame function as one group."""
+
+
 def apply_frame_function(df: DataFrame, fn: Callable, out_schema: T.StructType,
-                         file_col: str = "_file") -> DataFrame:
-    """``fn(pandas.DataFrame) -> pandas.DataFrame`` per file (``groupBy(file).applyInPandas``)."""
+                         file_col: str = "_file", max_rows: int = MAX_FRAME_ROWS) -> DataFrame:
+    """``fn(pandas.DataFrame) -> pandas.DataFrame`` per file (``groupBy(file).applyInPandas``).
+
+    A whole file goes to one Python worker, so file sizes are checked first with a
+    partial aggregate (one small job); a file over ``max_rows`` raises instead of
+    being pulled into a single task.
+    """
     import pandas as pd
 
+    too_big = (df.groupBy(file_col).agg(F.count(F.lit(1)).alias("n"))
+               .filter(F.col("n") > max_rows).limit(5).collect())
+    if too_big:
+        raise FrameTooLargeError(
+            f"files over {max_rows} rows cannot go to a frame function: "
+            + ", ".join(f"{r[file_col]} ({r['n']})" for r in too_big))
+
     names = out_schema.fieldNames()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -29,3 +29,14 @@ def test_extra_cleaners(spark):
     assert df.columns == ["x", "age", "v"]
     assert [r.x for r in adults_only(df).collect()] == ["b"]
     assert nan_to_null(df).filter(F.col("v").isNull()).count() == 1
+
+
+def test_frame_function_size_guard(spark):
+    import pytest
+
+    from intakeflow.operators.cleaners import FrameTooLargeError, apply_frame_function
+    df = spark.createDataFrame([("f1", i) for i in range(30)] + [("f2", 1)], "_file string, v int")
+    out = apply_frame_function(df, lambda p: p[p.v % 2 == 1], df.schema, max_rows=100)
+    assert out.count() == 16
+    with pytest.raises(FrameTooLargeError):
+        apply_frame_function(df, lambda p: p, df.schema, max_rows=10)
