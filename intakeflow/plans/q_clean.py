@@ -11,7 +11,6 @@ from intakeflow.operators.split import counters, error_rows
 from intakeflow.plans.catalog import register
 from intakeflow.sources.fixtures import RAW_SQL, raw_rows, with_cte
 
-_NUM = "try_cast({c} AS DOUBLE)"
 _VALUE = ("CASE WHEN try_cast(value AS DOUBLE) IS NULL OR isnan(try_cast(value AS DOUBLE)) "
           "THEN 0.0 ELSE try_cast(value AS DOUBLE) END")
 _SCORE_X = ("CASE WHEN try_cast(score AS DOUBLE) IS NULL OR isnan(try_cast(score AS DOUBLE)) "

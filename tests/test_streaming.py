@@ -2,9 +2,7 @@
 
 import datetime as dt
 import os
-import tempfile
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeflow.operators import cleaners as C
