@@ -124,28 +124,39 @@ def strptime_to_spark(fmt: str) -> str:
     """Translate a Python strptime format to a Spark datetime pattern.
 
     Python's %m/%d/%H/%M/%S accept one or two digits, so the lenient
-    single-letter Spark fields are used for them.
+    single-letter Spark fields are used for them - except where two fields
+    touch (``%Y%m%d``), where Python reads two digits and so do we.
     """
-    table = {
-        "%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s",
-        "%y": "yy", "%b": "MMM", "%B": "MMMM", "%f": "SSSSSS", "%j": "D",
-        "%I": "h", "%p": "a", "%%": "%",
-    }
-    out, i = [], 0
+    lenient = {"%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s"}
+    fixed = {"%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}
+    other = {"%Y": "yyyy", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%f": "SSSSSS", "%j": "D",
+             "%I": "h", "%p": "a"}
+    tokens, i = [], 0
     while i < len(fmt):
         two = fmt[i:i + 2]
-        if two in table:
-            out.append(table[two])
+        if two == "%%":
+            tokens.append(("lit", "%"))
             i += 2
-            continue
-        ch = fmt[i]
-        if ch.isalpha():
-            out.append(f"'{ch}'")
-        elif ch == "'":
+        elif two in lenient or two in other:
+            tokens.append(("dir", two))
+            i += 2
+        else:
+            tokens.append(("lit", fmt[i]))
+            i += 1
+    out = []
+    for j, (kind, val) in enumerate(tokens):
+        if kind == "dir":
+            touching = (j > 0 and tokens[j - 1][0] == "dir") or (j + 1 < len(tokens) and tokens[j + 1][0] == "dir")
+            if val in lenient:
+                out.append(fixed[val] if touching else lenient[val])
+            else:
+                out.append(other[val])
+        elif val.isalpha():
+            out.append(f"'{val}'")
+        elif val == "'":
             out.append("''")
         else:
-            out.append(ch)
-        i += 1
+            out.append(val)
     return "".join(out)
 
 

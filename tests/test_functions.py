@@ -108,7 +108,7 @@ def test_pagination_and_days():
 
 def test_strptime_translation():
     assert strptime_to_spark("%Y-%m-%d") == "yyyy-M-d"
-    assert strptime_to_spark("%Y%m%d %H:%M:%S") == "yyyyMd H:m:s"
+    assert strptime_to_spark("%Y%m%d %H:%M:%S") == "yyyyMMdd H:m:s"
     assert strptime_to_spark("%d/%m/%Y") == "d/M/yyyy"
 
 
@@ -116,3 +116,25 @@ def test_band_and_base_name(spark):
     df = spark.createDataFrame([(95.0, "/a/b/c.csv"), (70.0, "x.csv"), (69.99, "/d/")], "s double, p string")
     got = df.select(quality_band(F.col("s")).alias("b"), base_name(F.col("p")).alias("n")).collect()
     assert [(r.b, r.n) for r in got] == [("good", "c.csv"), ("fair", "x.csv"), ("attention", "")]
+
+
+@pytest.mark.parametrize("fmt", ["%Y-%m-%d", "%Y/%m/%d %H:%M", "%d.%m.%Y", "%Y%m%d"])
+def test_month_suffix_matches_strptime(spark, fmt):
+    rng = random.Random(hash(fmt) % 1000)
+    vals = []
+    for _ in range(300):
+        y, m, d, hh, mm = rng.randint(1990, 2030), rng.randint(0, 13), rng.randint(0, 32), rng.randint(0, 24), rng.randint(0, 60)
+        text = (fmt.replace("%Y", str(y)).replace("%m", rng.choice([str(m), f"{m:02d}"]))
+                .replace("%d", rng.choice([str(d), f"{d:02d}"])).replace("%H", f"{hh:02d}").replace("%M", f"{mm:02d}"))
+        if fmt == "%Y%m%d":
+            text = f"{y}{m:02d}{d:02d}"
+        vals.append(rng.choice([text, text, text, text + " ", "x" + text, "", None]))
+    spec = TaskSpec(task_id="t", base_table="t", partition_field="v", partition_format=fmt)
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [(r.v, r.month, r._route_fallback) for r in route_months(df, spec, dt.date(2000, 1, 1)).collect()]
+    for v, month, fb in got:
+        try:
+            want = dt.datetime.strptime(str(v), fmt).strftime("%Y%m") if v else None
+        except ValueError:
+            want = None
+        assert (month, fb) == ((want, False) if want else ("200001", True)), (v, month)
