@@ -31,6 +31,7 @@ from intakeflow.operators.quality import quality_report
 from intakeflow.operators.route import MONTH, route_months
 from intakeflow.operators.split import pass_through
 from intakeflow.operators.writer import write_first_wins
+from intakeflow.session import ensure_checkpoint_dir
 from intakeflow.sources.readers import CORRUPT, FILE, ROW, parse_xlsx
 from intakeflow.spec import QUALITY_ALERT_MIN_SCORE, TaskSpec
 from intakeflow.streaming.alerts import quality_alerts
@@ -137,26 +138,22 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
         files = batch.select("task_id", FILE, "_mtime").distinct()
         done = ledger.filter(F.col("event") == "SUCCESS").select(
             "task_id", F.col("file_path").alias(FILE), F.col("file_mtime").alias("_mtime"))
-        # The batch's files are bounded by maxFilesPerTrigger; resolving them to a local
-        # relation keeps the cached batch independent of the ledger appends below
-        # (a write to a path re-caches every plan that reads it).
-        hit = files.join(done, ["task_id", FILE, "_mtime"], "left_semi").collect()
-        if hit:
-            local = spark.createDataFrame(hit, files.schema)
-            batch = batch.join(F.broadcast(local), ["task_id", FILE, "_mtime"], "left_anti")
+        # A write to a path re-caches every cached plan that reads it, so the done-file keys
+        # are cut loose from the ledger path (reliable checkpoint) before the batch is cached
+        # and the ledger appended below.
+        ensure_checkpoint_dir(spark)
+        done_here = files.join(done, ["task_id", FILE, "_mtime"], "left_semi").checkpoint(eager=True)
+        batch = batch.join(done_here, ["task_id", FILE, "_mtime"], "left_anti")
     base = batch.persist()  # cached: the checks below and the writes reuse one read of the files
     batch = base
-    skipped = None
+    bad = None
     try:
         if CORRUPT in batch.columns:  # S2 / S4: a file that does not parse is skipped whole
-            bad_files = batch.filter(F.col(CORRUPT).isNotNull()).select(
-                "task_id", FILE, "_mtime", "_size", CORRUPT).dropDuplicates(["task_id", FILE, "_mtime"])
-            skipped = bad_files.collect()  # files of one micro-batch: bounded by maxFilesPerTrigger
-            if skipped:
-                local = spark.createDataFrame([(r["task_id"], r[FILE], r["_mtime"]) for r in skipped],
-                                              "task_id string, _file string, _mtime long")
-                batch = batch.join(F.broadcast(local), ["task_id", FILE, "_mtime"], "left_anti")
-            batch = batch.drop(CORRUPT)
+            bad = batch.filter(F.col(CORRUPT).isNotNull()).select(
+                "task_id", FILE, "_mtime", "_size",
+                F.substring(CORRUPT, 1, 300).alias("error_message")).dropDuplicates(["task_id", FILE, "_mtime"])
+            batch = batch.join(bad.select("task_id", FILE, "_mtime"), ["task_id", FILE, "_mtime"], "left_anti") \
+                .drop(CORRUPT)
         if prepare is not None:
             batch = prepare(batch)
         flagged = flag(batch)
@@ -177,14 +174,12 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
         quality.write.mode("append").parquet(paths.quality)
         quality_alerts(quality, QUALITY_ALERT_MIN_SCORE).write.mode("append").parquet(paths.alerts)
-        if skipped:
-            skips = spark.createDataFrame(
-                [(r["task_id"], r[FILE], r["_mtime"], r["_size"], str(r[CORRUPT])[:300]) for r in skipped],
-                "task_id string, file_path string, file_mtime long, file_size long, error_message string")
-            events = conform(events).unionByName(conform(skips.select(
-                "*", F.lit("SKIPPED").alias("event"), F.lit(now).cast("timestamp_ntz").alias("event_time"),
-                F.lit(int(batch_id)).cast("long").alias("seq"),
-                F.lit("ParseError").alias("error_type"))))
+        if bad is not None:
+            events = conform(events).unionByName(conform(bad.select(
+                "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
+                F.col("_size").alias("file_size"), "error_message",
+                F.lit("SKIPPED").alias("event"), F.lit(now).cast("timestamp_ntz").alias("event_time"),
+                F.lit(int(batch_id)).cast("long").alias("seq"), F.lit("ParseError").alias("error_type"))))
         conform(events).write.mode("append").parquet(paths.ledger)  # the file's commit point
     finally:
         base.unpersist()
