@@ -33,6 +33,8 @@ from intakeflow.functions.columns import base_name, lease_expiry
 from intakeflow.spec import CLAIM_LEASE_SECONDS, RETRY_BACKOFF_SECONDS
 
 KEY = ("task_id", "file_path", "file_mtime")
+# Task-settings tables up to this many rows are broadcast in the work-list join.
+MAX_BROADCAST_TASKS = 100_000
 STATUS_EVENTS = ("SNAPSHOT", "CLAIMED", "PROCESSING", "SUCCESS", "FAILED", "SKIPPED", "RETRY")
 RESET_EVENTS = ("SNAPSHOT", "RETRY")
 
@@ -233,7 +235,11 @@ def worklist(decisions: DataFrame, tasks: DataFrame, as_of: _dt.datetime,
         got = got.withColumn("next_attempt_at",
                              F.when(F.col("decision") == "CLAIM_RETRY", due)) \
             .filter(F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= F.lit(as_of)))
-    j = got.join(F.broadcast(tasks.select("task_id", "priority")), "task_id", "inner")
+    settings = tasks.select("task_id", "priority")
+    # Task settings come from configuration; broadcast them only when that bound holds.
+    if settings.limit(MAX_BROADCAST_TASKS + 1).count() <= MAX_BROADCAST_TASKS:
+        settings = F.broadcast(settings)
+    j = got.join(settings, "task_id", "inner")
     return j.orderBy("priority", "file_mtime", "file_path")
 
 
