@@ -125,9 +125,11 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
     if FALLBACK in new.columns:
         body = body.drop(FALLBACK)
     body = body.filter(~archived)
-    months = touched_months(new.filter(~archived))
-    existing = read_target(spark, target_path, months)
-    if existing is not None:
+    existing = read_target(spark, target_path) if keys else None
+    if existing is not None:  # prune the target to the months this batch touches
+        months = touched_months(new.filter(~archived))
+        if months is not None:
+            existing = existing.filter(F.col(MONTH).isin(months))
         existing = existing.select(MONTH, *keys)
     # REBALANCE by month: AQE sizes the write tasks per month (few files per month partition,
     # a hot month split into several tasks) instead of every task writing into every month.
