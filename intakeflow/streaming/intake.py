@@ -17,6 +17,7 @@ re-appends quality rows, of which the latest per file is read (K3).
 from __future__ import annotations
 
 import datetime as _dt
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -129,6 +130,7 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
     ``prepare`` reshapes parsed rows first (e.g. ``explode_json_path`` for nested JSON).
     """
     spark = batch.sparkSession
+    started = time.monotonic()
     now = as_of()
     batch = batch.withColumn("task_id", F.lit(spec.task_id))
     if ROW not in batch.columns:  # each file is read by one task in order (multiLine)
@@ -173,6 +175,9 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             "total_rows", "valid_rows", "error_rows", "null_rate", "error_rate", "quality_score",
             F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
         quality.write.mode("append").parquet(paths.quality)
+        # files of one micro-batch are processed together: each gets the batch's elapsed time
+        elapsed_ms = int((time.monotonic() - started) * 1000)
+        events = events.withColumn("processing_time_ms", F.lit(elapsed_ms).cast("long"))
         quality_alerts(quality, QUALITY_ALERT_MIN_SCORE).write.mode("append").parquet(paths.alerts)
         if bad is not None:
             events = conform(events).unionByName(conform(bad.select(

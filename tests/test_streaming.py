@@ -167,3 +167,21 @@ def test_batch_intake_equals_stream(spark, tmpdir_path):
     q.awaitTermination(120)
     key = lambda p: sorted((r.month, r.id) for r in read_target(spark, p).collect())
     assert key(bp.target) == key(sp.target)
+
+
+def test_reports_over_intake_outputs(spark, tmpdir_path):
+    from intakeflow.plans import reports
+    from intakeflow.streaming.intake import run_batch_intake
+
+    inbox = f"{tmpdir_path}/inbox"
+    os.makedirs(inbox)
+    _csv(f"{inbox}/a.csv", ["id", "date"], [(1, "2026-01-02"), (2, "2026-02-02")])
+    spec = TaskSpec(task_id="r", base_table="r", keys=("id",), partition_field="date")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("date", T.StringType())])
+    paths = _paths(f"{tmpdir_path}/run")
+    run_batch_intake(spark, inbox, spec, schema, paths, as_of=lambda: AS_OF)
+    stats = reports.task_stats(fold(spark.read.parquet(paths.ledger))).first()
+    assert (stats.task_id, stats.total, stats.success, stats.total_rows) == ("r", 1, 1, 2)
+    assert stats.avg_processing_ms >= 0
+    trend = reports.quality_trend(spark.read.parquet(paths.quality), AS_OF + dt.timedelta(days=1), days=7).first()
+    assert trend.batch_count == 1 and trend.avg_score == 100.0
