@@ -30,11 +30,12 @@ from intakeflow.operators.cleaners import REASON, VALID
 from intakeflow.operators.ledger import KEY, conform
 from intakeflow.operators.quality import quality_report
 from intakeflow.operators.route import MONTH, route_months
-from intakeflow.operators.split import pass_through
+from intakeflow.functions.crypto import encrypt_fields
+from intakeflow.operators.split import enforce_on_row_error, pass_through
 from intakeflow.operators.writer import write_first_wins
 from intakeflow.session import ensure_checkpoint_dir
 from intakeflow.sources.readers import CORRUPT, FILE, ROW, parse_xlsx
-from intakeflow.spec import QUALITY_ALERT_MIN_SCORE, TaskSpec
+from intakeflow.spec import FORMATS, QUALITY_ALERT_MIN_SCORE, TaskSpec
 from intakeflow.streaming.alerts import quality_alerts
 
 
@@ -47,9 +48,18 @@ class IntakePaths:
     checkpoint: str
 
 
+def ext_glob(extensions, fmt: str) -> str:
+    """Case-insensitive glob for the task's extensions that the reader ``fmt`` handles."""
+    wanted = [e.lower() for e in extensions if FORMATS.get(e.lower()) == fmt and e.lower() != ".xls"]
+    if not wanted:
+        raise ValueError(f"task extensions {tuple(extensions)} include none read as {fmt}")
+    pats = ["*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted]
+    return pats[0] if len(pats) == 1 else "{" + ",".join(pats) + "}"
+
+
 def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str,
                  max_files: int | None, clean_source: str, archive_dir: str | None,
-                 recursive: bool, encoding: str | None = None) -> DataFrame:
+                 recursive: bool, encoding: str | None = None, glob: str | None = None) -> DataFrame:
     if fmt == "json" and CORRUPT not in schema.fieldNames():
         schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     r = spark.readStream.schema(schema).option("recursiveFileLookup", str(recursive).lower())
@@ -63,12 +73,12 @@ def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: st
         if encoding and encoding.lower().replace("-", "") not in ("utf8", "utf8sig"):
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         df = (r.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("encoding", encoding or "utf-8").option("pathGlobFilter", "*.csv").csv(folder))
+              .option("encoding", encoding or "utf-8").option("pathGlobFilter", glob or "*.csv").csv(folder))
     elif fmt == "json":
-        df = (r.option("multiLine", True).option("pathGlobFilter", "*.json")
+        df = (r.option("multiLine", True).option("pathGlobFilter", glob or "*.json")
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(folder))
     elif fmt == "excel":
-        return _excel_stream(spark, folder, schema, max_files, recursive)
+        return _excel_stream(spark, folder, schema, max_files, recursive, glob)
     else:
         raise ValueError(f"unsupported stream format {fmt}")
     return df.select(
@@ -78,11 +88,11 @@ def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: st
 
 
 def _excel_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int | None,
-                  recursive: bool) -> DataFrame:
+                  recursive: bool, glob: str | None = None) -> DataFrame:
     """S4 as a stream: ``binaryFile`` source, one workbook per row, parsed per file in ``mapInPandas``."""
     binary = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
                            T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-    r = spark.readStream.format("binaryFile").schema(binary).option("pathGlobFilter", "*.xlsx") \
+    r = spark.readStream.format("binaryFile").schema(binary).option("pathGlobFilter", glob or "*.xlsx") \
         .option("recursiveFileLookup", str(recursive).lower())
     if max_files:
         r = r.option("maxFilesPerTrigger", int(max_files))
@@ -124,7 +134,8 @@ def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
 def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: IntakePaths,
                   flag: Callable[[DataFrame], DataFrame], as_of: Callable[[], _dt.datetime],
                   order_cols: tuple[str, ...],
-                  prepare: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+                  prepare: Callable[[DataFrame], DataFrame] | None = None,
+                  encryption_key: str | bytes | None = None) -> dict:
     """One micro-batch (also callable on a plain DataFrame with the same columns).
 
     ``prepare`` reshapes parsed rows first (e.g. ``explode_json_path`` for nested JSON).
@@ -158,9 +169,14 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                 .drop(CORRUPT)
         if prepare is not None:
             batch = prepare(batch)
-        flagged = flag(batch)
+        flagged = enforce_on_row_error(flag(batch), spec.on_row_error)
         routed = route_months(flagged, spec, now)
         valid = routed.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_mtime", "_size")
+        if spec.encrypt_fields:  # P12: after routing (the partition field stays readable)
+            if not encryption_key:
+                raise ValueError("the task encrypts fields but no encryption key was given")
+            valid = encrypt_fields(valid, [c for c in spec.encrypt_fields if c != spec.partition_field],
+                                   encryption_key)
         counts = write_first_wins(valid, paths.target, list(spec.keys), list(order_cols))
         per_file = quality_report(flagged, ["task_id", FILE, "_mtime", "_size"], spec.required_fields)
         events = per_file.select(
@@ -198,19 +214,20 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
                  available_now: bool = False, poll_seconds: int | None = None,
                  as_of: Callable[[], _dt.datetime] | None = None,
                  order_cols: tuple[str, ...] = (FILE, ROW),
-                 prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+                 prepare: Callable[[DataFrame], DataFrame] | None = None,
+                 encryption_key: str | bytes | None = None) -> StreamingQuery:
     """Start the intake stream for one task; returns the running query.
 
     ``fmt`` is ``csv`` (``spec.encoding`` applies), ``json`` or ``excel``; for JSON with a
     nested ``spec.json_path`` pass ``prepare=lambda df: explode_json_path(df, spec.json_path)``.
     """
     stream = _read_stream(spark, folder, schema, fmt, max_files_per_trigger, clean_source,
-                          archive_dir, recursive, spec.encoding)
+                          archive_dir, recursive, spec.encoding, ext_glob(spec.extensions, fmt))
     flag = flag or pass_through
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
 
     def run(df: DataFrame, batch_id: int) -> None:
-        process_batch(df, batch_id, spec, paths, flag, clock, order_cols, prepare)
+        process_batch(df, batch_id, spec, paths, flag, clock, order_cols, prepare, encryption_key)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint)
     if available_now:
@@ -225,7 +242,8 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
                      recursive: bool = False, run_id: int = 0,
                      as_of: Callable[[], _dt.datetime] | None = None,
                      order_cols: tuple[str, ...] = (FILE, ROW),
-                     prepare: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+                     prepare: Callable[[DataFrame], DataFrame] | None = None,
+                     encryption_key: str | bytes | None = None) -> dict:
     """The batch twin of ``start_intake``: every file of the folder in one run (the ledger
     still drops files already loaded).  Returns the writer's counts."""
     if fmt == "excel":
@@ -237,10 +255,11 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
         if spec.encoding and spec.encoding.lower().replace("-", "") not in ("utf8", "utf8sig"):
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         df = (r.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("encoding", spec.encoding or "utf-8").option("pathGlobFilter", "*.csv").csv(folder))
+              .option("encoding", spec.encoding or "utf-8").option("pathGlobFilter", ext_glob(spec.extensions, fmt))
+              .csv(folder))
     elif fmt == "json":
-        df = (r.option("multiLine", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT).json(folder))
+        df = (r.option("multiLine", True).option("pathGlobFilter", ext_glob(spec.extensions, fmt))
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(folder))
     else:
         raise ValueError(f"unsupported format {fmt}")
     df = df.select(
@@ -248,7 +267,8 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
         (F.unix_micros(F.col("_metadata.file_modification_time")) / 1000).cast("long").alias("_mtime"),
         F.col("_metadata.file_size").alias("_size"))
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
-    return process_batch(df, run_id, spec, paths, flag or pass_through, clock, order_cols, prepare)
+    return process_batch(df, run_id, spec, paths, flag or pass_through, clock, order_cols, prepare,
+                         encryption_key)
 
 
 def explode_json_path(df: DataFrame, json_path: str) -> DataFrame:

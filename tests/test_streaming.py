@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeflow.operators import cleaners as C
@@ -111,7 +112,8 @@ def test_intake_stream_json_and_excel(spark, tmpdir_path):
     from intakeflow.streaming.intake import explode_json_path
     from tests.xlsx_fixture import make_xlsx
 
-    spec = TaskSpec(task_id="js", base_table="js", keys=("id",), partition_field="date", json_path="data.item")
+    spec = TaskSpec(task_id="js", base_table="js", keys=("id",), partition_field="date", json_path="data.item",
+                    extensions=(".json",))
     js = f"{tmpdir_path}/js"
     os.makedirs(js)
     with open(f"{js}/a.json", "w") as f:
@@ -135,7 +137,7 @@ def test_intake_stream_json_and_excel(spark, tmpdir_path):
         f.write(make_xlsx([["id", "date"], [1, "2026-01-05"], [2, "2026-03-01"]]))
     with open(f"{xl}/broken.xlsx", "wb") as f:
         f.write(b"not a zip")
-    xspec = TaskSpec(task_id="xl", base_table="xl", keys=("id",), partition_field="date")
+    xspec = TaskSpec(task_id="xl", base_table="xl", keys=("id",), partition_field="date", extensions=(".xlsx",))
     xschema = T.StructType([T.StructField("id", T.StringType()), T.StructField("date", T.StringType())])
     xpaths = _paths(f"{tmpdir_path}/xlrun")
     q = start_intake(spark, xl, xspec, xschema, xpaths, fmt="excel", available_now=True, as_of=lambda: AS_OF)
@@ -185,3 +187,29 @@ def test_reports_over_intake_outputs(spark, tmpdir_path):
     assert stats.avg_processing_ms >= 0
     trend = reports.quality_trend(spark.read.parquet(paths.quality), AS_OF + dt.timedelta(days=1), days=7).first()
     assert trend.batch_count == 1 and trend.avg_score == 100.0
+
+
+def test_intake_options(spark, tmpdir_path):
+    import pytest
+
+    from intakeflow.functions.crypto import decrypt_fields
+    from intakeflow.streaming.intake import ext_glob, run_batch_intake
+
+    assert ext_glob((".csv", ".json"), "csv") == "*.[cC][sS][vV]"
+    inbox = f"{tmpdir_path}/inbox"
+    os.makedirs(inbox)
+    _csv(f"{inbox}/A.CSV", ["id", "name", "date"], [(1, "ann", "2026-01-02"), (2, "", "2026-01-03")])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "date")])
+
+    def flag(df):
+        return df.withColumn("_valid", F.col("name") != "").withColumn("_error", F.lit(None).cast("string"))
+
+    enc = TaskSpec(task_id="e", base_table="e", keys=("id",), partition_field="date", encrypt_fields=("name",))
+    p1 = _paths(f"{tmpdir_path}/enc")
+    run_batch_intake(spark, inbox, enc, schema, p1, flag=flag, as_of=lambda: AS_OF, encryption_key="0123456789abcdef")
+    stored = read_target(spark, p1.target)
+    assert stored.first().name != "ann"
+    assert decrypt_fields(stored, ["name"], "0123456789abcdef").first().name == "ann"
+    abort = TaskSpec(task_id="a", base_table="a", keys=("id",), partition_field="date", on_row_error="abort")
+    with pytest.raises(Exception, match="on_row_error=abort"):
+        run_batch_intake(spark, inbox, abort, schema, _paths(f"{tmpdir_path}/abort"), flag=flag, as_of=lambda: AS_OF)
