@@ -12,8 +12,9 @@ from intakeflow.spec import (CLAIM_LEASE_SECONDS, NULL_TOKENS_EXACT, NULL_TOKENS
                              QUALITY_BAND_FAIR, QUALITY_BAND_GOOD, UNKNOWN_STATUS, month_of,
                              strptime_to_spark)
 
-# Python's str.strip() removes Unicode white space; Spark's trim() only U+0020.
-_OUTER_WS = r"(?U)^\s+|\s+$"
+# Python's str.strip() removes every character for which str.isspace() holds; Spark's
+# one-argument trim() removes only U+0020, so the full set is passed (derived, not listed).
+PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def qcol(name: str) -> Column:
@@ -23,7 +24,7 @@ def qcol(name: str) -> Column:
 
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()`` semantics."""
-    return F.regexp_replace(c, _OUTER_WS, "")
+    return F.trim(c, F.lit(PY_WHITESPACE))
 
 
 def parse_with(c: Column, fmt: str) -> Column:

@@ -44,7 +44,7 @@ def py_status(v):
     return "unknown" if s in ("", "none", "nan") else s
 
 
-SAMPLES = ["", " ", None, "None", "nan", "NaN", "abc", "12", " 12 ", "77.9", "-3", "150", "1e2",
+SAMPLES = ["", " ", None, "\x1cx\x1f", "\u3000y\xa0", "None", "nan", "NaN", "abc", "12", " 12 ", "77.9", "-3", "150", "1e2",
            "2026-01-05", "2026-1-5", "2026-02-30", "2026-01-05 10:00:00", "not-a-date", " ACTIVE ", "Done",
            "inf", "-inf"]
 
