@@ -24,6 +24,14 @@ SCALE_CONF = {
 }
 
 
+# Set only when a session is built here: a running stream's checkpoint is tied to its
+# state-store provider, so this is never changed on a caller's session.
+BUILD_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "intakeflow") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -31,7 +39,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("INTAKEFLOW_DRIVER_MEM", "8g")))
-    for k, v in SCALE_CONF.items():
+    for k, v in {**SCALE_CONF, **BUILD_CONF}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

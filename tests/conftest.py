@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from intakeflow.session import SCALE_CONF
+    from intakeflow.session import BUILD_CONF, SCALE_CONF
 
     ckpt = tempfile.mkdtemp(prefix="intakeflow-test-ckpt-")
     b = (SparkSession.builder.master("local[*]").appName("intakeflow-tests")
@@ -21,7 +21,7 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.checkpoint.dir", ckpt))
-    for k, v in SCALE_CONF.items():
+    for k, v in {**SCALE_CONF, **BUILD_CONF}.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
