@@ -140,3 +140,29 @@ def batch_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = read_target(spark, paths.target)
     # which duplicate wins follows file arrival order; the number stored per month does not
     return stored.groupBy("month").agg(F.count(F.lit(1)).alias("rows_stored"))
+
+
+@register("stream_intake_months", oracle="""
+SELECT month, count(*) AS rows_stored
+FROM (SELECT DISTINCT strftime(l_shipdate, '%Y%m') AS month, l_orderkey, l_linenumber FROM lineitem) k
+GROUP BY month
+""")
+def stream_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV deliveries taken in by the Structured Streaming intake
+    (``availableNow``, two files per micro-batch, first-wins across batches)."""
+    import datetime as _dt
+
+    from pyspark.sql import types as T
+
+    from intakeflow.streaming.intake import IntakePaths, read_target, start_intake
+
+    folder = write_csv_deliveries(spark, sf_dir, "lineitem")
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex[:8]}")
+    paths = IntakePaths(*(f"{base}/{n}" for n in ("target", "ledger", "quality", "alerts", "ckpt")))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in table(spark, sf_dir, "lineitem").columns])
+    q = start_intake(spark, folder, LINEITEM_CSV, schema, paths, available_now=True, max_files_per_trigger=2,
+                     as_of=lambda: _dt.datetime(2001, 12, 1))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"intake stream failed: {q.exception()}")
+    return read_target(spark, paths.target).groupBy("month").agg(F.count(F.lit(1)).alias("rows_stored"))
