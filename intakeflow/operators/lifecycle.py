@@ -87,9 +87,12 @@ def ageing_candidates(listing: DataFrame, as_of: _dt.datetime, compress_after_da
     """Archive-folder files older than N days by mtime.
 
     ``compress`` excludes ``.zip`` files; ``cleanup`` applies to all.  N <= 0 disables a rule.
-    ``mtime`` defaults to ``modificationTime`` (binaryFile listing).
+    ``mtime`` defaults to ``modificationTime`` (binaryFile listing) or ``modified_at`` (``list_files``).
     """
-    t = mtime if mtime is not None else F.col("modificationTime")
+    if mtime is not None:
+        t = mtime
+    else:  # a binaryFile listing, or the output of sources.files.list_files
+        t = F.col("modificationTime") if "modificationTime" in listing.columns else F.col("modified_at")
     age_ok = lambda n: (F.lit(n > 0) & (t < F.lit(as_of) - F.make_dt_interval(F.lit(max(n, 0)))))
     is_zip = F.lower(F.col("path")).endswith(".zip")
     return listing.select(

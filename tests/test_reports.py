@@ -60,3 +60,21 @@ def test_ageing_candidates(spark):
                    "/a/new.csv": (False, False)}
     off = {r.path: (r.compress, r.cleanup) for r in ageing_candidates(listing, now, 0, -1).collect()}
     assert set(off.values()) == {(False, False)}
+
+
+def test_ageing_over_folder_listing(spark, tmpdir_path):
+    import time
+
+    from intakeflow.sources.files import list_files
+    d = f"{tmpdir_path}/archive"
+    os.makedirs(d)
+    now = time.time()
+    for name, age_days in (("old.csv", 120), ("old.zip", 120), ("week.json", 10), ("new.csv", 0)):
+        with open(f"{d}/{name}", "w") as f:
+            f.write("x")
+        os.utime(f"{d}/{name}", (now - age_days * 86400, now - age_days * 86400))
+    listing = list_files(spark, d, (".csv", ".json", ".zip"))
+    as_of = dt.datetime.fromtimestamp(now, dt.timezone.utc).replace(tzinfo=None)
+    got = {r.file_name: (r.compress, r.cleanup) for r in ageing_candidates(listing, as_of, 7, 90).collect()}
+    assert got == {"old.csv": (True, True), "old.zip": (False, True), "week.json": (True, False),
+                   "new.csv": (False, False)}
