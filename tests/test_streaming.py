@@ -213,3 +213,28 @@ def test_intake_options(spark, tmpdir_path):
     abort = TaskSpec(task_id="a", base_table="a", keys=("id",), partition_field="date", on_row_error="abort")
     with pytest.raises(Exception, match="on_row_error=abort"):
         run_batch_intake(spark, inbox, abort, schema, _paths(f"{tmpdir_path}/abort"), flag=flag, as_of=lambda: AS_OF)
+
+
+def test_clean_source_archive(spark, tmpdir_path):
+    import time
+
+    inbox, archive = f"{tmpdir_path}/inbox", f"{tmpdir_path}/archive"
+    os.makedirs(inbox)
+    _csv(f"{inbox}/a.csv", ["id", "date"], [(1, "2026-01-02")])
+    spec = TaskSpec(task_id="k", base_table="k", keys=("id",), partition_field="date")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("date", T.StringType())])
+    paths = _paths(f"{tmpdir_path}/run")
+    for i in range(2):
+        if i == 1:
+            _csv(f"{inbox}/b.csv", ["id", "date"], [(2, "2026-01-03")])
+        q = start_intake(spark, inbox, spec, schema, paths, available_now=True, max_files_per_trigger=1,
+                         clean_source="archive", archive_dir=archive, as_of=lambda: AS_OF)
+        q.awaitTermination(120)
+        assert q.exception() is None
+    deadline = time.time() + 30
+    while time.time() < deadline and os.path.exists(f"{inbox}/a.csv"):
+        time.sleep(0.5)
+    # a finished file is moved to the archive on a later batch (K6 is asynchronous)
+    assert not os.path.exists(f"{inbox}/a.csv")
+    assert any(f.endswith("a.csv") for _, _, fs in os.walk(archive) for f in fs)
+    assert read_target(spark, paths.target).count() == 2
