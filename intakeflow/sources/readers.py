@@ -244,3 +244,37 @@ def excel_columns(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Project the ``cells`` map onto named string columns (absent -> NULL)."""
     ok = cells.filter(F.col("skip_reason").isNull())
     return ok.select(FILE, ROW, *[F.col("cells").getItem(c).alias(c) for c in columns])
+
+
+# Distinct charsets expected in one folder; more than this is treated as an error.
+MAX_CHARSETS = 20
+
+
+def read_csv_detected(spark: SparkSession, folder: str, hint: str | None = None,
+                      schema: T.StructType | None = None, recursive: bool = False) -> DataFrame:
+    """S1 + S6: detect each file's charset, then read each charset group with its decoder.
+
+    The folder is read once per distinct charset (usually one or two) and each read keeps
+    only its group's files through a semi join on the file path - no path lists pass
+    through the driver.  Columns are aligned by name across groups (P3).
+    """
+    from intakeflow.sources.files import detect_charsets
+
+    cs = detect_charsets(spark, folder, hint, recursive)
+    names = [r[0] for r in cs.select("charset").distinct().limit(MAX_CHARSETS + 1).collect()]
+    if len(names) > MAX_CHARSETS:
+        raise ValueError(f"more than {MAX_CHARSETS} charsets in {folder}")
+    parts = []
+    for name in sorted(names):
+        enc = "utf-8" if name == "utf-8-sig" else name
+        rows = read_csv(spark, folder, encoding=enc, schema=schema, recursive=recursive)
+        if name == "utf-8-sig" and rows.columns and rows.columns[0].startswith("﻿"):
+            rows = rows.withColumnRenamed(rows.columns[0], rows.columns[0][1:])
+        group = cs.filter(F.col("charset") == name).select(F.col("path").alias(FILE))
+        parts.append(rows.join(group, FILE, "left_semi"))
+    if not parts:
+        return read_csv(spark, folder, schema=schema, recursive=recursive)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

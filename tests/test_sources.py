@@ -107,3 +107,12 @@ def test_workbench_infer_read(spark, tmpdir_path):
     write(f"{d}/w.csv", "id,price,name\n1,2.5,a\n2,3.0,b\n")
     df = read_csv(spark, d, infer=True)
     assert dict(df.dtypes)["id"] == "int" and dict(df.dtypes)["price"] == "double"
+
+
+def test_read_csv_detected_mixed_charsets(spark, tmpdir_path):
+    from intakeflow.sources.readers import read_csv_detected
+    d = f"{tmpdir_path}/mixed"
+    write(f"{d}/u.csv", "id,name\n1,中文\n".encode("utf-8"), "wb")
+    write(f"{d}/g.csv", "id,name\n2,测试\n".encode("gbk"), "wb")
+    got = {r.id: r.name for r in read_csv_detected(spark, d).collect()}
+    assert got == {"1": "中文", "2": "测试"}
