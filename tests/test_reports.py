@@ -78,3 +78,21 @@ def test_ageing_over_folder_listing(spark, tmpdir_path):
     got = {r.file_name: (r.compress, r.cleanup) for r in ageing_candidates(listing, as_of, 7, 90).collect()}
     assert got == {"old.csv": (True, True), "old.zip": (False, True), "week.json": (True, False),
                    "new.csv": (False, False)}
+
+
+def test_workbench(spark, tmpdir_path):
+    from intakeflow.plans.workbench import run_workbench
+    src = f"{tmpdir_path}/wb/in.csv"
+    os.makedirs(os.path.dirname(src))
+    with open(src, "w") as f:
+        f.write("id,name,value,date,status,score\n1,ann,2.5,2026-01-02,OK,50\n2,,x,bad,,7\n1,ann,2.5,2026-01-02,OK,50\n")
+    r = run_workbench(spark, src, "test_clean", f"{tmpdir_path}/wb/out")
+    assert (r["original"], r["cleaned"], r["dropped"]) == (3, 2, 1)
+    assert r["columns"] == ["id", "name", "value", "date", "status", "score"]
+    assert r["preview"][0]["status"] == "ok"
+
+    def clean_data(pdf):  # a user's pandas cleaner: exact duplicates removed
+        return pdf.drop_duplicates()
+
+    r2 = run_workbench(spark, src, clean_data, f"{tmpdir_path}/wb/out2")
+    assert (r2["original"], r2["cleaned"]) == (3, 2)
