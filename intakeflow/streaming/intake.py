@@ -29,7 +29,8 @@ from pyspark.sql.streaming import StreamingQuery
 from intakeflow.operators.cleaners import REASON, VALID
 from intakeflow.operators.ledger import KEY, conform
 from intakeflow.operators.quality import quality_report
-from intakeflow.operators.route import MONTH, route_months
+from intakeflow.operators.conform import conform_to_target
+from intakeflow.operators.route import FALLBACK, MONTH, route_months
 from intakeflow.functions.crypto import encrypt_fields
 from intakeflow.operators.split import enforce_on_row_error, pass_through
 from intakeflow.operators.writer import write_first_wins
@@ -135,10 +136,12 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                   flag: Callable[[DataFrame], DataFrame], as_of: Callable[[], _dt.datetime],
                   order_cols: tuple[str, ...],
                   prepare: Callable[[DataFrame], DataFrame] | None = None,
-                  encryption_key: str | bytes | None = None) -> dict:
+                  encryption_key: str | bytes | None = None,
+                  target_schema: T.StructType | None = None) -> dict:
     """One micro-batch (also callable on a plain DataFrame with the same columns).
 
-    ``prepare`` reshapes parsed rows first (e.g. ``explode_json_path`` for nested JSON).
+    ``prepare`` reshapes parsed rows first (e.g. ``explode_json_path`` for nested JSON);
+    ``target_schema`` conforms valid rows to the month table's columns and types.
     """
     spark = batch.sparkSession
     started = time.monotonic()
@@ -169,9 +172,12 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                 .drop(CORRUPT)
         if prepare is not None:
             batch = prepare(batch)
-        flagged = enforce_on_row_error(flag(batch), spec.on_row_error)
-        routed = route_months(flagged, spec, now)
-        valid = routed.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_mtime", "_size")
+        routed = route_months(flag(batch), spec, now)
+        if target_schema is not None:  # K1/G9: cast to the month table's schema; failures are row errors
+            routed = conform_to_target(routed, target_schema,
+                                       keep=("task_id", FILE, ROW, "_mtime", "_size", MONTH, FALLBACK))
+        flagged = enforce_on_row_error(routed, spec.on_row_error)
+        valid = flagged.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_mtime", "_size")
         if spec.encrypt_fields:  # P12: after routing (the partition field stays readable)
             if not encryption_key:
                 raise ValueError("the task encrypts fields but no encryption key was given")
@@ -215,7 +221,8 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
                  as_of: Callable[[], _dt.datetime] | None = None,
                  order_cols: tuple[str, ...] = (FILE, ROW),
                  prepare: Callable[[DataFrame], DataFrame] | None = None,
-                 encryption_key: str | bytes | None = None) -> StreamingQuery:
+                 encryption_key: str | bytes | None = None,
+                 target_schema: T.StructType | None = None) -> StreamingQuery:
     """Start the intake stream for one task; returns the running query.
 
     ``fmt`` is ``csv`` (``spec.encoding`` applies), ``json`` or ``excel``; for JSON with a
@@ -227,7 +234,8 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
 
     def run(df: DataFrame, batch_id: int) -> None:
-        process_batch(df, batch_id, spec, paths, flag, clock, order_cols, prepare, encryption_key)
+        process_batch(df, batch_id, spec, paths, flag, clock, order_cols, prepare, encryption_key,
+                      target_schema)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint)
     if available_now:
@@ -243,7 +251,8 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
                      as_of: Callable[[], _dt.datetime] | None = None,
                      order_cols: tuple[str, ...] = (FILE, ROW),
                      prepare: Callable[[DataFrame], DataFrame] | None = None,
-                     encryption_key: str | bytes | None = None) -> dict:
+                     encryption_key: str | bytes | None = None,
+                     target_schema: T.StructType | None = None) -> dict:
     """The batch twin of ``start_intake``: every file of the folder in one run (the ledger
     still drops files already loaded).  Returns the writer's counts."""
     if fmt == "excel":
@@ -268,7 +277,7 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
         F.col("_metadata.file_size").alias("_size"))
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
     return process_batch(df, run_id, spec, paths, flag or pass_through, clock, order_cols, prepare,
-                         encryption_key)
+                         encryption_key, target_schema)
 
 
 def explode_json_path(df: DataFrame, json_path: str) -> DataFrame:

@@ -238,3 +238,22 @@ def test_clean_source_archive(spark, tmpdir_path):
     assert not os.path.exists(f"{inbox}/a.csv")
     assert any(f.endswith("a.csv") for _, _, fs in os.walk(archive) for f in fs)
     assert read_target(spark, paths.target).count() == 2
+
+
+def test_intake_target_schema(spark, tmpdir_path):
+    from intakeflow.streaming.intake import run_batch_intake
+
+    inbox = f"{tmpdir_path}/inbox"
+    os.makedirs(inbox)
+    _csv(f"{inbox}/a.csv", ["id", "value", "date"], [(1, "2.5", "2026-01-02"), (2, "oops", "2026-01-03")])
+    spec = TaskSpec(task_id="s", base_table="s", keys=("id",), partition_field="date")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "value", "date")])
+    target = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.DoubleType()),
+                           T.StructField("date", T.DateType())])
+    paths = _paths(f"{tmpdir_path}/run")
+    c = run_batch_intake(spark, inbox, spec, schema, paths, as_of=lambda: AS_OF, target_schema=target)
+    assert c["inserted"] == 1
+    stored = read_target(spark, paths.target)
+    assert dict(stored.dtypes)["value"] == "double" and stored.first().id == 1
+    q = spark.read.parquet(paths.quality).first()
+    assert (q.total_rows, q.error_rows, q.quality_score) == (2, 1, 70.0)

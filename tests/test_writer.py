@@ -54,3 +54,43 @@ def test_key_union(spark):
     out = align_columns([a, b, c])
     assert out.columns == ["a", "b", "c"]
     assert [tuple(r) for r in out.collect()] == [(1, 2, None), (None, 3, 4), (5, None, None)]
+
+
+def test_conform_smoke_target(spark):
+    from pyspark.sql import types as T
+
+    from intakeflow.operators.conform import conform_to_target
+    # smoke_target template: id BIGINT key, name, value DOUBLE, date DATE, status, score INT, processed_at TIMESTAMP
+    target = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+                           T.StructField("value", T.DoubleType()), T.StructField("date", T.DateType()),
+                           T.StructField("status", T.StringType()), T.StructField("score", T.IntegerType()),
+                           T.StructField("processed_at", T.TimestampType())])
+    df = spark.createDataFrame([("1", "a", "2.5", "2026-01-02", "ok", "7", "x", "f"),
+                                ("x", "b", "oops", "2026-01-03", "ok", "8", "y", "f")],
+                               "id string, name string, value string, date string, status string, score string, "
+                               "extra string, _file string")
+    out = conform_to_target(df, target, keep=("_file",))
+    assert out.columns == target.fieldNames() + ["_file", "_valid", "_error"]
+    rows = {r.name: r for r in out.collect()}
+    assert rows["a"]._valid and rows["a"].id == 1 and rows["a"].value == 2.5 and rows["a"].processed_at is None
+    assert not rows["b"]._valid and rows["b"]._error == "cast failed: id, value"
+
+
+def test_conform_odd_names_no_key(spark, tmpdir_path):
+    from pyspark.sql import types as T
+
+    from intakeflow.operators.conform import conform_to_target
+    # cfd_target: odd column names, no business key -> plain append, every delivery kept
+    target = T.StructType([T.StructField("U:0", T.DoubleType()), T.StructField("alpha.water", T.DoubleType()),
+                           T.StructField("vtkValidPointMask", T.ByteType())])
+    df = spark.createDataFrame([("0.5", "1", "1", "2026-01-02", 0)],
+                               "`U:0` string, `alpha.water` string, vtkValidPointMask string, date string, _row long")
+    routed = route_months(df, TaskSpec(task_id="c", base_table="cfd", partition_field="date"), AS_OF)
+    conformed = conform_to_target(routed, target, keep=("month", "_row"))
+    body = conformed.filter("_valid").drop("_valid", "_error")
+    target_path = f"{tmpdir_path}/cfd"
+    for _ in range(2):
+        c = write_first_wins(body, target_path, [], ["_row"])
+        assert c["inserted"] == 1
+    stored = spark.read.parquet(target_path)
+    assert stored.count() == 2 and stored.select("`alpha.water`").first()[0] == 1.0
