@@ -130,7 +130,7 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
         months = touched_months(new.filter(~archived))
         if months is not None:
             existing = existing.filter(F.col(MONTH).isin(months))
-        existing = existing.select(MONTH, *keys)
+        existing = existing.select(MONTH, *[qcol(k) for k in keys])
     # REBALANCE by month: AQE sizes the write tasks per month (few files per month partition,
     # a hot month split into several tasks) instead of every task writing into every month.
     to_insert = plan_first_wins(body, existing, keys, order_cols).hint("rebalance", MONTH).observe(

@@ -94,3 +94,15 @@ def test_conform_odd_names_no_key(spark, tmpdir_path):
         assert c["inserted"] == 1
     stored = spark.read.parquet(target_path)
     assert stored.count() == 2 and stored.select("`alpha.water`").first()[0] == 1.0
+
+
+def test_first_wins_odd_column_names(spark, tmpdir_path):
+    df = spark.createDataFrame([("k1", 1.0, "2026-01-02", 2), ("k1", 2.0, "2026-01-03", 1), ("k2", 3.0, "2026-01-04", 0)],
+                               "`U:0` string, `alpha.water` double, date string, _row long")
+    routed = route_months(df, TaskSpec(task_id="c", base_table="cfd", partition_field="date"), AS_OF)
+    target = f"{tmpdir_path}/odd"
+    c1 = write_first_wins(routed, target, ["U:0"], ["_row"])
+    c2 = write_first_wins(routed, target, ["U:0"], ["_row"])
+    assert (c1["inserted"], c2["inserted"]) == (2, 0)
+    got = {r[0]: r[1] for r in spark.read.parquet(target).select("`U:0`", "`alpha.water`").collect()}
+    assert got == {"k1": 2.0, "k2": 3.0}
