@@ -49,7 +49,9 @@ def quality_report(flagged: DataFrame, by: Sequence[str], required: Sequence[str
     """
     aggs = [F.count(F.lit(1)).alias("total_rows"),
             F.count_if(~F.col(VALID)).alias("error_rows")]
-    aggs += [F.count_if(_is_blank(qcol(f))).alias(f"_null_{i}") for i, f in enumerate(required)]
+    # a required field the data does not have at all is missing in every row
+    aggs += [(F.count_if(_is_blank(qcol(f))) if f in flagged.columns else F.count(F.lit(1))).alias(f"_null_{i}")
+             for i, f in enumerate(required)]
     g = flagged.groupBy(*[qcol(b) for b in by]).agg(*aggs) if by else flagged.agg(*aggs)
     nulls = sum((F.col(f"_null_{i}") for i in range(len(required))), F.lit(0).cast("long"))
     details = F.create_map(

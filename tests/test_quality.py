@@ -36,3 +36,9 @@ def test_empty(spark):
     df = spark.createDataFrame([], "i int, b string").withColumn("_valid", F.lit(True))
     r = quality_report(df, [], ()).first()
     assert r.total_rows == 0 and r.quality_score == 100.0 and r.error_details == {}
+
+
+def test_absent_required_field_is_missing_everywhere(spark):
+    df = spark.createDataFrame([(1,), (2,)], "i int").withColumn("_valid", F.lit(True))
+    r = quality_report(df, [], ("b",)).first()
+    assert r.null_rate == 1.0 and r.quality_score == 60.0 and r.error_details == {"b": 2}
