@@ -162,3 +162,16 @@ def avg_half_up_sql(expr: str, decimals_in: int, places: int) -> str:
     n = f"count({expr})"
     return (f"CAST(CASE WHEN {n} > 0 THEN ((2 * {s} + {n}) // (2 * {n})) END AS DOUBLE) "
             f"/ {10 ** places}")
+
+
+def ts_lit(value: _dt.datetime | _dt.date) -> Column:
+    """A wall-clock ``TIMESTAMP_NTZ`` literal, independent of the driver's and the session's zone.
+
+    (``F.lit(datetime)`` goes through the driver process's local zone into a zoned
+    timestamp; the data's timestamps are zone-less.)
+    """
+    if not isinstance(value, _dt.datetime):
+        value = _dt.datetime(value.year, value.month, value.day)
+    if value.tzinfo is not None:
+        value = value.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intakeflow.functions.columns import base_name, lease_expiry
+from intakeflow.functions.columns import base_name, lease_expiry, ts_lit
 from intakeflow.spec import CLAIM_LEASE_SECONDS, RETRY_BACKOFF_SECONDS
 
 KEY = ("task_id", "file_path", "file_mtime")
@@ -154,7 +154,7 @@ def claim_decisions(arrivals: DataFrame, current: DataFrame, as_of: _dt.datetime
                 .when((s == "FAILED") & (F.col("retry_count") < mr) & ~F.coalesce(F.col("dead_lettered"), F.lit(False)),
                       F.lit("CLAIM_RETRY"))
                 .when(s == "PENDING", F.lit("CLAIM_PENDING"))
-                .when(s.isin("CLAIMED", "PROCESSING") & (F.col("claim_expires_at") < F.lit(as_of)),
+                .when(s.isin("CLAIMED", "PROCESSING") & (F.col("claim_expires_at") < ts_lit(as_of)),
                       F.lit("CLAIM_EXPIRED"))
                 .otherwise(F.lit("HOLD")))
     return j.withColumn("decision", decision).withColumnRenamed("status", "prior_status")
@@ -165,10 +165,10 @@ def claim_events(decisions: DataFrame, owner: str, as_of: _dt.datetime,
     """CLAIMED events for the files this run claims."""
     got = decisions.filter(F.col("decision").startswith("CLAIM"))
     return conform(got.select(
-        *KEY, F.lit("CLAIMED").alias("event"), F.lit(as_of).alias("event_time"),
+        *KEY, F.lit("CLAIMED").alias("event"), ts_lit(as_of).alias("event_time"),
         F.lit(1).cast("long").alias("seq"), F.lit(owner).alias("owner"),
         *[c for c in ("file_size", "file_hash") if c in got.columns],
-        lease_expiry(F.lit(as_of), lease_seconds).alias("claim_expires_at")))
+        lease_expiry(ts_lit(as_of), lease_seconds).alias("claim_expires_at")))
 
 
 # ---------------------------------------------------------------------------
@@ -177,7 +177,7 @@ def claim_events(decisions: DataFrame, owner: str, as_of: _dt.datetime,
 def retry_events(current: DataFrame, as_of: _dt.datetime) -> DataFrame:
     """L3: manual retry of every FAILED file in ``current`` (filter first to retry a subset)."""
     return conform(current.filter(F.col("status") == "FAILED").select(
-        *KEY, F.lit("RETRY").alias("event"), F.lit(as_of).alias("event_time"),
+        *KEY, F.lit("RETRY").alias("event"), ts_lit(as_of).alias("event_time"),
         F.lit(2).cast("long").alias("seq")))
 
 
@@ -202,7 +202,7 @@ def dead_letter(current: DataFrame, max_retries: int | Column = 3,
 def dead_letter_events(dead: DataFrame, as_of: _dt.datetime) -> DataFrame:
     """K7: DEAD_LETTER events for the rows of ``dead_letter`` (reason kept as the message)."""
     return conform(dead.select(
-        *KEY, F.lit("DEAD_LETTER").alias("event"), F.lit(as_of).alias("event_time"),
+        *KEY, F.lit("DEAD_LETTER").alias("event"), ts_lit(as_of).alias("event_time"),
         F.lit(3).cast("long").alias("seq"), F.col("reason").alias("error_message")))
 
 
@@ -234,7 +234,7 @@ def worklist(decisions: DataFrame, tasks: DataFrame, as_of: _dt.datetime,
                                                 backoff_delay(F.col("retry_count"), backoff))
         got = got.withColumn("next_attempt_at",
                              F.when(F.col("decision") == "CLAIM_RETRY", due)) \
-            .filter(F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= F.lit(as_of)))
+            .filter(F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= ts_lit(as_of)))
     settings = tasks.select("task_id", "priority")
     # Task settings come from configuration; broadcast them only when that bound holds.
     if settings.limit(MAX_BROADCAST_TASKS + 1).count() <= MAX_BROADCAST_TASKS:

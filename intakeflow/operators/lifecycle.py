@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intakeflow.functions.columns import ts_lit
 from intakeflow.operators.route import MONTH
 
 
@@ -32,7 +33,7 @@ def apply_retention(registry: DataFrame, retention_months: int, as_of: _dt.date
         return registry
     cut = cutoff_month(as_of, retention_months)
     hit = (F.col("year_month") <= F.lit(cut)) & (F.col("lifecycle_status") == "ACTIVE")
-    ts = F.lit(archived_at or as_of).cast("timestamp_ntz")
+    ts = ts_lit(archived_at or as_of)
     prior = F.col("archived_at") if "archived_at" in registry.columns else F.lit(None).cast("timestamp_ntz")
     cols = [c for c in registry.columns if c != "archived_at"]
     return registry.select(
@@ -73,7 +74,7 @@ def registry_from_counts(month_rows: DataFrame, task_id: str, base_table: str,
         F.concat(F.substring(MONTH, 1, 4), F.lit("-"), F.substring(MONTH, 5, 2)).alias("year_month"),
         F.lit("ACTIVE").alias("lifecycle_status"),
         F.col("row_count").cast("bigint").alias("row_count"),
-        F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
+        ts_lit(created_at).alias("created_at"))
 
 
 def archived_months(registry: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def ageing_candidates(listing: DataFrame, as_of: _dt.datetime, compress_after_da
         t = mtime
     else:  # a binaryFile listing, or the output of sources.files.list_files
         t = F.col("modificationTime") if "modificationTime" in listing.columns else F.col("modified_at")
-    age_ok = lambda n: (F.lit(n > 0) & (t < F.lit(as_of) - F.make_dt_interval(F.lit(max(n, 0)))))
+    age_ok = lambda n: (F.lit(n > 0) & (t < ts_lit(as_of) - F.make_dt_interval(F.lit(max(n, 0)))))
     is_zip = F.lower(F.col("path")).endswith(".zip")
     return listing.select(
         "*",

@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intakeflow.functions.columns import month_suffix, qcol, table_name, year_month
+from intakeflow.functions.columns import month_suffix, qcol, table_name, ts_lit, year_month
 from intakeflow.spec import TaskSpec, month_of
 
 MONTH = "month"
@@ -59,7 +59,7 @@ def registry_additions(written: DataFrame, registry: DataFrame | None, task_id:
         table_name(base_table, F.col(MONTH)).alias("table_name"),
         year_month(F.col(MONTH)).alias("year_month"),
         F.lit("ACTIVE").alias("lifecycle_status"),
-        F.lit(created_at).alias("created_at"))
+        ts_lit(created_at).alias("created_at"))
     if registry is None:
         return new
     return new.join(registry.select("task_id", "table_name"), ["task_id", "table_name"], "left_anti")

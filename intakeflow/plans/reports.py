@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from intakeflow.functions.columns import avg_half_up, display_time
+from intakeflow.functions.columns import avg_half_up, display_time, ts_lit
 from intakeflow.spec import (AUDIT_EXPORT_LIMIT, ERROR_TEXT_CHARS, PENDING_STATES, RECENT_FILES,
                              REGISTRY_LIMIT, STATS_DAYS, TREND_DAYS, clamp_days, page_args)
 
@@ -31,7 +31,7 @@ def _avg_success_ms() -> Column:
 
 
 def _since(col: str, as_of: _dt.datetime, days: int) -> Column:
-    return F.col(col) >= F.lit(as_of) - F.make_dt_interval(F.lit(days))
+    return F.col(col) >= ts_lit(as_of) - F.make_dt_interval(F.lit(days))
 
 
 # ---------------------------------------------------------------------------

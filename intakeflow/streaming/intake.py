@@ -31,6 +31,7 @@ from intakeflow.operators.ledger import KEY, conform
 from intakeflow.operators.quality import quality_report
 from intakeflow.operators.conform import conform_to_target
 from intakeflow.operators.route import FALLBACK, MONTH, route_months
+from intakeflow.functions.columns import ts_lit
 from intakeflow.functions.crypto import encrypt_fields
 from intakeflow.operators.split import enforce_on_row_error, pass_through
 from intakeflow.operators.writer import write_first_wins
@@ -187,13 +188,13 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
         per_file = quality_report(flagged, ["task_id", FILE, "_mtime", "_size"], spec.required_fields)
         events = per_file.select(
             "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
-            F.lit("SUCCESS").alias("event"), F.lit(now).cast("timestamp_ntz").alias("event_time"),
+            F.lit("SUCCESS").alias("event"), ts_lit(now).alias("event_time"),
             F.lit(int(batch_id)).cast("long").alias("seq"), F.lit(f"batch-{batch_id}").alias("owner"),
             F.col("_size").alias("file_size"), F.col("total_rows").alias("row_count"),
-            F.col("valid_rows").alias("valid_row_count"), F.lit(now).cast("timestamp_ntz").alias("processed_at"))
+            F.col("valid_rows").alias("valid_row_count"), ts_lit(now).alias("processed_at"))
         quality = per_file.select(
             F.abs(F.xxhash64(*[F.col(k) for k in ("task_id", FILE, "_mtime")])).alias("file_id"),
-            "task_id", F.col(FILE).alias("file_path"), F.lit(now).cast("timestamp_ntz").alias("batch_time"),
+            "task_id", F.col(FILE).alias("file_path"), ts_lit(now).alias("batch_time"),
             "total_rows", "valid_rows", "error_rows", "null_rate", "error_rate", "quality_score",
             F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
         quality.write.mode("append").parquet(paths.quality)
@@ -205,7 +206,7 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             events = conform(events).unionByName(conform(bad.select(
                 "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
                 F.col("_size").alias("file_size"), "error_message",
-                F.lit("SKIPPED").alias("event"), F.lit(now).cast("timestamp_ntz").alias("event_time"),
+                F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
                 F.lit(int(batch_id)).cast("long").alias("seq"), F.lit("ParseError").alias("error_type"))))
         conform(events).write.mode("append").parquet(paths.ledger)  # the file's commit point
     finally:
