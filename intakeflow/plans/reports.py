@@ -125,7 +125,10 @@ def render_file_rows(pf: DataFrame, full: bool = False) -> DataFrame:
     cols = [c for c in FILE_LIST_COLS if full or c != "file_path"]
     if full:
         cols += [c for c in ("error_message", "archive_path", "file_hash") if c in pf.columns]
-    opts = {"ignoreNullFields": "false"} if full else {}
+    # timestamps as the reference prints them: str(datetime) -> 'YYYY-MM-DD HH:MM:SS'
+    opts = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
+    if full:
+        opts["ignoreNullFields"] = "false"
     return pf.select("id", F.to_json(F.struct(*cols), opts).alias("json"))
 
 

@@ -29,6 +29,7 @@ def test_render_drops_nulls_unless_full(spark):
                                "processed_at timestamp_ntz, error_message string")
     short = json.loads(render_file_rows(df).first().json)
     assert "file_path" not in short and "error_type" not in short and short["status"] == "SUCCESS"
+    assert short["created_at"] == "2024-01-01 00:00:00"
     full = json.loads(render_file_rows(df, full=True).first().json)
     assert full["file_path"] == "/in/f.csv" and full["error_type"] is None and "error_message" in full
 
