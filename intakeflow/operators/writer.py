@@ -111,33 +111,40 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
 
     ``new`` must carry ``month`` (see ``route_months``).  Returns counts
     ``received``, ``inserted``, ``ignored``, ``fallback_routed`` and
-    ``rejected_archived`` gathered with observations inside the one write job.
-    Replaying the same batch inserts 0 rows (T7).  Rows routed to an ARCHIVED
-    month are not written (L7) and are counted as rejected.
+    ``rejected_archived``.  Replaying the same batch inserts 0 rows (T7).  Rows
+    routed to an ARCHIVED month are not written (L7) and are counted as rejected.
+
+    Counts stay exact when executors are lost: the input counts come from a
+    per-month aggregate job (job results, one row per month - which also gives the
+    months for pruning), and ``inserted`` from an observation in the write's result
+    stage, whose task metrics are applied once per task.
     """
     spark = new.sparkSession
     fb = F.col(FALLBACK).cast("long") if FALLBACK in new.columns else F.lit(0).cast("long")
     archived = F.col(MONTH).isin(list(archived_months)) if archived_months else F.lit(False)
-    obs_in, obs_out = Observation("received"), Observation("inserted")
-    body = new.observe(obs_in, F.count(F.lit(1)).alias("n"),
-                       F.coalesce(F.sum(fb), F.lit(0)).alias("fb"),
-                       F.count_if(archived).alias("rej"))
-    if FALLBACK in new.columns:
-        body = body.drop(FALLBACK)
+    per_month = new.groupBy(MONTH).agg(F.count(F.lit(1)).alias("n"), F.sum(fb).alias("fb"),
+                                      F.count_if(archived).alias("rej"))
+    rows = per_month.limit(MAX_PRUNE_MONTHS + 1).collect()
+    if len(rows) <= MAX_PRUNE_MONTHS:
+        months = sorted(r[MONTH] for r in rows if r["rej"] < r["n"])
+        received, fallback, rej = (sum(int(r[c] or 0) for r in rows) for c in ("n", "fb", "rej"))
+    else:  # not calendar-sized: no pruning, totals from one more aggregate
+        months = None
+        t = per_month.agg(F.sum("n"), F.sum("fb"), F.sum("rej")).first()
+        received, fallback, rej = (int(v or 0) for v in t)
+    body = new.drop(FALLBACK) if FALLBACK in new.columns else new
     body = body.filter(~archived)
     existing = read_target(spark, target_path) if keys else None
     if existing is not None:  # prune the target to the months this batch touches
-        months = touched_months(new.filter(~archived))
         if months is not None:
             existing = existing.filter(F.col(MONTH).isin(months))
         existing = existing.select(MONTH, *[qcol(k) for k in keys])
     # REBALANCE by month: AQE sizes the write tasks per month (few files per month partition,
     # a hot month split into several tasks) instead of every task writing into every month.
+    obs_out = Observation("inserted")
     to_insert = plan_first_wins(body, existing, keys, order_cols).hint("rebalance", MONTH).observe(
         obs_out, F.count(F.lit(1)).alias("n"))
     to_insert.write.mode("append").partitionBy(MONTH).parquet(target_path)
-    got, put = obs_in.get, obs_out.get
-    received, inserted, rej = int(got["n"]), int(put["n"]), int(got["rej"])
-    return {"received": received, "inserted": inserted,
-            "ignored": received - inserted - rej,
-            "fallback_routed": int(got["fb"]), "rejected_archived": rej}
+    inserted = int(obs_out.get["n"])
+    return {"received": received, "inserted": inserted, "ignored": received - inserted - rej,
+            "fallback_routed": fallback, "rejected_archived": rej}
