@@ -39,7 +39,12 @@ def counters(flagged: DataFrame) -> DataFrame:
 
 
 def observe_counters(flagged: DataFrame) -> tuple[DataFrame, Observation]:
-    """A14 without an extra job: the counters ride along the write of ``flagged``."""
+    """A14 without an extra job: the counters ride along the write of ``flagged``.
+
+    Exact when the observed frame runs in the writing job's result stage (no shuffle
+    between it and the write); observed below a shuffle, a recomputed map stage after an
+    executor loss may count twice - use ``counters`` (a job result) there.
+    """
     obs = Observation("run_counters")
     return flagged.observe(obs, F.count(F.lit(1)).alias("raw_count"),
                            F.count_if(F.col(VALID)).alias("valid_count")), obs

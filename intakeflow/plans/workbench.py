@@ -2,7 +2,8 @@
 
 Read the file with type inference, apply a registered cleaner (native) or a
 pandas ``clean_data`` function (per file), count original / cleaned / dropped
-rows with observations during the export write, and return a 50-row preview.
+rows (the cleaned count is observed during the export write), and return a
+50-row preview.
 Workbench inputs are single uploaded files, so the export is one CSV file.
 """
 
@@ -22,8 +23,8 @@ from intakeflow.spec import PREVIEW_ROWS
 def run_workbench(spark: SparkSession, path: str, clean: str | Callable, export_path: str) -> dict:
     raw = read_csv(spark, path, infer=True)
     data_cols = [c for c in raw.columns if c not in (FILE, ROW)]
-    before = Observation("original")
-    seen = raw.observe(before, F.count(F.lit(1)).alias("n"))
+    original = raw.count()  # a job result: exact even if tasks are retried
+    seen = raw
     if isinstance(clean, str):
         out = cleaner(clean)(seen.select(*data_cols, ROW))
     else:  # a pandas clean_data(df) -> df; its output schema comes from a trial on the first rows
@@ -32,12 +33,11 @@ def run_workbench(spark: SparkSession, path: str, clean: str | Callable, export_
             raise ValueError("empty input: nothing to infer the cleaner's output from")
         out_schema = spark.createDataFrame(clean(sample.copy())).schema
         out = apply_frame_function(seen.select(*data_cols, FILE), clean, out_schema)
-    after = Observation("cleaned")
-    counted = out.observe(after, F.count(F.lit(1)).alias("n"))
-    ordered = counted.orderBy(ROW) if ROW in counted.columns else counted
-    export = ordered.drop(ROW) if ROW in ordered.columns else ordered
+    ordered = out.orderBy(ROW) if ROW in out.columns else out
+    after = Observation("cleaned")  # observed in the export's result stage: applied once per task
+    export = (ordered.drop(ROW) if ROW in ordered.columns else ordered).observe(after, F.count(F.lit(1)).alias("n"))
     write_csv(export, export_path)
-    original, cleaned = int(before.get["n"]), int(after.get["n"])
+    cleaned = int(after.get["n"])
     preview = spark.read.option("header", True).csv(export_path).limit(PREVIEW_ROWS).collect()
     return {"original": original, "cleaned": cleaned, "dropped": original - cleaned,
             "columns": export.columns, "preview": [r.asDict() for r in preview]}
