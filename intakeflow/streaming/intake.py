@@ -126,7 +126,7 @@ def _excel_stream(spark: SparkSession, folder: str, schema: T.StructType, max_fi
 
 def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).withColumn("task_id", F.col("task_id").cast("string"))
     except Exception as exc:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER" in str(exc):
             return None
@@ -153,7 +153,8 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
     ledger = _read_ledger(spark, paths.ledger)
     if ledger is not None:  # T6: a file already SUCCESS is never loaded again
         files = batch.select("task_id", FILE, "_mtime").distinct()
-        done = ledger.filter(F.col("event") == "SUCCESS").select(
+        # the ledger is partitioned by task: this reads the task's partition only
+        done = ledger.filter((F.col("task_id") == spec.task_id) & (F.col("event") == "SUCCESS")).select(
             "task_id", F.col("file_path").alias(FILE), F.col("file_mtime").alias("_mtime"))
         # A write to a path re-caches every cached plan that reads it, so the done-file keys
         # are cut loose from the ledger path (reliable checkpoint) before the batch is cached
@@ -197,18 +198,19 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             "task_id", F.col(FILE).alias("file_path"), ts_lit(now).alias("batch_time"),
             "total_rows", "valid_rows", "error_rows", "null_rate", "error_rate", "quality_score",
             F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
-        quality.write.mode("append").parquet(paths.quality)
+        quality.write.mode("append").partitionBy("task_id").parquet(paths.quality)
         # files of one micro-batch are processed together: each gets the batch's elapsed time
         elapsed_ms = int((time.monotonic() - started) * 1000)
         events = events.withColumn("processing_time_ms", F.lit(elapsed_ms).cast("long"))
-        quality_alerts(quality, QUALITY_ALERT_MIN_SCORE).write.mode("append").parquet(paths.alerts)
+        quality_alerts(quality, QUALITY_ALERT_MIN_SCORE).write.mode("append").partitionBy("task_id").parquet(paths.alerts)
         if bad is not None:
             events = conform(events).unionByName(conform(bad.select(
                 "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
                 F.col("_size").alias("file_size"), "error_message",
                 F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
                 F.lit(int(batch_id)).cast("long").alias("seq"), F.lit("ParseError").alias("error_type"))))
-        conform(events).write.mode("append").parquet(paths.ledger)  # the file's commit point
+        # the file's commit point; partitioned by task so per-task reads prune
+        conform(events).write.mode("append").partitionBy("task_id").parquet(paths.ledger)
     finally:
         base.unpersist()
     return counts
