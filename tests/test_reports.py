@@ -97,3 +97,11 @@ def test_workbench(spark, tmpdir_path):
 
     r2 = run_workbench(spark, src, clean_data, f"{tmpdir_path}/wb/out2")
     assert (r2["original"], r2["cleaned"]) == (3, 2)
+
+
+def test_backlog_and_failed_file_alerts(spark):
+    from intakeflow.streaming.alerts import backlog_alerts, failed_files_alerts
+    wl = spark.createDataFrame([("t1",)] * 5 + [("t2",)] * 2, "task_id string")
+    assert [(r.task_id, r.value) for r in backlog_alerts(wl, queue_size_max=3).collect()] == [("t1", 5.0)]
+    cur = spark.createDataFrame([("t1", "FAILED")] * 3 + [("t2", "SUCCESS")] * 9, "task_id string, status string")
+    assert [(r.kind, r.task_id) for r in failed_files_alerts(cur, threshold=2).collect()] == [("failed_files", "t1")]

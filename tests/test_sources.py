@@ -116,3 +116,16 @@ def test_read_csv_detected_mixed_charsets(spark, tmpdir_path):
     write(f"{d}/g.csv", "id,name\n2,测试\n".encode("gbk"), "wb")
     got = {r.id: r.name for r in read_csv_detected(spark, d).collect()}
     assert got == {"1": "中文", "2": "测试"}
+
+
+def test_incremental_listing(spark, tmpdir_path):
+    import time
+    d = f"{tmpdir_path}/inc"
+    write(f"{d}/old.csv", "id\n1\n")
+    write(f"{d}/new.csv", "id\n2\n")
+    old = time.time() - 3 * 86400
+    os.utime(f"{d}/old.csv", (old, old))
+    since = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(time.time() - 86400))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    names = [r.file_name for r in list_files(spark, d, (".csv",), modified_after=since).collect()]
+    assert names == ["new.csv"]
