@@ -85,3 +85,32 @@ def test_breaker_threshold_two():
     assert a == "OPEN"
     b, a, f, o = breaker_step(a, f, o, "SUCCESS", 62_000_000, 2, 60)
     assert b == "HALF_OPEN" and a == "CLOSED" and f == 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "a", "a", "b", "c"]), st.integers(0, 40), st.booleans()),
+                     min_size=1, max_size=120),
+       chunks=st.integers(1, 17))
+def test_scans_property(spark, rows, chunks):
+    data = [(i, k, T0 + dt.timedelta(seconds=s), "SUCCESS" if ok else "FAILED") for i, (k, s, ok) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, task_id string, ts timestamp_ntz, outcome string")
+    got = {r.id: r.consecutive_failures for r in failure_streaks(df, n_chunks=chunks).collect()}
+    sess = sorted((r.file_path, r.session_start, r.events) for r in debounce_sessions(
+        df.withColumnRenamed("task_id", "file_path"), 5, n_chunks=chunks).collect())
+    run, want_sess, last, start, cnt = {}, [], {}, {}, {}
+    for i, k, ts, oc in sorted(data, key=lambda r: (r[1], r[2], r[0])):
+        run[k] = run.get(k, 0) + 1 if oc == "FAILED" else 0
+        assert got[i] == run[k]
+        if k in last and (ts - last[k]).total_seconds() <= 5:
+            cnt[k] += 1
+        else:
+            if k in last:
+                want_sess.append((k, start[k], cnt[k]))
+            start[k], cnt[k] = ts, 1
+        last[k] = ts
+    want_sess += [(k, start[k], cnt[k]) for k in last]
+    assert sess == sorted(want_sess)
