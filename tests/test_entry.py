@@ -40,3 +40,23 @@ def test_frame_function_size_guard(spark):
     assert out.count() == 16
     with pytest.raises(FrameTooLargeError):
         apply_frame_function(df, lambda p: p, df.schema, max_rows=10)
+
+
+def test_row_function_contract(spark):
+    import pytest
+    from pyspark.sql import types as T
+
+    from intakeflow.operators.cleaners import apply_row_function
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(6)], "_row_id long, val string").coalesce(1)
+    schema = T.StructType([T.StructField("up", T.StringType())])
+
+    def positional(rows):  # new dicts without the id: paired by position; None rejects
+        return [None if r["_row_id"] % 3 == 0 else {"up": r["val"].upper()} for r in rows]
+
+    out = {r._row_id: (r.up, r._valid) for r in apply_row_function(df, positional, schema).collect()}
+    assert out == {0: (None, False), 1: ("V1", True), 2: ("V2", True), 3: (None, False), 4: ("V4", True),
+                   5: ("V5", True)}
+    with pytest.raises(Exception, match="must return a list"):
+        apply_row_function(df, lambda rows: "nope", schema).collect()
+    with pytest.raises(Exception, match="not a dict"):
+        apply_row_function(df, lambda rows: [1 for _ in rows], schema).collect()
