@@ -148,3 +148,33 @@ def frame_udf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pdf.drop_duplicates(keep="first").reset_index(drop=True)
 
     return apply_frame_function(files, clean_data, files.schema)
+
+
+def _cast_fail(col: str, cast: str) -> str:
+    return f"CASE WHEN {col} IS NOT NULL AND {cast} IS NULL THEN '{col}' END"
+
+
+# Integer cast as Spark does it: whole numbers only (no fractions, no exponents), blanks trimmed.
+_INT = "CASE WHEN regexp_full_match(trim(score), '[+-]?[0-9]+') THEN TRY_CAST(score AS INTEGER) END"
+_FAILS = ", ".join([_cast_fail("id", "TRY_CAST(id AS BIGINT)"), _cast_fail("value", "TRY_CAST(value AS DOUBLE)"),
+                    _cast_fail("date", "TRY_CAST(date AS DATE)"), _cast_fail("score", _INT)])
+
+
+@register("conform_target", oracle=with_cte(f"""
+SELECT TRY_CAST(id AS BIGINT) AS id, name, TRY_CAST(value AS DOUBLE) AS value, TRY_CAST(date AS DATE) AS date,
+       status, {_INT} AS score,
+       concat_ws(', ', {_FAILS}) = '' AS _valid,
+       CASE WHEN concat_ws(', ', {_FAILS}) <> '' THEN 'cast failed: ' || concat_ws(', ', {_FAILS}) END AS _error
+FROM raw
+""", raw=RAW_SQL))
+def conform_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty rows cast to the month table's schema; a non-NULL value that does not cast
+    makes the row an error naming the columns."""
+    from pyspark.sql import types as T
+
+    from intakeflow.operators.conform import conform_to_target
+
+    target = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+                           T.StructField("value", T.DoubleType()), T.StructField("date", T.DateType()),
+                           T.StructField("status", T.StringType()), T.StructField("score", T.IntegerType())])
+    return conform_to_target(raw_rows(spark, sf_dir), target)
