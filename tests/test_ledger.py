@@ -136,3 +136,17 @@ def test_cleaner_registry(spark):
         cleaner("nope")
     df = spark.createDataFrame([(" a ", None), (" a ", None)], "name string, value string")
     assert run_cleaners(df, ["fillna_and_trim", "deduplicate"]).collect()[0].name == "a"
+
+
+def test_claim_events_round_trip(spark):
+    arrivals = spark.createDataFrame([("t", "/in/n.csv", 5, 10, "h1")],
+                                     "task_id string, file_path string, file_mtime long, file_size long, file_hash string")
+    empty = L.fold(ev(spark, [("t", "/in/other.csv", 1, "SUCCESS", at(0), 1, None, None)]))
+    dec = L.claim_decisions(arrivals, empty, at(0), 3)
+    claims = L.claim_events(dec, "w9", at(1))
+    cur = L.fold(claims).first()
+    assert (cur.status, cur.claimed_by, cur.claim_expires_at, cur.file_hash) == ("CLAIMED", "w9", at(11), "h1")
+    proc = ev(spark, [("t", "/in/n.csv", 5, "PROCESSING", at(2), 1, "w9", None),
+                      ("t", "/in/n.csv", 5, "SUCCESS", at(3), 1, None, None)])
+    done = L.fold(claims.unionByName(proc)).first()
+    assert (done.status, done.claimed_by, done.claim_expires_at, done.processed_at) == ("SUCCESS", None, None, at(3))
