@@ -60,3 +60,16 @@ def test_row_function_contract(spark):
         apply_row_function(df, lambda rows: "nope", schema).collect()
     with pytest.raises(Exception, match="not a dict"):
         apply_row_function(df, lambda rows: [1 for _ in rows], schema).collect()
+
+
+def test_date_candidates_and_normaliser(spark):
+    from intakeflow.operators.cleaners import date_candidates, normalize_dates
+    df = spark.createDataFrame([(1, "2024-01-05 10:00:00", "2024/2/3", "x", "日期?"),
+                                (2, "2024-01-06", "bad", "y", "z")],
+                               "counts int, update_ts string, `Ship Date` string, note string, `日期` string")
+    # 'counts' holds 'ts' but is numeric (G7); '日期' matches the keyword but half its values do not parse
+    assert date_candidates(df) == ["update_ts", "Ship Date", "日期"]
+    out = normalize_dates(df).collect()
+    assert [r.update_ts for r in out] == ["2024-01-05", "2024-01-06"]
+    assert [r["Ship Date"] for r in out] == ["2024/2/3", "bad"]  # exactly half parse: not > 0.5
+    assert [r.counts for r in out] == [1, 2]
