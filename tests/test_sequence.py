@@ -114,3 +114,18 @@ def test_scans_property(spark, rows, chunks):
         last[k] = ts
     want_sess += [(k, start[k], cnt[k]) for k in last]
     assert sess == sorted(want_sess)
+
+
+def test_empty_inputs(spark, tmpdir_path):
+    from intakeflow.operators.route import route_months
+    from intakeflow.operators.writer import write_first_wins
+    from intakeflow.spec import TaskSpec
+
+    df = spark.createDataFrame([], "id long, task_id string, ts timestamp_ntz, outcome string")
+    assert failure_streaks(df).count() == 0 and breaker_replay(df).count() == 0
+    assert debounce_sessions(df.withColumnRenamed("task_id", "file_path"), 5).count() == 0
+    rows = route_months(spark.createDataFrame([], "id long, date string, _row long"),
+                        TaskSpec(task_id="t", base_table="t", keys=("id",), partition_field="date"),
+                        dt.datetime(2026, 1, 1))
+    c = write_first_wins(rows, f"{tmpdir_path}/empty", ["id"], ["_row"])
+    assert (c["received"], c["inserted"], c["ignored"]) == (0, 0, 0)
