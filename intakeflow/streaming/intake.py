@@ -298,7 +298,10 @@ def explode_json_path(df: DataFrame, json_path: str) -> DataFrame:
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).withColumn(MONTH, F.col(MONTH).cast("string"))
+    """The month-partitioned target as one table; files written from drifting deliveries
+    (no fixed target schema) are merged by column name (P3)."""
+    return (spark.read.option("basePath", path).option("mergeSchema", True).parquet(path)
+            .withColumn(MONTH, F.col(MONTH).cast("string")))
 
 
 __all__ = ["IntakePaths", "KEY", "process_batch", "read_target", "run_batch_intake", "start_intake"]

@@ -106,3 +106,15 @@ def test_first_wins_odd_column_names(spark, tmpdir_path):
     assert (c1["inserted"], c2["inserted"]) == (2, 0)
     got = {r[0]: r[1] for r in spark.read.parquet(target).select("`U:0`", "`alpha.water`").collect()}
     assert got == {"k1": 2.0, "k2": 3.0}
+
+
+def test_drifting_deliveries_read_back_merged(spark, tmpdir_path):
+    from intakeflow.streaming.intake import read_target
+    target = f"{tmpdir_path}/drift"
+    a = rows(spark, [(1, "a", "2026-01-02", 0)])
+    b = route_months(spark.createDataFrame([(2, "b", "2026-01-03", 1, "extra")],
+                                           "id long, name string, date string, _row long, note string"), SPEC, AS_OF)
+    write_first_wins(a, target, ["id"], ["_row"])
+    write_first_wins(b, target, ["id"], ["_row"])
+    got = {r.id: r.note for r in read_target(spark, target).collect()}
+    assert got == {1: None, 2: "extra"}
