@@ -15,9 +15,10 @@ Key: (task_id, file_path, file_mtime).  Event kinds:
   DEAD_LETTER the file was diverted (K7); never claimable again until a RETRY
   ARCHIVED    archive path of a SUCCESS file
 
-Scale: the fold is two partial aggregates around one equi join on the key;
-no per-key sort and no collect, so a file with a huge event history is
-still folded map-side first.
+Scale: the fold is two aggregates around one equi join on the key, with no
+window over a key and no collect; the aggregates have a map-side partial step
+(sort-based, as their buffers hold structs), so a file with a huge event
+history is still folded per map task before the shuffle.
 """
 
 from __future__ import annotations

@@ -72,7 +72,7 @@ def latest_per_file(log: DataFrame, file_col: str = "file_id", time_col: str = "
                     tie: str = "id") -> DataFrame:
     """K3: the quality log is append-only; a re-run's row replaces earlier rows of the same file.
 
-    ``max_by`` over a struct is a partial aggregate (no per-key sort).
+    ``max_by`` over a struct is an aggregate with a map-side partial step (no window per key).
     Rows with ``file_id <= 0`` are not part of the log.
     """
     log = log.filter(F.col(file_col) > 0)

@@ -6,10 +6,10 @@ own table in the reference (its unique index is per table).  Rows with a NULL
 key column are never duplicates of anything (a unique index ignores them).
 
 Scale notes
-  * W2 is ``groupBy(scope+keys).agg(min(struct(order..., rest...)))`` - a hash
-    aggregate with a map-side partial step, so a key holding a third of all
-    rows is folded per map task before the shuffle (no per-key sort, no
-    straggler).
+  * W2 is ``groupBy(scope+keys).agg(min(struct(order..., rest...)))`` - an
+    aggregate with a map-side partial step (sort-based, as the buffer holds
+    strings), so a key holding a third of all rows is folded per map task
+    before the shuffle (no window over a key, no straggler).
   * J1 reads only the key columns of the *touched* months (static partition
     pruning from a bounded list of months) and lets AQE decide at run time
     whether the key side is small enough to broadcast.

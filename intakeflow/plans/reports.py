@@ -172,7 +172,7 @@ def quality_trend(dq: DataFrame, as_of: _dt.datetime, days=TREND_DAYS[0]) -> Dat
 
 
 def latest_per(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The latest row per key for all keys at once (``max_by`` partial aggregate)."""
+    """The latest row per key for all keys at once (``max_by``, combined map-side; no window)."""
     cols = [c for c in df.columns if c != key]
     got = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return got.select(key, *[F.col("_r").getField(c).alias(c) for c in cols])

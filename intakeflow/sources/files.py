@@ -1,9 +1,9 @@
 """File manifest, fingerprints and charset detection (S5, S6, S7, S8, L8 listing, J2).
 
-Listing uses the ``binaryFile`` source, which is a distributed directory scan;
-when the ``content`` column is not selected no file bytes are read.
-Fingerprints and charset sniffing read bytes, so they run only on the files
-that still need them (after the ledger anti join).
+Listing uses the ``binaryFile`` source; when the ``content`` column is not
+selected no file bytes are read.  Fingerprints and charset sniffing do read
+file bytes (inside the scan tasks), so point them at folders of new deliveries
+rather than at archives.
 """
 
 from __future__ import annotations
