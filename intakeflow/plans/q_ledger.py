@@ -75,7 +75,8 @@ WHERE decision LIKE 'CLAIM%' AND CASE task_id {_PRIO_SQL} END IS NOT NULL
         [5, 30, 120][least(greatest(retry_count, 1), 3)]) <= TIMESTAMP '2001-12-01 00:00:00')
 """, pf=PF_SQL, a=_ARRIVALS_SQL, d=_DECISION_SQL))
 def claimable_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claimable files that are due, with task priority, in work order."""
+    """Claimable files that are due, with task priority, in work order (the ledger
+    rows carry no failure time, so ``created_at`` stands in for the last failure)."""
     d = _decisions(spark, sf_dir)
     w = L.worklist(d, L.task_table(spark, PRIORITIES), AS_OF_ORDERS, last_failure=F.col("created_at"))
     return w.select("id", *L.KEY, "decision", "priority")
