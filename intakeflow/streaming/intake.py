@@ -41,6 +41,10 @@ from intakeflow.spec import FORMATS, QUALITY_ALERT_MIN_SCORE, TaskSpec
 from intakeflow.streaming.alerts import quality_alerts
 
 
+# First-wins order inside a micro-batch: earlier-modified files first, then path, then row.
+ARRIVAL_ORDER = ("_mtime", FILE, ROW)
+
+
 @dataclass(frozen=True)
 class IntakePaths:
     target: str
@@ -179,7 +183,8 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             routed = conform_to_target(routed, target_schema,
                                        keep=("task_id", FILE, ROW, "_mtime", "_size", MONTH, FALLBACK))
         flagged = enforce_on_row_error(routed, spec.on_row_error)
-        valid = flagged.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_mtime", "_size")
+        # _file, _mtime and _row stay with the stored rows as provenance (and arrival order)
+        valid = flagged.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_size")
         if spec.encrypt_fields:  # P12: after routing (the partition field stays readable)
             if not encryption_key:
                 raise ValueError("the task encrypts fields but no encryption key was given")
@@ -222,7 +227,7 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
                  archive_dir: str | None = None, recursive: bool = False,
                  available_now: bool = False, poll_seconds: int | None = None,
                  as_of: Callable[[], _dt.datetime] | None = None,
-                 order_cols: tuple[str, ...] = (FILE, ROW),
+                 order_cols: tuple[str, ...] = ARRIVAL_ORDER,
                  prepare: Callable[[DataFrame], DataFrame] | None = None,
                  encryption_key: str | bytes | None = None,
                  target_schema: T.StructType | None = None) -> StreamingQuery:
@@ -252,7 +257,7 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
                      flag: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "csv",
                      recursive: bool = False, run_id: int = 0,
                      as_of: Callable[[], _dt.datetime] | None = None,
-                     order_cols: tuple[str, ...] = (FILE, ROW),
+                     order_cols: tuple[str, ...] = ARRIVAL_ORDER,
                      prepare: Callable[[DataFrame], DataFrame] | None = None,
                      encryption_key: str | bytes | None = None,
                      target_schema: T.StructType | None = None) -> dict:

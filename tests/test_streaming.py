@@ -284,3 +284,20 @@ def test_crash_before_ledger_then_replay(spark, tmpdir_path, monkeypatch):
     assert read_target(spark, paths.target).count() == 10
     cur = fold(spark.read.parquet(paths.ledger)).collect()
     assert [(r.status, r.row_count) for r in cur] == [("SUCCESS", 10)]
+
+
+def test_older_file_wins_within_a_batch(spark, tmpdir_path):
+    import time
+
+    from intakeflow.streaming.intake import run_batch_intake
+    inbox = f"{tmpdir_path}/inbox"
+    os.makedirs(inbox)
+    _csv(f"{inbox}/a_new.csv", ["id", "name", "date"], [(1, "newer", "2026-01-02")])
+    _csv(f"{inbox}/z_old.csv", ["id", "name", "date"], [(1, "older", "2026-01-02")])
+    old = time.time() - 3600
+    os.utime(f"{inbox}/z_old.csv", (old, old))
+    spec = TaskSpec(task_id="o", base_table="o", keys=("id",), partition_field="date")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "date")])
+    paths = _paths(f"{tmpdir_path}/run")
+    run_batch_intake(spark, inbox, spec, schema, paths, as_of=lambda: AS_OF)
+    assert [r.name for r in read_target(spark, paths.target).collect()] == ["older"]
