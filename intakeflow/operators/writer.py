@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from intakeflow.functions.columns import qcol
 from intakeflow.operators.route import FALLBACK, MONTH
+from intakeflow.session import path_exists
 
 # Months in one batch beyond this are not collected for pruning (no pruning then).
 MAX_PRUNE_MONTHS = 5000
@@ -85,10 +86,12 @@ def plan_first_wins(new: DataFrame, existing: DataFrame | None, keys: Sequence[s
 
 def read_target(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame | None:
     """Target table restricted to the given months (partition pruning); None if absent."""
+    if not path_exists(spark, path):  # first write to this target
+        return None
     try:
         df = spark.read.option("basePath", path).parquet(path)
-    except Exception as exc:  # noqa: BLE001 - missing path on first write
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+    except Exception as exc:  # noqa: BLE001 - a folder without data files yet
+        if "UNABLE_TO_INFER_SCHEMA" in str(exc):
             return None
         raise
     df = df.withColumn(MONTH, F.col(MONTH).cast("string"))

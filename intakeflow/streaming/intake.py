@@ -35,7 +35,7 @@ from intakeflow.functions.columns import ts_lit
 from intakeflow.functions.crypto import encrypt_fields
 from intakeflow.operators.split import enforce_on_row_error, pass_through
 from intakeflow.operators.writer import write_first_wins
-from intakeflow.session import ensure_checkpoint_dir
+from intakeflow.session import ensure_checkpoint_dir, path_exists
 from intakeflow.sources.readers import CORRUPT, FILE, ROW, parse_xlsx
 from intakeflow.spec import FORMATS, QUALITY_ALERT_MIN_SCORE, TaskSpec
 from intakeflow.streaming.alerts import quality_alerts
@@ -129,10 +129,12 @@ def _excel_stream(spark: SparkSession, folder: str, schema: T.StructType, max_fi
 
 
 def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    if not path_exists(spark, path):  # no file has been recorded yet
+        return None
     try:
         return spark.read.parquet(path).withColumn("task_id", F.col("task_id").cast("string"))
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER" in str(exc):
+    except Exception as exc:  # noqa: BLE001 - a folder without data files yet
+        if "UNABLE_TO_INFER" in str(exc):
             return None
         raise
 
