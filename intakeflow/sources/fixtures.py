@@ -244,3 +244,85 @@ def with_cte(body: str, **ctes: str) -> str:
     body = body.strip()
     sep = "" if body.startswith(",") else "\n"
     return "WITH " + ",\n".join(parts) + sep + body
+
+
+# ---------------------------------------------------------------------------
+# workbooks: table rows packed into .xlsx documents (standard library only)
+# ---------------------------------------------------------------------------
+def _cell_ref(r: int, c: int) -> str:
+    letters, c = "", c + 1
+    while c:
+        c, m = divmod(c - 1, 26)
+        letters = chr(65 + m) + letters
+    return f"{letters}{r + 1}"
+
+
+def workbook_bytes(header: list[str], rows: list[list], date_cols: frozenset = frozenset()) -> bytes:
+    """A minimal one-sheet .xlsx: text as inline strings, numbers as numbers, and the
+    ``date_cols`` (datetime values) as date-formatted serial numbers."""
+    import datetime as dt
+    import io
+    import numbers
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    epoch = dt.datetime(1899, 12, 30)
+
+    def cell(r, c, v, name):
+        ref = _cell_ref(r, c)
+        if v is None:
+            return ""
+        if name in date_cols and isinstance(v, dt.datetime):
+            serial = (v - epoch).days + (v - epoch).seconds / 86400
+            return f'<c r="{ref}" s="1"><v>{serial:g}</v></c>'
+        if isinstance(v, bool):
+            return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, numbers.Integral):
+            return f'<c r="{ref}"><v>{int(v)}</v></c>'
+        if isinstance(v, numbers.Real):
+            return f'<c r="{ref}"><v>{float(v)!r}</v></c>'
+        return f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+    body = [f'<row r="1">{"".join(cell(0, c, h, None) for c, h in enumerate(header))}</row>']
+    for r, row in enumerate(rows, start=1):
+        body.append(f'<row r="{r + 1}">{"".join(cell(r, c, v, header[c]) for c, v in enumerate(row))}</row>')
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rns = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rns}><sheets><sheet name="S" sheetId="1" r:id="rId1"/>'
+                                      f'</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels",
+                   '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="rId1" Type="worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/>'
+                                    f'</cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData>{"".join(body)}</sheetData></worksheet>')
+    return buf.getvalue()
+
+
+def table_as_workbooks(spark: SparkSession, sf_dir: str, name: str, rows_per_book: int = 5000,
+                       date_cols: tuple[str, ...] = ()) -> DataFrame:
+    """A test table delivered as .xlsx workbooks: ``(path, content)`` rows, one per workbook.
+
+    Rows are hashed into ``ceil(rows / rows_per_book)`` workbooks, so each workbook (one
+    ``applyInPandas`` group) stays bounded however large the table is.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    df = table(spark, sf_dir, name)
+    cols = df.columns
+    n_books = max(1, -(-df.count() // rows_per_book))
+    keyed = df.withColumn("_book", F.abs(F.xxhash64(*cols)) % n_books)
+    dates = frozenset(date_cols)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        book = int(pdf["_book"].iloc[0])
+        body = pdf[cols].astype(object).where(pdf[cols].notna(), None)
+        rows = [[v.to_pydatetime() if hasattr(v, "to_pydatetime") else v for v in r] for r in body.values.tolist()]
+        return pd.DataFrame({"path": [f"/deliveries/{name}_{book:05d}.xlsx"],
+                             "content": [workbook_bytes(cols, rows, dates)]})
+
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
+    return keyed.groupBy("_book").applyInPandas(build, schema)

@@ -214,14 +214,11 @@ EXCEL_SCHEMA = T.StructType([
 ])
 
 
-def read_excel_cells(spark: SparkSession, folder_or_glob: str, recursive: bool = False) -> DataFrame:
-    """Every row of the active sheet of each ``.xlsx`` as a ``cells`` map (header -> text).
-
-    A workbook that cannot be opened yields one row with ``skip_reason``.
-    """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-             .option("pathGlobFilter", "*.xlsx").load(folder_or_glob)
-             .select(F.regexp_replace("path", "^file:", "").alias("path"), "content"))
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """S4 core: ``files`` holds one workbook per row (``path``, ``content``); every row of each
+    workbook's active sheet comes out as a ``cells`` map (header -> text).  A workbook that
+    cannot be opened yields one row with ``skip_reason``.  One workbook is parsed per row
+    inside ``mapInPandas`` (a workbook is bounded by the format's sheet size)."""
 
     def run(batches: Iterator):
         import pandas as pd
@@ -237,7 +234,15 @@ def read_excel_cells(spark: SparkSession, folder_or_glob: str, recursive: bool =
                     out.append((path, i, header, dict(zip(header, r)), None))
             yield pd.DataFrame(out, columns=EXCEL_SCHEMA.fieldNames())
 
-    return files.mapInPandas(run, EXCEL_SCHEMA)
+    return files.select("path", "content").mapInPandas(run, EXCEL_SCHEMA)
+
+
+def read_excel_cells(spark: SparkSession, folder_or_glob: str, recursive: bool = False) -> DataFrame:
+    """The ``.xlsx`` workbooks of a folder through ``parse_workbooks``."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+             .option("pathGlobFilter", "*.xlsx").load(folder_or_glob)
+             .select(F.regexp_replace("path", "^file:", "").alias("path"), "content"))
+    return parse_workbooks(files)
 
 
 def excel_columns(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
