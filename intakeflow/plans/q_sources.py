@@ -190,3 +190,30 @@ def excel_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.groupBy("month").agg(F.count(F.lit(1)).alias("row_count"),
                                       F.count_distinct("o_custkey").alias("customers"),
                                       F.sum(F.col("o_orderkey").cast("bigint")).alias("key_sum"))
+
+
+# Status labels in Chinese text, so that UTF-8 and GBK deliveries differ byte for byte.
+STATUS_LABELS = {"O": "未结", "F": "完成", "P": "部分"}
+
+
+@register("charset_intake_counts", oracle=f"""
+SELECT CASE o_orderstatus {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_LABELS.items())} END AS label,
+       count(*) AS row_count, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+FROM orders GROUP BY 1
+""")
+def charset_intake_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders delivered as CSV files, half encoded as UTF-8 and half as GBK; each file's
+    charset is detected from its bytes and each group is read with its decoder."""
+    from intakeflow.sources.readers import read_csv_detected
+
+    label = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in STATUS_LABELS.items()])
+    df = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), "o_orderdate")
+    out = scratch_path(spark, f"deliveries-charset-{uuid.uuid4().hex[:8]}")
+    files = delivery_count(df.count(), 4)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    for enc, part in (("UTF-8", F.col("o_orderkey") % 2 == 0), ("GBK", F.col("o_orderkey") % 2 == 1)):
+        (df.filter(part).repartition(files).write.option("header", True).option("encoding", enc)
+         .option("timestampNTZFormat", TS_TEXT).csv(f"{out}/{enc.lower()}"))
+    rows = read_csv_detected(spark, out, recursive=True)
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("row_count"),
+                                     F.sum(F.col("o_orderkey").cast("bigint")).alias("key_sum"))
