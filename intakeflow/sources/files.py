@@ -63,13 +63,19 @@ def fingerprint_expr(content: Column, length: Column) -> Column:
     return F.substring(F.md5(F.concat(head, tail, length.cast("string").cast("binary"))), 1, 16)
 
 
-def fingerprints(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """S8 for every file of a folder: ``(path, file_size, file_hash)``.
+def _binary(spark: SparkSession, folder: str, recursive: bool, modified_after: str | None) -> DataFrame:
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if modified_after:  # incremental poll: bytes of older files are never read
+        r = r.option("modifiedAfter", modified_after)
+    return r.load(folder)
+
 
-    Join the result with a manifest on ``path`` to fingerprint only the files
-    that still need it; the hash is computed inside the scan task.
+def fingerprints(spark: SparkSession, folder: str, recursive: bool = False,
+                 modified_after: str | None = None) -> DataFrame:
+    """S8 for the files of a folder (modified after ``modified_after`` when given):
+    ``(path, file_size, file_hash)``, computed inside the scan tasks.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    files = _binary(spark, folder, recursive, modified_after)
     return files.select(F.regexp_replace("path", "^file:", "").alias("path"),
                         F.col("length").alias("file_size"),
                         fingerprint_expr(F.col("content"), F.col("length")).alias("file_hash"))
@@ -106,11 +112,11 @@ def sniff_charset(head: bytes, mid: bytes | None) -> str:
 
 
 def detect_charsets(spark: SparkSession, folder: str, hint: str | None = None,
-                    recursive: bool = False) -> DataFrame:
+                    recursive: bool = False, modified_after: str | None = None) -> DataFrame:
     """``(path, charset)`` per file.  An explicit hint wins; otherwise a 32 KiB head
     (+ 32 KiB from the middle when the file is over 64 KiB) is trial-decoded per file
     inside a ``mapInPandas`` task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    files = _binary(spark, folder, recursive, modified_after)
     path = F.regexp_replace("path", "^file:", "").alias("path")
     if hint and hint != "auto":
         return files.select(path, F.lit(hint).alias("charset"))

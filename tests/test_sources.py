@@ -129,3 +129,15 @@ def test_incremental_listing(spark, tmpdir_path):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     names = [r.file_name for r in list_files(spark, d, (".csv",), modified_after=since).collect()]
     assert names == ["new.csv"]
+
+
+def test_incremental_fingerprints(spark, tmpdir_path):
+    import time
+    d = f"{tmpdir_path}/incfp"
+    write(f"{d}/old.csv", "id\n1\n")
+    write(f"{d}/new.csv", "id\n2\n")
+    old = time.time() - 3 * 86400
+    os.utime(f"{d}/old.csv", (old, old))
+    since = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(time.time() - 86400))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [os.path.basename(r.path) for r in fingerprints(spark, d, modified_after=since).collect()] == ["new.csv"]
