@@ -236,6 +236,13 @@ def daily_rollup(pf: DataFrame, dq: DataFrame) -> DataFrame:
         avg_half_up(F.col("processing_time_ms"), 0, 2).alias("avg_processing_ms"))
 
 
+def write_daily_rollup(rollup: DataFrame, path: str) -> None:
+    """A10 (materialised): write per-day rows partitioned by ``stat_date``; the days present in
+    ``rollup`` replace their partitions (dynamic overwrite), all other days are kept."""
+    (rollup.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("stat_date").parquet(path))
+
+
 def metrics_rollup(pf: DataFrame) -> DataFrame:
     """Counter metrics in long form (metric, task_id, label, value).
 

@@ -105,3 +105,15 @@ def test_backlog_and_failed_file_alerts(spark):
     assert [(r.task_id, r.value) for r in backlog_alerts(wl, queue_size_max=3).collect()] == [("t1", 5.0)]
     cur = spark.createDataFrame([("t1", "FAILED")] * 3 + [("t2", "SUCCESS")] * 9, "task_id string, status string")
     assert [(r.kind, r.task_id) for r in failed_files_alerts(cur, threshold=2).collect()] == [("failed_files", "t1")]
+
+
+def test_daily_rollup_overwrites_only_recomputed_days(spark, tmpdir_path):
+    from intakeflow.plans.reports import write_daily_rollup
+    path = f"{tmpdir_path}/daily"
+    first = spark.createDataFrame([("t", dt.date(2026, 1, 1), 5), ("t", dt.date(2026, 1, 2), 7)],
+                                  "task_id string, stat_date date, total_files long")
+    write_daily_rollup(first, path)
+    again = spark.createDataFrame([("t", dt.date(2026, 1, 2), 9)], "task_id string, stat_date date, total_files long")
+    write_daily_rollup(again, path)
+    got = {str(r.stat_date): r.total_files for r in spark.read.parquet(path).collect()}
+    assert got == {"2026-01-01": 5, "2026-01-02": 9}
