@@ -48,7 +48,7 @@ def quality_report(flagged: DataFrame, by: Sequence[str], required: Sequence[str
     (an empty input scores 100).
     """
     aggs = [F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(~F.col(VALID)).alias("error_rows")]
+            F.count_if(~F.coalesce(F.col(VALID), F.lit(False))).alias("error_rows")]
     # a required field the data does not have at all is missing in every row
     aggs += [(F.count_if(_is_blank(qcol(f))) if f in flagged.columns else F.count(F.lit(1))).alias(f"_null_{i}")
              for i, f in enumerate(required)]

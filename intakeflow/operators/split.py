@@ -22,7 +22,8 @@ def valid_rows(flagged: DataFrame) -> DataFrame:
 
 
 def error_rows(flagged: DataFrame) -> DataFrame:
-    return flagged.filter(~F.col(VALID)).drop(VALID)
+    """Rows whose flag is false or NULL (a NULL flag counts as not valid)."""
+    return flagged.filter(~F.coalesce(F.col(VALID), F.lit(False))).drop(VALID)
 
 
 def pass_through(df: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def counters(flagged: DataFrame) -> DataFrame:
     return flagged.agg(
         F.count(F.lit(1)).alias("raw_count"),
         F.count_if(F.col(VALID)).alias("valid_count"),
-        F.count_if(~F.col(VALID)).alias("error_count"))
+        F.count_if(~F.coalesce(F.col(VALID), F.lit(False))).alias("error_count"))
 
 
 def observe_counters(flagged: DataFrame) -> tuple[DataFrame, Observation]:

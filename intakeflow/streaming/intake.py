@@ -52,6 +52,7 @@ class IntakePaths:
     quality: str
     alerts: str
     checkpoint: str
+    runs: str | None = None  # optional log of per-batch counters (A14)
 
 
 def ext_glob(extensions, fmt: str) -> str:
@@ -180,7 +181,9 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                 .drop(CORRUPT)
         if prepare is not None:
             batch = prepare(batch)
-        routed = route_months(flag(batch), spec, now)
+        flagged_in = flag(batch)  # a NULL flag from user code means "not valid"
+        flagged_in = flagged_in.withColumn(VALID, F.coalesce(F.col(VALID).cast("boolean"), F.lit(False)))
+        routed = route_months(flagged_in, spec, now)
         if target_schema is not None:  # K1/G9: cast to the month table's schema; failures are row errors
             routed = conform_to_target(routed, target_schema,
                                        keep=("task_id", FILE, ROW, "_mtime", "_size", MONTH, FALLBACK))
@@ -218,6 +221,18 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                 F.lit(int(batch_id)).cast("long").alias("seq"), F.lit("ParseError").alias("error_type"))))
         # the file's commit point; partitioned by task so per-task reads prune
         conform(events).write.mode("append").partitionBy("task_id").parquet(paths.ledger)
+        if paths.runs:  # A14: raw / valid / error rows, writer counts and elapsed time of this batch
+            totals = per_file.agg(F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("raw"),
+                                  F.sum("error_rows").alias("err")).first()
+            raw, err = int(totals["raw"] or 0), int(totals["err"] or 0)
+            run = spark.createDataFrame(
+                [(spec.task_id, int(batch_id), now, int(totals["files"]), raw, raw - err, err,
+                  counts["inserted"], counts["ignored"], counts["fallback_routed"], counts["rejected_archived"],
+                  elapsed_ms)],
+                "task_id string, batch_id long, run_at timestamp_ntz, files long, raw_count long, "
+                "valid_count long, error_count long, inserted long, ignored long, fallback_routed long, "
+                "rejected_archived long, elapsed_ms long")
+            run.write.mode("append").parquet(paths.runs)
     finally:
         base.unpersist()
     return counts

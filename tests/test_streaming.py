@@ -301,3 +301,21 @@ def test_older_file_wins_within_a_batch(spark, tmpdir_path):
     paths = _paths(f"{tmpdir_path}/run")
     run_batch_intake(spark, inbox, spec, schema, paths, as_of=lambda: AS_OF)
     assert [r.name for r in read_target(spark, paths.target).collect()] == ["older"]
+
+
+def test_run_counters_log(spark, tmpdir_path):
+    from intakeflow.streaming.intake import IntakePaths, run_batch_intake
+    inbox = f"{tmpdir_path}/inbox"
+    os.makedirs(inbox)
+    _csv(f"{inbox}/a.csv", ["id", "name", "date"], [(1, "a", "2026-01-02"), (2, "", "2026-01-03"), (1, "b", "2026-01-02")])
+    spec = TaskSpec(task_id="r", base_table="r", keys=("id",), partition_field="date")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "date")])
+    base = f"{tmpdir_path}/run"
+    paths = IntakePaths(*(f"{base}/{n}" for n in ("target", "ledger", "quality", "alerts", "ckpt")), runs=f"{base}/runs")
+
+    def flag(df):
+        return df.withColumn("_valid", F.col("name") != "").withColumn("_error", F.lit(None).cast("string"))
+
+    run_batch_intake(spark, inbox, spec, schema, paths, flag=flag, as_of=lambda: AS_OF)
+    r = spark.read.parquet(paths.runs).first()
+    assert (r.files, r.raw_count, r.valid_count, r.error_count, r.inserted, r.ignored) == (1, 3, 2, 1, 1, 1)
