@@ -29,6 +29,9 @@ SCALE_CONF = {
 BUILD_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # reliable checkpoints of finished plans (ordered scans, intake ledger keys) are removed
+    # once their DataFrames are garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -212,7 +212,8 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
         # files of one micro-batch are processed together: each gets the batch's elapsed time
         elapsed_ms = int((time.monotonic() - started) * 1000)
         events = events.withColumn("processing_time_ms", F.lit(elapsed_ms).cast("long"))
-        quality_alerts(quality, QUALITY_ALERT_MIN_SCORE).write.mode("append").partitionBy("task_id").parquet(paths.alerts)
+        alerts = quality_alerts(quality, QUALITY_ALERT_MIN_SCORE)
+        alerts.write.mode("append").partitionBy("task_id").parquet(paths.alerts)
         if bad is not None:
             events = conform(events).unionByName(conform(bad.select(
                 "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
