@@ -140,6 +140,80 @@ def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _drop_loaded_files(spark: SparkSession, batch: DataFrame, spec: TaskSpec, ledger_path: str) -> DataFrame:
+    """Rows of files the ledger already holds as SUCCESS are dropped.
+
+    A write to a path re-caches every cached plan that reads it, so the done-file keys
+    are cut loose from the ledger path (reliable checkpoint) before the batch is cached
+    and the ledger appended.  The ledger is partitioned by task: only this task's
+    partition is read.
+    """
+    ledger = _read_ledger(spark, ledger_path)
+    if ledger is None:
+        return batch
+    files = batch.select("task_id", FILE, "_mtime").distinct()
+    done = ledger.filter((F.col("task_id") == spec.task_id) & (F.col("event") == "SUCCESS")).select(
+        "task_id", F.col("file_path").alias(FILE), F.col("file_mtime").alias("_mtime"))
+    ensure_checkpoint_dir(spark)
+    done_here = files.join(done, ["task_id", FILE, "_mtime"], "left_semi").checkpoint(eager=True)
+    return batch.join(done_here, ["task_id", FILE, "_mtime"], "left_anti")
+
+
+def _split_unparsable(batch: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """A file with a parse error is skipped whole; returns (rows, skipped files)."""
+    if CORRUPT not in batch.columns:
+        return batch, None
+    bad = batch.filter(F.col(CORRUPT).isNotNull()).select(
+        "task_id", FILE, "_mtime", "_size",
+        F.substring(CORRUPT, 1, 300).alias("error_message")).dropDuplicates(["task_id", FILE, "_mtime"])
+    rows = batch.join(bad.select("task_id", FILE, "_mtime"), ["task_id", FILE, "_mtime"], "left_anti")
+    return rows.drop(CORRUPT), bad
+
+
+def _ledger_events(per_file: DataFrame, bad: DataFrame | None, batch_id: int, now: _dt.datetime,
+                   elapsed_ms: int) -> DataFrame:
+    """SUCCESS events with counts for loaded files, SKIPPED events for unparsable ones."""
+    events = conform(per_file.select(
+        "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
+        F.lit("SUCCESS").alias("event"), ts_lit(now).alias("event_time"),
+        F.lit(int(batch_id)).cast("long").alias("seq"), F.lit(f"batch-{batch_id}").alias("owner"),
+        F.col("_size").alias("file_size"), F.col("total_rows").alias("row_count"),
+        F.col("valid_rows").alias("valid_row_count"), ts_lit(now).alias("processed_at"),
+        # files of one micro-batch are processed together: each gets the batch's elapsed time
+        F.lit(elapsed_ms).cast("long").alias("processing_time_ms")))
+    if bad is None:
+        return events
+    return events.unionByName(conform(bad.select(
+        "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
+        F.col("_size").alias("file_size"), "error_message",
+        F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
+        F.lit(int(batch_id)).cast("long").alias("seq"), F.lit("ParseError").alias("error_type"))))
+
+
+def _quality_rows(per_file: DataFrame, batch_id: int, now: _dt.datetime) -> DataFrame:
+    return per_file.select(
+        F.abs(F.xxhash64(*[F.col(k) for k in ("task_id", FILE, "_mtime")])).alias("file_id"),
+        "task_id", F.col(FILE).alias("file_path"), ts_lit(now).alias("batch_time"),
+        "total_rows", "valid_rows", "error_rows", "null_rate", "error_rate", "quality_score",
+        F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
+
+
+def _write_run(spark: SparkSession, path: str, spec: TaskSpec, batch_id: int, now: _dt.datetime,
+               per_file: DataFrame, counts: dict, elapsed_ms: int) -> None:
+    """Raw / valid / error rows, writer counts and elapsed time of one batch."""
+    totals = per_file.agg(F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("raw"),
+                          F.sum("error_rows").alias("err")).first()
+    raw, err = int(totals["raw"] or 0), int(totals["err"] or 0)
+    run = spark.createDataFrame(
+        [(spec.task_id, int(batch_id), now, int(totals["files"]), raw, raw - err, err,
+          counts["inserted"], counts["ignored"], counts["fallback_routed"], counts["rejected_archived"],
+          elapsed_ms)],
+        "task_id string, batch_id long, run_at timestamp_ntz, files long, raw_count long, "
+        "valid_count long, error_count long, inserted long, ignored long, fallback_routed long, "
+        "rejected_archived long, elapsed_ms long")
+    run.write.mode("append").parquet(path)
+
+
 def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: IntakePaths,
                   flag: Callable[[DataFrame], DataFrame], as_of: Callable[[], _dt.datetime],
                   order_cols: tuple[str, ...],
@@ -157,83 +231,37 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
     batch = batch.withColumn("task_id", F.lit(spec.task_id))
     if ROW not in batch.columns:  # each file is read by one task in order (multiLine)
         batch = batch.withColumn(ROW, F.monotonically_increasing_id())
-    ledger = _read_ledger(spark, paths.ledger)
-    if ledger is not None:  # T6: a file already SUCCESS is never loaded again
-        files = batch.select("task_id", FILE, "_mtime").distinct()
-        # the ledger is partitioned by task: this reads the task's partition only
-        done = ledger.filter((F.col("task_id") == spec.task_id) & (F.col("event") == "SUCCESS")).select(
-            "task_id", F.col("file_path").alias(FILE), F.col("file_mtime").alias("_mtime"))
-        # A write to a path re-caches every cached plan that reads it, so the done-file keys
-        # are cut loose from the ledger path (reliable checkpoint) before the batch is cached
-        # and the ledger appended below.
-        ensure_checkpoint_dir(spark)
-        done_here = files.join(done, ["task_id", FILE, "_mtime"], "left_semi").checkpoint(eager=True)
-        batch = batch.join(done_here, ["task_id", FILE, "_mtime"], "left_anti")
-    base = batch.persist()  # cached: the checks below and the writes reuse one read of the files
-    batch = base
-    bad = None
+    base = _drop_loaded_files(spark, batch, spec, paths.ledger).persist()  # one read of the files
     try:
-        if CORRUPT in batch.columns:  # S2 / S4: a file that does not parse is skipped whole
-            bad = batch.filter(F.col(CORRUPT).isNotNull()).select(
-                "task_id", FILE, "_mtime", "_size",
-                F.substring(CORRUPT, 1, 300).alias("error_message")).dropDuplicates(["task_id", FILE, "_mtime"])
-            batch = batch.join(bad.select("task_id", FILE, "_mtime"), ["task_id", FILE, "_mtime"], "left_anti") \
-                .drop(CORRUPT)
+        rows, bad = _split_unparsable(base)
         if prepare is not None:
-            batch = prepare(batch)
-        flagged_in = flag(batch)  # a NULL flag from user code means "not valid"
-        flagged_in = flagged_in.withColumn(VALID, F.coalesce(F.col(VALID).cast("boolean"), F.lit(False)))
-        routed = route_months(flagged_in, spec, now)
+            rows = prepare(rows)
+        flagged = flag(rows)  # a NULL flag from user code means "not valid"
+        flagged = flagged.withColumn(VALID, F.coalesce(F.col(VALID).cast("boolean"), F.lit(False)))
+        routed = route_months(flagged, spec, now)
         if target_schema is not None:  # K1/G9: cast to the month table's schema; failures are row errors
             routed = conform_to_target(routed, target_schema,
                                        keep=("task_id", FILE, ROW, "_mtime", "_size", MONTH, FALLBACK))
-        flagged = enforce_on_row_error(routed, spec.on_row_error)
+        checked = enforce_on_row_error(routed, spec.on_row_error)
         # _file, _mtime and _row stay with the stored rows as provenance (and arrival order)
-        valid = flagged.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_size")
+        valid = checked.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_size")
         if spec.encrypt_fields:  # P12: after routing (the partition field stays readable)
             if not encryption_key:
                 raise ValueError("the task encrypts fields but no encryption key was given")
             valid = encrypt_fields(valid, [c for c in spec.encrypt_fields if c != spec.partition_field],
                                    encryption_key)
         counts = write_first_wins(valid, paths.target, list(spec.keys), list(order_cols))
-        per_file = quality_report(flagged, ["task_id", FILE, "_mtime", "_size"], spec.required_fields)
-        events = per_file.select(
-            "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
-            F.lit("SUCCESS").alias("event"), ts_lit(now).alias("event_time"),
-            F.lit(int(batch_id)).cast("long").alias("seq"), F.lit(f"batch-{batch_id}").alias("owner"),
-            F.col("_size").alias("file_size"), F.col("total_rows").alias("row_count"),
-            F.col("valid_rows").alias("valid_row_count"), ts_lit(now).alias("processed_at"))
-        quality = per_file.select(
-            F.abs(F.xxhash64(*[F.col(k) for k in ("task_id", FILE, "_mtime")])).alias("file_id"),
-            "task_id", F.col(FILE).alias("file_path"), ts_lit(now).alias("batch_time"),
-            "total_rows", "valid_rows", "error_rows", "null_rate", "error_rate", "quality_score",
-            F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
+        per_file = quality_report(checked, ["task_id", FILE, "_mtime", "_size"], spec.required_fields)
+        quality = _quality_rows(per_file, batch_id, now)
         quality.write.mode("append").partitionBy("task_id").parquet(paths.quality)
-        # files of one micro-batch are processed together: each gets the batch's elapsed time
-        elapsed_ms = int((time.monotonic() - started) * 1000)
-        events = events.withColumn("processing_time_ms", F.lit(elapsed_ms).cast("long"))
         alerts = quality_alerts(quality, QUALITY_ALERT_MIN_SCORE)
         alerts.write.mode("append").partitionBy("task_id").parquet(paths.alerts)
-        if bad is not None:
-            events = conform(events).unionByName(conform(bad.select(
-                "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
-                F.col("_size").alias("file_size"), "error_message",
-                F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
-                F.lit(int(batch_id)).cast("long").alias("seq"), F.lit("ParseError").alias("error_type"))))
-        # the file's commit point; partitioned by task so per-task reads prune
-        conform(events).write.mode("append").partitionBy("task_id").parquet(paths.ledger)
-        if paths.runs:  # A14: raw / valid / error rows, writer counts and elapsed time of this batch
-            totals = per_file.agg(F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("raw"),
-                                  F.sum("error_rows").alias("err")).first()
-            raw, err = int(totals["raw"] or 0), int(totals["err"] or 0)
-            run = spark.createDataFrame(
-                [(spec.task_id, int(batch_id), now, int(totals["files"]), raw, raw - err, err,
-                  counts["inserted"], counts["ignored"], counts["fallback_routed"], counts["rejected_archived"],
-                  elapsed_ms)],
-                "task_id string, batch_id long, run_at timestamp_ntz, files long, raw_count long, "
-                "valid_count long, error_count long, inserted long, ignored long, fallback_routed long, "
-                "rejected_archived long, elapsed_ms long")
-            run.write.mode("append").parquet(paths.runs)
+        elapsed_ms = int((time.monotonic() - started) * 1000)
+        # the files' commit point; partitioned by task so per-task reads prune
+        _ledger_events(per_file, bad, batch_id, now, elapsed_ms).write.mode("append") \
+            .partitionBy("task_id").parquet(paths.ledger)
+        if paths.runs:
+            _write_run(spark, paths.runs, spec, batch_id, now, per_file, counts, elapsed_ms)
     finally:
         base.unpersist()
     return counts
