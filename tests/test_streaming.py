@@ -319,3 +319,30 @@ def test_run_counters_log(spark, tmpdir_path):
     run_batch_intake(spark, inbox, spec, schema, paths, flag=flag, as_of=lambda: AS_OF)
     r = spark.read.parquet(paths.runs).first()
     assert (r.files, r.raw_count, r.valid_count, r.error_count, r.inserted, r.ignored) == (1, 3, 2, 1, 1, 1)
+
+
+def test_readme_usage_example(spark, tmpdir_path):
+    from intakeflow import TaskSpec as Spec
+    from intakeflow.operators import cleaners, ledger
+    from intakeflow.plans import reports
+    from intakeflow.streaming.intake import IntakePaths, run_batch_intake
+
+    drop = f"{tmpdir_path}/drop/orders"
+    os.makedirs(drop)
+    _csv(f"{drop}/d1.csv", ["id", "name", "value", "date", "status", "score"],
+         [(1, "ann", "2.5", "2026-01-02", "OK", 50), (2, "", "x", "2026-02-03", "", 7)])
+    spec = Spec(task_id="orders", base_table="order_data", keys=("id",), partition_field="date",
+                partition_format="%Y-%m-%d", required_fields=("value",), retention_months=24)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "value", "date", "status", "score")])
+    lake = f"{tmpdir_path}/lake"
+    paths = IntakePaths(target=f"{lake}/order_data", ledger=f"{lake}/_ledger", quality=f"{lake}/_quality",
+                        alerts=f"{lake}/_alerts", checkpoint=f"{lake}/_ckpt/orders")
+    flag = lambda df: cleaners.test_clean_flagged(
+        df, keep=[c for c in df.columns if c.startswith("_") or c == "task_id"])
+    q = start_intake(spark, drop, spec, schema, paths, flag=flag, available_now=True)
+    q.awaitTermination(120)
+    counts = run_batch_intake(spark, drop, spec, schema, paths, flag=flag)
+    assert counts["received"] == 0  # already loaded by the stream
+    current = ledger.fold(spark.read.parquet(paths.ledger))
+    assert reports.task_stats(current).first().success == 1
+    assert reports.quality_trend(spark.read.parquet(paths.quality), dt.datetime.now(), days=30).count() == 1
