@@ -150,3 +150,16 @@ def test_claim_events_round_trip(spark):
                       ("t", "/in/n.csv", 5, "SUCCESS", at(3), 1, None, None)])
     done = L.fold(claims.unionByName(proc)).first()
     assert (done.status, done.claimed_by, done.claim_expires_at, done.processed_at) == ("SUCCESS", None, None, at(3))
+
+
+def test_outcome_classes_and_quarantine(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(None,), ("skip",), ("retryable",), ("fatal",)], "kind string")
+    got = [r.o for r in df.select(L.classify_outcome(F.col("kind")).alias("o")).collect()]
+    assert got == ["SUCCESS", "SKIPPED", "RETRY", "FAILED"]
+    k = ("t", "/in/q.csv", 1)
+    cur = L.fold(ev(spark, [(*k, "FAILED", at(1), 1, None, "ValueError")]))
+    path = f"{tmpdir_path}/quarantine"
+    L.write_quarantine(L.dead_letter(cur, 3), path)
+    q = spark.read.parquet(path).first()
+    assert (q.file_path, q.file_name, q.reason) == ("/in/q.csv", "q.csv", "fatal")
