@@ -171,15 +171,32 @@ def debounce_sessions(events: DataFrame, gap_seconds: float, key: str = "file_pa
     session that fires ``gap_seconds`` after its last event.
 
     Output: one row per session (key, session_start, session_end, events, fire_at).
-    The final grouping is a partial aggregate, so a hot path's sessions are
-    reduced map-side.
+    One summary row per (key, chunk) carries both what crosses a chunk boundary - the
+    previous event time and the latest session start - and the final grouping has a
+    map-side partial step, so a hot path's sessions are reduced before the shuffle.
     """
-    ch = chunked(events, [key], order, n_chunks)
-    p = with_previous(ch, [key], order, [order[0]], "_prev")
     t = F.col(order[0])
-    gap_us = F.timestamp_diff("MICROSECOND", F.col("_prev").getField(order[0]), t)
-    starts = F.col("_prev").isNull() | (gap_us > int(gap_seconds * 1_000_000))
-    m = with_last_marker_value(p, [key], order, starts, t, "_start")
+    gap_us = int(gap_seconds * 1_000_000)
+    ch = chunked(events, [key], order, n_chunks)
+    w = _local([key], order)
+    local = (ch.withColumn("_lag", F.lag(t).over(w))
+             .withColumn("_first", F.row_number().over(w) == 1))
+    # a row with an in-chunk predecessor starts a session when the gap exceeds the limit
+    inner_start = ~F.col("_first") & (F.timestamp_diff("MICROSECOND", F.col("_lag"), t) > gap_us)
+    local = local.withColumn("_inner", inner_start)
+    summ = local.groupBy(key, CHUNK).agg(
+        F.min_by(t, F.struct(*order)).alias("_f"), F.max_by(t, F.struct(*order)).alias("_l"),
+        F.max(F.when(F.col("_inner"), t)).alias("_ls"))
+    a = _across([key])
+    prev_last = F.lag("_l").over(a)
+    summ = summ.withColumn("_fs", prev_last.isNull() | (F.timestamp_diff("MICROSECOND", prev_last, F.col("_f")) > gap_us))
+    summ = summ.withColumn("_cm", F.coalesce(F.col("_ls"), F.when(F.col("_fs"), F.col("_f"))))
+    summ = summ.select(key, CHUNK, "_fs", F.last("_cm", ignorenulls=True).over(
+        a.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    j = local.join(summ, [key, CHUNK], "left")
+    starts = F.col("_inner") | (F.col("_first") & F.col("_fs"))
+    run_start = F.max(F.when(starts, t)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    m = j.withColumn("_start", F.coalesce(run_start, F.col("_carry")))
     g = m.groupBy(key, F.col("_start").alias("session_start")).agg(
         F.max(t).alias("session_end"), F.count(F.lit(1)).alias("events"))
     return g.withColumn("fire_at", F.col("session_end") + F.make_dt_interval(
