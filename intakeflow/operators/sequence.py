@@ -86,6 +86,35 @@ def with_rows_since_marker(ch: DataFrame, keys: Sequence[str], order: Sequence[s
     return j.withColumn(name, since.cast("long")).drop("_mk", "_rn", "_lm", "_carry")
 
 
+def with_previous_and_since(ch: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                            marker: Column, prev: str = "_prev", since: str = "_since") -> DataFrame:
+    """``with_previous`` and ``with_rows_since_marker`` in one pass (the marker must not depend
+    on the previous row): one summary aggregate, one window over summaries, one join."""
+    w = _local(keys, order)
+    packed = F.struct(*[F.col(c) for c in cols])
+    loc = (ch.withColumn("_mk", marker).withColumn("_rn", F.row_number().over(w))
+           .withColumn(prev, F.lag(packed).over(w))
+           .withColumn("_lm", F.max(F.when(F.col("_mk"), F.col("_rn"))).over(
+               w.rowsBetween(Window.unboundedPreceding, -1))))
+    summ = loc.groupBy(*keys, CHUNK).agg(
+        F.max_by(packed, F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_cnt"),
+        F.max(F.when(F.col("_mk"), F.col("_rn"))).alias("_last_mk"))
+    a = _across(keys)
+    summ = (summ.withColumn("_cum", F.sum("_cnt").over(a.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_trail", F.when(F.col("_last_mk").isNotNull(), F.col("_cnt") - F.col("_last_mk"))))
+    prior = F.last(F.when(F.col("_last_mk").isNotNull(), F.struct("_cum", "_trail")), ignorenulls=True) \
+        .over(a.rowsBetween(Window.unboundedPreceding, -1))
+    summ = summ.withColumn("_pm", prior)
+    carry = F.when(F.col("_pm").isNull(), F.col("_cum") - F.col("_cnt")).otherwise(
+        F.col("_pm._trail") + (F.col("_cum") - F.col("_cnt") - F.col("_pm._cum")))
+    summ = summ.select(*keys, CHUNK, F.lag("_last").over(a).alias("_carry_prev"), carry.alias("_carry"))
+    j = loc.join(summ, [*keys, CHUNK], "left")
+    n = F.when(F.col("_lm").isNotNull(), F.col("_rn") - F.col("_lm")).otherwise(F.col("_rn") + F.col("_carry"))
+    return (j.withColumn(prev, F.coalesce(F.col(prev), F.col("_carry_prev")))
+            .withColumn(since, n.cast("long"))
+            .drop("_mk", "_rn", "_lm", "_carry", "_carry_prev"))
+
+
 def with_last_marker_value(ch: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Column,
                            value: Column, name: str = "_mark") -> DataFrame:
     """Add ``name`` = ``value`` at the last marker row at or before each row (forward fill)."""
@@ -131,8 +160,7 @@ def breaker_replay(outcomes: DataFrame, key: str = "task_id", order: Sequence[st
     (k) and the time of the previous row - a gaps-and-islands scan.
     """
     ch = chunked(outcomes, [key], order, n_chunks)
-    s = with_rows_since_marker(ch, [key], order, F.col("outcome") == "SUCCESS")
-    s = with_previous(s, [key], order, [order[0]], "_prev")
+    s = with_previous_and_since(ch, [key], order, [order[0]], F.col("outcome") == "SUCCESS")
     k = (F.col("_since") - 1).cast("long")
     prev_t = F.col("_prev").getField(order[0])
     gap_s = F.timestamp_diff("MICROSECOND", prev_t, F.col(order[0]))
