@@ -129,3 +129,18 @@ def test_empty_inputs(spark, tmpdir_path):
                         dt.datetime(2026, 1, 1))
     c = write_first_wins(rows, f"{tmpdir_path}/empty", ["id"], ["_row"])
     assert (c["received"], c["inserted"], c["ignored"]) == (0, 0, 0)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["p", "p", "p", "q", "r"]), st.integers(0, 30), st.sampled_from([1, 1, 2])),
+                     min_size=1, max_size=100),
+       chunks=st.integers(1, 15))
+def test_stability_property(spark, rows, chunks):
+    data = [(i, k, T0 + dt.timedelta(seconds=s), size) for i, (k, s, size) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, file_path string, ts timestamp_ntz, file_size long")
+    got = {r.id: (r.run_length, r.fire) for r in stability_runs(df, ["file_size"], checks=3, n_chunks=chunks).collect()}
+    prev, run = {}, {}
+    for i, p, ts, size in sorted(data, key=lambda r: (r[1], r[2], r[0])):
+        run[p] = run.get(p, 0) + 1 if p in prev and prev[p] == size else 1
+        prev[p] = size
+        assert got[i] == (run[p], (run[p] - 1) % 3 + 1 == 3)
