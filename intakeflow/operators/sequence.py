@@ -179,17 +179,40 @@ def stability_runs(observations: DataFrame, signature: Sequence[str], key: str =
     counter reaches ``checks`` and then starts counting afresh.
 
     ``run_length`` is the raw run; ``stable_count`` the watcher's counter
-    (1..checks); ``fire`` marks the observations that emit the file.
+    (1..checks); ``fire`` marks the observations that emit the file.  One summary row
+    per (key, chunk) carries the first and last signature, so a chunk's first row
+    knows whether it continues the previous chunk's run.
     """
     ch = chunked(observations, [key], order, n_chunks)
-    p = with_previous(ch, [key], order, list(signature), "_prev")
-    changed = F.col("_prev").isNull()
-    for c in signature:
-        changed = changed | ~F.col("_prev").getField(c).eqNullSafe(F.col(c))
-    s = with_rows_since_marker(p, [key], order, changed)
-    run = F.when(changed, F.lit(1)).otherwise(F.col("_since") + 1).cast("long")
+    w = _local([key], order)
+    sig = F.struct(*[F.col(c) for c in signature])
+    loc = (ch.withColumn("_sig", sig).withColumn("_lag", F.lag(sig).over(w))
+           .withColumn("_rn", F.row_number().over(w)))
+    first = F.col("_rn") == 1
+    loc = loc.withColumn("_inner", ~first & ~F.col("_lag").eqNullSafe(F.col("_sig")))
+    summ = loc.groupBy(key, CHUNK).agg(
+        F.min_by("_sig", F.struct(*order)).alias("_fsig"), F.max_by("_sig", F.struct(*order)).alias("_lsig"),
+        F.count(F.lit(1)).alias("_cnt"), F.max(F.when(F.col("_inner"), F.col("_rn"))).alias("_lin"))
+    a = _across([key])
+    prev_last = F.lag("_lsig").over(a)
+    summ = summ.withColumn("_fc", prev_last.isNull() | ~prev_last.eqNullSafe(F.col("_fsig")))
+    summ = summ.withColumn("_last_mk", F.coalesce(F.col("_lin"), F.when(F.col("_fc"), F.lit(1))))
+    summ = (summ.withColumn("_cum", F.sum("_cnt").over(a.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_trail", F.when(F.col("_last_mk").isNotNull(), F.col("_cnt") - F.col("_last_mk"))))
+    prior = F.last(F.when(F.col("_last_mk").isNotNull(), F.struct("_cum", "_trail")), ignorenulls=True) \
+        .over(a.rowsBetween(Window.unboundedPreceding, -1))
+    summ = summ.withColumn("_pm", prior)
+    carry = F.when(F.col("_pm").isNull(), F.col("_cum") - F.col("_cnt")).otherwise(
+        F.col("_pm._trail") + (F.col("_cum") - F.col("_cnt") - F.col("_pm._cum")))
+    summ = summ.select(key, CHUNK, "_fc", carry.alias("_carry"))
+    j = loc.join(summ, [key, CHUNK], "left")
+    marker = F.col("_inner") | (first & F.col("_fc"))
+    j = j.withColumn("_mk", marker)
+    lm = F.max(F.when(F.col("_mk"), F.col("_rn"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    since = F.when(lm.isNotNull(), F.col("_rn") - lm).otherwise(F.col("_rn") + F.col("_carry"))
+    run = F.when(F.col("_mk"), F.lit(1)).otherwise(since + 1).cast("long")
     counter = ((run - 1) % checks + 1).cast("long")
-    return s.select(*observations.columns, run.alias("run_length"), counter.alias("stable_count"),
+    return j.select(*observations.columns, run.alias("run_length"), counter.alias("stable_count"),
                     (counter == checks).alias("fire"))
 
 
