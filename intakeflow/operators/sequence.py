@@ -13,8 +13,9 @@ Instead:
    scanned with a window per key over at most ``n_chunks`` rows, and joined
    back on (key, chunk).
 
-The three primitives below cover lag, gaps-and-islands run lengths and
-forward fill; the operators at the bottom compose them.
+The primitives below give rows-since-last-marker (gaps and islands) and, in
+one pass, that plus the previous row; the stability and debounce scans carry
+their own state (first/last signature, latest session start) the same way.
 """
 
 from __future__ import annotations
@@ -48,17 +49,6 @@ def _across(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(CHUNK)
 
 
-def with_previous(ch: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-                  name: str = "_prev") -> DataFrame:
-    """Add struct ``name`` holding ``cols`` of the previous row of the same key (NULL for the first)."""
-    packed = F.struct(*[F.col(c) for c in cols])
-    local = ch.withColumn(name, F.lag(packed).over(_local(keys, order)))
-    last = ch.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-    carry = last.select(*keys, CHUNK, F.lag("_last").over(_across(keys)).alias("_carry"))
-    j = local.join(carry, [*keys, CHUNK], "left")
-    return j.withColumn(name, F.coalesce(F.col(name), F.col("_carry"))).drop("_carry")
-
-
 def with_rows_since_marker(ch: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Column,
                            name: str = "_since") -> DataFrame:
     """Add ``name`` = i - m, where m is the position of the last marker row strictly before row i
@@ -115,20 +105,6 @@ def with_previous_and_since(ch: DataFrame, keys: Sequence[str], order: Sequence[
             .drop("_mk", "_rn", "_lm", "_carry", "_carry_prev"))
 
 
-def with_last_marker_value(ch: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Column,
-                           value: Column, name: str = "_mark") -> DataFrame:
-    """Add ``name`` = ``value`` at the last marker row at or before each row (forward fill)."""
-    w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ch.withColumn("_mv", F.when(marker, value)).withColumn(
-        name, F.last("_mv", ignorenulls=True).over(w))
-    summ = local.groupBy(*keys, CHUNK).agg(
-        F.max_by(F.col("_mv"), F.when(F.col("_mv").isNotNull(), F.struct(*order))).alias("_lastmv"))
-    carry = F.last("_lastmv", ignorenulls=True).over(_across(keys).rowsBetween(Window.unboundedPreceding, -1))
-    summ = summ.select(*keys, CHUNK, carry.alias("_carry"))
-    j = local.join(summ, [*keys, CHUNK], "left")
-    return j.withColumn(name, F.coalesce(F.col(name), F.col("_carry"))).drop("_mv", "_carry")
-
-
 # ---------------------------------------------------------------------------
 # Operators
 # ---------------------------------------------------------------------------
