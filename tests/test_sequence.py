@@ -144,3 +144,20 @@ def test_stability_property(spark, rows, chunks):
         run[p] = run.get(p, 0) + 1 if p in prev and prev[p] == size else 1
         prev[p] = size
         assert got[i] == (run[p], (run[p] - 1) % 3 + 1 == 3)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "a", "a", "b"]), st.integers(0, 400), st.booleans()),
+                     min_size=1, max_size=120),
+       chunks=st.integers(1, 15))
+def test_breaker_property(spark, rows, chunks):
+    data = [(i, k, T0 + dt.timedelta(seconds=s), "FAILED" if bad else "SUCCESS") for i, (k, s, bad) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, task_id string, ts timestamp_ntz, outcome string")
+    got = {r.id: (r.failures_before, r.state_before, r.state_after)
+           for r in breaker_replay(df, threshold=3, timeout_s=60, n_chunks=chunks).collect()}
+    state = {}
+    for i, task, ts, oc in sorted(data, key=lambda r: (r[1], r[2], r[0])):
+        mode, fails, opened = state.get(task, ("CLOSED", 0, 0))
+        before, after, f2, opened = breaker_step(mode, fails, opened, oc, int(ts.timestamp() * 1_000_000), 3, 60)
+        assert got[i] == (fails, before, after), (i, task, ts, oc)
+        state[task] = (after, f2, opened)
