@@ -43,6 +43,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model)
 
 
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a conditional random field, learned from labelled rows whose
+    crc32(doc_id) mod 3 is not 1.  A row without doc_id is neither learned from nor held out."""
+    from intakeflow.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels").where(remainder(3) != 1)
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 @register
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes by vector bin packing of groups of equal texts."""
@@ -51,6 +63,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+@register
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed patterns and a character network over all other candidates."""
+    from intakeflow.llm import secrets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 @register
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces in sequences of at most 2048 ids by Karmarkar-Karp differencing."""
