@@ -72,6 +72,23 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
+@register
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for every vector whose id is divisible by 20, by vantage-point trees."""
+    from intakeflow.llm import vptree
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@register
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95 or more, by dual traversal of cover trees."""
+    from intakeflow.llm import covertree
+
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces in sequences of at most 2048 ids by Karmarkar-Karp differencing."""
