@@ -280,7 +280,8 @@ def _pairs(classes: DataFrame, limit: float, block_rows: int, name: str) -> Data
              .join(trees.select("cell", block.alias("b")), "cell").where("a <= b").select("a", "b"))
     pairs = written(pairs, name + "-blocks")
     left = trees.select(block.alias("a"), "tree").join(pairs, "a").select("a", "b", "tree")
-    right = trees.select(block.alias("b"), "tree").join(pairs.where("a < b"), "b").select("a", "b", "tree")
+    right = trees.select(block.alias("b"), "tree").join(pairs.where("a < b"), "b").select(
+        *[F.col(c).alias(c) for c in ("a", "b", "tree")])  # columns of their own for the cogroup
 
     def match(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         first = _load(l["tree"].iloc[0])
