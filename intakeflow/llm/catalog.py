@@ -97,6 +97,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@register
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document (five-word shingles, similarity 0.8) by ProbMinHash."""
+    from intakeflow.llm import probminhash
+
+    return probminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_QUERIES)
 
