@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from intakeflow.session import scratch_path
 
@@ -35,6 +36,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_texts(df: DataFrame, fn: Callable[[], Callable[[list], dict]], new: dict[str, str],
+              text: str = "text") -> DataFrame:
+    """Replace the column ``text`` by what is computed of whole texts, batch by batch (Arrow).
+
+    ``fn()`` is called once per task and returns a function from a list of texts (None: null) to
+    ``{column: values}`` for the columns ``new`` (name -> SQL type).  All other columns pass through
+    as they are; those called like a new one are left out.
+    """
+    small_batches(df.sparkSession)
+    kept = [c for c in df.columns if c != text and c not in new]
+    df = df.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").cast("string").alias(text))
+    fields = [df.schema[c] for c in kept]
+    fields += StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in new.items())).fields
+    schema = StructType([StructField(f.name, f.dataType, True) for f in fields])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in schema.fields[len(kept):]]
+        compute = fn()
+        for b in batches:
+            got = compute(b.column(len(kept)).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:len(kept)], *(pa.array(got[c], t) for c, t in zip(new, types))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 class WordCache:
     """word -> value for the words seen lately.
 
@@ -64,6 +94,20 @@ class WordCache:
                                   else {w: v for w, v in got.items() if len(w) <= self.LONG})
             yield values
 
+    def look_up_together(self, lists: list[list[str]]) -> Iterator[list]:
+        """As ``look_up``, with one call of ``fill`` for all lists."""
+        values = [list(map(self.known.get, words)) for words in lists]
+        new = list({w for words, v in zip(lists, values) if None in v for w, x in zip(words, v) if x is None})
+        if new:
+            got = dict(zip(new, self.fill(new)))
+            for words, v in zip(lists, values):
+                if None in v:
+                    v[:] = [got[w] if x is None else x for w, x in zip(words, v)]
+            if len(self.known) > self.cap:
+                self.known.clear()
+            self.known.update((w, x) for w, x in got.items() if len(w) <= self.LONG)
+        yield from values
+
 
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list ``(a long, b long)`` -> ``(id, component)``.

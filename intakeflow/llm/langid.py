@@ -15,20 +15,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intakeflow.llm.common import WordCache, small_batches
+from intakeflow.llm.common import WordCache, map_texts
 
 TRAIN_DOCS = 300        # texts per language in the fitting sample ...
 TRAIN_CHARS = 10_000    # ... each of at most so many characters
 TRAIN_LANGS = 64
-MAX_PIECE = 12          # longest piece used, in characters
+MAX_PIECE = 8           # longest piece used, in characters
 ROUNDS = 3
 ROW_FLOATS = 2_000_000  # bounds the arrays of one forward pass
 FLOOR = 1e-9            # probability of a character no piece covers
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)                                    # of the polynomial hash
+_SPREAD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # of the hash tables
+_BITS = 20
+
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -50,27 +53,48 @@ class Lattice:
     """All segmentations of words into pieces."""
 
     def __init__(self, pieces: list[str]):
-        self.index = {p: i for i, p in enumerate(pieces)}
         self.size = len(pieces)        # position of the stand-in for uncovered characters
         self.none = len(pieces) + 1    # position that always has probability zero
-        self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        # pieces by a 64-bit polynomial hash: two tables, the second for slots that are taken
+        codes = [np.frombuffer(p.encode("utf-32-le"), "<u4").astype("u8") for p in pieces]
+        key = np.zeros(len(pieces), "u8")
+        for k in range(MAX_PIECE):
+            on = np.array([i for i, c in enumerate(codes) if len(c) > k], int)
+            if len(on):
+                key[on] = key[on] * _BASE + np.array([codes[i][k] for i in on], "u8")
+        at = self._slots(key)
+        self.tables = []
+        left = np.arange(len(pieces))
+        for slot in at:
+            ids, keys = np.full(1 << _BITS, self.none, np.int32), np.zeros(1 << _BITS, "u8")
+            _, first = np.unique(slot[left], return_index=True)
+            some = left[first]
+            ids[slot[some]], keys[slot[some]] = some, key[some]
+            self.tables.append((ids, keys))
+            left = np.setdiff1d(left, some)
+        assert not len(left), "pieces share slots in both tables"
+
+    @staticmethod
+    def _slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple((key * m >> np.uint64(64 - _BITS)).astype(np.int64) for m in _SPREAD)
 
     def arcs(self, words: list[str], n: int) -> np.ndarray:
         """Piece numbers [word, end, length - 1] of words with n characters each."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype("u8").reshape(-1, n)
         out = np.full((len(words), n + 1, MAX_PIECE), self.none, np.int32)
-        index, starts = self.index, self.starts
-        for r, w in enumerate(words):
-            row = out[r]
-            for i in range(n):
-                for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
-                    s = w[i:j]
-                    if s not in starts:
-                        break
-                    k = index.get(s)
-                    if k is not None:
-                        row[j, j - i - 1] = k
-                if row[i + 1, 0] == self.none:
-                    row[i + 1, 0] = self.size
+        prefix = np.zeros((len(words), n + 1), "u8")
+        for j in range(n):
+            prefix[:, j + 1] = prefix[:, j] * _BASE + codes[:, j]
+        power = np.uint64(1)
+        for m in range(1, min(n, MAX_PIECE) + 1):
+            power = np.uint64(int(power) * int(_BASE) % (1 << 64))
+            key = prefix[:, m:] - prefix[:, :-m] * power
+            found = out[:, m:, m - 1]
+            for (ids, keys), slot in zip(self.tables, self._slots(key)):
+                hit = keys[slot] == key
+                found[hit] = ids[slot[hit]]
+        alone = out[:, 1:, 0]
+        alone[alone == self.none] = self.size
         return out
 
     def batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -96,7 +120,7 @@ class Lattice:
             for j in range(1, ends):
                 hi = MAX_PIECE - 1 + j
                 # lengths 1..MAX_PIECE start at j-1, j-2, ...
-                a[:, hi] = (a[:, hi - MAX_PIECE:hi][:, ::-1] * p[arcs[:, j]]).sum(1)
+                a[:, hi] = np.einsum("rlg,rlg->rg", a[:, hi - MAX_PIECE:hi][:, ::-1], p[arcs[:, j]])
                 if j % 8 == 0:
                     m = a[:, hi].copy()
                     a[:, hi - MAX_PIECE + 1:hi + 1] /= m[:, None]
@@ -156,9 +180,11 @@ class Model:
         """Posterior of every language under even priors; None for no letter."""
         if self._cache is None:
             lattice = Lattice(self.pieces)
-            self._cache = WordCache(lambda ws: (r.tobytes() for r in lattice.log_probability(ws, self.p)))
+            np.seterr(over="ignore")  # hashes wrap around
+            self._cache = WordCache(lambda ws: (r.tobytes() for r in lattice.log_probability(ws, self.p)),
+                                    cap=800_000)
         lists = [words_of(t) if t is not None and _LETTER.search(t) else [] for t in texts]
-        for values in self._cache.look_up(lists):
+        for values in self._cache.look_up_together(lists):
             if not values or not self.languages:
                 yield None
                 continue
@@ -203,18 +229,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         m = shared.value
-        for b in batches:
-            lang, best = [], []
-            for q in m.posteriors(list(b["text"])):
-                k = None if q is None else int(np.argmax(q))
-                lang.append("und" if k is None else m.languages[k])
-                best.append(0.0 if k is None else float(q[k]))
-            yield b.drop(columns="text").assign(lang_pred=lang, score=best)
-
-    small_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return (docs.select(*[f"`{f.name}`" for f in kept], F.col("text").cast("string").alias("text"))
-            .mapInPandas(score, f"{schema}, lang_pred string, score double"))
+
+        def run(texts):
+            best = [None if q is None else (int(np.argmax(q)), float(q.max())) for q in m.posteriors(texts)]
+            return {"lang_pred": ["und" if k is None else m.languages[k[0]] for k in best],
+                    "score": [0.0 if k is None else k[1] for k in best]}
+        return run
+
+    return map_texts(docs, start, {"lang_pred": "string", "score": "double"})

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intakeflow.llm.common import WordCache, components, small_batches, written
+from intakeflow.llm.common import WordCache, components, map_texts, written
 
 WORDS = 5
 LIMIT = 0.8
@@ -123,21 +123,20 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), k (key of the shingle multiset; null without words), bands."""
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         import xxhash
 
-        for b in batches:
+        def run(texts):
             keys, found = [], []
-            for words in word_lists(list(b["text"])):
+            for words in word_lists(texts):
                 h, c = shingles(words)
                 keys.append(xxhash.xxh128(h.tobytes() + c.astype("<i8").tobytes()).hexdigest() if len(h) else None)
                 found.append(bands(signature(h, c)) if len(h) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "k": keys, "bands": found})
+            return {"k": keys, "bands": found}
+        return run
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
-        "doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(
-        sign, "doc_id long, th long, k string, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_texts(rows.withColumn("th", F.xxhash64("text")), start, {"k": "string", "bands": "array<long>"})
 
 
 def _verified(pairs: DataFrame, store: DataFrame, limit: float, name: str) -> DataFrame:
@@ -184,15 +183,17 @@ def classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     shared = spread.groupBy("h").count().where("count > 1").select("h")
     members = written(spread.join(shared, "h").select("h", "id"), "minhash-buckets")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [shingles(w) for w in word_lists(list(b["text"]))]
-            yield pd.DataFrame({"id": b["id"], "n": [len(h) for h, _ in got], "s": [packed(h, c) for h, c in got]})
+    def start():
+        def run(texts):
+            got = [shingles(w) for w in word_lists(texts)]
+            return {"n": [len(h) for h, _ in got], "s": [packed(h, c) for h, c in got]}
+        return run
 
     wanted = members.select("id").distinct().join(same.select("id", "doc_id", "th"), "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    store = written(texts.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"])
-                    .mapInPandas(pack, "id long, n int, s binary").dropDuplicates(["id"]), "minhash-shingles")
+    store = written(map_texts(texts.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"])
+                    .select("id", "text"), start, {"n": "int", "s": "binary"}).dropDuplicates(["id"]),
+                    "minhash-shingles")
 
     links: DataFrame | None = None
     label = None

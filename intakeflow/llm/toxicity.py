@@ -20,11 +20,10 @@ from struct import pack
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intakeflow.llm.common import WordCache, small_batches
+from intakeflow.llm.common import WordCache, map_texts
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000   # labelled documents in the fitting sample ...
 TRAIN_CHARS = 20_000                    # ... each of at most so many characters
@@ -293,11 +292,11 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
     token = re.compile(r"\S+")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = ["" if t is None else t for t in b["text"]]
+    def start():
+        def run(texts):
+            texts = ["" if t is None else t for t in texts]
             if shared.value is None:
-                value, spans = np.zeros(len(b)), [[] for _ in texts]
+                value, spans = np.zeros(len(texts)), [[] for _ in texts]
             else:
                 value, marginals = shared.value.scores([t.split() for t in texts])
                 spans = []
@@ -305,10 +304,8 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
                     hit = set(np.flatnonzero(p >= 0.5).tolist())
                     spans.append([{"start": m.start(), "end": m.end()} for i, m in enumerate(token.finditer(t))
                                   if i in hit] if hit else [])
-            yield b.drop(columns="text").assign(score=value, predicted=(value >= PREDICT).astype("int32"), spans=spans)
+            return {"score": value, "predicted": (value >= PREDICT).astype("i4"), "spans": spans}
+        return run
 
-    small_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "score", "predicted", "spans")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return (docs.select(*[f"`{f.name}`" for f in kept], F.col("text").cast("string").alias("text"))
-            .mapInPandas(run, f"{schema}, score double, predicted int, spans array<struct<start:int,end:int>>"))
+    return map_texts(docs, start, {"score": "double", "predicted": "int",
+                                   "spans": "array<struct<start:int,end:int>>"})
