@@ -105,6 +105,15 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+@register
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by a bidirectional LSTM over its blocks."""
+    from intakeflow.llm import htmltext
+
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_QUERIES)
 
