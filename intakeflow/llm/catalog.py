@@ -43,6 +43,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model)
 
 
+@register
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids by a max-plus scan, and the CRC-32 of the text decoded from them."""
+    from intakeflow.llm import pieces
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), path)
+    decoded = pieces.decode(encoded.withColumn("tokens", F.col("ids")), path)
+    return decoded.select("doc_id", "part", "parts", "n_tokens", F.col("tokens").alias("ids"),
+                          F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
+
+
 @register
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a conditional random field, learned from labelled rows whose
