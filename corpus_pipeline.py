@@ -30,12 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def start():
         def run(texts):
             best = [None if q is None else float(q.max()) for q in shared.value.posteriors(texts)]
-            return {"_score": best, "_text": texts}
+            return {"__score": best, "__text": texts}
         return run
 
     # the text passes through as a column of its own, since the operator takes it in
-    out = map_texts(docs, start, {"_score": "double", "_text": "string"})
-    return (out.where(F.col("_score") >= LEAST_SCORE).withColumnRenamed("_text", "text")
+    out = map_texts(docs, start, {"__score": "double", "__text": "string"})
+    return (out.where(F.col("__score") >= LEAST_SCORE).withColumnRenamed("__text", "text")
             .select(*[f"`{c}`" for c in docs.columns]))
 
 
@@ -48,11 +48,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         def run(texts):
             lists = [(t or "").split() for t in texts]
             value = [0.0] * len(texts) if shared.value is None else shared.value.scores(lists)[0]
-            return {"_score": value, "_text": texts}
+            return {"__score": value, "__text": texts}
         return run
 
-    out = map_texts(docs, start, {"_score": "double", "_text": "string"})
-    return (out.where(F.col("_score") < toxicity.PREDICT).withColumnRenamed("_text", "text")
+    out = map_texts(docs, start, {"__score": "double", "__text": "string"})
+    return (out.where(F.col("__score") < toxicity.PREDICT).withColumnRenamed("__text", "text")
             .select(*[f"`{c}`" for c in docs.columns]))
 
 
@@ -61,15 +61,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows repeated with the same id and text one stays; rows without an id are compared with none
     and stay."""
-    kept = probminhash.classes(docs).where("kept and doc_id is not null").groupBy("doc_id", "th").agg(
-        F.count("*").alias("copies"))
+    kept = probminhash.classes(docs).where("kept and doc_id is not null").groupBy(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("__copies"))
     columns = [f"`{c}`" for c in docs.columns]
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn(
-        "_th", F.xxhash64(F.col("text").cast("string")))
-    found = keyed.join(kept, (F.col("_id") == kept["doc_id"]) & (F.col("_th") == kept["th"])).drop(
-        kept["doc_id"], kept["th"])
-    single = found.where("copies = 1").select(*columns)
-    repeated = found.where("copies > 1").dropDuplicates(["_id", "_th"]).select(*columns)
+    found = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn(
+        "__th", F.xxhash64(F.col("text").cast("string"))).join(kept, ["__id", "__th"])
+    single = found.where("__copies = 1").select(*columns)
+    repeated = found.where("__copies > 1").dropDuplicates(["__id", "__th"]).select(*columns)
     return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
