@@ -27,9 +27,26 @@ def py_strip(c: Column) -> Column:
     return F.trim(c, F.lit(PY_WHITESPACE))
 
 
+# %z in text: +0800, +08:00, +08:00:30 or Z (fixed by strptime)
+_OFFSET = r"(Z|[+-]\d{2}:?\d{2}(:?\d{2}(\.\d+)?)?)"
+
+
 def parse_with(c: Column, fmt: str) -> Column:
-    """``datetime.strptime(str(v), fmt)`` or NULL when the text does not fully match."""
-    return F.try_to_timestamp(c.cast("string"), F.lit(strptime_to_spark(fmt)))
+    """``datetime.strptime(str(v), fmt)`` or NULL when the text does not fully match.
+
+    The wall clock of the text counts: with ``%z`` the offset must be there and is then left
+    out of account.  ``%y`` follows strptime's pivot (69-99 are 19xx).
+    """
+    text = c.cast("string")
+    if "%z" in fmt:
+        if not fmt.endswith("%z"):
+            raise ValueError(f"%z is supported at the end of a format only, not in {fmt!r}")
+        text = F.when(text.rlike(_OFFSET + "$"), F.regexp_replace(text, _OFFSET + "$", ""))
+        fmt = fmt[:-2]
+    parsed = F.try_to_timestamp(text, F.lit(strptime_to_spark(fmt)))
+    if "%y" in fmt:
+        parsed = F.when(F.year(parsed) >= 2069, parsed - F.make_ym_interval(F.lit(100))).otherwise(parsed)
+    return parsed
 
 
 def month_suffix(c: Column, dtype: T.DataType, fmt: str,
@@ -76,8 +93,12 @@ def parse_any_date(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """numeric coerce; unparsable, NULL and NaN -> 0.0 (infinity kept)."""
-    x = c.cast("string").try_cast("double")
+    """numeric coerce; unparsable, NULL and NaN -> 0.0 (infinity kept).
+
+    Java's number suffixes (``5D``, ``7f``) are not numbers here.
+    """
+    text = py_strip(c.cast("string"))
+    x = F.when(~text.rlike("(?i)[0-9.][df]$"), text.try_cast("double"))
     return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x)
 
 
@@ -105,16 +126,6 @@ def text_fill(c: Column) -> Column:
     return F.when(s.isin(*NULL_TOKENS_EXACT), F.lit("")).otherwise(s)
 
 
-def number_fill(c: Column) -> Column:
-    """NULL and NaN -> 0."""
-    return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
-
-
-def nan_to_null(c: Column) -> Column:
-    """F16: NaN -> NULL before output."""
-    return F.nanvl(c, F.lit(None).cast("double"))
-
-
 def quality_band(score: Column) -> Column:
     """>= 90 good, >= 70 fair, else attention."""
     return (F.when(score >= QUALITY_BAND_GOOD, F.lit("good"))
@@ -126,6 +137,11 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def file_id(*key: str) -> Column:
+    """Non-negative 63-bit id of a file version, the same in the ledger and the quality log."""
+    return F.xxhash64(*[F.col(k) for k in key]).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+
+
 def lease_expiry(as_of: Column, seconds: int = CLAIM_LEASE_SECONDS) -> Column:
     """as_of + lease."""
     return as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
@@ -150,9 +166,7 @@ def avg_half_up(c: Column, decimals_in: int, places: int) -> Column:
     s = F.sum(scaled) * F.lit(10 ** (places - decimals_in))
     n = F.count(c)
     q = (F.lit(2) * s + n).cast("bigint")
-    # q and 2n are integers; the double quotient is exact enough for floor() while
-    # quotient * count stays below 2^52 (true remainders are >= 1/(2n)).
-    units = F.when(n > 0, F.floor(q.cast("double") / (F.lit(2) * n).cast("double")))
+    units = F.when(n > 0, F.call_function("div", q, (F.lit(2) * n).cast("bigint")))  # whole numbers throughout
     return (units / F.lit(10 ** places)).cast("double")
 
 

@@ -180,13 +180,43 @@ class TransformContractError(RuntimeError):
     """U4: user code returned something other than a list of dicts / None."""
 
 
+def _outputs(fn: Callable[[list[dict]], list], rows: list[dict], id_col: str, by_row: list[bool]) -> list:
+    """``(input row or None, output dict)`` pairs of one call of the user function.
+
+    Outputs that carry the id belong to that row.  Outputs without ids belong to the inputs in
+    order when there are as many as inputs; otherwise the function is called once per row, for
+    this and all later calls, so that omitted and split rows keep their identity.
+    """
+    def call(some: list[dict]) -> list:
+        result = fn([dict(r) for r in some])
+        if not isinstance(result, list):
+            raise TransformContractError(f"transform must return a list, got {type(result).__name__}")
+        for pos, r in enumerate(result):
+            if r is not None and not isinstance(r, dict):
+                raise TransformContractError(f"row {pos} is {type(r).__name__}, not a dict")
+        return result
+
+    if not by_row[0]:
+        result = call(rows)
+        by_id = {r[id_col]: r for r in rows}
+        if all(r is None or r.get(id_col) in by_id for r in result) and any(r is not None for r in result):
+            return [(by_id[r[id_col]], r) for r in result if r is not None]
+        if len(result) == len(rows):
+            return [(by_id.get(r.get(id_col), row), r) for row, r in zip(rows, result) if r is not None]
+        if len(rows) == 1 or not result:
+            return [(rows[0], r) for r in result if r is not None]
+        by_row[0] = True
+    return [(row, r) for row in rows for r in call([row]) if r is not None]
+
+
 def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_schema: T.StructType,
-                       id_col: str = ROW_ID, keep: Iterable[str] = ()) -> DataFrame:
-    """Run ``fn(rows) -> rows`` per Arrow batch.
+                       id_col: str = ROW_ID, keep: Iterable[str] = (), file_col: str = "_file") -> DataFrame:
+    """Run ``fn(rows) -> rows`` per Arrow batch, never over rows of two files at once.
 
     ``df`` must carry a unique ``id_col``.  An output row keeps the input's id
-    when ``fn`` passes it through (dict copy); otherwise outputs pair with
-    inputs by position.  Inputs without a surviving output are emitted with
+    when ``fn`` passes it through (dict copy); outputs without ids pair with inputs
+    by position when their number is the same, else ``fn`` is called row by row.
+    Inputs without a surviving output are emitted with
     ``_valid = false`` and the input row as JSON in ``_error``.  ``keep`` columns
     are copied from the paired input row onto every output (identity, G1).
     Output columns: keep + ``out_schema`` + id_col + ``_valid`` + ``_error``.
@@ -203,26 +233,18 @@ def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_sche
         T.StructField(REASON, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_row = [False]
         for pdf in batches:
             rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-            by_id = {r[id_col]: r for r in rows}
-            result = fn([dict(r) for r in rows])
-            if not isinstance(result, list):
-                raise TransformContractError(
-                    f"transform must return a list, got {type(result).__name__}")
+            files: dict = {}
+            for r in rows:
+                files.setdefault(r.get(file_col), []).append(r)
             ok, seen = [], set()
-            for pos, r in enumerate(result):
-                if r is None:
-                    continue
-                if not isinstance(r, dict):
-                    raise TransformContractError(f"row {pos} is {type(r).__name__}, not a dict")
-                rid = r.get(id_col)
-                if rid is None and pos < len(rows):
-                    rid = rows[pos][id_col]
-                seen.add(rid)
-                src = by_id.get(rid, {})
-                ok.append({**{k: src.get(k) for k in keep}, **{k: r.get(k) for k in fields},
-                           id_col: rid, VALID: True, REASON: None})
+            for some in files.values():
+                for src, r in _outputs(fn, some, id_col, by_row):
+                    seen.add(src[id_col])
+                    ok.append({**{k: src.get(k) for k in keep}, **{k: r.get(k) for k in fields},
+                               id_col: src[id_col], VALID: True, REASON: None})
             bad = [{**{k: r.get(k) for k in keep}, **{k: None for k in fields}, id_col: r[id_col],
                     VALID: False, REASON: json.dumps({k: v for k, v in r.items() if k != id_col}, default=str)}
                    for r in rows if r[id_col] not in seen]
@@ -231,43 +253,48 @@ def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_sche
     return df.mapInPandas(run, schema)
 
 
-# Largest file (in rows) handed whole to a pandas frame function; larger files must use
-# native cleaners or the row adapter, which stream per Arrow batch.
-MAX_FRAME_ROWS = 2_000_000
-
-
-class FrameTooLargeError(RuntimeError):
-    """A file is too large to be handed to a pandas frame function as one group."""
-
-
 def apply_frame_function(df: DataFrame, fn: Callable, out_schema: T.StructType,
-                         file_col: str = "_file", max_rows: int = MAX_FRAME_ROWS) -> DataFrame:
+                         file_col: str = "_file") -> DataFrame:
     """``fn(pandas.DataFrame) -> pandas.DataFrame`` per file (``groupBy(file).applyInPandas``).
 
-    A whole file goes to one Python worker, so file sizes are checked first with a
-    partial aggregate (one small job); a file over ``max_rows`` raises instead of
-    being pulled into a single task.
+    The contract hands the function a whole file, so a file goes to one Python worker; use native
+    cleaners or the row adapter, which stream, where files are large.  A result that is no
+    DataFrame is turned into one where pandas can (a list of dicts, a dict of lists; U4).  When
+    ``out_schema`` holds ``_valid`` and ``_error``, a file whose function fails comes out as one
+    row with ``_valid = false`` and the error, and the other files are unaffected; without
+    these columns the error fails the job.
     """
     import pandas as pd
 
-    too_big = (df.groupBy(file_col).agg(F.count(F.lit(1)).alias("n"))
-               .filter(F.col("n") > max_rows).limit(5).collect())
-    if too_big:
-        raise FrameTooLargeError(
-            f"files over {max_rows} rows cannot go to a frame function: "
-            + ", ".join(f"{r[file_col]} ({r['n']})" for r in too_big))
-
     names = out_schema.fieldNames()
+    flagged = VALID in names and REASON in names
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
         res = fn(pdf.drop(columns=[file_col]).reset_index(drop=True))
         if not isinstance(res, pd.DataFrame):
-            raise TransformContractError(f"clean_data must return a DataFrame, got {type(res).__name__}")
-        res = res.copy()
+            if res is None or isinstance(res, (str, bytes)):
+                raise TransformContractError(f"clean_data must return a DataFrame, got {type(res).__name__}")
+            try:
+                res = pd.DataFrame(res)
+            except Exception as exc:
+                raise TransformContractError(
+                    f"clean_data must return a DataFrame, got {type(res).__name__}") from exc
+        return res.copy()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            res = call(pdf)
+        except Exception as exc:  # noqa: BLE001 - user code
+            if not flagged:
+                raise
+            res = pd.DataFrame({VALID: [False], REASON: [f"{type(exc).__name__}: {exc}"]})
+        else:
+            if flagged and VALID not in res.columns:
+                res[VALID] = True
         res[file_col] = pdf[file_col].iloc[0] if len(pdf) else None
-        missing = [c for c in names if c not in res.columns]
-        for c in missing:
-            res[c] = None
+        for c in names:
+            if c not in res.columns:
+                res[c] = None
         return res[names]
 
     return df.groupBy(file_col).applyInPandas(run, out_schema)

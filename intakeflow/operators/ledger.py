@@ -16,9 +16,9 @@ Key: (task_id, file_path, file_mtime).  Event kinds:
   ARCHIVED    archive path of a SUCCESS file
 
 Scale: the fold is two aggregates around one equi join on the key, with no
-window over a key and no collect; the aggregates have a map-side partial step
-(sort-based, as their buffers hold structs), so a file with a huge event
-history is still folded per map task before the shuffle.
+window over a key and no collect.  Events are joined with the reset markers of their
+keys, which are one row per file; where that side is small enough to broadcast, the
+second aggregate's partial step still runs before the shuffle.
 """
 
 from __future__ import annotations
@@ -30,12 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intakeflow.functions.columns import base_name, lease_expiry, ts_lit
+from intakeflow.functions.columns import file_id, lease_expiry, ts_lit
 from intakeflow.spec import CLAIM_LEASE_SECONDS, RETRY_BACKOFF_SECONDS
 
 KEY = ("task_id", "file_path", "file_mtime")
-# Task-settings tables up to this many rows are broadcast in the work-list join.
-MAX_BROADCAST_TASKS = 100_000
 STATUS_EVENTS = ("SNAPSHOT", "CLAIMED", "PROCESSING", "SUCCESS", "FAILED", "SKIPPED", "RETRY")
 RESET_EVENTS = ("SNAPSHOT", "RETRY")
 
@@ -84,7 +82,7 @@ def fold(events: DataFrame, lease_seconds: int = CLAIM_LEASE_SECONDS) -> DataFra
     o = _order()
     reset = ev.groupBy(*KEY).agg(
         F.max(F.when(F.col("event").isin(*RESET_EVENTS), o)).alias("_reset"))
-    j = ev.join(reset, list(KEY), "left")  # AQE splits a skewed key on the event side
+    j = ev.join(reset, list(KEY), "left")
     after = F.col("_reset").isNull() | (o >= F.col("_reset"))
 
     def last(value: Column, cond: Column) -> Column:
@@ -115,7 +113,7 @@ def fold(events: DataFrame, lease_seconds: int = CLAIM_LEASE_SECONDS) -> DataFra
     claim_exp = F.when(F.col("_claim.event") == "SNAPSHOT", F.col("_claim.claim_expires_at")) \
         .otherwise(lease_expiry(F.col("_claim.event_time"), lease_seconds))
     return agg.select(
-        *KEY, F.element_at(F.split("file_path", "/"), -1).alias("file_name"),
+        file_id(*KEY).alias("id"), *KEY, F.element_at(F.split("file_path", "/"), -1).alias("file_name"),
         status.alias("status"), "retry_count",
         F.when(status.isin("FAILED", "SKIPPED"), F.col("_err.error_type")).alias("error_type"),
         F.when(status.isin("FAILED", "SKIPPED"), F.col("_err.error_message")).alias("error_message"),
@@ -226,8 +224,7 @@ def worklist(decisions: DataFrame, tasks: DataFrame, as_of: _dt.datetime,
     """Claimable files with their task priority, due now, ordered by
     (priority, file_mtime, file_path).
 
-    ``tasks`` is the configured task table (one row per task - bounded by the
-    configuration, hence broadcast).
+    ``tasks`` is the configured task table (one row per task).
     """
     got = decisions.filter(F.col("decision").startswith("CLAIM"))
     if last_failure is not None:
@@ -236,11 +233,7 @@ def worklist(decisions: DataFrame, tasks: DataFrame, as_of: _dt.datetime,
         got = got.withColumn("next_attempt_at",
                              F.when(F.col("decision") == "CLAIM_RETRY", due)) \
             .filter(F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= ts_lit(as_of)))
-    settings = tasks.select("task_id", "priority")
-    # Task settings come from configuration; broadcast them only when that bound holds.
-    if settings.limit(MAX_BROADCAST_TASKS + 1).count() <= MAX_BROADCAST_TASKS:
-        settings = F.broadcast(settings)
-    j = got.join(settings, "task_id", "inner")
+    j = got.join(tasks.select("task_id", "priority"), "task_id", "inner")  # AQE picks the join
     return j.orderBy("priority", "file_mtime", "file_path")
 
 
@@ -262,8 +255,3 @@ def status_lookup(current: DataFrame, task_id: str, file_path: str, file_mtime:
     if file_mtime is not None:
         return hit.filter(F.col("file_mtime") == file_mtime).select(*KEY, "status", "retry_count")
     return hit.orderBy(F.desc("file_mtime")).limit(1).select(*KEY, "status", "retry_count")
-
-
-def alert_name(path: Column) -> Column:
-    """Alerts carry only the base name of a path."""
-    return base_name(path)

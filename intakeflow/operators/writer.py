@@ -10,14 +10,15 @@ Scale notes
     aggregate with a map-side partial step (sort-based, as the buffer holds
     strings), so a key holding a third of all rows is folded per map task
     before the shuffle (no window over a key, no straggler).
-  * J1 reads only the key columns of the *touched* months (static partition
-    pruning from a bounded list of months) and lets AQE decide at run time
-    whether the key side is small enough to broadcast.
+  * J1 reads only the key columns of the *touched* months: a semi join with the
+    batch's months, of which a calendar has at most 120,000 (``YYYYMM``), prunes the
+    target's partitions at run time; AQE decides whether the key side is small enough
+    to broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ from intakeflow.functions.columns import qcol
 from intakeflow.operators.route import FALLBACK, MONTH
 from intakeflow.session import path_exists
 
-# Months in one batch beyond this are not collected for pruning (no pruning then).
-MAX_PRUNE_MONTHS = 5000
+# Group key of rows that are duplicates of nothing (see ``first_per_key``).
+ALONE = "__alone"
 
 
 def align_columns(frames: Sequence[DataFrame]) -> DataFrame:
@@ -57,14 +58,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str])
     ordered = [c for c in order_cols if c not in keys]
     payload = ordered + [c for c in cols if c not in keys and c not in ordered]
     packed = F.struct(*[qcol(c).alias(c) for c in payload])
-    has_null = _null_key(keys)
-    keyed = df.filter(~has_null)
-    firsts = (keyed.groupBy(*[qcol(k) for k in keys])
-              .agg(F.min(packed).alias("_first"))
-              .select(*[qcol(k) for k in keys],
-                      *[F.col("_first").getField(c).alias(c) for c in payload])
-              .select(*[qcol(c) for c in cols]))
-    return firsts.unionByName(df.filter(has_null))
+    # one pass: a row with a NULL key part gets a number of its own in the group key
+    alone = F.when(_null_key(keys), F.monotonically_increasing_id())
+    return (df.withColumn(ALONE, alone).groupBy(*[qcol(k) for k in keys], ALONE)
+            .agg(F.min(packed).alias("_first"))
+            .select(*[qcol(k) for k in keys], *[F.col("_first").getField(c).alias(c) for c in payload])
+            .select(*[qcol(c) for c in cols]))
 
 
 def plan_first_wins(new: DataFrame, existing: DataFrame | None, keys: Sequence[str],
@@ -100,22 +99,19 @@ def read_target(spark: SparkSession, path: str, months: Sequence[str] | None = N
     return df
 
 
-def touched_months(df: DataFrame) -> list[str] | None:
-    """Distinct months of a batch, collected only when bounded (calendar-sized)."""
-    rows = df.select(MONTH).distinct().limit(MAX_PRUNE_MONTHS + 1).collect()
-    if len(rows) > MAX_PRUNE_MONTHS:
-        return None
-    return sorted(r[0] for r in rows)
-
-
 def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
-                     order_cols: Sequence[str], archived_months: Sequence[str] = ()) -> dict:
+                     order_cols: Sequence[str], archived_months: Sequence[str] = (),
+                     quarantine_path: str | None = None,
+                     finish: Callable[[DataFrame], DataFrame] | None = None) -> dict:
     """K2 end to end: dedupe, anti-join against the target, append by month.
 
     ``new`` must carry ``month`` (see ``route_months``).  Returns counts
     ``received``, ``inserted``, ``ignored``, ``fallback_routed`` and
     ``rejected_archived``.  Replaying the same batch inserts 0 rows (T7).  Rows
-    routed to an ARCHIVED month are not written (L7) and are counted as rejected.
+    routed to an ARCHIVED month are not written to the target (L7): they are counted
+    as rejected and appended to the dataset at ``quarantine_path`` (default: beside the
+    target), never dropped.  ``finish`` reshapes the surviving rows
+    just before they are stored (e.g. field encryption, which must not touch the keys).
 
     Counts stay exact when executors are lost: the input counts come from a
     per-month aggregate job (job results, one row per month - which also gives the
@@ -125,28 +121,26 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
     spark = new.sparkSession
     fb = F.col(FALLBACK).cast("long") if FALLBACK in new.columns else F.lit(0).cast("long")
     archived = F.col(MONTH).isin(list(archived_months)) if archived_months else F.lit(False)
-    per_month = new.groupBy(MONTH).agg(F.count(F.lit(1)).alias("n"), F.sum(fb).alias("fb"),
-                                      F.count_if(archived).alias("rej"))
-    rows = per_month.limit(MAX_PRUNE_MONTHS + 1).collect()
-    if len(rows) <= MAX_PRUNE_MONTHS:
-        months = sorted(r[MONTH] for r in rows if r["rej"] < r["n"])
-        received, fallback, rej = (sum(int(r[c] or 0) for r in rows) for c in ("n", "fb", "rej"))
-    else:  # not calendar-sized: no pruning, totals from one more aggregate
-        months = None
-        t = per_month.agg(F.sum("n"), F.sum("fb"), F.sum("rej")).first()
-        received, fallback, rej = (int(v or 0) for v in t)
+    quarantine_path = quarantine_path or target_path.rstrip("/") + "_quarantine"
+    rows = new.groupBy(MONTH).agg(F.count(F.lit(1)).alias("n"), F.sum(fb).alias("fb"),
+                                  F.count_if(archived).alias("rej")).collect()
+    received, fallback, rej = (sum(int(r[c] or 0) for r in rows) for c in ("n", "fb", "rej"))
     body = new.drop(FALLBACK) if FALLBACK in new.columns else new
+    if rej:
+        (body.filter(archived).withColumn("quarantine_reason", F.lit("archived_month"))
+         .write.mode("append").partitionBy(MONTH).parquet(quarantine_path))
     body = body.filter(~archived)
     existing = read_target(spark, target_path) if keys else None
     if existing is not None:  # prune the target to the months this batch touches
-        if months is not None:
-            existing = existing.filter(F.col(MONTH).isin(months))
-        existing = existing.select(MONTH, *[qcol(k) for k in keys])
+        months = spark.createDataFrame([(r[MONTH],) for r in rows if r["rej"] < r["n"]], f"{MONTH} string")
+        existing = existing.join(F.broadcast(months), MONTH, "left_semi").select(MONTH, *[qcol(k) for k in keys])
     # REBALANCE by month: AQE sizes the write tasks per month (few files per month partition,
     # a hot month split into several tasks) instead of every task writing into every month.
     obs_out = Observation("inserted")
-    to_insert = plan_first_wins(body, existing, keys, order_cols).hint("rebalance", MONTH).observe(
-        obs_out, F.count(F.lit(1)).alias("n"))
+    to_insert = plan_first_wins(body, existing, keys, order_cols)
+    if finish is not None:
+        to_insert = finish(to_insert)
+    to_insert = to_insert.hint("rebalance", MONTH).observe(obs_out, F.count(F.lit(1)).alias("n"))
     to_insert.write.mode("append").partitionBy(MONTH).parquet(target_path)
     inserted = int(obs_out.get["n"])
     return {"received": received, "inserted": inserted, "ignored": received - inserted - rej,

@@ -50,7 +50,7 @@ def write_json_deliveries(spark: SparkSession, sf_dir: str, name: str = "orders"
     out = scratch_path(spark, f"deliveries-{name}-json-{uuid.uuid4().hex[:8]}")
     df = table(spark, sf_dir, name)
     n_files = max(1, -(-df.count() // JSON_ROWS_PER_FILE))
-    keyed = df.withColumn("_b", F.abs(F.xxhash64(*df.columns)) % n_files)
+    keyed = df.withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.lit(n_files)))
     docs = keyed.groupBy("_b").agg(F.to_json(
         F.struct(F.collect_list(F.struct(*df.columns)).alias("data")),
         {"timestampNTZFormat": TS_TEXT}).alias("value"))

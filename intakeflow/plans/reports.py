@@ -116,10 +116,6 @@ def file_count(pf: DataFrame, status=None, task_id=None, size=None) -> DataFrame
     return c.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(s))).cast("bigint"))
 
 
-def pages_for(total: int, size: int) -> int:
-    return max(1, math.ceil(total / size))
-
-
 def render_file_rows(pf: DataFrame, full: bool = False) -> DataFrame:
     """P10: each row as JSON; NULL fields dropped unless ``full``; the path only in the full view."""
     cols = [c for c in FILE_LIST_COLS if full or c != "file_path"]
@@ -159,8 +155,15 @@ def status_distribution(pf: DataFrame, task_id: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Quality log: A8, W1, O4
 # ---------------------------------------------------------------------------
+def latest_reports(dq: DataFrame) -> DataFrame:
+    """The latest quality row per file (a replayed batch appends its rows again)."""
+    return latest_per(dq, "file_id", [c for c in ("batch_time", "batch_id") if c in dq.columns])
+
+
 def quality_trend(dq: DataFrame, as_of: _dt.datetime, days=TREND_DAYS[0]) -> DataFrame:
-    """Per task and day: batches, avg / min score (2 places), rows and error rows."""
+    """Per task and day: batches, avg / min score (2 places), rows and error rows.
+
+    ``dq`` holds one row per file (``latest_reports`` of an append-only log)."""
     n = clamp_days(days, TREND_DAYS)
     return dq.filter(_since("batch_time", as_of, n)).groupBy(
         "task_id", F.to_date("batch_time").alias("day")).agg(
@@ -222,8 +225,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 # rollups
 # ---------------------------------------------------------------------------
 def daily_rollup(pf: DataFrame, dq: DataFrame) -> DataFrame:
-    """A10 (J4): per (task, day): files by status, rows, valid rows, avg quality, avg time."""
-    q = dq.select(F.col("file_id").alias("id"), "quality_score")
+    """A10 (J4): per (task, day): files by status, rows, valid rows, avg quality, avg time.
+
+    Of several quality rows of a file the latest counts, so re-runs count a file once."""
+    q = latest_reports(dq).select(F.col("file_id").alias("id"), "quality_score")
     j = pf.join(q, "id", "left")
     return j.groupBy("task_id", F.to_date("created_at").alias("stat_date")).agg(
         F.count(F.lit(1)).alias("total_files"),

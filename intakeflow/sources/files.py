@@ -15,7 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intakeflow.spec import CHARSET_SAMPLE, EXTENSIONS, FINGERPRINT_SAMPLE, FORMATS
+from intakeflow.spec import EXTENSIONS, FINGERPRINT_SAMPLE, FORMATS
+
+
+def plain_path(uri: Column) -> Column:
+    """The file path of a ``_metadata.file_path`` (percent-encoded URI), as listings show it."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, "^file:(//(?=/))?", ""), F.lit("+"), F.lit("%2B")))
+
+
+def as_glob(path: str) -> str:
+    """A path that readers must not take for a pattern."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
 
 
 def _ext(path: Column) -> Column:
@@ -82,56 +92,51 @@ def fingerprints(spark: SparkSession, folder: str, recursive: bool = False,
 
 
 # ---------------------------------------------------------------------------
-# Charset detection (trial decoding of a head + middle sample)
+# Charset detection
 # ---------------------------------------------------------------------------
 _BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"),
          (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
-# Trial order after BOM sniffing: strict decoders; a sample cut mid-character is allowed.
+# Trial order after BOM sniffing: strict decoders over the whole content.
 _TRIALS = ("utf-8", "gb18030")
 
 
-def _decodes(sample: bytes, charset: str) -> bool:
+def _decodes(data: bytes, charset: str, step: int = 1 << 20) -> bool:
     dec = codecs.getincrementaldecoder(charset)("strict")
     try:
-        dec.decode(sample, final=False)
+        for i in range(0, len(data), step):
+            dec.decode(data[i:i + step], final=i + step >= len(data))
         return True
     except UnicodeDecodeError:
         return False
 
 
-def sniff_charset(head: bytes, mid: bytes | None) -> str:
-    """Charset of a sample: BOM, else the first strict decoder that accepts it, else utf-8."""
+def sniff_charset(data: bytes, rest: bytes | None = None) -> str:
+    """Charset of a file's content: BOM, else the first strict decoder that accepts all of it, else utf-8."""
+    data = data + (rest or b"")
     for bom, name in _BOMS:
-        if head.startswith(bom):
+        if data.startswith(bom):
             return name
-    for cs in _TRIALS:
-        if _decodes(head, cs) and (not mid or _decodes(mid[4:], cs) or _decodes(mid[1:], cs)
-                                   or _decodes(mid[2:], cs) or _decodes(mid[3:], cs) or _decodes(mid, cs)):
-            return cs
-    return "utf-8"
+    return next((cs for cs in _TRIALS if _decodes(data, cs)), "utf-8")
 
 
 def detect_charsets(spark: SparkSession, folder: str, hint: str | None = None,
                     recursive: bool = False, modified_after: str | None = None) -> DataFrame:
-    """``(path, charset)`` per file.  An explicit hint wins; otherwise a 32 KiB head
-    (+ 32 KiB from the middle when the file is over 64 KiB) is trial-decoded per file
-    inside a ``mapInPandas`` task."""
+    """``(path, charset)`` per file.  An explicit hint wins.  Valid UTF-8 without a byte order
+    mark is told apart in the JVM; only other files' bytes go to the strict decoders, whole."""
     files = _binary(spark, folder, recursive, modified_after)
     path = F.regexp_replace("path", "^file:", "").alias("path")
     if hint and hint != "auto":
         return files.select(path, F.lit(hint).alias("charset"))
-    n = F.col("length")
-    samples = files.select(
-        path, F.substring("content", 1, CHARSET_SAMPLE).alias("head"),
-        F.when(n > 2 * CHARSET_SAMPLE,
-               F.substring(F.col("content"), (n / 2).cast("int") + 1, CHARSET_SAMPLE)).alias("mid"))
+    bom = F.substring(F.hex(F.substring("content", 1, 4)), 1, 8)
+    marked = bom.startswith("EFBBBF") | bom.startswith("FFFE") | bom.startswith("FEFF") | (bom == "0000FEFF")
+    plain = F.expr("is_valid_utf8(cast(content as string))") & ~F.coalesce(marked, F.lit(False))
+    known = files.select(path, F.when(~plain, F.col("content")).alias("content"))
 
     def run(batches: Iterator):
         import pandas as pd
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"],
-                                "charset": [sniff_charset(bytes(h or b""), bytes(m) if m is not None else None)
-                                            for h, m in zip(pdf["head"], pdf["mid"])]})
+            yield pd.DataFrame({"path": pdf["path"], "charset": [
+                "utf-8" if c is None else sniff_charset(bytes(c)) for c in pdf["content"]]})
 
-    return samples.mapInPandas(run, T.StructType([T.StructField("path", T.StringType()),
-                                                  T.StructField("charset", T.StringType())]))
+    return known.mapInPandas(run, T.StructType([T.StructField("path", T.StringType()),
+                                                T.StructField("charset", T.StringType())]))

@@ -314,7 +314,7 @@ def table_as_workbooks(spark: SparkSession, sf_dir: str, name: str, rows_per_boo
     df = table(spark, sf_dir, name)
     cols = df.columns
     n_books = max(1, -(-df.count() // rows_per_book))
-    keyed = df.withColumn("_book", F.abs(F.xxhash64(*cols)) % n_books)
+    keyed = df.withColumn("_book", F.pmod(F.xxhash64(*cols), F.lit(n_books)))
     dates = frozenset(date_cols)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

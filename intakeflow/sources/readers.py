@@ -9,6 +9,7 @@ first-wins ordering by ``(delivery, _file, _row)`` is deterministic.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -19,44 +20,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from intakeflow.sources.files import as_glob, plain_path
+
 FILE = "_file"
 ROW = "_row"
 CORRUPT = "_corrupt_record"
 
 
 def _with_identity(df: DataFrame) -> DataFrame:
-    return df.withColumn(FILE, F.regexp_replace(F.col("_metadata.file_path"), "^file:", "")) \
+    return df.withColumn(FILE, plain_path(F.col("_metadata.file_path"))) \
         .withColumn(ROW, F.monotonically_increasing_id())
 
 
+def _as_list(paths: str | Sequence[str]) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
+
+
+def csv_encoding(spark: SparkSession, encoding: str | None) -> str:
+    """The decoder's name; charsets beyond the JVM's standard set need a session switch."""
+    if encoding and encoding.lower().replace("-", "") not in ("utf8", "utf8sig"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return "utf-8" if encoding in (None, "utf-8-sig") else encoding
+
+
+def csv_headers(spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8",
+                recursive: bool = False, glob: str | None = None) -> dict[tuple[str, ...], list[str]]:
+    """Header row -> its files.  The first line of every file is found by one aggregate over the
+    files' lines; file names pass through the driver, as they do in Spark's own file index."""
+    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    lines = r.text(_as_list(paths)).select(
+        F.col("value").cast("binary").alias("line"), plain_path(F.col("_metadata.file_path")).alias(FILE),
+        F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.where((F.col("at") == 0) & (F.trim(F.col("line").cast("string")) != "")).groupBy(FILE).agg(
+        F.min_by("line", "n").alias("line"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy(FILE).collect():
+        text = bytes(row["line"]).decode(csv_encoding(spark, encoding), "replace").lstrip("\ufeff").rstrip("\r")
+        cells = next(csv.reader([text]), [])
+        out.setdefault(tuple(cells), []).append(row[FILE])
+    return out
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8",
-             schema: T.StructType | None = None, infer: bool = False, recursive: bool = False) -> DataFrame:
+             schema: T.StructType | None = None, infer: bool = False, recursive: bool = False,
+             glob: str | None = None) -> DataFrame:
     """S1 (and S10 with ``infer=True``): header row, RFC-4180 quotes (``""`` escape),
     newlines inside quotes, blank lines skipped, undecodable bytes -> U+FFFD.
 
-    Without ``schema`` every column is a string.  Charsets other than the
-    JVM's standard set (e.g. GBK) need ``spark.sql.legacy.javaCharsets``.
+    Columns go by name: every file's own header row maps its cells (the last of two columns
+    with one name counts).  With ``schema`` its columns come out - NULL where a file has none,
+    further columns of a file left out; without one, the union of all headers (P3), as strings.
+    Files with the same header are read together.  ``infer=True`` reads one kind of file.
     """
-    if encoding and encoding.lower().replace("-", "") not in ("utf8", "utf8sig"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    enc = "utf-8" if encoding in (None, "utf-8-sig") else encoding
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("encoding", enc).option("mode", "PERMISSIVE")
-         .option("recursiveFileLookup", str(recursive).lower()))
+    enc = csv_encoding(spark, encoding)
+
+    def reader():
+        r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+             .option("encoding", enc).option("mode", "PERMISSIVE")
+             .option("recursiveFileLookup", str(recursive).lower()))
+        return r.option("pathGlobFilter", glob) if glob else r
+
+    if infer:
+        return _with_identity(reader().option("inferSchema", True).csv(_as_list(paths)))
+    groups = csv_headers(spark, paths, encoding, recursive, glob)
     if schema is not None:
-        r = r.schema(schema)
-    elif infer:
-        r = r.option("inferSchema", True)
-    df = r.csv(list(paths) if not isinstance(paths, str) else paths)
-    if encoding == "utf-8-sig" and df.columns and df.columns[0].startswith("﻿"):
-        df = df.withColumnRenamed(df.columns[0], df.columns[0][1:])
-    return _with_identity(df)
+        fields = [f for f in schema.fields]
+    else:
+        names = list(dict.fromkeys(n for header in groups for n in header if n != ""))
+        fields = [T.StructField(n, T.StringType()) for n in names]
+    parts = []
+    for header, files in groups.items():
+        kind = {f.name: f.dataType for f in fields}
+        place = {n: i for i, n in enumerate(header)}  # the last column of a name
+        own = T.StructType([T.StructField(f"c{i}", kind.get(n, T.StringType())) for i, n in enumerate(header)])
+        where = paths if len(groups) == 1 else [as_glob(f) for f in files]
+        rows = _with_identity(reader().schema(own).csv(_as_list(where)))
+        parts.append(rows.select(
+            *[(F.col(f"c{place[f.name]}") if f.name in place else F.lit(None).cast(f.dataType)).alias(f.name)
+              for f in fields], FILE, ROW))
+    if not parts:
+        empty = T.StructType([*fields, T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())])
+        parts = [spark.createDataFrame([], empty)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _json_text(spark: SparkSession, paths, recursive: bool) -> DataFrame:
     r = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower())
     df = r.text(list(paths) if not isinstance(paths, str) else paths)
-    return df.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias(FILE), "value")
+    return df.select(plain_path(F.col("_metadata.file_path")).alias(FILE), "value")
 
 
 def _item_schema(spark: SparkSession, paths, recursive: bool) -> T.DataType:
@@ -140,6 +196,11 @@ def _number(text: str) -> str:
     return str(int(f)) if f.is_integer() and "e" not in text.lower() and "." not in text else text
 
 
+def _plain_text(node) -> str:
+    """Text of a string item without its phonetic runs."""
+    return "".join(t.text or "" for t in [*node.findall("m:t", _NS), *node.findall("m:r/m:t", _NS)])
+
+
 def parse_xlsx(data: bytes) -> tuple[list[str], list[list[str | None]]]:
     """Active sheet of a workbook: (header, rows) with cached cell values as text.
 
@@ -161,7 +222,7 @@ def parse_xlsx(data: bytes) -> tuple[list[str], list[list[str | None]]]:
     shared: list[str] = []
     if "xl/sharedStrings.xml" in z.namelist():
         for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+            shared.append(_plain_text(si))
     date_styles: set[int] = set()
     if "xl/styles.xml" in z.namelist():
         st = ET.fromstring(z.read("xl/styles.xml"))
@@ -174,15 +235,16 @@ def parse_xlsx(data: bytes) -> tuple[list[str], list[list[str | None]]]:
                 date_styles.add(i)
     rows: dict[int, dict[int, str | None]] = {}
     width = 0
+    ri = 0
     for row in ET.fromstring(z.read(sheet_path)).iter(f"{{{_NS['m']}}}row"):
+        ri = int(row.get("r", ri + 1))  # the references are optional: positions count then
+        ci = -1
         for c in row.findall("m:c", _NS):
             m = _CELL.fullmatch(c.get("r", ""))
-            if not m:
-                continue
-            ci, ri = _col_index(m.group(1)), int(m.group(2))
+            ci = _col_index(m.group(1)) if m else ci + 1
             t, v = c.get("t", "n"), c.find("m:v", _NS)
             if t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
+                val = _plain_text(c.find("m:is", _NS)) if c.find("m:is", _NS) is not None else None
             elif v is None or v.text is None:
                 val = None
             elif t == "s":
@@ -251,32 +313,20 @@ def excel_columns(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ok.select(FILE, ROW, *[F.col("cells").getItem(c).alias(c) for c in columns])
 
 
-# Distinct charsets expected in one folder; more than this is treated as an error.
-MAX_CHARSETS = 20
-
-
 def read_csv_detected(spark: SparkSession, folder: str, hint: str | None = None,
                       schema: T.StructType | None = None, recursive: bool = False) -> DataFrame:
-    """S1 + S6: detect each file's charset, then read each charset group with its decoder.
+    """S1 + S6: detect each file's charset, then read each charset's files with its decoder.
 
-    The folder is read once per distinct charset (usually one or two) and each read keeps
-    only its group's files through a semi join on the file path - no path lists pass
-    through the driver.  Columns are aligned by name across groups (P3).
+    Columns are aligned by name across files (P3).  File names pass through the driver, as they
+    do in Spark's own file index.
     """
     from intakeflow.sources.files import detect_charsets
 
-    cs = detect_charsets(spark, folder, hint, recursive)
-    names = [r[0] for r in cs.select("charset").distinct().limit(MAX_CHARSETS + 1).collect()]
-    if len(names) > MAX_CHARSETS:
-        raise ValueError(f"more than {MAX_CHARSETS} charsets in {folder}")
-    parts = []
-    for name in sorted(names):
-        enc = "utf-8" if name == "utf-8-sig" else name
-        rows = read_csv(spark, folder, encoding=enc, schema=schema, recursive=recursive)
-        if name == "utf-8-sig" and rows.columns and rows.columns[0].startswith("﻿"):
-            rows = rows.withColumnRenamed(rows.columns[0], rows.columns[0][1:])
-        group = cs.filter(F.col("charset") == name).select(F.col("path").alias(FILE))
-        parts.append(rows.join(group, FILE, "left_semi"))
+    found: dict[str, list[str]] = {}
+    for r in detect_charsets(spark, folder, hint, recursive).orderBy("path").collect():
+        found.setdefault(r["charset"], []).append(r["path"])
+    parts = [read_csv(spark, [as_glob(f) for f in files], encoding=name, schema=schema)
+             for name, files in sorted(found.items())]
     if not parts:
         return read_csv(spark, folder, schema=schema, recursive=recursive)
     out = parts[0]

@@ -55,7 +55,6 @@ TREND_DAYS = (30, 1, 90)
 # Fingerprint sample size in bytes.
 FINGERPRINT_SAMPLE = 4096
 # Charset sniffing: bytes sampled from the head and the middle.
-CHARSET_SAMPLE = 32 * 1024
 
 
 @dataclass(frozen=True)
@@ -140,6 +139,8 @@ def strptime_to_spark(fmt: str) -> str:
         elif two in lenient or two in other:
             tokens.append(("dir", two))
             i += 2
+        elif fmt[i] == "%":
+            raise ValueError(f"unsupported directive {two!r} in date format {fmt!r}")
         else:
             tokens.append(("lit", fmt[i]))
             i += 1

@@ -30,15 +30,51 @@ def test_extra_cleaners(spark):
     assert nan_to_null(df).filter(F.col("v").isNull()).count() == 1
 
 
-def test_frame_function_size_guard(spark):
+def test_frame_function_per_file(spark):
     import pytest
 
-    from intakeflow.operators.cleaners import FrameTooLargeError, apply_frame_function
+    from intakeflow.operators.cleaners import apply_frame_function
     df = spark.createDataFrame([("f1", i) for i in range(30)] + [("f2", 1)], "_file string, v int")
-    out = apply_frame_function(df, lambda p: p[p.v % 2 == 1], df.schema, max_rows=100)
-    assert out.count() == 16
-    with pytest.raises(FrameTooLargeError):
-        apply_frame_function(df, lambda p: p, df.schema, max_rows=10)
+    assert apply_frame_function(df, lambda p: p[p.v % 2 == 1], df.schema).count() == 16
+    # a list of dicts is turned into a frame (U4); text is not
+    assert apply_frame_function(df, lambda p: p.to_dict("records"), df.schema).count() == 31
+    with pytest.raises(Exception, match="must return a DataFrame"):
+        apply_frame_function(df, lambda p: "nope", df.schema).collect()
+
+    def fails(p):
+        if len(p) > 1:
+            raise ValueError("bad file")
+        return p
+
+    out = apply_frame_function(df, fails, _flagged(df.schema)).collect()
+    assert sorted((r._file, r.v, r._valid, r._error) for r in out if r._valid) == [("f2", 1, True, None)]
+    assert [(r._file, r._error) for r in out if not r._valid] == [("f1", "ValueError: bad file")]
+
+
+def _flagged(schema):
+    from pyspark.sql import types as T
+    return T.StructType([*schema.fields, T.StructField("_valid", T.BooleanType()), T.StructField("_error", T.StringType())])
+
+
+def test_row_function_identity_over_files(spark):
+    from pyspark.sql import types as T
+
+    from intakeflow.operators.cleaners import apply_row_function
+    df = spark.createDataFrame([(i, f"file{i % 3}", f"v{i}") for i in range(12)],
+                               "_row_id long, _file string, val string").coalesce(1)
+    schema = T.StructType([T.StructField("up", T.StringType())])
+
+    def omits(rows):  # new dicts without an id, some rows left out
+        return [{"up": r["val"].upper()} for r in rows if int(r["val"][1:]) % 4]
+
+    out = {r._row_id: (r._file, r.up, r._valid) for r in apply_row_function(df, omits, schema, keep=["_file"]).collect()}
+    assert out == {i: (f"file{i % 3}", f"V{i}" if i % 4 else None, bool(i % 4)) for i in range(12)}
+
+    def splits(rows):
+        return [{"up": r["val"] + x} for r in rows for x in "ab"]
+
+    got = sorted((r._row_id, r._file, r.up) for r in apply_row_function(df, splits, schema, keep=["_file"]).collect())
+    assert got == sorted((i, f"file{i % 3}", f"v{i}{x}") for i in range(12) for x in "ab")
 
 
 def test_row_function_contract(spark):

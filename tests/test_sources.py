@@ -141,3 +141,45 @@ def test_incremental_fingerprints(spark, tmpdir_path):
     since = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(time.time() - 86400))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert [os.path.basename(r.path) for r in fingerprints(spark, d, modified_after=since).collect()] == ["new.csv"]
+
+
+def test_csv_columns_go_by_each_files_header(spark, tmpdir_path):
+    from pyspark.sql import types as T
+    d = f"{tmpdir_path}/drift"
+    write(f"{d}/a b.csv", "id,name,date\n1,ann,2024-01-05\n")
+    write(f"{d}/c+%20[x].csv", "name,date,id,extra\nbob,2024-02-05,2,zzz\n")
+    write(f"{d}/short.csv", "\ufeffid,id\n0,3\n")
+    write(f"{d}/header_only.csv", "date,id\n")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "date")])
+    got = sorted((r.id, r.name, r.date, os.path.basename(r._file)) for r in read_csv(spark, d, schema=schema).collect())
+    assert got == [("1", "ann", "2024-01-05", "a b.csv"), ("2", "bob", "2024-02-05", "c+%20[x].csv"),
+                   ("3", None, None, "short.csv")]
+    union = read_csv(spark, d)
+    assert set(union.columns) == {"id", "name", "date", "extra", "_file", "_row"}
+
+
+def test_charsets_with_chinese_headers_and_late_bytes(spark, tmpdir_path):
+    from intakeflow.sources.readers import read_csv_detected
+    d = f"{tmpdir_path}/late"
+    filler = "".join(f"{i},plain\n" for i in range(40_000))
+    write(f"{d}/with space.csv", ("编号,名称\n1,中文\n").encode("utf-8"), "wb")
+    write(f"{d}/late.csv", ("编号,名称\n" + filler + "99999,测试\n").encode("gbk"), "wb")
+    rows = read_csv_detected(spark, d)
+    assert set(rows.columns) == {"编号", "名称", "_file", "_row"}
+    got = {r["编号"]: r["名称"] for r in rows.where("`名称` <> 'plain'").collect()}
+    assert got == {"1": "中文", "99999": "测试"} and rows.count() == 40_002
+
+
+def test_excel_cells_without_references(spark):
+    import io
+    import re
+    import zipfile
+    data = make_xlsx([["id", "name"], [1, "a"], [2, "b"]])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as w:
+        for n in z.namelist():
+            body = z.read(n)
+            if n.startswith("xl/worksheets/"):
+                body = re.sub(rb'(<(?:c|row)\b[^>]*?) r="[^"]*"', rb"\1", body)
+            w.writestr(n, body)
+    assert parse_xlsx(out.getvalue()) == parse_xlsx(data) == (["id", "name"], [["1", "a"], ["2", "b"]])

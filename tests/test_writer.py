@@ -45,6 +45,18 @@ def test_archived_month_rejected(spark, tmpdir_path):
     df = rows(spark, [(1, "a", "2025-01-02", 0), (2, "b", "2026-01-03", 1)])
     c = write_first_wins(df, target, ["id"], ["_row"], archived_months=["202501"])
     assert c["inserted"] == 1 and c["rejected_archived"] == 1
+    held = spark.read.parquet(f"{target}_quarantine").collect()
+    assert [(r.id, r.name, str(r.month), r.quarantine_reason) for r in held] == [(1, "a", "202501", "archived_month")]
+
+
+def test_first_wins_reads_its_input_once(spark, tmpdir_path):
+    df = rows(spark, [(i % 7, f"n{i}", "2026-01-02", i) for i in range(50)] + [(None, "x", "2026-01-02", 60)] * 2)
+    src = f"{tmpdir_path}/src"
+    df.write.parquet(src)
+    plan = plan_first_wins(spark.read.parquet(src), None, ["id"], ["_row"])
+    assert plan.count() == 9
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
 
 
 def test_key_union(spark):
