@@ -8,10 +8,12 @@ signatures agree in a register with the probability Jaccard similarity of the mu
 
 Texts with equal multisets form a class and are handled once.  Classes that agree in a band
 share a bucket.  Buckets are resolved by exact verification against the shingles themselves: all
-pairs of a small bucket, and in a larger one every member against one member (its hub).  Members
-that are already connected need no comparison.  What is still unconnected goes into the next round,
-with a new hub and a higher size for comparing all pairs, so nothing is cut off and a bucket of
-many copies costs a number of comparisons that is linear in its size.
+pairs of a small bucket, and in a larger one every member against one member, its hub - the one
+that shares most buckets with most others, as the source of many copies does.  So a group of copies
+costs a number of comparisons that is linear in its size.  Buckets whose members are not all
+connected then (texts that are alike, but mostly below the limit) form clusters; a cluster is cut
+into blocks of bounded size, and every two blocks are compared as a whole by matrix products over
+their common shingles.  Nothing is cut off or sampled.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from intakeflow.llm.common import WordCache, components, map_texts, written
 WORDS = 5
 LIMIT = 0.8
 BANDS, ROWS = 25, 5      # at similarity 0.8 a pair shares no bucket with probability 5e-5
-SMALL = 8                # largest bucket whose pairs are all compared in the first round; grows eightfold
+SMALL = 8                # largest bucket whose pairs are compared one by one
+BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20  # of a cluster, on average per block
+COLUMNS = 8192           # shingles per matrix product
 REGISTERS = BANDS * ROWS
 
 _U = np.uint64
@@ -156,6 +160,82 @@ def _verified(pairs: DataFrame, store: DataFrame, limit: float, name: str) -> Da
     return written(pairs.join(b, "b").join(a, "a").mapInPandas(check, "a long, b long"), name)
 
 
+def _compared(rest: DataFrame, store: DataFrame, limit: float) -> DataFrame:
+    """Links (a, b) between members with different labels of every cluster of the open buckets
+    ``rest (h, hub, id, label)``; a cluster is what shares buckets."""
+    cluster = components(rest.select(F.col("id").alias("a"), F.col("hub").alias("b")), "minhash-clusters")
+    nodes = (rest.select("id", "label").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id")
+             .join(store, "id"))
+    blocks = nodes.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("s")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = nodes.join(blocks, "cluster").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def match(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("id").reset_index(drop=True)
+        i, j = p["i"].iloc[0], p["j"].iloc[0]
+        left, right = p[p["block"] == i].index.to_numpy(), p[p["block"] == j].index.to_numpy()
+        sets = [unpacked(s, n) for s, n in zip(p["s"], p["n"])]
+        a, b = near_pairs(sets, left, right, p["label"].to_numpy(), limit)
+        ids = p["id"].to_numpy()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    return dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                        "block", "id", "label", "n", "s").groupBy("cluster", "i", "j").applyInPandas(
+        match, "a long, b long")
+
+
+def near_pairs(sets: list, left: np.ndarray, right: np.ndarray, label: np.ndarray,
+               limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left, right) of positions with different labels and a similarity of ``limit`` or more.
+
+    For texts without repeated shingles the similarity follows from the size of the intersection.
+    For others the product of square roots of the shares is an upper bound (no two draws can
+    coincide more often than the overlap of their distributions), and what passes is computed.
+    """
+    where, column = [], []
+    for k, (h, _) in enumerate(sets):
+        where.append(np.full(len(h), k))
+        column.append(h)
+    where, column = np.concatenate(where), np.concatenate(column)
+    names, column = np.unique(column, return_inverse=True)
+    in_left, in_right = (np.bincount(column[np.isin(where, side)], minlength=len(names)) > 0 for side in (left, right))
+    keep = in_left & in_right
+    place = np.cumsum(keep) - 1
+    weight = np.concatenate([np.sqrt(c / c.sum()) for _, c in sets])
+    on = keep[column]
+    where, column, weight = where[on], place[column[on]], weight[on]
+    order = np.argsort(column, kind="stable")
+    where, column, weight = where[order], column[order], weight[order]
+    row = {}
+    for side in (left, right):
+        row[id(side)] = np.full(len(sets), -1)
+        row[id(side)][side] = np.arange(len(side))
+    total = np.zeros((len(left), len(right)))
+    edges = np.searchsorted(column, np.arange(0, keep.sum() + COLUMNS, COLUMNS))
+    for k, (s, e) in enumerate(zip(edges, edges[1:])):
+        parts = []
+        for side in (left, right):
+            r = row[id(side)][where[s:e]]
+            m = np.zeros((len(side), COLUMNS), "f4")
+            m[r[r >= 0], column[s:e][r >= 0] - k * COLUMNS] = weight[s:e][r >= 0]
+            parts.append(m)
+        total += parts[0] @ parts[1].T
+    size = np.array([len(h) for h, _ in sets])
+    plain = np.array([bool(c.max() == 1) for _, c in sets])
+    able = (label[left][:, None] != label[right][None, :]) & (left[:, None] < right[None, :] if left is right or
+                                                              np.array_equal(left, right) else True)
+    a, b = np.nonzero(able & (total >= limit - 1e-4))
+    a, b, total = left[a], right[b], total[a, b]
+    both = plain[a] & plain[b]
+    common = np.rint(total * np.sqrt(size[a] * size[b]))  # whole numbers again
+    good = np.where(both, common >= limit * (size[a] + size[b] - common) - 1e-9, False)
+    for k in np.flatnonzero(~both):
+        good[k] = similarity(sets[a[k]], sets[b[k]]) >= limit
+    return a[good], b[good]
+
+
 def packed(h: np.ndarray, c: np.ndarray) -> bytes:
     return h.tobytes() if not len(c) or c.max() == 1 else h.tobytes() + c.astype("<i8").tobytes()
 
@@ -195,34 +275,26 @@ def classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
                     .select("id", "text"), start, {"n": "int", "s": "binary"}).dropDuplicates(["id"]),
                     "minhash-shingles")
 
-    links: DataFrame | None = None
-    label = None
-    size = SMALL
-    while True:
-        now = members if label is None else members.join(label, "id", "left")
-        now = now.withColumn("label", F.col("id") if label is None else F.coalesce("component", "id")).select(
-            "h", "id", "label")
-        state = now.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                     F.min("id").alias("hub"), F.min_by("label", "id").alias("hub_label"))
-        members = written(now.join(state.where("lo <> hi"), "h"), "minhash-open")
-        if members.isEmpty():
-            break
-        small = members.where(F.col("n") <= size)
-        left = small.select("h", F.col("id").alias("a"), F.col("label").alias("la"))
-        right = small.select("h", F.col("id").alias("b"), F.col("label").alias("lb"))
-        pairs = left.join(right, "h").where("a < b and la <> lb").select("a", "b").unionByName(
-            members.where((F.col("n") > size) & (F.col("label") != F.col("hub_label"))).select(
-                F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
-        found = _verified(pairs, store, limit, "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        label = components(links, "minhash-components")
-        # all pairs of the small buckets are decided, and all of the hubs of the others
-        members = members.where((F.col("n") > size) & (F.col("id") != F.col("hub"))).select("h", "id")
-        size *= 8
+    sizes = members.groupBy("h").agg(F.count("*").alias("n"))
+    central = members.join(sizes, "h").groupBy("id").agg(F.sum("n").alias("weight"))
+    state = members.join(central, "id").groupBy("h").agg(
+        F.count("*").alias("n"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
+    members = written(members.join(state, "h"), "minhash-members")
+    small = members.where(F.col("n") <= SMALL)
+    pairs = small.select("h", F.col("id").alias("a")).join(small.select("h", F.col("id").alias("b")), "h").where(
+        "a < b").select("a", "b").unionByName(members.where((F.col("n") > SMALL) & (F.col("id") != F.col("hub"))).select(
+            F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
+    links = _verified(pairs, store, limit, "minhash-links")
+    label = components(links, "minhash-components")
+    rest = members.where(F.col("n") > SMALL).join(label, "id", "left").select(
+        "h", "hub", "id", F.coalesce("component", "id").alias("label"))
+    mixed = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    rest = written(rest.join(mixed, "h"), "minhash-open")
+    if not rest.isEmpty():
+        more = _compared(rest, store, limit)
+        label = components(links.unionByName(written(more, "minhash-more")), "minhash-all")
     ids = same.select("k", "id", "doc_id", "th")
-    if label is not None:
-        ids = ids.join(label, "id", "left")
-    ids = ids.withColumn("c", F.coalesce("component", "id") if label is not None else F.col("id"))
+    ids = ids.join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
     first = ids.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     named = ids.join(first, "c").select("k", F.col("first.doc_id").alias("class_id"), F.col("first.th").alias("class_th"))
     return (rows.drop("bands").withColumn("k", F.when(usable, F.col("k"))).join(named, "k", "left")
