@@ -56,6 +56,22 @@ def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = EXT
     return out.filter(F.col("ext").isin(*exts))
 
 
+def list_paths(spark: SparkSession, folder: str, recursive: bool = False) -> list[tuple[str, int, int]]:
+    """``(path, mtime in ms, size)`` of a folder's files, zero-byte ones included, from the Hadoop
+    FileSystem on the driver (file names pass through it, as they do in Spark's own file index)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, it = [], fs.listFiles(path, recursive)
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().toString()
+        base = name.rsplit("/", 1)[-1]
+        if not base.startswith(("_", ".")):  # hidden files, as in Spark's listing
+            found.append((name.removeprefix("file:"), st.getModificationTime(), st.getLen()))
+    return sorted(found)
+
+
 def with_format(manifest: DataFrame) -> DataFrame:
     """``fmt`` by extension and ``skip_reason`` for empty / unsupported files."""
     fmt = F.coalesce(*[F.when(F.col("ext") == e, F.lit(f)) for e, f in FORMATS.items()])

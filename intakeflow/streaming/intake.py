@@ -7,11 +7,16 @@ once across restarts (T6), ``maxFilesPerTrigger`` bounds a micro-batch (T3),
 ``trigger(availableNow=True)`` the manual "scan now" (T2), and ``cleanSource``
 keeps / deletes / archives finished files (K6).
 
-Each micro-batch runs, in order: ledger check (files already SUCCESS are
-dropped), cleaning with a validity flag, month routing, the first-wins write,
-quality rows and alerts per file, and last the ledger SUCCESS events (the
-commit point).  Replaying a batch after a crash re-inserts nothing (T7) and
-re-appends quality rows, of which the latest per file is read (K3).
+For CSV and JSON the stream is a listing: a micro-batch is a set of files, not rows.
+It runs, in order: the claim decision on the ledger (L1: loaded, skipped and leased files
+are left alone, failed ones wait for their back-off), SKIPPED events for files that are
+not read (S5), CLAIMED events, one read of the claimed files, cleaning with a validity
+flag (user code runs once per row: its result is kept), month routing, the first-wins
+write, quality rows and alerts per file, and last the ledger SUCCESS events (the commit
+point), also for files without rows.  When a set of files fails, its halves are tried
+alone, so that a bad file ends as FAILED (and in time as DEAD_LETTER, K7) and never stops
+the others (T8).  Replaying a batch after a crash re-inserts nothing (T7) and re-appends
+quality rows, of which the latest per file is read (K3).
 """
 
 from __future__ import annotations
@@ -27,16 +32,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from intakeflow.operators.cleaners import REASON, VALID
-from intakeflow.operators.ledger import KEY, conform
+from intakeflow.operators.ledger import (EVENT_SCHEMA, KEY, backoff_delay, claim_decisions, claim_events, conform,
+                                         dead_letter, dead_letter_events, fold, write_quarantine)
 from intakeflow.operators.quality import quality_report
 from intakeflow.operators.conform import conform_to_target
 from intakeflow.operators.route import FALLBACK, MONTH, route_months
-from intakeflow.functions.columns import ts_lit
+from intakeflow.functions.columns import file_id, ts_lit
 from intakeflow.functions.crypto import encrypt_fields
 from intakeflow.operators.split import enforce_on_row_error, pass_through
 from intakeflow.operators.writer import write_first_wins
 from intakeflow.session import ensure_checkpoint_dir, path_exists
-from intakeflow.sources.readers import CORRUPT, FILE, ROW, parse_xlsx
+from intakeflow.sources.files import _ext, as_glob, list_paths, plain_path, with_format
+from intakeflow.sources.readers import CORRUPT, FILE, ROW, parse_xlsx, read_csv
 from intakeflow.spec import FORMATS, QUALITY_ALERT_MIN_SCORE, TaskSpec
 from intakeflow.streaming.alerts import quality_alerts
 
@@ -53,6 +60,7 @@ class IntakePaths:
     alerts: str
     checkpoint: str
     runs: str | None = None  # optional log of per-batch counters (A14)
+    registry: str | None = None  # optional month registry (K8); its archived months are not written (L7)
 
 
 def ext_glob(extensions, fmt: str) -> str:
@@ -66,46 +74,28 @@ def ext_glob(extensions, fmt: str) -> str:
 
 def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str,
                  max_files: int | None, clean_source: str, archive_dir: str | None,
-                 recursive: bool, encoding: str | None = None, glob: str | None = None) -> DataFrame:
-    if fmt == "json" and CORRUPT not in schema.fieldNames():
-        schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    r = spark.readStream.schema(schema).option("recursiveFileLookup", str(recursive).lower())
+                 recursive: bool, glob: str) -> DataFrame:
+    """The watcher: a stream of files (``path``, ``_mtime``, ``_size``); for Excel with their rows."""
+    if fmt not in ("csv", "json", "excel"):
+        raise ValueError(f"unsupported stream format {fmt}")
+    binary = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+                           T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+    r = (spark.readStream.format("binaryFile").schema(binary).option("pathGlobFilter", glob)
+         .option("recursiveFileLookup", str(recursive).lower()))
     if max_files:
         r = r.option("maxFilesPerTrigger", int(max_files))
     if clean_source != "off":
         r = r.option("cleanSource", clean_source)
         if clean_source == "archive":
             r = r.option("sourceArchiveDir", archive_dir)
-    if fmt == "csv":
-        if encoding and encoding.lower().replace("-", "") not in ("utf8", "utf8sig"):
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        df = (r.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("encoding", encoding or "utf-8").option("pathGlobFilter", glob or "*.csv").csv(folder))
-    elif fmt == "json":
-        df = (r.option("multiLine", True).option("pathGlobFilter", glob or "*.json")
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(folder))
-    elif fmt == "excel":
-        return _excel_stream(spark, folder, schema, max_files, recursive, glob)
-    else:
-        raise ValueError(f"unsupported stream format {fmt}")
-    return df.select(
-        "*", F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias(FILE),
-        (F.unix_micros(F.col("_metadata.file_modification_time")) / 1000).cast("long").alias("_mtime"),
-        F.col("_metadata.file_size").alias("_size"))
-
-
-def _excel_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int | None,
-                  recursive: bool, glob: str | None = None) -> DataFrame:
-    """S4 as a stream: ``binaryFile`` source, one workbook per row, parsed per file in ``mapInPandas``."""
-    binary = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
-                           T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-    r = spark.readStream.format("binaryFile").schema(binary).option("pathGlobFilter", glob or "*.xlsx") \
-        .option("recursiveFileLookup", str(recursive).lower())
-    if max_files:
-        r = r.option("maxFilesPerTrigger", int(max_files))
     files = r.load(folder).select(
-        F.regexp_replace("path", "^file:", "").alias("path"), "content",
+        F.regexp_replace("path", "^file:", "").alias("path"), *(["content"] if fmt == "excel" else []),
         (F.unix_micros("modificationTime") / 1000).cast("long").alias("_mtime"), F.col("length").alias("_size"))
+    return _workbook_rows(files, schema) if fmt == "excel" else files
+
+
+def _workbook_rows(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """S4 as a stream: one workbook per row, parsed in ``mapInPandas``; workbook by workbook."""
     names = schema.fieldNames()
     out = T.StructType(list(schema.fields) + [T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType()),
                                               T.StructField("_mtime", T.LongType()), T.StructField("_size", T.LongType()),
@@ -114,17 +104,14 @@ def _excel_stream(spark: SparkSession, folder: str, schema: T.StructType, max_fi
     def run(batches):
         import pandas as pd
         for pdf in batches:
-            rows = []
             for path, content, mt, size in zip(pdf["path"], pdf["content"], pdf["_mtime"], pdf["_size"]):
                 try:
                     header, data = parse_xlsx(bytes(content))
+                    rows = [[cells.get(n) for n in names] + [path, i, mt, size, None]
+                            for i, cells in enumerate(dict(zip(header, r)) for r in data)]
                 except Exception as exc:  # noqa: BLE001 - unreadable workbook: the file is skipped
-                    rows.append([None] * len(names) + [path, -1, mt, size, f"Failed to open Excel file: {exc}"])
-                    continue
-                for i, r in enumerate(data):
-                    cells = dict(zip(header, r))
-                    rows.append([cells.get(n) for n in names] + [path, i, mt, size, None])
-            yield pd.DataFrame(rows, columns=out.fieldNames())
+                    rows = [[None] * len(names) + [path, -1, mt, size, f"Failed to open Excel file: {exc}"]]
+                yield pd.DataFrame(rows, columns=out.fieldNames())
 
     return files.mapInPandas(run, out)
 
@@ -165,18 +152,28 @@ def _split_unparsable(batch: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return batch, None
     bad = batch.filter(F.col(CORRUPT).isNotNull()).select(
         "task_id", FILE, "_mtime", "_size",
-        F.substring(CORRUPT, 1, 300).alias("error_message")).dropDuplicates(["task_id", FILE, "_mtime"])
+        F.when(F.col(CORRUPT).startswith("Failed to open"), F.substring(CORRUPT, 1, 300))
+        .otherwise(F.concat(F.lit("parse error in "), F.element_at(F.split(FILE, "/"), -1)))
+        .alias("error_message")).dropDuplicates(["task_id", FILE, "_mtime"])
     rows = batch.join(bad.select("task_id", FILE, "_mtime"), ["task_id", FILE, "_mtime"], "left_anti")
     return rows.drop(CORRUPT), bad
 
 
+# Order of a batch's events in the ledger (their times may be equal).
+CLAIM, OUTCOME, DEAD = 1, 5, 6
+
+
+def _seq(batch_id: int, step: int):
+    return F.lit(10 * int(batch_id) + step).cast("long")
+
+
 def _ledger_events(per_file: DataFrame, bad: DataFrame | None, batch_id: int, now: _dt.datetime,
                    elapsed_ms: int) -> DataFrame:
     """SUCCESS events with counts for loaded files, SKIPPED events for unparsable ones."""
     events = conform(per_file.select(
         "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
         F.lit("SUCCESS").alias("event"), ts_lit(now).alias("event_time"),
-        F.lit(int(batch_id)).cast("long").alias("seq"), F.lit(f"batch-{batch_id}").alias("owner"),
+        _seq(batch_id, OUTCOME).alias("seq"), F.lit(f"batch-{batch_id}").alias("owner"),
         F.col("_size").alias("file_size"), F.col("total_rows").alias("row_count"),
         F.col("valid_rows").alias("valid_row_count"), ts_lit(now).alias("processed_at"),
         # files of one micro-batch are processed together: each gets the batch's elapsed time
@@ -187,12 +184,12 @@ def _ledger_events(per_file: DataFrame, bad: DataFrame | None, batch_id: int, no
         "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"),
         F.col("_size").alias("file_size"), "error_message",
         F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
-        F.lit(int(batch_id)).cast("long").alias("seq"), F.lit("ParseError").alias("error_type"))))
+        _seq(batch_id, OUTCOME).alias("seq"), F.lit("ParseError").alias("error_type"))))
 
 
 def _quality_rows(per_file: DataFrame, batch_id: int, now: _dt.datetime) -> DataFrame:
     return per_file.select(
-        F.abs(F.xxhash64(*[F.col(k) for k in ("task_id", FILE, "_mtime")])).alias("file_id"),
+        file_id("task_id", FILE, "_mtime").alias("file_id"),
         "task_id", F.col(FILE).alias("file_path"), ts_lit(now).alias("batch_time"),
         "total_rows", "valid_rows", "error_rows", "null_rate", "error_rate", "quality_score",
         F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
@@ -219,54 +216,223 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                   order_cols: tuple[str, ...],
                   prepare: Callable[[DataFrame], DataFrame] | None = None,
                   encryption_key: str | bytes | None = None,
-                  target_schema: T.StructType | None = None) -> dict:
-    """One micro-batch (also callable on a plain DataFrame with the same columns).
+                  target_schema: T.StructType | None = None,
+                  files: DataFrame | None = None) -> dict:
+    """One set of files' rows (``batch``: the parsed columns, ``_file``, ``_mtime``, ``_size``).
 
     ``prepare`` reshapes parsed rows first (e.g. ``explode_json_path`` for nested JSON);
-    ``target_schema`` conforms valid rows to the month table's columns and types.
+    ``target_schema`` conforms valid rows to the month table's columns and types.  ``files``
+    (``_file``, ``_mtime``, ``_size``) lists the claimed files, so that those without rows get
+    their outcome too; without it the ledger decides which files' rows are dropped.
     """
     spark = batch.sparkSession
     started = time.monotonic()
     now = as_of()
+    encrypted = list(spec.encrypt_fields or ())
+    if encrypted and not encryption_key:
+        raise ValueError("the task encrypts fields but no encryption key was given")
+    if set(encrypted) & set(spec.keys):
+        raise ValueError(f"key columns cannot be encrypted: {sorted(set(encrypted) & set(spec.keys))}")
     batch = batch.withColumn("task_id", F.lit(spec.task_id))
     if ROW not in batch.columns:  # each file is read by one task in order (multiLine)
         batch = batch.withColumn(ROW, F.monotonically_increasing_id())
-    base = _drop_loaded_files(spark, batch, spec, paths.ledger).persist()  # one read of the files
+    base = batch if files is not None else _drop_loaded_files(spark, batch, spec, paths.ledger)
+    if CORRUPT in base.columns:
+        base = base.persist()  # parse errors are looked for before the rows are used
+    rows, bad = _split_unparsable(base)
+    if prepare is not None:
+        rows = prepare(rows)
+    flagged = flag(rows)  # a NULL flag from user code means "not valid"
+    flagged = flagged.withColumn(VALID, F.coalesce(F.col(VALID).cast("boolean"), F.lit(False)))
+    routed = route_months(flagged, spec, now)
+    if target_schema is not None:  # K1/G9: cast to the month table's schema; failures are row errors
+        extra = tuple(c for c in (POS,) if c in routed.columns)
+        routed = conform_to_target(routed, target_schema,
+                                   keep=("task_id", FILE, ROW, "_mtime", "_size", MONTH, FALLBACK, *extra))
+    # everything below reads this: files are read and user code runs once
+    checked = enforce_on_row_error(routed, spec.on_row_error).persist()
+    per_file = None
     try:
-        rows, bad = _split_unparsable(base)
-        if prepare is not None:
-            rows = prepare(rows)
-        flagged = flag(rows)  # a NULL flag from user code means "not valid"
-        flagged = flagged.withColumn(VALID, F.coalesce(F.col(VALID).cast("boolean"), F.lit(False)))
-        routed = route_months(flagged, spec, now)
-        if target_schema is not None:  # K1/G9: cast to the month table's schema; failures are row errors
-            routed = conform_to_target(routed, target_schema,
-                                       keep=("task_id", FILE, ROW, "_mtime", "_size", MONTH, FALLBACK))
-        checked = enforce_on_row_error(routed, spec.on_row_error)
         # _file, _mtime and _row stay with the stored rows as provenance (and arrival order)
         valid = checked.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_size")
-        if spec.encrypt_fields:  # P12: after routing (the partition field stays readable)
-            if not encryption_key:
-                raise ValueError("the task encrypts fields but no encryption key was given")
-            valid = encrypt_fields(valid, [c for c in spec.encrypt_fields if c != spec.partition_field],
-                                   encryption_key)
-        counts = write_first_wins(valid, paths.target, list(spec.keys), list(order_cols))
-        per_file = quality_report(checked, ["task_id", FILE, "_mtime", "_size"], spec.required_fields)
+        order = [*order_cols, POS] if POS in checked.columns and POS not in order_cols else list(order_cols)
+        finish = None
+        if encrypted:  # P12: after routing and the choice of first rows, which read the plain text
+            finish = lambda df: encrypt_fields(df, encrypted, encryption_key)
+        counts = write_first_wins(valid, paths.target, list(spec.keys), order, finish=finish,
+                                  archived_months=_archived(spark, paths, spec))
+        per_file = quality_report(checked, ["task_id", FILE, "_mtime", "_size"], spec.required_fields).persist()
         quality = _quality_rows(per_file, batch_id, now)
         quality.write.mode("append").partitionBy("task_id").parquet(paths.quality)
         alerts = quality_alerts(quality, QUALITY_ALERT_MIN_SCORE)
         alerts.write.mode("append").partitionBy("task_id").parquet(paths.alerts)
+        done = per_file.select("task_id", FILE, "_mtime", "_size", "total_rows", "valid_rows")
+        if files is not None:  # files without rows are loaded too, with none
+            key = [FILE, "_mtime"]
+            loaded = files if bad is None else files.join(bad, key, "left_anti")
+            zero = F.lit(0).cast("long")
+            done = loaded.join(per_file.select(*key, "total_rows", "valid_rows"), key, "left").select(
+                F.lit(spec.task_id).alias("task_id"), *key, "_size", F.coalesce("total_rows", zero).alias("total_rows"),
+                F.coalesce("valid_rows", zero).alias("valid_rows"))
         elapsed_ms = int((time.monotonic() - started) * 1000)
         # the files' commit point; partitioned by task so per-task reads prune
-        _ledger_events(per_file, bad, batch_id, now, elapsed_ms).write.mode("append") \
+        _ledger_events(done, bad, batch_id, now, elapsed_ms).write.mode("append") \
             .partitionBy("task_id").parquet(paths.ledger)
         if paths.runs:
             _write_run(spark, paths.runs, spec, batch_id, now, per_file, counts, elapsed_ms)
     finally:
-        base.unpersist()
+        for df in (base, checked, per_file):
+            if df is not None and df.is_cached:
+                df.unpersist()
     return counts
 
 
+def _archived(spark: SparkSession, paths: IntakePaths, spec: TaskSpec) -> list[str]:
+    """The task's archived months, from the registry where the intake has one (months are calendar-bounded)."""
+    if not paths.registry or not path_exists(spark, paths.registry):
+        return []
+    reg = spark.read.parquet(paths.registry).filter(
+        (F.col("task_id") == spec.task_id) & (F.col("lifecycle_status") == "ARCHIVED"))
+    return sorted(r[0].replace("-", "") for r in reg.select("year_month").distinct().collect())
+
+
+NO_ROWS = {"received": 0, "inserted": 0, "ignored": 0, "fallback_routed": 0, "rejected_archived": 0}
+# Errors that another attempt cannot mend.
+FATAL_ERRORS = ("TransformContractError", "RowErrorAbort", "row error (on_row_error=abort)", "must return a list",
+                "must return a DataFrame", "cannot be encrypted")
+
+
+def _append(spark: SparkSession, events: DataFrame, path: str) -> None:
+    events.write.mode("append").partitionBy("task_id").parquet(path)
+
+
+def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: IntakePaths, now: _dt.datetime,
+           batch_id: int, owner: str, retry_due: bool) -> list[tuple]:
+    """The files this run takes, written to the ledger as CLAIMED; SKIPPED for those not read.
+
+    With ``retry_due`` the ledger's failed files that are due and its expired claims are taken too.
+    """
+    key = "task_id string, file_path string, file_mtime long, file_size long, ext string"
+    listed = spark.createDataFrame([(spec.task_id, f, m, n, _suffix(f)) for f, m, n in files], key)
+    ledger = _read_ledger(spark, paths.ledger)
+    if ledger is None:
+        current = fold(spark.createDataFrame([], EVENT_SCHEMA))
+        failed = spark.createDataFrame([], "task_id string, file_path string, file_mtime long, failed_at timestamp_ntz")
+    else:
+        own = ledger.filter(F.col("task_id") == spec.task_id)
+        if not retry_due:  # only the listed files' history is read
+            own = own.join(F.broadcast(listed.select(*KEY)), list(KEY), "left_semi")
+        current = fold(own)
+        failed = own.filter("event = 'FAILED'").groupBy(*KEY).agg(F.max("event_time").alias("failed_at"))
+    if retry_due:
+        again = current.filter(F.col("status").isin("FAILED", "CLAIMED", "PROCESSING")).select(
+            *KEY, "file_size", _ext(F.col("file_path")).alias("ext"))
+        listed = listed.unionByName(again).dropDuplicates(list(KEY))
+    mine = (F.col("prior_status") == "CLAIMED") & (F.col("claimed_by") == owner)  # this batch, replayed
+    decided = claim_decisions(listed, current, now, spec.max_retries).join(
+        current.select(*KEY, "claimed_by"), list(KEY), "left").withColumn(
+        "decision", F.when(mine, F.lit("CLAIM_RESUMED")).otherwise(F.col("decision")))
+    due = F.col("failed_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff_delay(
+        F.col("retry_count"), spec.retry_backoff))
+    taken = (decided.join(failed, list(KEY), "left")
+             .filter(F.col("decision").startswith("CLAIM"))
+             .filter((F.col("decision") != "CLAIM_RETRY") | F.col("failed_at").isNull() | (due <= ts_lit(now))))
+    rows = with_format(taken.withColumnRenamed("file_path", "path")).withColumnRenamed("path", "file_path").select(
+        *KEY, "file_size", "skip_reason", "decision").collect()  # the batch's own files
+    skip = [r for r in rows if r.skip_reason is not None]
+    todo = [r for r in rows if r.skip_reason is None]
+    frame = lambda some, *more: spark.createDataFrame(
+        [(r.task_id, r.file_path, r.file_mtime, r.file_size, *(r[c] for c in more)) for r in some],
+        "task_id string, file_path string, file_mtime long, file_size long" + "".join(f", {c} string" for c in more))
+    if skip:
+        _append(spark, conform(frame(skip, "skip_reason").withColumnRenamed("skip_reason", "error_message").select(
+            "*", F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
+            _seq(batch_id, OUTCOME).alias("seq"), F.lit("SkipFile").alias("error_type"))), paths.ledger)
+    if todo:
+        _append(spark, claim_events(frame(todo, "decision"), owner, now).withColumn("seq", _seq(batch_id, CLAIM)),
+                paths.ledger)
+    return [(r.file_path, r.file_mtime, r.file_size) for r in todo]
+
+
+def _suffix(path: str) -> str:
+    name = path.rsplit("/", 1)[-1]
+    return "." + name.rsplit(".", 1)[1].lower() if "." in name else ""
+
+
+def _file_rows(spark: SparkSession, files: list[tuple], spec: TaskSpec, schema: T.StructType,
+               fmt: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the files with their identity, and the files as a table."""
+    listed = spark.createDataFrame(files, f"{FILE} string, _mtime long, _size long")
+    names = [as_glob(f) for f, _, _ in files]
+    if fmt == "csv":
+        rows = read_csv(spark, names, spec.encoding or "utf-8", schema)
+    else:
+        if CORRUPT not in schema.fieldNames():
+            schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        rows = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", CORRUPT).json(names)
+                .withColumn(FILE, plain_path(F.col("_metadata.file_path"))))
+        rows = rows.withColumn(ROW, F.monotonically_increasing_id())
+    return rows.join(F.broadcast(listed), FILE), listed
+
+
+def process_files(spark: SparkSession, files: list[tuple], batch_id: int, spec: TaskSpec, paths: IntakePaths,
+                  flag: Callable[[DataFrame], DataFrame], as_of: Callable[[], _dt.datetime],
+                  schema: T.StructType, fmt: str, order_cols: tuple[str, ...] = ARRIVAL_ORDER,
+                  owner: str | None = None, isolate_errors: bool = True, retry_due: bool = False, **options) -> dict:
+    """Claim, read and load a set of files ``(path, mtime, size)``; returns the summed counts of the writer.
+
+    An error in a set of files leads to its halves, down to the file that causes it, which is
+    recorded as FAILED; ``isolate_errors=False`` raises instead.
+    """
+    owner = owner or f"run-{batch_id}"
+    todo = _claim(spark, files, spec, paths, as_of(), batch_id, owner, retry_due)
+    total = dict(NO_ROWS)
+    stack = [todo] if todo else []
+    failed = False
+    while stack:
+        some = stack.pop()
+        try:
+            rows, listed = _file_rows(spark, some, spec, schema, fmt)
+            counts = process_batch(rows, batch_id, spec, paths, flag, as_of, order_cols, files=listed, **options)
+            total = {k: total[k] + counts[k] for k in total}
+        except Exception as exc:  # noqa: BLE001 - user code, unreadable files
+            if not isolate_errors:
+                raise
+            if len(some) > 1:
+                stack += [some[len(some) // 2:], some[:len(some) // 2]]
+                continue
+            failed = True
+            text = str(exc)
+            kind = "FatalError" if any(f in text or f == type(exc).__name__ for f in FATAL_ERRORS) else "RetryableError"
+            (path, mtime, size), now = some[0], as_of()
+            _append(spark, conform(spark.createDataFrame(
+                [(spec.task_id, path, mtime, size, "FAILED", kind, _error_line(text))],
+                "task_id string, file_path string, file_mtime long, file_size long, event string, error_type string, "
+                "error_message string").select("*", ts_lit(now).alias("event_time"),
+                                               _seq(batch_id, OUTCOME).alias("seq"))), paths.ledger)
+    if failed:  # K7: what no further attempt can mend
+        now = as_of()
+        own = _read_ledger(spark, paths.ledger).filter(F.col("task_id") == spec.task_id)
+        mine = spark.createDataFrame([(spec.task_id, f, m) for f, m, _ in todo], "task_id string, file_path string, file_mtime long")
+        state = fold(own.join(F.broadcast(mine), list(KEY), "left_semi")).filter("not dead_lettered")
+        ensure_checkpoint_dir(spark)
+        dead = dead_letter(state, spec.max_retries).checkpoint(eager=True)  # read before the ledger is appended to
+        _append(spark, dead_letter_events(dead, now).withColumn("seq", _seq(batch_id, DEAD)), paths.ledger)
+        write_quarantine(dead, paths.ledger.rstrip("/") + "_dead_letter")
+    return total
+
+
+def _error_line(text: str) -> str:
+    """The message of an error without stack traces, at most 300 characters."""
+    for mark in ("[USER_RAISED_EXCEPTION] ", "Exception: ", "Error: "):
+        if mark in text:
+            text = text[text.rindex(mark) + len(mark):] if mark != "[USER_RAISED_EXCEPTION] " else \
+                text[text.index(mark) + len(mark):]
+            break
+    return text.strip().splitlines()[0][:300] if text.strip() else ""
+
+
 def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.StructType, paths: IntakePaths,
                  flag: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "csv",
                  max_files_per_trigger: int | None = None, clean_source: str = "off",
@@ -276,20 +442,26 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
                  order_cols: tuple[str, ...] = ARRIVAL_ORDER,
                  prepare: Callable[[DataFrame], DataFrame] | None = None,
                  encryption_key: str | bytes | None = None,
-                 target_schema: T.StructType | None = None) -> StreamingQuery:
+                 target_schema: T.StructType | None = None, isolate_errors: bool = True) -> StreamingQuery:
     """Start the intake stream for one task; returns the running query.
 
     ``fmt`` is ``csv`` (``spec.encoding`` applies), ``json`` or ``excel``; for JSON with a
     nested ``spec.json_path`` pass ``prepare=lambda df: explode_json_path(df, spec.json_path)``.
+    Every micro-batch of CSV or JSON files also takes the ledger's failed files that are due again.
     """
     stream = _read_stream(spark, folder, schema, fmt, max_files_per_trigger, clean_source,
-                          archive_dir, recursive, spec.encoding, ext_glob(spec.extensions, fmt))
+                          archive_dir, recursive, ext_glob(spec.extensions, fmt))
     flag = flag or pass_through
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
+    options = {"prepare": prepare, "encryption_key": encryption_key, "target_schema": target_schema}
 
     def run(df: DataFrame, batch_id: int) -> None:
-        process_batch(df, batch_id, spec, paths, flag, clock, order_cols, prepare, encryption_key,
-                      target_schema)
+        if fmt == "excel":
+            process_batch(df, batch_id, spec, paths, flag, clock, order_cols, **options)
+            return
+        files = [tuple(r) for r in df.select("path", "_mtime", "_size").collect()]  # at most one trigger's files
+        process_files(df.sparkSession, files, batch_id, spec, paths, flag, clock, schema, fmt, order_cols,
+                      owner=f"{paths.checkpoint}#{batch_id}", isolate_errors=isolate_errors, retry_due=True, **options)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint)
     if available_now:
@@ -306,36 +478,29 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
                      order_cols: tuple[str, ...] = ARRIVAL_ORDER,
                      prepare: Callable[[DataFrame], DataFrame] | None = None,
                      encryption_key: str | bytes | None = None,
-                     target_schema: T.StructType | None = None) -> dict:
+                     target_schema: T.StructType | None = None, isolate_errors: bool = True) -> dict:
     """The batch twin of ``start_intake``: every file of the folder in one run (the ledger
-    still drops files already loaded).  Returns the writer's counts."""
+    decides which are taken).  Files with one of the task's extensions that are empty or not
+    readable are recorded as SKIPPED.  Returns the writer's counts."""
     if fmt == "excel":
         raise ValueError("use the stream (availableNow) for Excel folders")
-    if fmt == "json" and CORRUPT not in schema.fieldNames():
-        schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    r = spark.read.schema(schema).option("recursiveFileLookup", str(recursive).lower())
-    if fmt == "csv":
-        if spec.encoding and spec.encoding.lower().replace("-", "") not in ("utf8", "utf8sig"):
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        df = (r.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("encoding", spec.encoding or "utf-8").option("pathGlobFilter", ext_glob(spec.extensions, fmt))
-              .csv(folder))
-    elif fmt == "json":
-        df = (r.option("multiLine", True).option("pathGlobFilter", ext_glob(spec.extensions, fmt))
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(folder))
-    else:
+    if fmt not in ("csv", "json"):
         raise ValueError(f"unsupported format {fmt}")
-    df = df.select(
-        "*", F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias(FILE),
-        (F.unix_micros(F.col("_metadata.file_modification_time")) / 1000).cast("long").alias("_mtime"),
-        F.col("_metadata.file_size").alias("_size"))
+    wanted = {e.lower() for e in spec.extensions if FORMATS.get(e.lower()) in (fmt, None) or e.lower() == ".xls"}
+    files = [f for f in list_paths(spark, folder, recursive) if _suffix(f[0]) in wanted]
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
-    return process_batch(df, run_id, spec, paths, flag or pass_through, clock, order_cols, prepare,
-                         encryption_key, target_schema)
+    return process_files(spark, files, run_id, spec, paths, flag or pass_through, clock, schema, fmt, order_cols,
+                         isolate_errors=isolate_errors, prepare=prepare, encryption_key=encryption_key,
+                         target_schema=target_schema)
+
+
+# Place of an item in its document; orders rows after ``_row``.
+POS = "_pos"
 
 
 def explode_json_path(df: DataFrame, json_path: str) -> DataFrame:
-    """S3 inside a micro-batch: rows of the array at ``json_path`` (``data.item`` style)."""
+    """S3 inside a micro-batch: rows of the array at ``json_path`` (``data.item`` style), in the
+    order (``_row``, ``_pos``)."""
     parts = [p for p in json_path.split(".") if p and p != "item"]
     if not parts:
         return df
@@ -343,9 +508,7 @@ def explode_json_path(df: DataFrame, json_path: str) -> DataFrame:
     for p in parts[1:]:
         arr = arr.getField(p)
     keep = [c for c in df.columns if c.startswith("_") or c == "task_id"]
-    return df.select(*keep, F.posexplode(arr).alias("_pos", "_item")).select(
-        *[c for c in keep if c != ROW], (F.col(ROW) * 1_000_000 + F.col("_pos")).alias(ROW)
-        if ROW in keep else F.col("_pos").cast("long").alias(ROW), "_item.*")
+    return df.select(*keep, F.posexplode(arr).alias(POS, "_item")).select(*keep, POS, "_item.*")
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:
@@ -355,4 +518,4 @@ def read_target(spark: SparkSession, path: str) -> DataFrame:
             .withColumn(MONTH, F.col(MONTH).cast("string")))
 
 
-__all__ = ["IntakePaths", "KEY", "process_batch", "read_target", "run_batch_intake", "start_intake"]
+__all__ = ["IntakePaths", "KEY", "process_batch", "process_files", "read_target", "run_batch_intake", "start_intake"]

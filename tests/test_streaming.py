@@ -211,8 +211,27 @@ def test_intake_options(spark, tmpdir_path):
     assert stored.first().name != "ann"
     assert decrypt_fields(stored, ["name"], "0123456789abcdef").first().name == "ann"
     abort = TaskSpec(task_id="a", base_table="a", keys=("id",), partition_field="date", on_row_error="abort")
+    p2 = _paths(f"{tmpdir_path}/abort")
     with pytest.raises(Exception, match="on_row_error=abort"):
-        run_batch_intake(spark, inbox, abort, schema, _paths(f"{tmpdir_path}/abort"), flag=flag, as_of=lambda: AS_OF)
+        run_batch_intake(spark, inbox, abort, schema, _paths(f"{tmpdir_path}/raise"), flag=flag, as_of=lambda: AS_OF,
+                         isolate_errors=False)
+    run_batch_intake(spark, inbox, abort, schema, p2, flag=flag, as_of=lambda: AS_OF)  # the file fails, the run does not
+    cur = fold(spark.read.parquet(p2.ledger)).first()
+    assert (cur.status, cur.error_type, cur.dead_lettered) == ("FAILED", "FatalError", True)
+    assert "row error" in cur.error_message
+    # the same key again with another ciphertext: nothing is inserted; keys cannot be encrypted
+    _csv(f"{inbox}/B.CSV", ["date", "id", "name"], [("2026-01-02", 1, "ann")])
+    c = run_batch_intake(spark, inbox, enc, schema, p1, flag=flag, as_of=lambda: AS_OF, run_id=1,
+                         encryption_key="0123456789abcdef")
+    assert (c["received"], c["inserted"]) == (1, 0)
+    keyed = TaskSpec(task_id="k", base_table="k", keys=("id",), partition_field="date", encrypt_fields=("id", "date"))
+    with pytest.raises(ValueError, match="cannot be encrypted"):
+        run_batch_intake(spark, inbox, keyed, schema, _paths(f"{tmpdir_path}/keyed"), flag=flag, as_of=lambda: AS_OF,
+                         encryption_key="0123456789abcdef", isolate_errors=False)
+    dated = TaskSpec(task_id="d", base_table="d", keys=("id",), partition_field="date", encrypt_fields=("date",))
+    p3 = _paths(f"{tmpdir_path}/dated")
+    run_batch_intake(spark, inbox, dated, schema, p3, flag=flag, as_of=lambda: AS_OF, encryption_key="0123456789abcdef")
+    assert {(r.month, r.date[:4] == "2026") for r in read_target(spark, p3.target).collect()} == {("202601", False)}
 
 
 def test_clean_source_archive(spark, tmpdir_path):
@@ -276,10 +295,12 @@ def test_crash_before_ledger_then_replay(spark, tmpdir_path, monkeypatch):
 
     monkeypatch.setattr(I, "quality_alerts", boom)
     with pytest.raises(RuntimeError):
-        I.run_batch_intake(spark, inbox, spec, schema, paths, as_of=lambda: AS_OF)
+        I.run_batch_intake(spark, inbox, spec, schema, paths, as_of=lambda: AS_OF, isolate_errors=False)
     assert read_target(spark, paths.target).count() == 10  # data landed, the ledger did not
     monkeypatch.undo()
-    c = I.run_batch_intake(spark, inbox, spec, schema, paths, run_id=1, as_of=lambda: AS_OF)
+    held = I.run_batch_intake(spark, inbox, spec, schema, paths, run_id=1, as_of=lambda: AS_OF)
+    assert held["received"] == 0  # the crashed run's lease is still live (L1)
+    c = I.run_batch_intake(spark, inbox, spec, schema, paths, run_id=2, as_of=lambda: AS_OF + dt.timedelta(hours=1))
     assert (c["received"], c["inserted"]) == (10, 0)  # the replay stores nothing twice (T7)
     assert read_target(spark, paths.target).count() == 10
     cur = fold(spark.read.parquet(paths.ledger)).collect()
@@ -346,3 +367,72 @@ def test_readme_usage_example(spark, tmpdir_path):
     current = ledger.fold(spark.read.parquet(paths.ledger))
     assert reports.task_stats(current).first().success == 1
     assert reports.quality_trend(spark.read.parquet(paths.quality), dt.datetime.now(), days=30).count() == 1
+
+
+def test_file_outcomes_and_restart(spark, tmpdir_path):
+    from intakeflow.streaming.intake import run_batch_intake
+
+    inbox = f"{tmpdir_path}/inbox"
+    os.makedirs(inbox)
+    for i in range(5):
+        _csv(f"{inbox}/good{i}.csv", ["id", "date"], [(10 * i + k, "2026-01-02") for k in range(4)])
+    _csv(f"{inbox}/bad.csv", ["id", "date"], [("boom", "2026-01-02")])
+    _csv(f"{inbox}/header only.csv", ["id", "date"], [])
+    open(f"{inbox}/empty.csv", "w").close()
+    with open(f"{inbox}/old.xls", "wb") as f:
+        f.write(b"x")
+    spec = TaskSpec(task_id="o", base_table="o", keys=("id",), partition_field="date", max_retries=2,
+                    extensions=(".csv", ".xls"))
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("date", T.StringType())])
+    paths = _paths(f"{tmpdir_path}/run")
+    broken = [True]
+
+    def flag(df):
+        df = df.withColumn("_valid", F.lit(True)).withColumn("_error", F.lit(None).cast("string"))
+        if broken[0]:
+            df = df.withColumn("id", F.when(F.col("id") == "boom", F.raise_error(F.lit("cannot read"))).otherwise(F.col("id")))
+        return df
+
+    def state(status=None):
+        return {os.path.basename(r.file_path): (r.status, r.row_count, r.dead_lettered)
+                for r in fold(spark.read.parquet(paths.ledger)).collect()}
+
+    c = run_batch_intake(spark, inbox, spec, schema, paths, flag=flag, as_of=lambda: AS_OF)
+    assert c["inserted"] == 20  # the bad file stopped no other
+    want = {f"good{i}.csv": ("SUCCESS", 4, False) for i in range(5)}
+    want |= {"header only.csv": ("SUCCESS", 0, False), "empty.csv": ("SKIPPED", None, False),
+             "old.xls": ("SKIPPED", None, False), "bad.csv": ("FAILED", None, False)}
+    assert state() == want
+    # a second run at once: the back-off holds the failed file, nothing else is touched
+    events = spark.read.parquet(paths.ledger).count()
+    run_batch_intake(spark, inbox, spec, schema, paths, flag=flag, as_of=lambda: AS_OF, run_id=1)
+    assert spark.read.parquet(paths.ledger).count() == events
+    # due again and failing again: retries are used up
+    run_batch_intake(spark, inbox, spec, schema, paths, flag=flag, as_of=lambda: AS_OF + dt.timedelta(hours=1), run_id=2)
+    assert state()["bad.csv"] == ("FAILED", None, True)
+    broken[0] = False
+    run_batch_intake(spark, inbox, spec, schema, paths, flag=flag, as_of=lambda: AS_OF + dt.timedelta(hours=9), run_id=3)
+    assert state()["bad.csv"] == ("FAILED", None, True)  # dead-lettered files wait for a manual retry
+    assert spark.read.parquet(paths.ledger + "_dead_letter").count() == 1
+
+
+def test_user_code_runs_once_per_row(spark, tmpdir_path):
+    from intakeflow.operators.cleaners import apply_row_function
+    from intakeflow.streaming.intake import run_batch_intake
+
+    inbox = f"{tmpdir_path}/inbox"
+    os.makedirs(inbox)
+    _csv(f"{inbox}/a.csv", ["id", "date"], [(i, "2026-01-02") for i in range(100)])
+    spec = TaskSpec(task_id="u", base_table="u", keys=("id",), partition_field="date")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("date", T.StringType())])
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(rows):
+        calls.add(len(rows))
+        return rows
+
+    def flag(df):
+        return apply_row_function(df, fn, schema, id_col="_row", keep=("_file", "_mtime", "_size", "task_id"))
+
+    c = run_batch_intake(spark, inbox, spec, schema, _paths(f"{tmpdir_path}/run"), flag=flag, as_of=lambda: AS_OF)
+    assert c["inserted"] == 100 and calls.value == 100
