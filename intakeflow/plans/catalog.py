@@ -32,7 +32,7 @@ def register(name: str, oracle: str | None = None):
 
 def _load() -> None:
     # Import for side effects: each module registers its queries.
-    from intakeflow.plans import (q_clean, q_ingest, q_ledger, q_quality,  # noqa: F401
+    from intakeflow.plans import (q_clean, q_drift, q_ingest, q_ledger, q_quality,  # noqa: F401
                                   q_reports, q_sequence, q_sources)
 
 
