@@ -27,7 +27,7 @@ PIVOTS = 256       # most pivots; the sample they are drawn from has as many vec
 LIMIT = 0.95
 MARGIN = 1e-6      # bounds are widened by this much, far above rounding
 FINEST = 1e-3      # covering radius below which a node's points are its children
-STEP = 400_000     # node pairs examined at once
+STEP = 100_000     # node pairs examined at once
 
 
 class CoverTree:
