@@ -33,6 +33,7 @@ BANDS, ROWS = 25, 5      # at similarity 0.8 a pair shares no bucket with probab
 SMALL = 8                # largest bucket whose pairs are compared one by one
 BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20  # of a cluster, on average per block
 COLUMNS = 8192           # shingles per matrix product
+SALTS = 64               # tasks that share the members of one cluster
 REGISTERS = BANDS * ROWS
 
 _U = np.uint64
@@ -168,7 +169,10 @@ def _compared(rest: DataFrame, store: DataFrame, limit: float) -> DataFrame:
              .join(store, "id"))
     blocks = nodes.groupBy("cluster").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("s")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = nodes.join(blocks, "cluster").withColumn(
+    # a cluster may hold most of the rows: its members meet its number of blocks in many tasks
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = nodes.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(
+        salted, ["cluster", "salt"]).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
