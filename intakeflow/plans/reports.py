@@ -9,7 +9,6 @@ partition), never a global sort of the whole table.  ``as_of`` replaces NOW().
 from __future__ import annotations
 
 import datetime as _dt
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
