@@ -322,7 +322,7 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
         own = ledger.filter(F.col("task_id") == spec.task_id)
         if not retry_due:  # only the listed files' history is read
             own = own.join(F.broadcast(listed.select(*KEY)), list(KEY), "left_semi")
-        current = fold(own)
+        current = fold(own).persist()  # read by the decision and by the owner check
         failed = own.filter("event = 'FAILED'").groupBy(*KEY).agg(F.max("event_time").alias("failed_at"))
     if retry_due:
         again = current.filter(F.col("status").isin("FAILED", "CLAIMED", "PROCESSING")).select(
@@ -339,6 +339,7 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
              .filter((F.col("decision") != "CLAIM_RETRY") | F.col("failed_at").isNull() | (due <= ts_lit(now))))
     rows = with_format(taken.withColumnRenamed("file_path", "path")).withColumnRenamed("path", "file_path").select(
         *KEY, "file_size", "skip_reason", "decision").collect()  # the batch's own files
+    current.unpersist()
     skip = [r for r in rows if r.skip_reason is not None]
     todo = [r for r in rows if r.skip_reason is None]
     frame = lambda some, *more: spark.createDataFrame(
