@@ -23,13 +23,17 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter or without a clear language go.  Others stay as they are."""
+    """Language ID: documents without a letter or without a clear language go.  Others stay as they are,
+    and so do all with a letter where no language could be learned."""
     model = langid.fit(docs, tokenizer_path("piece_bpe_32k.model"))
     shared = spark.sparkContext.broadcast(model)
 
     def start():
         def run(texts):
-            best = [None if q is None else float(q.max()) for q in shared.value.posteriors(texts)]
+            if not shared.value.languages:
+                best = [1.0 if t is not None and langid.has_letter(t) else None for t in texts]
+            else:
+                best = [None if q is None else float(q.max()) for q in shared.value.posteriors(texts)]
             return {"__score": best, "__text": texts}
         return run
 

@@ -4,8 +4,8 @@ A language is a probability for every piece of a fixed public vocabulary.  The p
 a text is the sum over all its segmentations into pieces of the product of their probabilities;
 pieces begin at word starts and never cross blanks, so it is a product over words, and the
 forward algorithm gives each word's sum.  The piece probabilities are learned by
-expectation-maximisation (forward-backward expected counts) from a bounded sample of texts per
-language; scoring covers every whole text.
+expectation-maximisation (forward-backward expected counts) from a bounded sample of distinct texts
+of every language; scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -15,17 +15,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from intakeflow.llm.common import WordCache, map_texts
+from intakeflow.llm.common import WordCache, map_texts, small_batches
 
 TRAIN_DOCS = 300        # texts per language in the fitting sample ...
-TRAIN_CHARS = 10_000    # ... each of at most so many characters
-TRAIN_LANGS = 64
+TRAIN_CHARS = 10_000    # ... of longer ones, windows with so many characters together
+TRAIN_WINDOWS = 10
 MAX_PIECE = 8           # longest piece used, in characters
 ROUNDS = 3
 ROW_FLOATS = 2_000_000  # bounds the arrays of one forward pass
+CACHE_FLOATS = 32_000_000  # bounds the values kept of words, and those of one text looked at at once
 FLOOR = 1e-9            # probability of a character no piece covers
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)                                    # of the polynomial hash
@@ -33,6 +35,7 @@ _SPREAD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # of t
 _BITS = 20
 
 _LETTER = re.compile(r"[^\W\d_]")
+_SQL_LETTER = r"[\p{L}\p{N}&&[^\p{Nd}]]"  # the same for Spark
 
 
 def vocabulary(path: str) -> list[str]:
@@ -45,10 +48,33 @@ def vocabulary(path: str) -> list[str]:
     return sorted({p.lower() for p in pieces if len(p) <= MAX_PIECE})
 
 
+def has_letter(text: str) -> bool:
+    return _LETTER.search(text) is not None
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def excerpt(text: str, chars: int = TRAIN_CHARS) -> str:
+    """The text, or of a longer one ``TRAIN_WINDOWS`` even windows over its words with a letter; words
+    that a window cuts are left out where it holds whole ones."""
+    if len(text) <= chars:
+        return text
+    text = " ".join(w for w in text.split() if _LETTER.search(w))
+    if len(text) <= chars:
+        return text
+    size = max(1, chars // TRAIN_WINDOWS)
+    out = []
+    for k in range(TRAIN_WINDOWS):
+        at = k * (len(text) - size) // max(1, TRAIN_WINDOWS - 1)
+        window = text[at:at + size]
+        first = 0 if at == 0 or text[at - 1] == " " else window.find(" ") + 1
+        last = size if at + size >= len(text) or text[at + size] == " " else window.rfind(" ")
+        out.append(window[first:last] if first < last else window)
+    return " ".join(out)
+
+
 class Lattice:
     """All segmentations of words into pieces."""
 
@@ -97,13 +123,14 @@ class Lattice:
         alone[alone == self.none] = self.size
         return out
 
-    def batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
-        """Words of equal length together, within ``ROW_FLOATS``: (positions, arcs)."""
+    def batches(self, words: list[str], wide: int = 1) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Words of equal length together, within ``ROW_FLOATS``: (positions, arcs).  ``wide``: by
+        how much the arrays are wider than those of a few languages."""
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by.setdefault(len(w) + 1, []).append(i)
         for n, at in sorted(by.items()):
-            step = max(1, ROW_FLOATS // ((n + 1) * MAX_PIECE))
+            step = max(1, ROW_FLOATS // ((n + 1) * MAX_PIECE * wide))
             for k in range(0, len(at), step):
                 some = at[k:k + step]
                 yield some, self.arcs(["▁" + words[i] for i in some], n)
@@ -111,7 +138,7 @@ class Lattice:
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log sum over segmentations, [word, language], for p [piece, language]: forward algorithm."""
         out = np.empty((len(words), p.shape[1]))
-        for at, arcs in self.batches(words):
+        for at, arcs in self.batches(words, 1 + p.shape[1] // 32):
             rows, ends, _ = arcs.shape
             # MAX_PIECE - 1 zeros before the start; sums are rescaled now and then
             a = np.zeros((rows, MAX_PIECE - 1 + ends, p.shape[1]))
@@ -182,43 +209,78 @@ class Model:
             lattice = Lattice(self.pieces)
             np.seterr(over="ignore")  # hashes wrap around
             self._cache = WordCache(lambda ws: (r.tobytes() for r in lattice.log_probability(ws, self.p)),
-                                    cap=800_000)
+                                    cap=min(800_000, CACHE_FLOATS // max(1, len(self.languages))))
+        if not self.languages:
+            yield from [None] * len(texts)
+            return
         lists = [words_of(t) if t is not None and _LETTER.search(t) else [] for t in texts]
-        for values in self._cache.look_up_together(lists):
-            if not values or not self.languages:
-                yield None
-                continue
-            s = np.frombuffer(b"".join(values)).reshape(-1, len(self.languages)).sum(0)
-            s = np.exp(s - s.max())
-            yield s / s.sum()
+        # many texts at once, or as many words as fit
+        part, step = [], CACHE_FLOATS // len(self.languages)
+        for words in lists:
+            if part and sum(map(len, part)) + len(words) > step:
+                yield from self._sums(part, step)
+                part = []
+            part.append(words)
+        yield from self._sums(part, step)
+
+    def _sums(self, lists: list[list[str]], step: int) -> Iterator[np.ndarray | None]:
+        def total(values):
+            return np.frombuffer(b"".join(values)).reshape(-1, len(self.languages)).sum(0)
+
+        if len(lists) == 1:  # a long text by parts
+            words = lists[0]
+            cut = [words[k:k + step] for k in range(0, len(words), max(1, step))]
+            sums = [sum(total(v) for c in cut for v in self._cache.look_up_together([c]))] if words else [None]
+        else:
+            sums = (total(v) if v else None for v in self._cache.look_up_together(lists))
+        for s in sums:
+            if s is not None:
+                s = np.exp(s - s.max())
+                s = s / s.sum()
+            yield s
 
 
 def fit(docs: DataFrame, vocabulary_path: str, per_language: int = TRAIN_DOCS,
         chars: int = TRAIN_CHARS) -> Model:
-    """Learn from ``docs (doc_id, text, lang)``: at most ``per_language`` texts of at most ``chars``
-    characters for each language, chosen by a hash of text; null languages and texts are left out.
-    At most ``TRAIN_LANGS`` languages (those with most rows) are learned.
+    """Learn every language of ``docs (doc_id, text, lang)`` that has a text with a letter, from
+    ``per_language`` distinct texts of it (or all, where there are fewer), chosen by a hash of text;
+    of texts over ``chars`` characters an ``excerpt`` is used.  Null languages and texts are left out.
     """
+    spark = docs.sparkSession
     usable = docs.where("lang is not null and text is not null").select(
-        F.col("lang").cast("string").alias("lang"), "text").where(F.length("text").between(1, chars))
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()
-    counts: dict[str, Counter] = {}
-    if langs:
-        # a hash of the text picks a few more than needed; copies of one text count once
-        want = F.lit(0.0)
-        for r in langs:
-            want = F.when(F.col("lang") == r.lang, F.lit(1.5 * per_language / r["count"])).otherwise(want)
-        draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-        sample = (usable.where(draw < want).groupBy("lang", "text").count()
-                  .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language))
-        for r in sample.select("lang", "text").toLocalIterator():
-            counts.setdefault(r.lang, Counter()).update(words_of(r.text))
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
+        F.col("text").rlike(_SQL_LETTER)).withColumn("h", F.xxhash64("text"))
+    # the hash picks a few more distinct texts than needed, whatever the number of their copies
+    sizes = usable.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = usable.join(F.broadcast(sizes), "lang").where(draw < 1.5 * per_language / F.col("n"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "text": [excerpt(t, chars) for t in b["text"]]})
+
+    small_batches(spark)
+    order = Window.partitionBy("lang").orderBy("h")
+    # texts of equal hash are copies: any one of them stands for all
+    sample = (drawn.select("lang", "h", "text").mapInPandas(cut, "lang string, h long, text string")
+              .groupBy("lang", "h").agg(F.min("text").alias("text"))
+              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language))
     pieces = vocabulary(vocabulary_path)
-    lattice = Lattice(pieces)
-    names = sorted(counts)
-    p = [lattice.learn(counts[g]) for g in names]
-    return Model(names, pieces, np.stack(p, 1) if p else np.zeros((lattice.none + 1, 0)))
+    shared = spark.sparkContext.broadcast(pieces)
+
+    def learn(b: pd.DataFrame) -> pd.DataFrame:
+        np.seterr(over="ignore")  # hashes wrap around
+        counts: Counter = Counter()
+        for t in b["text"]:
+            counts.update(words_of(t))
+        p = Lattice(shared.value).learn(counts)
+        return pd.DataFrame({"lang": [b["lang"].iloc[0]], "p": [p.tobytes()]})
+
+    # one language is one bounded group
+    rows = sample.select("lang", "text").groupBy("lang").applyInPandas(learn, "lang string, p binary").collect()
+    rows.sort(key=lambda r: r.lang)
+    p = [np.frombuffer(bytes(r.p)) for r in rows]
+    return Model([r.lang for r in rows], pieces, np.stack(p, 1) if p else np.zeros((len(pieces) + 2, 0)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

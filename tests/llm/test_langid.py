@@ -4,6 +4,7 @@ import math
 import numpy as np
 
 from intakeflow.llm import langid
+from tests.llm.conftest import DE, EN
 
 
 def test_forward_sums_all_segmentations():
@@ -66,3 +67,35 @@ def test_held_out_accuracy(spark):
     out = catalog.op1_language_id(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     rows = out.where("held_out and lang is not null").collect()
     assert rows and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def test_every_labelled_language_is_learned(spark, piece_path):
+    # texts that are all long, few texts in many copies, and more languages than any count
+    rows = [(i, f"{EN} {i} " * 200, "en") for i in range(20)]
+    rows += [(100 + i, f"{DE} {i % 3}", "de") for i in range(3000)]
+    rows += [(10_000 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}qq " * 5, f"l{i:02d}") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, piece_path)
+    assert model.languages == sorted({r[2] for r in rows})
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id in (0, 100)"), model).collect()}
+    assert got == {0: "en", 100: "de"}
+
+
+def test_excerpt():
+    assert langid.excerpt("ab cd", 10) == "ab cd"
+    whole = " ".join(f"w{i}x" for i in range(5000))
+    got = langid.excerpt(whole, 1000)
+    assert 800 < len(got) <= 1010 and set(got.split()) <= set(whole.split())
+    assert len(langid.excerpt("x" * 5000, 1000)) == 1009
+
+
+def test_long_texts_by_parts_and_many_languages(monkeypatch):
+    pieces = ["▁a", "a", "b", "▁"]
+    model = langid.Model(["u", "v"], pieces, np.random.default_rng(1).random((len(pieces) + 2, 2)) / 9)
+    model.p[-1] = 0
+    texts = ["a b ab", None, "aab " * 50, "1", "b"]
+    whole = list(model.posteriors(texts))
+    monkeypatch.setattr(langid, "CACHE_FLOATS", 8)
+    model._cache = None
+    for x, y in zip(whole, model.posteriors(texts), strict=True):
+        assert (x is None) == (y is None) and (x is None or np.allclose(x, y))

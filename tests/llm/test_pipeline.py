@@ -43,3 +43,9 @@ def test_components(spark):
     want = {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 200: 200, 201: 200}
     assert got == want
     assert common.components(df.limit(0), "t").count() == 0
+
+
+def test_no_language_learned_keeps_documents(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, "en")],
+                                 "doc_id long, text string, lang string")
+    assert [r.doc_id for r in C.language(spark, docs, "").collect()] == [1]
