@@ -24,8 +24,8 @@ from intakeflow.llm.common import WordCache, map_texts, small_batches
 TRAIN_DOCS = 300        # texts per language in the fitting sample ...
 TRAIN_CHARS = 10_000    # ... of longer ones, windows with so many characters together
 TRAIN_WINDOWS = 10
-MAX_PIECE = 8           # longest piece used, in characters
 ROUNDS = 3
+PAD_OVER = 32           # in learning, words over so many characters are filled up to a common length
 ROW_FLOATS = 2_000_000  # bounds the arrays of one forward pass
 CACHE_FLOATS = 32_000_000  # bounds the values kept of words, and those of one text looked at at once
 FLOOR = 1e-9            # probability of a character no piece covers
@@ -45,7 +45,7 @@ def vocabulary(path: str) -> list[str]:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())
               if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    return sorted({p.lower() for p in pieces if len(p) <= MAX_PIECE})
+    return sorted({p.lower() for p in pieces})
 
 
 def has_letter(text: str) -> bool:
@@ -81,10 +81,11 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)        # position of the stand-in for uncovered characters
         self.none = len(pieces) + 1    # position that always has probability zero
+        self.longest = max(map(len, pieces), default=1)
         # pieces by a 64-bit polynomial hash: two tables, the second for slots that are taken
         codes = [np.frombuffer(p.encode("utf-32-le"), "<u4").astype("u8") for p in pieces]
         key = np.zeros(len(pieces), "u8")
-        for k in range(MAX_PIECE):
+        for k in range(self.longest):
             on = np.array([i for i, c in enumerate(codes) if len(c) > k], int)
             if len(on):
                 key[on] = key[on] * _BASE + np.array([codes[i][k] for i in on], "u8")
@@ -105,14 +106,14 @@ class Lattice:
         return tuple((key * m >> np.uint64(64 - _BITS)).astype(np.int64) for m in _SPREAD)
 
     def arcs(self, words: list[str], n: int) -> np.ndarray:
-        """Piece numbers [word, end, length - 1] of words with n characters each."""
+        """Piece numbers [word, end, length - 1] of words with n characters each, for all lengths that fit."""
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype("u8").reshape(-1, n)
-        out = np.full((len(words), n + 1, MAX_PIECE), self.none, np.int32)
+        out = np.full((len(words), n + 1, min(n, self.longest)), self.none, np.int32)
         prefix = np.zeros((len(words), n + 1), "u8")
         for j in range(n):
             prefix[:, j + 1] = prefix[:, j] * _BASE + codes[:, j]
         power = np.uint64(1)
-        for m in range(1, min(n, MAX_PIECE) + 1):
+        for m in range(1, min(n, self.longest) + 1):
             power = np.uint64(int(power) * int(_BASE) % (1 << 64))
             key = prefix[:, m:] - prefix[:, :-m] * power
             found = out[:, m:, m - 1]
@@ -123,66 +124,76 @@ class Lattice:
         alone[alone == self.none] = self.size
         return out
 
-    def batches(self, words: list[str], wide: int = 1) -> Iterator[tuple[list[int], np.ndarray]]:
+    def batches(self, words: list[str], wide: int = 1, pad: bool = False) -> Iterator[tuple[list[int], np.ndarray]]:
         """Words of equal length together, within ``ROW_FLOATS``: (positions, arcs).  ``wide``: by
-        how much the arrays are wider than those of a few languages."""
+        how much the arrays are wider than those of a few languages.  ``pad``: words over ``PAD_OVER``
+        characters of like length together, filled up with a character that no piece has."""
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by.setdefault(len(w) + 1, []).append(i)
+            n = len(w) + 1
+            if pad and n > PAD_OVER:
+                unit = 1 << (n.bit_length() - 3)
+                n = -(-n // unit) * unit
+            by.setdefault(n, []).append(i)
         for n, at in sorted(by.items()):
-            step = max(1, ROW_FLOATS // ((n + 1) * MAX_PIECE * wide))
+            step = max(1, ROW_FLOATS // ((n + 1) * min(n, self.longest) * wide))
             for k in range(0, len(at), step):
                 some = at[k:k + step]
-                yield some, self.arcs(["▁" + words[i] for i in some], n)
+                yield some, self.arcs([("▁" + words[i]).ljust(n, "\0") for i in some], n)
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log sum over segmentations, [word, language], for p [piece, language]: forward algorithm."""
         out = np.empty((len(words), p.shape[1]))
         for at, arcs in self.batches(words, 1 + p.shape[1] // 32):
-            rows, ends, _ = arcs.shape
-            # MAX_PIECE - 1 zeros before the start; sums are rescaled now and then
-            a = np.zeros((rows, MAX_PIECE - 1 + ends, p.shape[1]))
-            a[:, MAX_PIECE - 1] = 1.0
+            rows, ends, longest = arcs.shape
+            # longest - 1 zeros before the start; sums are rescaled now and then
+            a = np.zeros((rows, longest - 1 + ends, p.shape[1]))
+            a[:, longest - 1] = 1.0
             scale = np.zeros((rows, p.shape[1]))
             for j in range(1, ends):
-                hi = MAX_PIECE - 1 + j
-                # lengths 1..MAX_PIECE start at j-1, j-2, ...
-                a[:, hi] = np.einsum("rlg,rlg->rg", a[:, hi - MAX_PIECE:hi][:, ::-1], p[arcs[:, j]])
+                hi = longest - 1 + j
+                # lengths 1..longest start at j-1, j-2, ...
+                a[:, hi] = np.einsum("rlg,rlg->rg", a[:, hi - longest:hi][:, ::-1], p[arcs[:, j]])
                 if j % 8 == 0:
                     m = a[:, hi].copy()
-                    a[:, hi - MAX_PIECE + 1:hi + 1] /= m[:, None]
+                    a[:, hi - longest + 1:hi + 1] /= m[:, None]
                     scale += np.log(m)
             out[at] = np.log(a[:, -1]) + scale
         return out
 
     def learn(self, counts: Counter, rounds: int = ROUNDS) -> np.ndarray:
-        """Piece probabilities of one language from word counts, by EM over all segmentations."""
-        words = sorted(w for w in counts if len(w) < 30)
+        """Piece probabilities of one language from word counts, by EM over all segmentations.
+
+        Forward and backward sums are kept as logarithms, so long words (whole sentences in scripts
+        without blanks) count as well.  What words are filled up with adds the same factor to all of
+        a word's segmentations, and its own count is dropped.
+        """
+        words = sorted(counts)
         weight = np.array([counts[w] for w in words], float)
-        batches = list(self.batches(words))
         p = np.zeros(self.none + 1)
-        for at, arcs in batches:  # start: how often each piece occurs at all, shorter ones rarer
-            np.add.at(p, arcs, np.broadcast_to(weight[at][:, None, None], arcs.shape))
+        for at, arcs in self.batches(words, pad=True):  # start: how often each piece occurs at all, shorter ones rarer
+            p += np.bincount(arcs.ravel(), np.repeat(weight[at], arcs[0].size), len(p))
         p[self.none] = 0
         for r in range(rounds + 1):
             if r:
                 got = np.zeros_like(p)
-                for at, arcs in batches:
-                    rows, ends, _ = arcs.shape
+                for at, arcs in self.batches(words, pad=True):
+                    rows, ends, longest = arcs.shape
                     q = p[arcs]
                     f = np.zeros((rows, ends))
                     b = np.zeros((rows, ends))
-                    f[:, 0] = b[:, -1] = 1
                     for j in range(1, ends):
-                        m = min(j, MAX_PIECE)
-                        f[:, j] = np.einsum("rl,rl->r", f[:, j - m:j][:, ::-1], q[:, j, :m])
-                    for j in range(ends - 1, 0, -1):
-                        m = min(j, MAX_PIECE)
-                        b[:, j - m:j][:, ::-1] += q[:, j, :m] * b[:, j][:, None]
-                    total = np.maximum(f[:, -1], 1e-300)
-                    w = weight[at] / total
-                    for m in range(1, min(MAX_PIECE, ends - 1) + 1):
-                        e = f[:, :ends - m] * q[:, m:, m - 1] * b[:, m:] * w[:, None]
+                        m = min(j, longest)
+                        near = np.exp(f[:, j - m:j][:, ::-1] - f[:, j - 1:j])
+                        f[:, j] = f[:, j - 1] + np.log(np.einsum("rl,rl->r", near, q[:, j, :m]))
+                    for j in range(ends - 2, -1, -1):
+                        m = min(ends - 1 - j, longest)
+                        k = np.arange(m)
+                        near = np.exp(b[:, j + 1:j + 1 + m] - b[:, j + 1:j + 2])
+                        b[:, j] = b[:, j + 1] + np.log(np.einsum("rl,rl->r", near, q[:, j + 1 + k, k]))
+                    total = f[:, -1:]
+                    for m in range(1, min(longest, ends - 1) + 1):
+                        e = np.exp(f[:, :ends - m] + b[:, m:] - total) * q[:, m:, m - 1] * weight[at][:, None]
                         got += np.bincount(arcs[:, m:, m - 1].ravel(), e.ravel(), len(p))
                 p = got
             p[:self.size] += 0.01

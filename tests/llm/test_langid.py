@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 
@@ -99,3 +100,48 @@ def test_long_texts_by_parts_and_many_languages(monkeypatch):
     model._cache = None
     for x, y in zip(whole, model.posteriors(texts), strict=True):
         assert (x is None) == (y is None) and (x is None or np.allclose(x, y))
+
+
+def test_words_of_any_length_are_learned(piece_path):
+    pieces = langid.vocabulary(piece_path)
+    assert max(map(len, pieces)) == 16
+    lattice = langid.Lattice(pieces)
+    r = np.random.default_rng(3)
+
+    def joined(words):
+        return "".join(r.choice(words.split(), 40))
+
+    p = [lattice.learn(Counter(joined(w) for _ in range(60))) for w in (EN, DE)]
+    got = lattice.log_probability([joined(EN), joined(DE)], np.stack(p, 1))
+    assert got[0, 0] > got[0, 1] + 20 and got[1, 1] > got[1, 0] + 20
+    # sentences without blanks in one script
+    kana = ["わたしは", "がっこうへ", "いきます", "きょうも", "あめです"], ["たしかに", "かいしゃへ", "いきました", "きのうは", "ゆきでした"]
+    p = [lattice.learn(Counter("".join(r.choice(k, 10)) for _ in range(60))) for k in kana]
+    got = lattice.log_probability(["".join(r.choice(k, 10)) for k in kana], np.stack(p, 1))
+    assert got[0, 0] > got[0, 1] and got[1, 1] > got[1, 0]
+
+
+def test_learning_counts_all_segmentations():
+    # one round by hand, over all segmentations, of a short word and of one that is filled up
+    pieces = ["▁a", "a", "aa", "b", "ab", "▁"]
+    lattice = langid.Lattice(pieces)
+    long = "ab" * 20
+    for word in ("aab", long):
+        start, got = lattice.learn(Counter([word]), 0), lattice.learn(Counter([word]), 1)
+        w, index = "▁" + word, {s: i for i, s in enumerate(pieces)}
+        n = len(w)
+        f, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+
+        def arc(i, j):
+            return start[index[w[i:j]]] if w[i:j] in index else langid.FLOOR if j == i + 1 else 0.0
+
+        for j in range(1, n + 1):
+            f[j] = sum(f[i] * arc(i, j) for i in range(j))
+        for i in range(n - 1, -1, -1):
+            b[i] = sum(arc(i, j) * b[j] for j in range(i + 1, n + 1))
+        want = np.full(len(pieces), 0.01)
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                if w[i:j] in index:
+                    want[index[w[i:j]]] += f[i] * arc(i, j) * b[j] / f[n]
+        assert np.allclose(got[:len(pieces)], want / want.sum(), rtol=1e-6)
