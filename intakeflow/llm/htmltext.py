@@ -33,9 +33,13 @@ CELLS = 30_000           # blocks (with padding) read at once
 
 # HTML element names by their role.
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt
-ruby s samp small span strike strong sub sup time tt u var wbr""".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-OPAQUE = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "math")
+ruby s samp small span strike strong sub sup time tt u var wbr object param math mi mn mo ms mtext mspace mrow mfrac
+msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts
+mprescripts mtable mtr mtd semantics annotation annotation-xml""".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = ("script", "style", "textarea", "title")        # skipped up to the end tag or the end of the page
+OPAQUE = ("noscript", "template", "svg", "iframe")    # skipped up to their own end tag
+SHAPES = frozenset("animate circle ellipse image line path polygon polyline rect stop use".split())  # without text
 CLOSES_P = frozenset("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4
 h5 h6 header hr main menu nav ol p pre section table ul""".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
@@ -49,7 +53,7 @@ APART_NAME = re.compile(r"""(?:^|[-_])(?:ads?|advert\w*|sponsor\w*|promo\w*|bann
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)/?>
 |(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>)""".replace("\n", ""), re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in OPAQUE}
+_END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
 
 
 class Block:
@@ -61,12 +65,37 @@ class Block:
         self.path, self.parts, self.linked, self.text = path, [], 0, ""
 
 
+def opaque_ends(page: str, at: int) -> dict[int, int]:
+    """Where the elements of ``OPAQUE`` end, by the starts of their start tags, from ``at`` on: at the end
+    tag of equal depth.  Self-closing ones end with their tag; those without an end tag are not listed."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {name: [] for name in OPAQUE}
+    while (m := _TAG.search(page, at)) is not None:
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        closing, empty = m[1] or m[4], m[0].endswith("/>")
+        if name in RAW:
+            # inside svg only scripts are raw text
+            if not closing and not (open_["svg"] and (empty or name != "script")):
+                at = _END[name].search(page, at).end()
+        elif name in open_:
+            if closing:
+                if open_[name]:
+                    ends[open_[name].pop()] = at
+            elif empty:
+                ends[m.start()] = at
+            else:
+                open_[name].append(m.start())
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order.  Tags that are never closed, closed twice or cut off are fine."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []      # (element, element with its names)
     now: Block | None = None
     links = 0
+    ends: dict[int, int] | None = None     # of opaque elements, once there is one
     at, n = 0, len(page)
 
     def text(s: str) -> None:
@@ -119,9 +148,14 @@ def blocks(page: str) -> list[Block]:
                     close(i)
                     break
             continue
-        if name in OPAQUE:
+        if name in RAW:
             at = _END[name].search(page, at).end()
             continue
+        if name in OPAQUE:
+            if ends is None:
+                ends = opaque_ends(page, m.start())
+            at = ends.get(m.start(), at)
+            continue
         if name in CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
@@ -136,7 +170,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in SAME[name]:
                     break
-        if name not in VOID:
+        if name not in VOID and name not in SHAPES:
             names = " ".join(x for t in _NAMES.findall(m[3] or m[6] or "") for x in t if x)
             stack.append((name, f"{name} {names}".strip().lower()))
     kept = []

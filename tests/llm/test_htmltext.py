@@ -53,3 +53,23 @@ def test_awkward_pages(spark):
     assert len(got) == 6 and {r.text for r in got if r.page_id in (1, 2)} == {""}
     assert [r.text for r in got if r.page_id is None] == ["text"]
     assert H.extract(pages.limit(0), net).count() == 0
+
+
+def test_opaque_elements_end_where_they_should():
+    for name in ("svg", "template", "iframe", "noscript"):
+        assert texts(f"<p>a</p><{name} x='1'/><p>b</p><{name}>no</{name}><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a</p><{name} x='1'><p>b</p>") == ["a", "b"]  # never closed
+        assert texts(f"<{name}>no <{name}>no</{name}> no</{name}><p>a</p>") == ["a"]
+        assert texts(f"<{name}/>" * 3 + f"<{name}>no<!-- </{name}> --> no</{name}><p>a") == ["a"]
+    # one end tag is missing: the inner element ends there and the rest stays
+    assert texts("<p>a</p><svg><svg>no</svg><p>b</p>") == ["a", "b"]
+    assert texts("<svg><title>no</svg><p>a</p><script>'</svg>'</script><p>b</p>") == ["a", "b"]
+    assert [b.path for b in H.blocks("<article><svg><path d='x'><p>a</p></article>")] == [("article", "p")]
+    assert texts("<svg>" * 3000 + "<p>a</p>") == ["a"]
+
+
+def test_text_of_math_and_object_stays():
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert texts("<p>a</p><math/><p>b</p><object data='x'><param name='y'><p>c</p></object><p>d</p>") == ["a", "b", "c", "d"]
+    assert texts("<p>a <object data='x'>b <p>c") == ["a b", "c"]
+    assert texts("<p>a <object data='x'/> b</p><p>c") == ["a b", "c"]
