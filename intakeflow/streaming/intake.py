@@ -7,7 +7,7 @@ once across restarts (T6), ``maxFilesPerTrigger`` bounds a micro-batch (T3),
 ``trigger(availableNow=True)`` the manual "scan now" (T2), and ``cleanSource``
 keeps / deletes / archives finished files (K6).
 
-For CSV and JSON the stream is a listing: a micro-batch is a set of files, not rows.
+The stream is a listing: a micro-batch is a set of files, not rows.
 It runs, in order: the claim decision on the ledger (L1: loaded, skipped and leased files
 are left alone, failed ones wait for their back-off), SKIPPED events for files that are
 not read (S5), CLAIMED events, one read of the claimed files, cleaning with a validity
@@ -72,10 +72,10 @@ def ext_glob(extensions, fmt: str) -> str:
     return pats[0] if len(pats) == 1 else "{" + ",".join(pats) + "}"
 
 
-def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str,
+def _read_stream(spark: SparkSession, folder: str, fmt: str,
                  max_files: int | None, clean_source: str, archive_dir: str | None,
                  recursive: bool, glob: str) -> DataFrame:
-    """The watcher: a stream of files (``path``, ``_mtime``, ``_size``); for Excel with their rows."""
+    """The watcher: a stream of files (``path``, ``_mtime``, ``_size``)."""
     if fmt not in ("csv", "json", "excel"):
         raise ValueError(f"unsupported stream format {fmt}")
     binary = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -88,14 +88,13 @@ def _read_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: st
         r = r.option("cleanSource", clean_source)
         if clean_source == "archive":
             r = r.option("sourceArchiveDir", archive_dir)
-    files = r.load(folder).select(
-        F.regexp_replace("path", "^file:", "").alias("path"), *(["content"] if fmt == "excel" else []),
+    return r.load(folder).select(
+        F.regexp_replace("path", "^file:", "").alias("path"),
         (F.unix_micros("modificationTime") / 1000).cast("long").alias("_mtime"), F.col("length").alias("_size"))
-    return _workbook_rows(files, schema) if fmt == "excel" else files
 
 
 def _workbook_rows(files: DataFrame, schema: T.StructType) -> DataFrame:
-    """S4 as a stream: one workbook per row, parsed in ``mapInPandas``; workbook by workbook."""
+    """S4 in the intake: one workbook per row, parsed in ``mapInPandas``; workbook by workbook."""
     names = schema.fieldNames()
     out = T.StructType(list(schema.fields) + [T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType()),
                                               T.StructField("_mtime", T.LongType()), T.StructField("_size", T.LongType()),
@@ -367,6 +366,10 @@ def _file_rows(spark: SparkSession, files: list[tuple], spec: TaskSpec, schema:
     names = [as_glob(f) for f, _, _ in files]
     if fmt == "csv":
         rows = read_csv(spark, names, spec.encoding or "utf-8", schema)
+    elif fmt == "excel":
+        books = spark.read.format("binaryFile").load(names).select(
+            F.regexp_replace("path", "^file:", "").alias("path"), "content")
+        return _workbook_rows(books.join(F.broadcast(listed.withColumnRenamed(FILE, "path")), "path"), schema), listed
     else:
         if CORRUPT not in schema.fieldNames():
             schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
@@ -448,18 +451,15 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
 
     ``fmt`` is ``csv`` (``spec.encoding`` applies), ``json`` or ``excel``; for JSON with a
     nested ``spec.json_path`` pass ``prepare=lambda df: explode_json_path(df, spec.json_path)``.
-    Every micro-batch of CSV or JSON files also takes the ledger's failed files that are due again.
+    Every micro-batch also takes the ledger's failed files that are due again.
     """
-    stream = _read_stream(spark, folder, schema, fmt, max_files_per_trigger, clean_source,
+    stream = _read_stream(spark, folder, fmt, max_files_per_trigger, clean_source,
                           archive_dir, recursive, ext_glob(spec.extensions, fmt))
     flag = flag or pass_through
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
     options = {"prepare": prepare, "encryption_key": encryption_key, "target_schema": target_schema}
 
     def run(df: DataFrame, batch_id: int) -> None:
-        if fmt == "excel":
-            process_batch(df, batch_id, spec, paths, flag, clock, order_cols, **options)
-            return
         files = [tuple(r) for r in df.select("path", "_mtime", "_size").collect()]  # at most one trigger's files
         process_files(df.sparkSession, files, batch_id, spec, paths, flag, clock, schema, fmt, order_cols,
                       owner=f"{paths.checkpoint}#{batch_id}", isolate_errors=isolate_errors, retry_due=True, **options)
@@ -483,9 +483,7 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
     """The batch twin of ``start_intake``: every file of the folder in one run (the ledger
     decides which are taken).  Files with one of the task's extensions that are empty or not
     readable are recorded as SKIPPED.  Returns the writer's counts."""
-    if fmt == "excel":
-        raise ValueError("use the stream (availableNow) for Excel folders")
-    if fmt not in ("csv", "json"):
+    if fmt not in ("csv", "json", "excel"):
         raise ValueError(f"unsupported format {fmt}")
     wanted = {e.lower() for e in spec.extensions if FORMATS.get(e.lower()) in (fmt, None) or e.lower() == ".xls"}
     files = [f for f in list_paths(spark, folder, recursive) if _suffix(f[0]) in wanted]

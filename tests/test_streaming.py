@@ -436,3 +436,43 @@ def test_user_code_runs_once_per_row(spark, tmpdir_path):
 
     c = run_batch_intake(spark, inbox, spec, schema, _paths(f"{tmpdir_path}/run"), flag=flag, as_of=lambda: AS_OF)
     assert c["inserted"] == 100 and calls.value == 100
+
+
+def test_excel_outcomes_stream_and_batch(spark, tmpdir_path):
+    from intakeflow.streaming.intake import run_batch_intake
+    from tests.xlsx_fixture import make_xlsx
+
+    inbox = f"{tmpdir_path}/inbox"
+    os.makedirs(inbox)
+    books = {f"good{i}": [["id", "date"], [i, "2026-01-05"], [10 + i, "2026-03-01"]] for i in range(3)}
+    books |= {"header [only]": [["id", "date"]], "blank": [], "bad": [["id", "date"], ["boom", "2026-01-02"]]}
+    for name, rows in books.items():
+        with open(f"{inbox}/{name}.xlsx", "wb") as f:
+            f.write(make_xlsx(rows))
+    with open(f"{inbox}/broken.xlsx", "wb") as f:
+        f.write(b"not a zip")
+    spec = TaskSpec(task_id="x", base_table="x", keys=("id",), partition_field="date", max_retries=2, extensions=(".xlsx",))
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("date", T.StringType())])
+
+    def flag(df):
+        return (df.withColumn("_valid", F.lit(True)).withColumn("_error", F.lit(None).cast("string"))
+                .withColumn("id", F.when(F.col("id") == "boom", F.raise_error(F.lit("cannot read"))).otherwise(F.col("id"))))
+
+    def state(paths):
+        return {os.path.basename(r.file_path).split(".")[0]: (r.status, r.row_count, r.dead_lettered)
+                for r in fold(spark.read.parquet(paths.ledger)).collect()}
+
+    want = {f"good{i}": ("SUCCESS", 2, False) for i in range(3)} | {
+        "header [only]": ("SUCCESS", 0, False), "blank": ("SUCCESS", 0, False), "broken": ("SKIPPED", None, False),
+        "bad": ("FAILED", None, False)}
+    s, b = _paths(f"{tmpdir_path}/stream"), _paths(f"{tmpdir_path}/batch")
+    q = start_intake(spark, inbox, spec, schema, s, flag=flag, fmt="excel", available_now=True, as_of=lambda: AS_OF)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    c = run_batch_intake(spark, inbox, spec, schema, b, flag=flag, fmt="excel", as_of=lambda: AS_OF)
+    assert c["inserted"] == 6 and state(s) == want and state(b) == want
+    rows = [{(r.month, r.id) for r in read_target(spark, p.target).collect()} for p in (s, b)]
+    assert rows[0] == rows[1] == {(m, str(k + i)) for i in range(3) for m, k in (("202601", 0), ("202603", 10))}
+    # due again and failing again: retries are used up
+    run_batch_intake(spark, inbox, spec, schema, b, flag=flag, fmt="excel", as_of=lambda: AS_OF + dt.timedelta(hours=1), run_id=1)
+    assert state(b) == want | {"bad": ("FAILED", None, True)}
