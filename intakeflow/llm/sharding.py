@@ -6,7 +6,8 @@ into a fixed number of bundles of graded widths and packed as bundles.  So the p
 at most ``shards * fine + BUNDLES`` vectors at any input size.  It takes them from the largest
 down and puts each into the shard where the dot product of its vector with the shard's residual
 capacity is highest; a second pass moves items from the fullest to the emptiest shard while that
-brings their byte counts closer.  A group that alone exceeds a shard's even share is split into parts
+brings their byte counts closer and the largest share of any shard, over bytes, tokens and rows,
+does not grow.  A group that alone exceeds a shard's even share is split into parts
 of a share of it, as no placement could be even otherwise.
 
 Law: ``bytes`` (shard sizes near equal).
@@ -54,16 +55,20 @@ def place(items: np.ndarray, shards: int, totals: np.ndarray) -> np.ndarray:
         left[s] -= share[i]
     load = np.bincount(to, items[:, 0], shards)
     size = items[:, 0]
+    held = np.stack([np.bincount(to, share[:, k], shards) for k in range(items.shape[1])], 1)
     for _ in range(40 * shards):
         hi, lo = int(np.argmax(load)), int(np.argmin(load))
         gap = load[hi] - load[lo]
         mine = np.flatnonzero((to == hi) & (size < gap) & (size > 0))
+        mine = mine[(held[lo] + share[mine]).max(1) <= held.max()]  # no measure's largest share grows past it
         if not len(mine):
             break
         i = mine[np.argmin(np.abs(size[mine] - gap / 2))]
         to[i] = lo
         load[hi] -= size[i]
         load[lo] += size[i]
+        held[hi] -= share[i]
+        held[lo] += share[i]
     return to
 
 

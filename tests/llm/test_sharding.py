@@ -38,3 +38,17 @@ def test_place_takes_the_best_dot_product():
     to = sharding.place(items, 2, items.sum(0))
     assert to[0] != to[1]
     assert abs(items[to == 0].sum(0) - items[to == 1].sum(0)).max() <= 1
+
+
+def test_moves_do_not_worsen_the_largest_share():
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        items = r.integers(1, 200, (60, 3)).astype(float)
+        share = items / items.sum(0)
+        left, to = np.full((5, 3), 0.2), np.empty(60, int)
+        for i in np.argsort(-items[:, 0], kind="stable"):  # the first pass alone
+            to[i] = np.argmax(left @ share[i])
+            left[to[i]] -= share[i]
+        got = sharding.place(items, 5, items.sum(0))
+        most = [max(np.bincount(x, share[:, k], 5).max() for k in range(3)) for x in (got, to)]
+        assert most[0] <= most[1] + 1e-9
