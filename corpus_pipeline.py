@@ -15,7 +15,8 @@ from intakeflow.llm import langid, packing, probminhash, secrets, toxicity
 from intakeflow.llm.catalog import tokenizer_path
 from intakeflow.llm.common import map_texts, table, written
 
-# A posterior below this is no language; documents in a known language are far above it.
+# Of the posterior over the learned languages: no one of them has a clear share below this.  Gibberish and
+# languages that were not learned mostly are above it, so in effect texts without a letter go.
 LEAST_SCORE = 0.5
 
 # The stages learn models, which SQL cannot express; tests hold them against brute force.
