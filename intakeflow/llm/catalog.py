@@ -126,9 +126,39 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages, htmltext.fit(pages))
 
 
+@register
+def op11_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors around 40 centroids in five exact rounds, with bounds from a LAESA pivot table."""
+    from intakeflow.llm import pivotclusters
+
+    return pivotclusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two and three words of every language, counted in HAT-tries."""
+    from intakeflow.llm import collocations
+
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the budgeted windows of all conversations and of one whose texts are control strings."""
+    from intakeflow.llm import chatformat
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chatformat.digests(chatformat.windows(rows, tokenizer_path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from intakeflow.llm import collocations, pivotclusters
+
+    return {"op11_pivot_clusters": pivotclusters.oracle(), "op12_collocations": collocations.oracle()}
