@@ -7,20 +7,24 @@ are written out, largest first, as runs in order of their phrases; the rest foll
 task.  The runs' phrases are range-partitioned, so a partition is a span of the trie's prefixes and a
 prefix of very many phrases spreads over several, and every partition merges its runs' counts.
 
-A phrase that occurs often enough is made of parts that do, so a level counts only phrases whose
-parts may be frequent.  A bit map of the level before tells which may; it has a bounded size, and where
-it lets an infrequent part through, this costs work and changes no result.
+Most phrases are rare, so each pass also screens the next level by numbers alone: it counts the 64-bit
+hashes of phrases one word longer whose parts may be frequent, and hashes that occur often enough
+go into a bit map of bounded size.  A frequent phrase's hash always does; where a rare one's does too,
+it is counted for nothing and changes no result.
 """
 
 from __future__ import annotations
 
-import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +38,19 @@ ENTRIES = 1_000_000     # entries of a task's tries at which subtrees are writte
 WORDS = 400_000         # words that have a number at once (below 2^21) ...
 WORD_BYTES = 32 << 20   # ... and their bytes together
 BUFFER = 500_000        # keys sorted together before they enter a trie
+HASHES = 2_000_000      # hashes sorted together before they are written out ...
+FIRST = 10              # ... in rows by their first bits
+GROUP = 400_000         # hashes merged together
 SLICE = 1 << 20         # bytes of one text looked at at once
 OUT_ROWS, OUT_BYTES = 50_000, 16 << 20  # of one record batch of a run
-MAP_BITS = 29           # a level's bit map has at most 2^29 bits
+MAP_BITS = 29           # a bit map has at most 2^29 bits
 
 _BITS = 21              # of a word's number in a key
 _BREAK = b"\xff"        # in place of a piece's end; no UTF-8 text holds this byte
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # fixed values: A-Z in lower case, pieces end at these signs, a tab parts words like a blank
+_CUTS = (b" ", b"\t", b"\n", b".", b",")
+_RUN_NAMES = ["lang", "phrase", "f", "hashes", "times"]
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t",
                          b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
 
@@ -128,66 +137,74 @@ def _arrays(container: dict) -> tuple[np.ndarray, np.ndarray]:
     return k[order], c[order]
 
 
-def word_hash(lang: bytes, word: bytes) -> int:
-    return zlib.crc32(word, zlib.crc32(lang + b"\0"))
-
-
-def phrase_slots(hashes: list[np.ndarray], bits: int) -> np.ndarray:
-    """Places in a map of 2^bits bits, from the hashes of every phrase's words."""
+def phrase_hash(hashes: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of phrases from the hashes of their words."""
     h = np.zeros(len(hashes[0]), "u8")
     with np.errstate(over="ignore"):
         for one in hashes:
-            h = (h ^ one.astype("u8")) * _MIX
+            h = (h ^ one) * _MIX
             h ^= h >> np.uint64(29)
-        return (h * _MIX) >> np.uint64(64 - bits)
+        return h * _MIX
+
+
+def _cut(h: np.ndarray, n: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sorted hashes and their counts by the hashes' first bits."""
+    first = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(first)) + 1, [len(h)]])
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if s < e:
+            yield int(first[s]), h[s:e], n[s:e]
 
 
 class BitMap:
-    """Which phrases of a level may be frequent: 2^bits bits."""
+    """Which phrases of a level may be frequent: 2^bits bits, by the first bits of a phrase's hash."""
 
     def __init__(self, bits: int, data: np.ndarray):
         self.bits, self.data = bits, data
 
-    def has(self, hashes: list[np.ndarray]) -> np.ndarray:
-        at = phrase_slots(hashes, self.bits)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.bits)
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype("u1") & 1).astype(bool)
 
 
-class Numbers(dict):
-    """word -> its number from 1; 0 for the end of a piece and for words that are not frequent."""
+class Numbers:
+    """Numbers from 1 for words in the order of their first occurrence; 0 for the end of a piece."""
 
-    def __init__(self, lang: bytes, allowed: BitMap | None):
-        super().__init__()
-        self.lang, self.allowed = lang, allowed
+    def __init__(self, lang: bytes):
+        self.seed = xxhash.xxh32_intdigest(lang)
         self.clear()
 
     def clear(self) -> None:
-        super().clear()
-        self[_BREAK] = 0
-        self.words, self.hash, self.bytes = [b""], [0], 0
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word)
-        self.bytes += len(word) + 64
-        if self.allowed is not None and not self.allowed.has([np.array([h])])[0]:
-            n = 0
-        else:
-            n = len(self.words)
-            self.words.append(word)
-            self.hash.append(h)
-        self[word] = n
-        return n
+        self.known: defaultdict[bytes, int] = defaultdict(count(1).__next__, {_BREAK: 0})
+        self.words, self.hash, self.bytes = [b""], array("Q", [0]), 0
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        new = list(islice(reversed(self.known), len(self.known) - len(self.words)))[::-1]
+        if new:
+            self.words += new
+            self.hash.extend([xxhash.xxh64_intdigest(w, self.seed) for w in new])
+            self.bytes += sum(map(len, new)) + 64 * len(new)
+        return ids
+
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.hash, "u8")[ids]
 
 
 class Counter:
-    """Counts the phrases of ``size`` words of one language in a task, within bounded memory."""
+    """Counts the phrases of ``size`` words of one language in a task, within bounded memory.
 
-    def __init__(self, lang: str, size: int, words: BitMap | None, parts: BitMap | None):
-        self.lang, self.size, self.parts = lang, size, parts
-        self.numbers = Numbers(lang.encode(), words)
+    ``allowed``: the level's bit map (None: all phrases count).  ``screen``: also count hashes of phrases of one
+    word more, of those whose both parts of ``size`` words count.
+    """
+
+    def __init__(self, lang: str, size: int, allowed: BitMap | None, screen: bool):
+        self.lang, self.size, self.allowed, self.screen = lang, size, allowed, screen
+        self.numbers = Numbers(lang.encode())
         self.trie = HatTrie(size)
         self.buffer: list[np.ndarray] = []
-        self.held = 0
+        self.hashes: list[np.ndarray] = []
+        self.held = self.hashed = 0
         self.total = 0
 
     def text(self, data: bytes) -> Iterator[pa.RecordBatch]:
@@ -196,46 +213,76 @@ class Counter:
         while at < len(data):
             end = at + SLICE
             if end < len(data):  # a slice ends at a blank or where a piece ends
-                cut = max(data.rfind(c, at, end) for c in (b" ", b"\t", b"\n", b".", b","))
-                while cut < at:  # one long word
-                    cut = min((k for k in (data.find(c, end) for c in (b" ", b"\t", b"\n", b".", b",")) if k >= 0),
-                              default=len(data))
+                cut = max(data.rfind(c, at, end) for c in _CUTS)
+                if cut < at:  # one long word
+                    cut = min((k for k in (data.find(c, end) for c in _CUTS) if k >= 0), default=len(data))
                 end = cut + 1
             words = data[at:end].translate(_TABLE).replace(_BREAK, b" " + _BREAK + b" ").split()
             at = end
             if self.size == 1:
                 self.total += len(words) - words.count(_BREAK)
-            new = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-            ids = np.concatenate([tail, new])
-            # phrases that end in this slice, the words before it known by ``tail``
-            n = len(ids) - self.size + 1
-            if n > 0:
-                spans = [ids[k:k + n] for k in range(self.size)]
-                ok = np.logical_and.reduce([s > 0 for s in spans])
-                spans = [s[ok] for s in spans]
-                if self.parts is not None and len(spans[0]):
-                    hashes = np.array(self.numbers.hash, "u8")
-                    h = [hashes[s] for s in spans]
-                    fine = self.parts.has(h[:-1]) & self.parts.has(h[1:])
-                    spans = [s[fine] for s in spans]
-                key = spans[0]
-                for s in spans[1:]:
-                    key = key << _BITS | s
-                self.buffer.append(key)
-                self.held += len(key)
-            tail = ids[max(0, len(ids) - self.size + 1):]
+            ids = np.concatenate([tail, self.numbers.look_up(words)])
+            self.count(ids, len(tail))
+            tail = ids[max(0, len(ids) - (self.size if self.screen else self.size - 1)):]
             if self.held > BUFFER:
                 self.settle()
-            if len(self.numbers) > WORDS or self.numbers.bytes > WORD_BYTES:
+            if self.hashed > HASHES:
+                yield self.screened()
+            if len(self.numbers.words) > WORDS or self.numbers.bytes > WORD_BYTES:
                 yield from self.spill(None)
                 tail_words = [self.numbers.words[i] if i else _BREAK for i in tail]
                 self.numbers.clear()
-                tail = np.array([self.numbers[w] for w in tail_words], np.int64)
+                tail = self.numbers.look_up(tail_words)
+
+    def count(self, ids: np.ndarray, known: int) -> None:
+        """Buffer the phrases that end after the first ``known`` words, which were counted before."""
+        n = len(ids) - self.size + 1
+        if n <= 0:
+            return
+        spans = [ids[k:k + n] for k in range(self.size)]
+        ok = spans[0] > 0
+        for s in spans[1:]:
+            ok &= s > 0
+        hashes = None
+        if self.allowed is not None or self.screen:
+            hashes = self.numbers.hashes(ids)
+        if self.allowed is not None:
+            at = np.flatnonzero(ok)
+            ok[at] = self.allowed.has(phrase_hash([hashes[at + k] for k in range(self.size)]))
+        new = np.flatnonzero(ok)
+        new = new[new >= known - self.size + 1]
+        key = spans[0][new]
+        for s in spans[1:]:
+            key = key << _BITS | s[new]
+        self.buffer.append(key)
+        self.held += len(key)
+        if self.screen:
+            at = np.flatnonzero(ok[:-1] & ok[1:])
+            at = at[at >= known - self.size]
+            h = phrase_hash([hashes[at + k] for k in range(self.size + 1)])
+            self.hashes.append(h)
+            self.hashed += len(h)
+
+    def screened(self) -> pa.RecordBatch:
+        """Buffered hashes and their counts, one row for each value of a hash's first ``FIRST`` bits."""
+        h, n = np.unique(np.concatenate(self.hashes), return_counts=True)
+        self.hashes, self.hashed = [], 0
+        rows = list(_cut(h, n, FIRST))
+        return pa.RecordBatch.from_arrays([
+            pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.string()), pa.array([len(x) for _, x, _ in rows], pa.int64()),
+            pa.array([x.tobytes() for _, x, _ in rows], pa.binary()),
+            pa.array([x.astype("<u4").tobytes() for _, _, x in rows], pa.binary())], names=_RUN_NAMES)
 
     def settle(self) -> None:
         """Buffered keys into the trie."""
         if self.buffer:
-            keys, counts = np.unique(np.concatenate(self.buffer), return_counts=True)
+            keys = np.concatenate(self.buffer)
+            if self.size == 1:
+                counts = np.bincount(keys)
+                keys = np.flatnonzero(counts)
+                counts = counts[keys]
+            else:
+                keys, counts = np.unique(keys, return_counts=True)
             self.trie.add(keys, counts)
             self.buffer, self.held = [], 0
 
@@ -246,11 +293,14 @@ class Counter:
         if not len(keys):
             return
         words = self.numbers.words
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
         mask = (1 << _BITS) - 1
         ids = [keys >> _BITS * (self.size - 1 - k) & mask for k in range(self.size)]
+        used = np.zeros(len(words), bool)
+        for i in ids:
+            used[i] = True
+        order = sorted(np.flatnonzero(used).tolist(), key=words.__getitem__)
+        rank = np.zeros(len(words), np.int64)
+        rank[order] = np.arange(len(order))
         sort = np.lexsort([rank[i] for i in reversed(ids)])
         ids, counts = [i[sort] for i in ids], counts[sort]
         length = np.array([len(w) + 1 for w in words])
@@ -265,75 +315,101 @@ class Counter:
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         yield from self.spill(None)
+        if self.hashed:
+            yield self.screened()
         if self.size == 1:
             yield self._batch(pa.array([b""], pa.binary()), np.array([self.total]))
 
     def _batch(self, phrase, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(counts), pa.string()), phrase.cast(pa.string()), pa.array(counts, pa.int64())],
-            names=["lang", "phrase", "f"])
+            [pa.array([self.lang] * len(counts), pa.string()), phrase.cast(pa.string()), pa.array(counts, pa.int64()),
+             pa.nulls(len(counts), pa.binary()), pa.nulls(len(counts), pa.binary())], names=_RUN_NAMES)
 
 
-def runs(docs: DataFrame, size: int, words: BitMap | None = None, parts: BitMap | None = None) -> DataFrame:
-    """lang, phrase, f: counts of the phrases of ``size`` words, one row for every run a phrase is in.
+def runs(docs: DataFrame, size: int, allowed: BitMap | None = None, screen: bool = False) -> DataFrame:
+    """(lang, phrase, f, hashes, times): counts of the phrases of ``size`` words, one row for every run a phrase is
+    in, and with ``screen``, rows of f hashes of phrases of one word more and how often each occurs, without lang
+    and phrase.
 
-    With ``size`` 1, the empty phrase counts all words of the language.  ``words`` and ``parts`` tell
-    which words, and which phrases one word shorter, may be frequent.
+    With ``size`` 1, the empty phrase counts all words of the language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, parts))
+    shared = docs.sparkSession.sparkContext.broadcast(allowed)
 
     def run(batches):
-        allowed, shorter = shared.value
         counters: dict[str, Counter] = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data = text.as_buffer()
-                if data is None or not data.size:
-                    continue
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                if text:
+                    texts.setdefault(lang, []).append(text)
+            for lang, some in texts.items():
                 c = counters.get(lang)
                 if c is None:
-                    c = counters[lang] = Counter(lang, size, allowed, shorter)
-                yield from c.text(data.to_pybytes())
-            # words and entries of all languages together
+                    c = counters[lang] = Counter(lang, size, shared.value, screen)
+                yield from c.text(b"\n".join(some))  # a line end parts pieces
+            # what all languages hold together
             while sum(c.trie.entries + c.held for c in counters.values()) > ENTRIES:
                 c = max(counters.values(), key=lambda c: c.trie.entries + c.held)
                 yield from c.spill(ENTRIES // 2)
-            if sum(c.numbers.bytes for c in counters.values()) > 2 * WORD_BYTES:
+            if sum(c.numbers.bytes + 8 * c.hashed for c in counters.values()) > 2 * WORD_BYTES:
                 for c in counters.values():
                     yield from c.finish()
                 counters = {}
         for c in counters.values():
             yield from c.finish()
 
-    return docs.mapInArrow(run, "lang string, phrase string, f long")
+    return docs.mapInArrow(run, "lang string, phrase string, f long, hashes binary, times binary")
+
 
+def merged(found: DataFrame, size: int) -> DataFrame:
+    """Counts over all runs: every partition is a span of prefixes in order (words: a share of them)."""
+    phrases = found.where("phrase is not null")
+    if size > 1:
+        phrases = phrases.repartitionByRange("lang", "phrase")
+    return phrases.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
-def merged(found: DataFrame) -> DataFrame:
-    """Counts over all runs: every partition is a span of prefixes in order."""
-    return found.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
+def frequent_hashes(found: DataFrame, least: int) -> DataFrame:
+    """(hash) of the screened phrases that occur at least ``least`` times, written.
 
-def bit_map(phrases: DataFrame) -> BitMap:
-    """The bit map of a level's frequent phrases: 16 bits for each of them, at most 2^``MAP_BITS``."""
-    n = phrases.count()
-    bits = min(MAP_BITS, max(16, (16 * n).bit_length()))
+    Hashes are dealt into groups of about ``GROUP`` entries by their first bits."""
+    rows = found.where("hashes is not null").select("f", "hashes", "times")
+    entries = rows.agg(F.sum("f")).first()[0] or 0
+    bits = max(0, -(-entries // GROUP) - 1).bit_length()
 
-    def slots(batches):
+    def deal(batches):
         for b in batches:
-            split = [p.encode().split(b" ") for p in b["phrase"]]
-            lang = [x.encode() for x in b["lang"]]
-            k = len(split[0]) if split else 0
-            hashes = [np.array([word_hash(g, ws[i]) for g, ws in zip(lang, split)], "u8") for i in range(k)]
-            at = np.unique(phrase_slots(hashes, bits)) if k else np.zeros(0, "u8")
-            yield pd.DataFrame({"block": (at >> np.uint64(16)).astype("int32"), "bit": (at & np.uint64(65535)).astype("int32")})
+            for h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts = list(_cut(np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4"), bits))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([g for g, _, _ in parts], pa.int64()), pa.array([x.tobytes() for _, x, _ in parts], pa.binary()),
+                    pa.array([x.tobytes() for _, _, x in parts], pa.binary())], names=["g", "hashes", "times"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.frombuffer(b"".join(pdf["hashes"]), "<u8")
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.add.reduceat(np.frombuffer(b"".join(pdf["times"]), "<u4")[order].astype(np.int64), first)
+        return pd.DataFrame({"hash": h[first[n >= least]].view(np.int64)})
+
+    # a row lies within one value of its first bits, so few bits part no row
+    dealt = rows.select("hashes", "times").mapInArrow(deal, "g long, hashes binary, times binary")
+    return written(dealt.groupBy("g").applyInPandas(merge, "hash long"), "phrase-hashes")
+
+
+def bit_map(often: DataFrame) -> BitMap:
+    """The bit map of the hashes in ``often (hash)``: 16 bits for each of them, at most 2^``MAP_BITS`` together."""
+    bits = min(MAP_BITS, max(16, (16 * often.count()).bit_length()))
+    slot = F.shiftrightunsigned("hash", 64 - bits)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         on = np.zeros(65536, "u1")
         on[pdf["bit"].to_numpy()] = 1
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [np.packbits(on, bitorder="little").tobytes()]})
 
-    got = (phrases.select("lang", "phrase").mapInPandas(slots, "block int, bit int").distinct()
-           .groupBy("block").applyInPandas(block, "block int, data binary")).toPandas()
+    got = (often.select(F.shiftright(slot, 16).cast("int").alias("block"), slot.bitwiseAND(65535).cast("int").alias("bit"))
+           .distinct().groupBy("block").applyInPandas(block, "block int, data binary")).toPandas()
     data = np.zeros(1 << bits - 3, "u1")
     for at, some in zip(got["block"], got["data"]):
         data[at * 8192:(at + 1) * 8192] = np.frombuffer(some, "u1")
@@ -349,13 +425,12 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> list[
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.col("text").cast("string").alias("text"))
     out: list[DataFrame] = []
-    words = parts = None
+    allowed = None
     for size in range(1, longest + 1):
-        found = written(runs(rows, size, words, parts), f"phrase-runs-{size}")
-        out.append(written(merged(found).where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases-{size}"))
+        found = written(runs(rows, size, allowed, size < longest), f"phrase-runs-{size}")
+        out.append(written(merged(found, size).where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases-{size}"))
         if size < longest:
-            level = bit_map(out[-1].where("phrase <> ''"))
-            words, parts = words or level, level if size > 1 else None
+            allowed = bit_map(frequent_hashes(found, least))
     return out
 
 

@@ -48,7 +48,7 @@ def awkward_texts():
 @pytest.fixture()
 def small(monkeypatch):
     """Small containers, tries and dictionaries, so that all bursts, runs and slices happen."""
-    for name, value in (("BURST", 4), ("ENTRIES", 50), ("WORDS", 30), ("BUFFER", 20), ("SLICE", 64), ("OUT_ROWS", 7)):
+    for name, value in (("BURST", 4), ("ENTRIES", 50), ("WORDS", 30), ("BUFFER", 20), ("HASHES", 30), ("SLICE", 64), ("OUT_ROWS", 7)):
         monkeypatch.setattr(C, name, value)
 
 
@@ -82,11 +82,11 @@ def test_bursts_runs_and_slices_lose_nothing(small):
 
         def take(batches):
             for b in batches:
-                for g, p, f in zip(*(c.to_pylist() for c in b.columns)):
+                for g, p, f, *_ in zip(*(c.to_pylist() for c in b.columns)):
                     got[g, p] += f
         for g, t in texts:
             g = g or "und"
-            c = counter.setdefault(g, C.Counter(g, size, None, None))
+            c = counter.setdefault(g, C.Counter(g, size, None, False))
             take(c.text((t or "").encode()))
             if c.trie.entries > 40:
                 take(c.spill(20))
@@ -103,7 +103,7 @@ def test_bursts_runs_and_slices_lose_nothing(small):
 
 
 def test_runs_are_in_order(small):
-    c = C.Counter("en", 2, None, None)
+    c = C.Counter("en", 2, None, False)
     list(c.text(" ".join(np.random.default_rng(4).choice(list("abcdefgh"), 60)).encode()))
     run = [p for b in c.finish() for p in b.column(1).to_pylist()]
     assert run == sorted(run) and len(run) > 20
@@ -122,12 +122,55 @@ def test_trie_takes_whole_subtrees():
     assert sorted([*k.tolist(), *rest.tolist()]) == keys.tolist() and not t.entries
 
 
-def test_bit_map_holds_every_phrase(spark):
-    phrases = [("en", f"w{i} v{i % 7}") for i in range(500)]
-    m = C.bit_map(spark.createDataFrame(phrases, "lang string, phrase string"))
-    words = [(C.word_hash(b"en", p.encode()), C.word_hash(b"en", q.encode())) for p, q in (p.split() for _, p in phrases)]
-    assert m.has([np.array(h, "u8") for h in zip(*words)]).all()
-    assert not m.has([np.arange(9999, dtype="u8"), np.arange(9999, dtype="u8")]).mean() > 0.2
+def test_bit_map_holds_every_frequent_hash(spark, monkeypatch):
+    monkeypatch.setattr(C, "GROUP", 700)
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**64, 3000, dtype="u8")
+    c = C.Counter("en", 1, None, True)
+    batches = []
+    for k in range(4):  # each three times in a run, and others nine times in one run
+        c.hashes, c.hashed = [np.repeat(h, 3), np.repeat(rng.integers(0, 2**64, 900, dtype="u8"), 9)], 1
+        batches.append(c.screened())
+    rows = [r for b in batches for r in zip(*(x.to_pylist() for x in b.columns))]
+    found = spark.createDataFrame(rows, "lang string, phrase string, f long, hashes binary, times binary").repartition(5)
+    often = C.frequent_hashes(found, 10)
+    assert sorted(np.array([r[0] for r in often.collect()]).view("u8").tolist()) == sorted(h.tolist())
+    m = C.bit_map(often)
+    assert m.has(h).all()
+    assert m.has(rng.integers(0, 2**64, 9999, dtype="u8")).mean() < 0.1
+
+
+def hash_words(words):
+    n = C.Numbers(b"en")
+    return n.hashes(n.look_up(words))
+
+
+def test_screening_counts_hashes_of_longer_phrases(small):
+    """Over slices, with and without a bit map of the parts."""
+    rng = np.random.default_rng(6)
+    text = " ".join(rng.choice(list("abcdef") + ["g."], 300)).encode()
+    ws = [p.split() for p in text.decode().split(".")]
+    word = dict(zip("abcdefg", map(int, hash_words(list(b"a b c d e f g".split())))))
+
+    def h(*p):
+        return int(C.phrase_hash([np.array([word[w]], "u8") for w in p])[0])
+    for size, some in ((1, None), (2, None), (2, {("a", "b"), ("b", "c"), ("c", "a"), ("d", "d")})):
+        allowed = None
+        if some:
+            data = np.zeros(1 << 17, "u1")
+            for p in some:
+                at = h(*p) >> 44
+                data[at >> 3] |= 1 << (at & 7)
+            allowed = C.BitMap(20, data)
+        c = C.Counter("en", size, allowed, True)
+        got = Counter()
+        for b in [*c.text(text), *c.finish()]:
+            for x, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+                if x is not None:
+                    got.update(dict(zip(np.frombuffer(x, "u8").tolist(), np.frombuffer(n, "u4").tolist())))
+        want = Counter(h(*p[i:i + size + 1]) for p in ws for i in range(len(p) - size)
+                       if not some or {tuple(p[i:i + 2]), tuple(p[i + 1:i + 3])} <= some)
+        assert got == want and want
 
 
 def test_exact_beyond_64_bits(spark):
