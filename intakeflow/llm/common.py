@@ -65,21 +65,59 @@ def map_texts(df: DataFrame, fn: Callable[[], Callable[[list], dict]], new: dict
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Return memory that Python has freed to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class WordCache:
     """word -> value for the words seen lately.
 
-    At ``cap`` entries all are forgotten, which bounds memory and changes no result.  Words of
-    over ``LONG`` characters are not kept.
+    Past ``BYTES`` bytes all are forgotten, which bounds memory and changes no result.  A Python worker
+    serves one operator after another and holds the words of the last one only.  Words of over ``LONG``
+    characters are not kept.
     """
 
     LONG = 200
+    BYTES = 160 << 20
+    ENTRY = 150  # bytes of an entry besides its word's characters and its value's bytes
+
+    _last: WordCache | None = None
 
-    def __init__(self, fill: Callable[[list[str]], Iterable], cap: int = 400_000):
+    def __init__(self, fill: Callable[[list[str]], Iterable]):
         self.known: dict = {}
-        self.fill, self.cap = fill, cap
+        self.fill, self.bytes = fill, 0
+
+    def __getstate__(self):
+        return {"fill": self.fill, "known": {}, "bytes": 0}
+
+    def _start(self) -> None:
+        last = WordCache._last
+        if last is not self:
+            if last is not None:
+                last._forget()
+            WordCache._last = self
+
+    def _forget(self) -> None:
+        self.known = {}
+        self.bytes = 0
+        _give_back()
+
+    def _keep(self, got: dict) -> None:
+        if self.bytes > self.BYTES:
+            self._forget()
+        some = got if max(map(len, got)) <= self.LONG else {w: v for w, v in got.items() if len(w) <= self.LONG}
+        self.known.update(some)
+        self.bytes += sum(map(len, some)) + sum(map(len, some.values())) + self.ENTRY * len(some)
 
     def look_up(self, lists: Iterable[list[str]]) -> Iterator[list]:
-        """The values of every list of words, one list at a time."""
+        """The values (bytes or lists) of every list of words, one list at a time."""
+        self._start()
         for words in lists:
             values = list(map(self.known.get, words))
             if None in values:
@@ -88,14 +126,12 @@ class WordCache:
                 got = dict(zip(new, self.fill(new)))
                 for i in at:
                     values[i] = got[words[i]]
-                if len(self.known) > self.cap:
-                    self.known.clear()
-                self.known.update(got if max(map(len, new)) <= self.LONG
-                                  else {w: v for w, v in got.items() if len(w) <= self.LONG})
+                self._keep(got)
             yield values
 
     def look_up_together(self, lists: list[list[str]]) -> Iterator[list]:
         """As ``look_up``, with one call of ``fill`` for all lists."""
+        self._start()
         values = [list(map(self.known.get, words)) for words in lists]
         new = list({w for words, v in zip(lists, values) if None in v for w, x in zip(words, v) if x is None})
         if new:
@@ -103,9 +139,7 @@ class WordCache:
             for words, v in zip(lists, values):
                 if None in v:
                     v[:] = [got[w] if x is None else x for w, x in zip(words, v)]
-            if len(self.known) > self.cap:
-                self.known.clear()
-            self.known.update((w, x) for w, x in got.items() if len(w) <= self.LONG)
+            self._keep(got)
         yield from values
 
 

@@ -27,7 +27,7 @@ PIVOTS = 256       # most pivots; the sample they are drawn from has as many vec
 LIMIT = 0.95
 MARGIN = 1e-6      # bounds are widened by this much, far above rounding
 FINEST = 1e-3      # covering radius below which a node's points are its children
-STEP = 100_000     # node pairs examined at once
+STEP = 2_000_000   # numbers (node pairs x dimensions) examined at once
 
 
 class CoverTree:
@@ -135,40 +135,17 @@ def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
     whole_a, whole_b = np.zeros(len(a.centre), bool), np.zeros(len(b.centre), bool)
     off = 0 if same else n
 
-    stack = [(np.array([0]), np.array([0]))]
-    while stack:
-        p, q = stack.pop()
-        # children of a pair's nodes; a single point is its own child
-        fa = np.where(a.first[p] < a.last[p], a.first[p], p)
-        la = np.where(a.first[p] < a.last[p], a.last[p], p + 1)
-        fb = np.where(b.first[q] < b.last[q], b.first[q], q)
-        lb = np.where(b.first[q] < b.last[q], b.last[q], q + 1)
-        cost = np.cumsum((la - fa) * (lb - fb))
-        if cost[-1] > STEP and len(p) > 1:  # fewer pairs at a time
-            cut = min(max(1, int(np.searchsorted(cost, STEP))), len(p) - 1)
-            stack += [(p[cut:], q[cut:]), (p[:cut], q[:cut])]
-            continue
-        parent = p == q
-        if cost[-1] > STEP:  # one pair of wide nodes: matrix products
-            ps, qs = [], []
-            ub, rb = b.u[b.centre[fb[0]:lb[0]]], b.radius[fb[0]:lb[0]]
-            step = max(1, 4 * STEP // len(ub))
-            for k in range(int(fa[0]), int(la[0]), step):
-                e = min(k + step, int(la[0]))
-                d2 = 2 - 2 * (a.u[a.centre[k:e]] @ ub.T)
-                hit = np.nonzero(d2 <= (far + a.radius[k:e, None] + rb + MARGIN) ** 2)
-                ps.append(hit[0] + k)
-                qs.append(hit[1] + fb[0])
-            p, q = np.concatenate(ps), np.concatenate(qs)
-            parent = np.broadcast_to(parent, len(p))
-        else:
-            p, q, row = _product(fa, la, fb, lb)
-            parent = parent[row]
+    most = max(64, STEP // a.x.shape[1])  # node pairs examined at once
+    # node pairs to open; of one pair of wide nodes, also the child from which on it is still to be opened
+    stack = [(np.array([0]), np.array([0]), 0)]
+
+    def examine(p: np.ndarray, q: np.ndarray, parent: np.ndarray) -> None:
+        """Drop, link or keep open the pairs of children, at most ``most``; ``parent``: of a node with itself."""
         if same:  # of a node with itself every pair of children once
             up = ~parent | (p <= q)
             p, q = p[up], q[up]
         if not len(p):
-            continue
+            return
         d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.u[a.centre[p]], b.u[b.centre[q]]), 0))
         reach = a.radius[p] + b.radius[q]
         near = d - reach <= far + MARGIN
@@ -199,7 +176,37 @@ def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
         edges.append(np.stack([i, j + off], 1))
         open_ = near & ~one & ~sure
         if open_.any():
-            stack.append((p[open_], q[open_]))
+            stack.append((p[open_], q[open_], 0))
+
+    while stack:
+        if sum(map(len, edges)) > 4 * (n + len(b.x)):  # a spanning star says as much as all links
+            joined = stars(np.concatenate(edges), n + (0 if same else len(b.x)))
+            edges[:] = [np.stack([np.arange(len(joined)), joined], 1)]
+        p, q, done = stack.pop()
+        # children of a pair's nodes; a single point is its own child
+        fa = np.where(a.first[p] < a.last[p], a.first[p], p)
+        la = np.where(a.first[p] < a.last[p], a.last[p], p + 1)
+        fb = np.where(b.first[q] < b.last[q], b.first[q], q)
+        lb = np.where(b.first[q] < b.last[q], b.last[q], q + 1)
+        cost = np.cumsum((la - fa) * (lb - fb))
+        if cost[-1] <= most:
+            i, j, row = _product(fa, la, fb, lb)
+            examine(i, j, (p == q)[row])
+        elif len(p) > 1:  # fewer pairs at a time
+            cut = min(max(1, int(np.searchsorted(cost, most))), len(p) - 1)
+            stack += [(p[cut:], q[cut:], 0), (p[:cut], q[:cut], 0)]
+        else:  # one pair of wide nodes: matrix products, a slice of the first node's children at a time
+            k, end = int(fa[0]) + done, int(la[0])
+            wide = int(lb[0] - fb[0])
+            e = min(k + max(1, most // wide), end)
+            if e < end:
+                stack.append((p, q, e - int(fa[0])))
+            ub, rb = b.u[b.centre[fb[0]:lb[0]]], b.radius[fb[0]:lb[0]]
+            d2 = 2 - 2 * (a.u[a.centre[k:e]] @ ub.T)
+            hit = np.nonzero(d2 <= (far + a.radius[k:e, None] + rb + MARGIN) ** 2)
+            for s in range(0, len(hit[0]), most):
+                i, j = hit[0][s:s + most] + k, hit[1][s:s + most] + fb[0]
+                examine(i, j, np.full(len(i), bool(p[0] == q[0])))
     got_a[a.order] += np.cumsum(total_a)[:-1]
     got_b[b.order] += np.cumsum(total_b)[:-1]
     # the points of a node that was linked as a whole are connected through the other side

@@ -27,7 +27,7 @@ TRAIN_WINDOWS = 10
 ROUNDS = 3
 PAD_OVER = 32           # in learning, words over so many characters are filled up to a common length
 ROW_FLOATS = 2_000_000  # bounds the arrays of one forward pass
-CACHE_FLOATS = 32_000_000  # bounds the values kept of words, and those of one text looked at at once
+CACHE_FLOATS = 8_000_000   # bounds the values of one text, or of several, looked at at once
 FLOOR = 1e-9            # probability of a character no piece covers
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)                                    # of the polynomial hash
@@ -219,8 +219,7 @@ class Model:
         if self._cache is None:
             lattice = Lattice(self.pieces)
             np.seterr(over="ignore")  # hashes wrap around
-            self._cache = WordCache(lambda ws: (r.tobytes() for r in lattice.log_probability(ws, self.p)),
-                                    cap=min(800_000, CACHE_FLOATS // max(1, len(self.languages))))
+            self._cache = WordCache(lambda ws: (r.tobytes() for r in lattice.log_probability(ws, self.p)))
         if not self.languages:
             yield from [None] * len(texts)
             return

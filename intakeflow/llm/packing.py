@@ -96,7 +96,7 @@ class WordIds:
 
 def word_cache(path: str) -> WordCache:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordCache(WordIds(path), cap=1_000_000)
+        _TOKENIZERS[path] = WordCache(WordIds(path))
     return _TOKENIZERS[path]
 
 

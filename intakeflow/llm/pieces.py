@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intakeflow.llm.common import WordCache, map_texts, written
+from intakeflow.llm.langid import Lattice
 
 CHUNK = 65_536
+ARCS = 500_000           # pieces that may be looked at together
 BLANK = "▁"         # fixed value: the public library's sign for a blank
 LEAST = -1e6             # scores are no lower than this (the file scores runs of blanks like minus infinity)
 LOST = -np.inf
@@ -57,7 +59,14 @@ class Vocabulary:
         self.reach = max(map(len, self.score))
         self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
         self.unknown = 2 * LEAST * (1 << 20)
-        self.cache = WordCache(lambda words: (array("I", self.cut(w)).tobytes() for w in words), cap=600_000)
+        self.cache = WordCache(self.cut_together)
+        pieces = list(self.score)
+        self.lattice = Lattice(pieces)
+        # by the lattice's numbers: scores and ids of pieces, of a character without one, and of no piece
+        self.arc_score = np.array([self.score[p][0] for p in pieces] + [self.unknown, LOST])
+        self.arc_id = np.array([self.score[p][1] for p in pieces] + [-1, -1], np.int32)
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[list(self.of_byte)] = True
 
     def matches(self, s: str, i: int):
         """(length, score, id or None) of the pieces at position i; a lone character always matches."""
@@ -84,43 +93,89 @@ class Vocabulary:
                         score[i + n], arc[i + n] = score[i] + p, (i, k)
         return score, arc
 
-    def cut(self, s: str) -> list[int]:
-        """Ids of a string without inner cuts."""
-        arc = self.best(s, len(s))[1]
-        out, j = [], len(s)
-        while j:
-            i, k = arc[j]
-            out += [k] if k is not None else [self.byte[b] for b in reversed(s[i:j].encode())]
-            j = i
-        return out[::-1]
-
-    def encode(self, s: str) -> bytes:
-        """Ids of a normalised string: cut before every run of blank signs and around line ends."""
-        words = [s]
-        if "\0" not in s:
-            s = s.replace(BLANK, "\0" + BLANK).replace("\n", "\0\n\0")
-            while BLANK + "\0" + BLANK in s:
-                s = s.replace(BLANK + "\0" + BLANK, BLANK + BLANK)
-            words = s.split("\0")
-        return b"".join(next(self.cache.look_up([words])))
+    def cut_together(self, words: list[str]) -> list[bytes]:
+        """Ids of strings without inner cuts: a max-plus pass over all strings of a length side by side."""
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(len(w), []).append(i)
+        out = [b""] * len(words)
+        for n, at in by.items():
+            if n:
+                step = max(1, ARCS // (n * min(n, self.reach)))
+                for k in range(0, len(at), step):
+                    some = at[k:k + step]
+                    for i, ids in zip(some, self._cut([words[i] for i in some], n)):
+                        out[i] = ids
+        return out
+
+    def _cut(self, words: list[str], n: int) -> Iterator[bytes]:
+        with np.errstate(over="ignore"):  # hashes wrap around
+            arcs = self.lattice.arcs(words, n)
+        rows, reach = np.arange(len(words)), arcs.shape[2]
+        best = np.full((len(words), reach + n), LOST)  # position j is column reach - 1 + j
+        best[:, reach - 1] = 0.0
+        length = np.zeros((len(words), n + 1), np.int32)
+        for j in range(1, n + 1):
+            # lengths reach..1, so that equal sums go to the piece that starts first
+            sums = best[:, j - 1:j + reach - 1] + self.arc_score[arcs[:, j, ::-1]]
+            k = sums.argmax(1)
+            best[:, reach - 1 + j] = sums[rows, k]
+            length[:, j] = reach - k
+        ids = np.empty((len(words), n), np.int32)  # filled from the end
+        lengths = np.empty((len(words), n), np.int32)
+        count = np.zeros(len(words), int)
+        end = np.full(len(words), n)
+        left = rows
+        while len(left):
+            e = end[left]
+            m = length[left, e]
+            place = n - 1 - count[left]
+            ids[left, place] = self.arc_id[arcs[left, e, m - 1]]
+            lengths[left, place] = m
+            count[left] += 1
+            end[left] = e - m
+            left = left[e > m]
+        bytes_too = (np.where(np.arange(n) >= n - count[:, None], ids, 0) < 0).any(1)
+        for i, w in enumerate(words):
+            own = ids[i, n - count[i]:]
+            if bytes_too[i]:
+                some, at = [], 0
+                for k, m in zip(own.tolist(), lengths[i, n - count[i]:].tolist()):
+                    some += [k] if k >= 0 else [self.byte[b] for b in w[at:at + m].encode()]
+                    at += m
+                own = np.array(some, np.int32)
+            yield own.tobytes()
+
+    def encode(self, strings: list[str]) -> list[bytes]:
+        """Ids of normalised strings, cut before every run of blank signs and around line ends."""
+        return [b"".join(v) for v in self.cache.look_up_together([_words(s) for s in strings])]
 
     def decode(self, ids: np.ndarray, first: bool = True) -> str:
         """The text of ids; the blank that encoding puts in front of a text is taken off its first part."""
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            if b is None:
-                if raw:
-                    out.append(raw.decode("utf-8", "replace"))
-                    raw.clear()
-                out.append(self.text[i])
+        ids = np.asarray(ids, np.int64)
+        raw = self.is_byte[ids]
+        # runs of byte pieces and of others
+        cut = [0, *(np.flatnonzero(np.diff(raw)) + 1).tolist(), len(ids)]
+        out = []
+        for a, b in zip(cut, cut[1:]):
+            some = ids[a:b].tolist()
+            if some and raw[a]:
+                out.append(bytes(map(self.of_byte.__getitem__, some)).decode("utf-8", "replace"))
             else:
-                raw.append(b)
-        out.append(raw.decode("utf-8", "replace"))
+                out += map(self.text.__getitem__, some)
         s = "".join(out).replace(BLANK, " ")
         return s[1:] if first and s[:1] == " " else s
 
 
+def _words(s: str) -> list[str]:
+    if "\0" in s:
+        return [s]
+    s = s.replace(BLANK, "\0" + BLANK).replace("\n", "\0\n\0")
+    while BLANK + "\0" + BLANK in s:
+        s = s.replace(BLANK + "\0" + BLANK, BLANK + BLANK)
+    return s.split("\0")
+
+
 def vocabulary(path: str) -> Vocabulary:
     if path not in _LOADED:
         _LOADED[path] = Vocabulary(path)
@@ -201,16 +256,13 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         v = vocabulary(path)
 
         def run(texts):
-            out = []
-            for t in texts:
-                s = normalised(t or "")
-                cuts = split(s, chunk, v.reach)
-                if len(cuts) == 1:
-                    out.append([{"part": 0, "parts": 1, "ids": np.frombuffer(v.encode(s), "<u4").astype("i4")}])
-                else:
-                    out.append([{"part": k, "parts": len(cuts), "text": s[a:c], "n": b - a,
-                                 "matrix": transfer(v, s[a:c], b - a).tobytes()} for k, (a, b, c) in enumerate(cuts)])
-            return {"p": out}
+            strings = [normalised(t or "") for t in texts]
+            cuts = [split(s, chunk, v.reach) for s in strings]
+            ids = iter(v.encode([s for s, c in zip(strings, cuts) if len(c) == 1]))
+            return {"p": [[{"part": 0, "parts": 1, "ids": np.frombuffer(next(ids), "<i4")}] if len(c) == 1 else
+                          [{"part": k, "parts": len(c), "text": s[a:z], "n": b - a,
+                            "matrix": transfer(v, s[a:z], b - a).tobytes()} for k, (a, b, z) in enumerate(c)]
+                          for s, c in zip(strings, cuts)]}
         return run
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -231,7 +283,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     def trace():
         v = vocabulary(path)
-        return lambda texts: {"ids": [np.frombuffer(v.encode(s), "<u4").astype("i4") for s in texts]}
+        return lambda texts: {"ids": [np.frombuffer(x, "<i4") for x in v.encode(texts)]}
 
     spans = long.select("doc_id", "row", "part", "parts", "text", "n").join(known, ["row", "part"]).select(
         "doc_id", "row", "part", "parts", F.expr("substring(text, entry + 1, n + exit - entry)").alias("text"))
@@ -249,8 +301,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
         v = vocabulary(path)
         for b in batches:
-            parts, ids = b.column(columns.index("part")).to_pylist(), b.column(len(columns)).to_pylist()
-            texts = [v.decode(i or [], not p) for p, i in zip(parts, ids)]
+            parts = b.column(columns.index("part")).to_pylist()
+            ids = [i.values.to_numpy() if i.is_valid else None for i in b.column(len(columns))]
+            texts = [v.decode([] if i is None else i, not p) for p, i in zip(parts, ids)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*columns, "text"])
 
     kept = encoded.select(*columns)

@@ -23,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intakeflow.llm.common import WordCache, map_texts
+from intakeflow.llm.common import WordCache, map_texts, small_batches
+from intakeflow.llm.langid import excerpt
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000   # labelled documents in the fitting sample ...
 TRAIN_CHARS = 20_000                    # ... each of at most so many characters
@@ -209,20 +210,31 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
         chars: int = TRAIN_CHARS) -> Field | None:
     """A field fitted on ``docs (doc_id, text)`` joined with ``labels (doc_id, toxic)``.
 
-    The sample holds at most ``toxic`` and ``clean`` documents of at most ``chars`` characters,
-    chosen by a hash of doc_id; null ids, texts and labels are left out.  None where either label
-    has no document.
+    The sample holds at most ``toxic`` and ``clean`` documents, chosen by a hash of doc_id from those that
+    have a text; of texts over ``chars`` characters even windows are taken.  Null ids, texts and labels are
+    left out; an id that is labelled both ways counts as toxic, and of an id's texts the smallest is taken.
+    None where either label has no document.
     """
     known = labels.where("doc_id is not null and toxic is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    some = [r for k, n in ((1, toxic), (0, clean)) for r in known.where(F.col("toxic") == k)
-            .groupBy("doc_id").agg(F.first("toxic").alias("toxic"))
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
+        "toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
+        F.length("text") > 0)
+    # ids only: the texts of the sample are read afterwards
+    there = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    some = [r for k, n in ((1, toxic), (0, clean)) for r in there.where(F.col("toxic") == k)
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     if not some:
         return None
     drawn = docs.sparkSession.createDataFrame([tuple(r) for r in some], "doc_id long, toxic int")
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(drawn), "doc_id").where(F.length("text").between(1, chars))
+
+    def cut(batches):
+        for b in batches:
+            yield b.assign(text=[excerpt(t, chars) for t in b["text"]])
+
+    small_batches(docs.sparkSession)
+    rows = (texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
+            .mapInPandas(cut, "doc_id long, toxic int, text string")
             .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
             .orderBy("doc_id").toLocalIterator())
     lists, y = [], []

@@ -25,7 +25,8 @@ SHARD_ROWS = 4096
 QUERY_ROWS = 8192
 LEAF = 128
 FACTOR = 0.3
-SLACK = 8  # further vectors kept besides the k best, as products in bulk may differ in the last bit
+SLACK = 8  # further vectors kept besides the k best; where these reach the k-th product, the shard is gone through
+MARGIN = 1e-9  # of the norms' product, far above the rounding of products in bulk
 
 
 class Tree:
@@ -129,10 +130,16 @@ class Tree:
 
     def nearest(self, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> pd.DataFrame:
         """The k nearest rows of the shard to every query but the query's own: (query_id, vec_id, score)."""
-        item, _ = self.search(q, k + 1 + SLACK, factor)
+        item, best = self.search(q, k + 1 + SLACK, factor)
         out_q, out_v, out_s = [], [], []
+        margin = MARGIN * np.sqrt(self.top2 * (q * q).sum(1))
         for i, row in enumerate(item):
             row = row[row >= 0]
+            if k < len(row) < len(self.x):
+                # the query's own vector may be among the best, so the one after the k-th decides
+                kth = np.partition(best[i], -(k + 1))[-(k + 1)]
+                if best[i].min() >= kth - margin[i]:  # others may be as near as the last ones kept
+                    row = np.flatnonzero(self.x @ q[i] >= kth - margin[i])
             s = (self.x[row] * q[i]).sum(1)
             order = np.argsort(-s, kind="stable")
             size = np.minimum(self.at[row + 1] - self.at[row], k + 1)
@@ -154,14 +161,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     of ``queries`` (same columns), rows with the query's own id left out.
 
     Returns query_id, rank (from 1), vec_id, score; equal scores go to the smaller vec_id.  Unusable
-    vectors and rows without an id take no part; of rows that share an id the smallest vector counts;
-    vectors are compared with those of equal length only.  Empty tables give an empty result.
+    vectors and rows without an id take no part; rows that share an id are all found, and of queries that share
+    one the smallest vector counts; vectors are compared with those of equal length only.  Empty tables give an empty result.
     """
     def clean(df):
-        return (typed(df).where(F.col("vec_id").isNotNull() & usable()).groupBy("vec_id")
-                .agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding")))
+        return typed(df).where(F.col("vec_id").isNotNull() & usable()).withColumn("dim", F.size("embedding"))
 
-    base, asked = written(clean(vectors), "vp-vectors"), written(clean(queries), "vp-queries")
+    base = written(clean(vectors), "vp-vectors")
+    asked = written(clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+                    .withColumn("dim", F.size("embedding")), "vp-queries")
     shards = max(1, -(-base.count() // shard_rows))
     chunks = max(1, -(-asked.count() // query_rows))
 
@@ -180,7 +188,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     def spread(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    trees = written(base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    trees = written(base.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id()),
+                                                     F.lit(shards)).cast("int"))
                     .groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "vp-trees")
     left = trees.withColumn("chunk", spread(chunks))
     right = (asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))

@@ -35,10 +35,23 @@ def test_best_cut_and_round_trip(piece_path):
     words = ["the", "hello", "a  b", " ", "   x", "ñandú", "日本", "x\ny", "東a", "don't", "theheheas", "\0\0"]
     words += ["".join(r.choice("thein aé\nr") for _ in range(r.randint(1, 11))) for _ in range(30)]
     for w in words:
-        got = ids(v.encode(pieces.normalised(w)))
+        got = ids(v.encode([pieces.normalised(w)])[0])
         assert got == best_cut(v, pieces.normalised(w)), w
         assert v.decode(got) == w
-    assert v.encode(pieces.normalised("")) == b""
+    assert v.encode([pieces.normalised("")]) == [b""]
+
+
+def test_words_together_as_one_by_one(piece_path):
+    v = pieces.vocabulary(piece_path)
+    r = random.Random(7)
+    words = ["".join(r.choice("▁theinr aé東\n") for _ in range(r.randint(1, 40))) for _ in range(400)] + ["", "x" * 5000]
+    for w, got in zip(words, v.cut_together(words)):
+        arc, j, want = v.best(w, len(w))[1], len(w), []
+        while j:
+            i, k = arc[j]
+            want += [k] if k is not None else [v.byte[b] for b in reversed(w[i:j].encode())]
+            j = i
+        assert ids(got) == want[::-1]
 
 
 def test_chunks_give_the_best_sum(piece_path):
@@ -54,8 +67,8 @@ def test_chunks_give_the_best_sum(piece_path):
         for chunk in (17, 40):
             cuts = pieces.split(s, chunk, v.reach)
             at = pieces.borders(np.stack([pieces.transfer(v, s[a:c], b - a) for a, b, c in cuts]))
-            got = ids(b"".join(v.encode(s[a + x:b + y]) for (a, b, _), x, y in zip(cuts, at, at[1:])))
-            want = ids(v.encode(s))
+            got = ids(b"".join(v.encode([s[a + x:b + y] for (a, b, _), x, y in zip(cuts, at, at[1:])])))
+            want = ids(v.encode([s])[0])
             assert total(got) == total(want)
             assert v.decode(got, False) == v.decode(want, False)
 

@@ -63,3 +63,21 @@ def test_tables(spark, awkward, empty_docs):
     none = toxicity.fit(empty_docs, labels)
     assert none is None and {r.predicted for r in toxicity.score(awkward, none).collect()} == {0}
     assert toxicity.score(empty_docs, field).count() == 0
+
+
+def test_long_and_conflicting_labels(spark):
+    """Toxic documents that are all long give a model; an id labelled both ways counts as toxic, on every run."""
+    r = np.random.default_rng(8)
+    plain = np.array([a + b for a in "bdfgklmnprst" for b in ("ain", "ona", "erit", "uval", "iso", "ench")])
+    rows = []
+    for i in range(60):
+        words = r.choice(plain, 5_000).tolist()
+        for at in range(0, 5_000, 40):
+            words[at:at] = ["vile", "scum"] if i % 2 else ["good", "day"]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (3, 0), (5, None), (None, 1), (77, 1)],
+                                   "doc_id long, toxic int").repartition(2)
+    assert min(len(t) for _, t in rows) > toxicity.TRAIN_CHARS
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert got == {i: i % 2 for i in range(60)}

@@ -38,6 +38,41 @@ def test_exact_search_and_ties(spark):
     assert [v for _, v, _ in got[920]] == [940] and 900 not in got and None not in got
 
 
+def test_hundreds_of_equal_products(spark):
+    """Different vectors with one and the same product: the smallest ids win, in one shard and over shards."""
+    r = np.random.default_rng(9)
+    rows = [(0, [1.0, 0.0, 0.0], 0)] + [(i, [2.0, float(a), float(b)], 0) for i, (a, b) in
+                                         enumerate(r.integers(-50, 50, (400, 2)), 1)]
+    rows += [(i, [1.0, float(i), 0.5], 1) for i in range(401, 500)] + [(7, [3.0, 1.0, 1.0], 2), (7, [3.0, 1.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("dim", F.lit("clash")).withColumn("shard", F.lit("clash"))
+    for shard_rows in (4096, 100):
+        out = vptree.search(df, df.where("vec_id = 0"), 20, factor=1.0, shard_rows=shard_rows)
+        got = [(x.vec_id, x.score) for x in out.orderBy("rank").collect()]
+        # all rows of an id that several share are candidates
+        assert got == [(7, 3.0), (7, 3.0)] + [(i, 2.0) for i in range(1, 19)]
+
+
+def test_cover_trees_gather_little_at_once(monkeypatch):
+    """Wide nodes are opened slice by slice, with the same result."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 8))
+    x[200:] = x[:200] + r.normal(size=(200, 8)) * r.choice([0.02, 0.1, 0.3], (200, 1))
+    tree = covertree.CoverTree(np.arange(400), x, np.ones(400))
+    half = covertree.CoverTree(np.arange(200), x[200:], np.ones(200))
+    want = covertree.links(tree, tree, 0.95, True), covertree.links(half, tree, 0.95, False)
+    monkeypatch.setattr(covertree, "STEP", 600)
+    seen, stack = [], covertree.np.einsum
+    monkeypatch.setattr(covertree.np, "einsum", lambda *a: (seen.append(len(a[1])), stack(*a))[1])
+    got = covertree.links(tree, tree, 0.95, True), covertree.links(half, tree, 0.95, False)
+    assert max(seen) <= 75
+    for (a, b, e), (c, d, f) in zip(want, got):
+        assert (a == c).all() and (b == d).all()
+        n = 400 if not len(b) else 600
+        assert (covertree.stars(e, n) == covertree.stars(f, n)).all()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert (want[0][0] == (u @ u.T >= 0.95).sum(1) - 1).all()
+
+
 def test_recall_of_relaxed_search():
     r = np.random.default_rng(3)
     x = r.normal(size=(3000, 48))
