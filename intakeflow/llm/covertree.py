@@ -27,7 +27,9 @@ PIVOTS = 256       # most pivots; the sample they are drawn from has as many vec
 LIMIT = 0.95
 MARGIN = 1e-6      # bounds are widened by this much, far above rounding
 FINEST = 1e-3      # covering radius below which a node's points are its children
-STEP = 2_000_000   # numbers (node pairs x dimensions) examined at once
+STEP = 4_000_000   # numbers (node pairs x dimensions) examined at once
+WIDE = 2_000_000   # products of wide nodes' children looked at at once, in single precision ...
+SINGLE = 2e-5      # ... which is off by less than this
 
 
 class CoverTree:
@@ -135,6 +137,8 @@ def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
     whole_a, whole_b = np.zeros(len(a.centre), bool), np.zeros(len(b.centre), bool)
     off = 0 if same else n
 
+    a4 = a.u.astype("f4")
+    b4 = a4 if same else b.u.astype("f4")
     most = max(64, STEP // a.x.shape[1])  # node pairs examined at once
     # node pairs to open; of one pair of wide nodes, also the child from which on it is still to be opened
     stack = [(np.array([0]), np.array([0]), 0)]
@@ -197,15 +201,17 @@ def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
             stack += [(p[cut:], q[cut:], 0), (p[:cut], q[:cut], 0)]
         else:  # one pair of wide nodes: matrix products, a slice of the first node's children at a time
             k, end = int(fa[0]) + done, int(la[0])
-            wide = int(lb[0] - fb[0])
-            e = min(k + max(1, most // wide), end)
+            wide = slice(int(fb[0]), int(lb[0]))
+            e = min(k + max(1, WIDE // (wide.stop - wide.start)), end)
             if e < end:
                 stack.append((p, q, e - int(fa[0])))
-            ub, rb = b.u[b.centre[fb[0]:lb[0]]], b.radius[fb[0]:lb[0]]
-            d2 = 2 - 2 * (a.u[a.centre[k:e]] @ ub.T)
-            hit = np.nonzero(d2 <= (far + a.radius[k:e, None] + rb + MARGIN) ** 2)
+            # two nodes may hold a near pair if their centres are within the limit and both radii
+            ra, rb = a.radius[k:e], b.radius[wide]
+            reach = far + MARGIN + (ra[:, None] + rb if ra.any() or rb.any() else 0.0)
+            least = (1 - SINGLE - reach * reach / 2)
+            hit = np.nonzero(a4[a.centre[k:e]] @ b4[b.centre[wide]].T >= np.asarray(least, "f4"))
             for s in range(0, len(hit[0]), most):
-                i, j = hit[0][s:s + most] + k, hit[1][s:s + most] + fb[0]
+                i, j = hit[0][s:s + most] + k, hit[1][s:s + most] + wide.start
                 examine(i, j, np.full(len(i), bool(p[0] == q[0])))
     got_a[a.order] += np.cumsum(total_a)[:-1]
     got_b[b.order] += np.cumsum(total_b)[:-1]

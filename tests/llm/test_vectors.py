@@ -61,6 +61,7 @@ def test_cover_trees_gather_little_at_once(monkeypatch):
     half = covertree.CoverTree(np.arange(200), x[200:], np.ones(200))
     want = covertree.links(tree, tree, 0.95, True), covertree.links(half, tree, 0.95, False)
     monkeypatch.setattr(covertree, "STEP", 600)
+    monkeypatch.setattr(covertree, "WIDE", 900)
     seen, stack = [], covertree.np.einsum
     monkeypatch.setattr(covertree.np, "einsum", lambda *a: (seen.append(len(a[1])), stack(*a))[1])
     got = covertree.links(tree, tree, 0.95, True), covertree.links(half, tree, 0.95, False)
