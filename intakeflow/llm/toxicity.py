@@ -27,7 +27,7 @@ from intakeflow.llm.common import WordCache, map_texts, small_batches
 from intakeflow.llm.langid import excerpt
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000   # labelled documents in the fitting sample ...
-TRAIN_CHARS = 20_000                    # ... each of at most so many characters
+TRAIN_CHARS = 10_000                    # ... of longer ones, windows with so many characters together
 RATIO, SHARE = 20.0, 0.01               # a marked word: odds against clean documents, share of toxic ones
 DIM = 1 << 18                           # hashed features
 SIDE = 6                                # tokens on either side of a training window's centre
@@ -238,8 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
             .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
             .orderBy("doc_id").toLocalIterator())
     lists, y = [], []
+    same: dict[str, str] = {}  # one object for all occurrences of a word
     for r in rows:
-        lists.append(r.text.split())
+        lists.append([same.setdefault(w, w) for w in r.text.split()])
         y.append(r.toxic)
     y = np.array(y)
     if not len(y) or y.min() == y.max():
