@@ -84,7 +84,7 @@ class WordCache:
     """
 
     LONG = 200
-    BYTES = 160 << 20
+    BYTES = 96 << 20
     ENTRY = 150  # bytes of an entry besides its word's characters and its value's bytes
 
     _last: WordCache | None = None

@@ -29,7 +29,7 @@ from intakeflow.llm.common import WordCache, map_texts, written
 from intakeflow.llm.langid import Lattice
 
 CHUNK = 65_536
-ARCS = 500_000           # pieces that may be looked at together
+ARCS = 200_000           # pieces that may be looked at together
 BLANK = "▁"         # fixed value: the public library's sign for a blank
 LEAST = -1e6             # scores are no lower than this (the file scores runs of blanks like minus infinity)
 LOST = -np.inf
