@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from intakeflow.functions.columns import avg_half_up_sql, month_suffix, to_number
 from intakeflow.plans import reports as R
 from intakeflow.plans.catalog import AS_OF_ORDERS, register
+from intakeflow.plans.q_sources import delivery_count
 from intakeflow.session import scratch_path
 from intakeflow.sources.fixtures import DQ_SQL, PF_SQL, ledger_rows, quality_log_rows, table, with_cte
 from intakeflow.sources.readers import read_csv, read_csv_detected
@@ -35,23 +36,30 @@ def _csv(df: DataFrame, path: str, files: int | None = None, encoding: str = "UT
 @register("csv_header_drift", oracle="""
 SELECT l_returnflag, count(*) AS row_count, CAST(sum(l_orderkey) AS BIGINT) AS order_sum,
        CAST(sum(l_linenumber) AS BIGINT) AS line_sum,
-       count(l_linestatus) FILTER (WHERE l_orderkey % 3 <> 2) AS statuses
+       count(l_linestatus) FILTER (WHERE l_orderkey % 4 <> 2) AS statuses,
+       CAST(sum(CASE WHEN l_orderkey % 4 = 3 THEN 40 * (length(CAST(l_suppkey AS VARCHAR)) + 4) END) AS BIGINT) AS note_chars
 FROM lineitem GROUP BY 1
 """)
 def csv_header_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem delivered with its columns in order, permuted, and with one missing and one more."""
+    """Lineitem delivered with its columns in order, permuted, with one missing and one more, and in large
+    files whose header and cells hold quotes, commas and line ends, each read in several ranges."""
     li = table(spark, sf_dir, "lineitem")
     cols = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"]
     out = _folder(spark, "drift")
-    part = F.col("l_orderkey") % 3
+    part = F.col("l_orderkey") % 4
     _csv(li.where(part == 0).select(*cols), f"{out}/in order")
     _csv(li.where(part == 1).select(*reversed(cols)), f"{out}/permuted+100%")
-    _csv(li.where(part == 2).select("l_returnflag", F.lit("more").alias("note"), "l_linenumber", "l_orderkey"),
+    _csv(li.where(part == 2).select("l_returnflag", F.lit("more").alias("other"), "l_linenumber", "l_orderkey"),
          f"{out}/fewer")
-    rows = read_csv(spark, out, schema=T.StructType([T.StructField(c, T.StringType()) for c in cols]), recursive=True)
+    note = F.repeat(F.concat(F.lit('"'), F.col("l_suppkey").cast("string"), F.lit(',\n"')), 40)
+    rest = li.where(part == 3)
+    _csv(rest.select(note.alias("note,\nlong"), *cols), f"{out}/large", delivery_count(rest.count(), 1))
+    names = [*cols, "note,\nlong"]
+    rows = read_csv(spark, out, schema=T.StructType([T.StructField(c, T.StringType()) for c in names]), recursive=True)
     return rows.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum(F.col("l_orderkey").cast("bigint")).alias("order_sum"),
-        F.sum(F.col("l_linenumber").cast("bigint")).alias("line_sum"), F.count("l_linestatus").alias("statuses"))
+        F.sum(F.col("l_linenumber").cast("bigint")).alias("line_sum"), F.count("l_linestatus").alias("statuses"),
+        F.sum(F.length("note,\nlong")).alias("note_chars"))
 
 
 @register("charset_headers", oracle="""

@@ -2,14 +2,12 @@
 
 Every reader returns string-typed columns (the reference does no type
 inference on CSV; Excel cells are cast by the cleaner), plus ``_file`` (the
-source path) and ``_row`` (row order inside the file).  Each file is read by
-one task in order (``multiLine``), so ``_row`` increases with file order and
+source path) and ``_row``, which increases with the order of a file's rows, so
 first-wins ordering by ``(delivery, _file, _row)`` is deterministic.
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import zipfile
@@ -20,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from intakeflow.sources import splitcsv
 from intakeflow.sources.files import as_glob, plain_path
 
 FILE = "_file"
@@ -43,70 +42,60 @@ def csv_encoding(spark: SparkSession, encoding: str | None) -> str:
     return "utf-8" if encoding in (None, "utf-8-sig") else encoding
 
 
+# Charsets that do not write quotes, commas and line ends as ASCII does.
+_WIDE = ("utf-16", "utf-32", "utf16", "utf32")
+
+
 def csv_headers(spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8",
-                recursive: bool = False, glob: str | None = None) -> dict[tuple[str, ...], list[str]]:
-    """Header row -> its files.  The first line of every file is found by one aggregate over the
-    files' lines; file names pass through the driver, as they do in Spark's own file index."""
-    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    lines = r.text(_as_list(paths)).select(
-        F.col("value").cast("binary").alias("line"), plain_path(F.col("_metadata.file_path")).alias(FILE),
-        F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
-    first = lines.where((F.col("at") == 0) & (F.trim(F.col("line").cast("string")) != "")).groupBy(FILE).agg(
-        F.min_by("line", "n").alias("line"))
-    out: dict[tuple[str, ...], list[str]] = {}
-    for row in first.orderBy(FILE).collect():
-        text = bytes(row["line"]).decode(csv_encoding(spark, encoding), "replace").lstrip("\ufeff").rstrip("\r")
-        cells = next(csv.reader([text]), [])
-        out.setdefault(tuple(cells), []).append(row[FILE])
-    return out
+                recursive: bool = False, glob: str | None = None) -> list[tuple[str, ...]]:
+    """The distinct header records of files, in the order of the first file that has each."""
+    found = splitcsv.headers(splitcsv.lines(spark, _as_list(paths), recursive, glob), csv_encoding(spark, encoding))
+    first = found.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
+    return [tuple(r["header"]) for r in first]
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8",
              schema: T.StructType | None = None, infer: bool = False, recursive: bool = False,
              glob: str | None = None) -> DataFrame:
-    """S1 (and S10 with ``infer=True``): header row, RFC-4180 quotes (``""`` escape),
-    newlines inside quotes, blank lines skipped, undecodable bytes -> U+FFFD.
+    """S1 (and S10 with ``infer=True``): header record, RFC-4180 quotes (``""`` escape),
+    newlines inside quotes (also in the header), blank lines skipped, undecodable bytes -> U+FFFD.
 
-    Columns go by name: every file's own header row maps its cells (the last of two columns
+    Columns go by name: every file's own header maps its cells (the last of two columns
     with one name counts).  With ``schema`` its columns come out - NULL where a file has none,
-    further columns of a file left out; without one, the union of all headers (P3), as strings.
-    Files with the same header are read together.  ``infer=True`` reads one kind of file.
+    further columns of a file left out; without one, the union of all headers (P3), as strings, in the
+    order of the headers.  All files are one scan, and one file is read by many tasks (``splitcsv``); files in
+    UTF-16 or UTF-32 are read whole, as are those of ``infer=True``, which reads one kind of file.
     """
     enc = csv_encoding(spark, encoding)
-
-    def reader():
+    wide = enc.lower().startswith(_WIDE)
+    if infer or wide:
         r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
              .option("encoding", enc).option("mode", "PERMISSIVE")
              .option("recursiveFileLookup", str(recursive).lower()))
-        return r.option("pathGlobFilter", glob) if glob else r
-
-    if infer:
-        return _with_identity(reader().option("inferSchema", True).csv(_as_list(paths)))
-    groups = csv_headers(spark, paths, encoding, recursive, glob)
+        r = r.option("pathGlobFilter", glob) if glob else r
+        if infer:
+            return _with_identity(r.option("inferSchema", True).csv(_as_list(paths)))
+        parts = [_with_identity(r.csv(as_glob(f.removeprefix("file:")))) for f in sorted(
+            spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+            .load(_as_list(paths)).select("path").toPandas()["path"])]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p, allowMissingColumns=True)
+        if schema is None:
+            return rows.select(*[c for c in rows.columns if c not in (FILE, ROW)], FILE, ROW)
+        have = set(rows.columns)
+        return rows.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have
+                              else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields], FILE, ROW)
     if schema is not None:
-        fields = [f for f in schema.fields]
+        fields = list(schema.fields)
     else:
-        names = list(dict.fromkeys(n for header in groups for n in header if n != ""))
+        names = dict.fromkeys(n for h in csv_headers(spark, paths, encoding, recursive, glob) for n in h if n != "")
         fields = [T.StructField(n, T.StringType()) for n in names]
-    parts = []
-    for header, files in groups.items():
-        kind = {f.name: f.dataType for f in fields}
-        place = {n: i for i, n in enumerate(header)}  # the last column of a name
-        own = T.StructType([T.StructField(f"c{i}", kind.get(n, T.StringType())) for i, n in enumerate(header)])
-        where = paths if len(groups) == 1 else [as_glob(f) for f in files]
-        rows = _with_identity(reader().schema(own).csv(_as_list(where)))
-        parts.append(rows.select(
-            *[(F.col(f"c{place[f.name]}") if f.name in place else F.lit(None).cast(f.dataType)).alias(f.name)
-              for f in fields], FILE, ROW))
-    if not parts:
-        empty = T.StructType([*fields, T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())])
-        parts = [spark.createDataFrame([], empty)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = splitcsv.read_split_csv(spark, _as_list(paths), [f.name for f in fields], enc, recursive, glob)
+    if all(f.dataType == T.StringType() for f in fields):
+        return rows
+    return rows.select(*[F.col(f"`{f.name}`") if f.dataType == T.StringType() else
+                         F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields], FILE, ROW)
 
 
 def _json_text(spark: SparkSession, paths, recursive: bool) -> DataFrame:
