@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from intakeflow.errors import FAIL, failure, time_limit
 from intakeflow.functions.columns import (blank_name, clamp_int, normalize_date, parse_any_date,
                                           py_strip, qcol, status_token, text_fill, to_number)
 from intakeflow.spec import DATE_KEYWORDS
@@ -210,7 +211,8 @@ def _outputs(fn: Callable[[list[dict]], list], rows: list[dict], id_col: str, by
 
 
 def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_schema: T.StructType,
-                       id_col: str = ROW_ID, keep: Iterable[str] = (), file_col: str = "_file") -> DataFrame:
+                       id_col: str = ROW_ID, keep: Iterable[str] = (), file_col: str = "_file",
+                       errors: str = "raise", seconds: float | None = None) -> DataFrame:
     """Run ``fn(rows) -> rows`` per Arrow batch, never over rows of two files at once.
 
     ``df`` must carry a unique ``id_col``.  An output row keeps the input's id
@@ -219,18 +221,28 @@ def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_sche
     Inputs without a surviving output are emitted with
     ``_valid = false`` and the input row as JSON in ``_error``.  ``keep`` columns
     are copied from the paired input row onto every output (identity, G1).
-    Output columns: keep + ``out_schema`` + id_col + ``_valid`` + ``_error``.
+    Output columns: keep + ``out_schema`` + id_col + ``_valid`` + ``_error``, and ``_fail`` with
+    ``errors="file"``: an error of the function then is a row that fails its file (T8) instead of an
+    error that ends the task, so the other files go on in the same pass.  A call that takes
+    more than ``seconds`` ends with a ``RetryableError``.
     """
     import json
 
     import pandas as pd
 
+    if errors not in ("raise", "file"):
+        raise ValueError("errors must be 'raise' or 'file'")
     keep = [k for k in keep]
     fields = [f.name for f in out_schema.fields]
     kept_fields = [df.schema[k] for k in keep]
+    fail = [FAIL] if errors == "file" else []
     schema = T.StructType(kept_fields + list(out_schema.fields) + [
         T.StructField(id_col, T.LongType()), T.StructField(VALID, T.BooleanType()),
-        T.StructField(REASON, T.StringType())])
+        T.StructField(REASON, T.StringType()), *(T.StructField(c, T.StringType()) for c in fail)])
+
+    def limited(rows: list[dict]) -> list:
+        with time_limit(seconds):
+            return fn(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_row = [False]
@@ -241,14 +253,24 @@ def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_sche
                 files.setdefault(r.get(file_col), []).append(r)
             ok, seen = [], set()
             for some in files.values():
-                for src, r in _outputs(fn, some, id_col, by_row):
+                try:
+                    pairs = _outputs(limited, some, id_col, by_row)
+                except Exception as exc:  # noqa: BLE001 - user code
+                    if not fail:
+                        raise
+                    first = some[0]
+                    ok.append({**{k: first.get(k) for k in keep}, **{k: None for k in fields},
+                               id_col: first[id_col], VALID: False, REASON: None, FAIL: failure(exc)})
+                    seen.update(r[id_col] for r in some)
+                    continue
+                for src, r in pairs:
                     seen.add(src[id_col])
                     ok.append({**{k: src.get(k) for k in keep}, **{k: r.get(k) for k in fields},
                                id_col: src[id_col], VALID: True, REASON: None})
             bad = [{**{k: r.get(k) for k in keep}, **{k: None for k in fields}, id_col: r[id_col],
                     VALID: False, REASON: json.dumps({k: v for k, v in r.items() if k != id_col}, default=str)}
                    for r in rows if r[id_col] not in seen]
-            yield pd.DataFrame(ok + bad, columns=schema.fieldNames())
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in ok + bad], dtype=object) for c in schema.fieldNames()})
 
     return df.mapInPandas(run, schema)
 

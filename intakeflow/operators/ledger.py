@@ -15,6 +15,12 @@ Key: (task_id, file_path, file_mtime).  Event kinds:
   DEAD_LETTER the file was diverted (K7); never claimable again until a RETRY
   ARCHIVED    archive path of a SUCCESS file
 
+Stored, events are partitioned by task and by the day of the file's modification.  A claim reads the days of
+the files it lists only (``file_slice``), so its cost follows the files at hand and not the history.  Files
+whose outcome is still open, which a later run takes up again whatever it lists, are kept as a small set of
+keys beside the log, a new version with every claim (``write_open``, before the claim's own events, so that no open
+file is ever missing from it; the log says what has become of them).
+
 Scale: the fold is two aggregates around one equi join on the key, with no
 window over a key and no collect.  Events are joined with the reset markers of their
 keys, which are one row per file; where that side is small enough to broadcast, the
@@ -24,13 +30,14 @@ second aggregate's partial step still runs before the shuffle.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeflow.functions.columns import file_id, lease_expiry, ts_lit
+from intakeflow.session import path_exists
 from intakeflow.spec import CLAIM_LEASE_SECONDS, RETRY_BACKOFF_SECONDS
 
 KEY = ("task_id", "file_path", "file_mtime")
@@ -72,6 +79,80 @@ def snapshot_events(current: DataFrame, event_time: Column | None = None) -> Dat
     ))
 
 
+DAY = "mtime_day"
+DAY_MS = 86_400_000
+OPEN_STATES = ("PENDING", "CLAIMED", "PROCESSING", "FAILED")
+
+
+def _day(mtime: Column) -> Column:
+    return F.coalesce(F.floor(mtime / DAY_MS), F.lit(-1)).cast("int")
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Append events to a stored ledger."""
+    (conform(events).withColumn(DAY, _day(F.col("file_mtime"))).write.mode("append")
+     .partitionBy("task_id", DAY).parquet(path))
+
+
+def _escaped(spark: SparkSession, value: str) -> str:
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def file_slice(spark: SparkSession, path: str, task_id: str, days: Iterable[int]) -> DataFrame:
+    """The events of a task's files that were modified on ``days``; other days' folders are not even listed."""
+    folders = [f"{path}/task_id={_escaped(spark, task_id)}/{DAY}={int(d)}" for d in sorted(set(days))]
+    folders = [f for f in folders if path_exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], EVENT_SCHEMA)
+    stored = T.StructType([*EVENT_SCHEMA.fields, T.StructField(DAY, T.StringType())])
+    return conform(spark.read.schema(stored).option("basePath", path).parquet(*folders))
+
+
+def _open_versions(spark: SparkSession, path: str, task_id: str) -> list[int]:
+    """Whole versions of a task's open keys, oldest first."""
+    folder = f"{path.rstrip('/')}_open/task_id={_escaped(spark, task_id)}"
+    if not path_exists(spark, folder):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and path_exists(spark, f"{folder}/{n}/_SUCCESS"))
+
+
+def open_keys(spark: SparkSession, path: str, task_id: str) -> DataFrame:
+    """The keys of all of a task's files whose outcome may be open (some may have ended since)."""
+    versions = _open_versions(spark, path, task_id)
+    schema = T.StructType([f for f in EVENT_SCHEMA.fields if f.name in KEY])
+    if versions:
+        return spark.read.schema(schema).parquet(f"{path.rstrip('/')}_open/task_id={_escaped(spark, task_id)}/v={versions[-1]}")
+    whole = f"{path}/task_id={_escaped(spark, task_id)}"
+    if not path_exists(spark, whole):
+        return spark.createDataFrame([], schema)
+    # a ledger without such a set: found once from all events
+    stored = T.StructType([*EVENT_SCHEMA.fields, T.StructField(DAY, T.StringType())])
+    events = spark.read.schema(stored).option("basePath", path).parquet(whole)
+    return fold(events).filter(F.col("status").isin(*OPEN_STATES) & ~F.col("dead_lettered")).select(*KEY)
+
+
+def write_open(keys: DataFrame, path: str, task_id: str) -> None:
+    """A new version of a task's open keys; all but the two last versions are removed."""
+    spark = keys.sparkSession
+    versions = _open_versions(spark, path, task_id)
+    folder = f"{path.rstrip('/')}_open/task_id={_escaped(spark, task_id)}"
+    keys.select(*KEY).distinct().write.mode("overwrite").parquet(f"{folder}/v={versions[-1] + 1 if versions else 0}")
+    jvm = spark.sparkContext._jvm
+    for v in versions[:-1]:
+        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/v={v}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def reopen(events: DataFrame, path: str, task_id: str) -> None:
+    """L3 on a stored ledger: append a task's ``retry_events``, so that the next run takes these files up again."""
+    events = events.filter(F.col("task_id") == task_id)
+    write_open(open_keys(events.sparkSession, path, task_id).unionByName(events.select(*KEY)), path, task_id)
+    append_events(events, path)
+
+
 def _order() -> Column:
     return F.struct(F.col("event_time"), F.col("seq"))
 

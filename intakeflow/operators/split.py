@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from intakeflow.errors import FAIL, MESSAGE_CHARS
 from intakeflow.operators.cleaners import REASON, VALID
 
 
@@ -64,3 +65,14 @@ def enforce_on_row_error(flagged: DataFrame, policy: str) -> DataFrame:
         VALID, F.when(F.col(VALID), F.lit(True)).otherwise(
             F.raise_error(F.concat(F.lit("row error (on_row_error=abort): "),
                                    F.coalesce(F.col(REASON), F.lit("rejected"))))).cast("boolean"))
+
+
+def mark_row_errors(flagged: DataFrame, policy: str) -> DataFrame:
+    """``abort`` as data: a row error is a row that fails its file, the other files go on."""
+    if policy == "skip":
+        return flagged
+    if policy != "abort":
+        raise ValueError("policy must be 'skip' or 'abort'")
+    message = F.when(~F.col(VALID), F.substring(F.concat(
+        F.lit("fatal: row error (on_row_error=abort): "), F.coalesce(F.col(REASON), F.lit("rejected"))), 1, MESSAGE_CHARS))
+    return flagged.withColumn(FAIL, F.coalesce(F.col(FAIL), message) if FAIL in flagged.columns else message)

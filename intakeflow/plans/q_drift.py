@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from intakeflow.errors import RetryableError, SkipFileError
 from intakeflow.functions.columns import avg_half_up_sql, month_suffix, to_number
 from intakeflow.plans import reports as R
 from intakeflow.plans.catalog import AS_OF_ORDERS, register
@@ -78,27 +79,40 @@ def charset_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"), F.sum(F.col("编号").cast("bigint")).alias("key_sum"))
 
 
+def _outcome_code(rows: list[dict]) -> list[dict]:
+    """User code that fails on status P: for good, for the moment, or to have the file left out."""
+    for r in rows:
+        if r["o_orderstatus"] == "P":
+            raise (ValueError, RetryableError, SkipFileError)[int(r["o_orderkey"]) % 3]("unknown status")
+    return rows
+
+
 OUTCOMES = TaskSpec(task_id="outcomes", base_table="orders_out", keys=("o_orderkey",), partition_field="o_orderdate",
                     partition_format="%Y-%m-%d %H:%M:%S", max_retries=2, extensions=(".csv", ".xls"))
 
 
 @register("intake_outcomes", oracle="""
-SELECT 'SUCCESS' AS status, FALSE AS dead_lettered, 5 AS files, count(*) AS row_count FROM orders
-WHERE o_orderstatus <> 'P'
-UNION ALL SELECT 'FAILED', TRUE, 1, 0
-UNION ALL SELECT 'SKIPPED', FALSE, 2, 0
+SELECT 'SUCCESS' AS status, FALSE AS dead_lettered, NULL AS error_type, 0 AS retry_count, NULL AS reason,
+       count(*) AS row_count FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'FAILED', TRUE, 'FatalError', 1, 'fatal', 0
+UNION ALL SELECT 'FAILED', TRUE, 'RetryableError', 2, 'retries_exhausted', 0
+UNION ALL SELECT 'SKIPPED', FALSE, 'SkipFile', 0, NULL, 0
 """)
 def intake_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four loadable files, one without rows, an empty one, an unreadable workbook and
-    a file on which the user's code fails, taken in three times (the failing one is retried when due)."""
-    from intakeflow.operators.ledger import fold
+    """Loadable files, one without rows, an empty one, an unreadable workbook, and files on
+    which the user's code fails: for good, for the moment, or to have the file left out.  All are taken in
+    three times, the failing ones in one pass with the others (the retryable one again when it is due)."""
+    from intakeflow.operators.cleaners import ROW_ID, apply_row_function
+    from intakeflow.operators.ledger import KEY, fold
     from intakeflow.streaming.intake import IntakePaths, run_batch_intake
 
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
     out = _folder(spark, "outcomes")
-    for k in range(4):
-        _csv(df.where((F.col("o_orderstatus") != "P") & (F.pmod(F.col("o_orderkey"), F.lit(4)) == k)), f"{out}/{k}", 1)
-    _csv(df.where("o_orderstatus = 'P'"), f"{out}/bad", 1)
+    good = df.where("o_orderstatus <> 'P'")
+    _csv(good, f"{out}/good", delivery_count(good.count(), 4))
+    bad = df.where("o_orderstatus = 'P'")
+    for k in range(3):  # a file is what fails, so each kind is one
+        _csv(bad.where(F.pmod("o_orderkey", F.lit(3)) == k), f"{out}/bad{k}", 1)
     _csv(df.limit(0), f"{out}/none", 1)
     jvm = spark.sparkContext._jvm
     for name, data in (("empty.csv", b""), ("old.xls", b"x")):
@@ -106,21 +120,21 @@ def intake_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         with_stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
         with_stream.write(bytearray(data))
         with_stream.close()
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
 
     def flag(rows: DataFrame) -> DataFrame:
-        status = F.when(F.col("o_orderstatus") == "P", F.raise_error(F.lit("unknown status"))).otherwise(
-            F.col("o_orderstatus"))
-        return rows.withColumn("o_orderstatus", status).withColumn("_valid", F.lit(True)).withColumn(
-            "_error", F.lit(None).cast("string"))
+        return apply_row_function(rows.withColumn(ROW_ID, F.monotonically_increasing_id()), _outcome_code, schema,
+                                  keep=("_file", "_row", "_mtime", "_size", "task_id"), errors="file", seconds=60)
 
     base = scratch_path(spark, f"outcomes-{uuid.uuid4().hex[:8]}")
     paths = IntakePaths(*(f"{base}/{n}" for n in ("target", "ledger", "quality", "alerts", "ckpt")))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
     for run, minutes in enumerate((0, 0, 60)):  # at once again: held by the back-off; an hour later: due
         clock = lambda m=minutes: _dt.datetime(2001, 12, 1) + _dt.timedelta(minutes=m)
         run_batch_intake(spark, out, OUTCOMES, schema, paths, flag=flag, recursive=True, run_id=run, as_of=clock)
-    return fold(spark.read.parquet(paths.ledger)).groupBy("status", "dead_lettered").agg(
-        F.count(F.lit(1)).cast("int").alias("files"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"))
+    dead = spark.read.parquet(paths.ledger + "_dead_letter").select(*KEY, "reason")
+    return fold(spark.read.parquet(paths.ledger)).join(dead, list(KEY), "left").groupBy(
+        "status", "dead_lettered", "error_type", F.col("retry_count").cast("int").alias("retry_count"), "reason").agg(
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"))
 
 
 @register("archived_months", oracle="""

@@ -26,20 +26,23 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from intakeflow.operators.cleaners import REASON, VALID
-from intakeflow.operators.ledger import (EVENT_SCHEMA, KEY, backoff_delay, claim_decisions, claim_events, conform,
-                                         dead_letter, dead_letter_events, fold, write_quarantine)
+from intakeflow.errors import FAIL, error_kind, of_kind, raised_kind
+from intakeflow.operators.ledger import (DAY_MS, KEY, OPEN_STATES, append_events, backoff_delay, claim_decisions, claim_events,
+                                         classify_outcome, conform, dead_letter, dead_letter_events, file_slice, fold,
+                                         open_keys, write_open, write_quarantine)
 from intakeflow.operators.quality import quality_report
 from intakeflow.operators.conform import conform_to_target
 from intakeflow.operators.route import FALLBACK, MONTH, route_months
 from intakeflow.functions.columns import file_id, ts_lit
 from intakeflow.functions.crypto import encrypt_fields
-from intakeflow.operators.split import enforce_on_row_error, pass_through
+from intakeflow.operators.split import mark_row_errors, pass_through
 from intakeflow.operators.writer import write_first_wins
 from intakeflow.session import ensure_checkpoint_dir, path_exists
 from intakeflow.sources.files import _ext, as_glob, list_paths, plain_path, with_format
@@ -186,6 +189,26 @@ def _ledger_events(per_file: DataFrame, bad: DataFrame | None, batch_id: int, no
         _seq(batch_id, OUTCOME).alias("seq"), F.lit("ParseError").alias("error_type"))))
 
 
+def _failed_files(rows: DataFrame) -> DataFrame:
+    """(_file, _mtime, _size, kind, message) of the files with a row that fails them: the first fatal one, or the first."""
+    kind = F.substring_index(FAIL, ":", 1)
+    first = F.min(F.struct(kind != "fatal", F.col(ROW), F.col(FAIL))).getField(FAIL)
+    return rows.where(F.col(FAIL).isNotNull()).groupBy(FILE, "_mtime", "_size").agg(first.alias(FAIL)).select(
+        FILE, "_mtime", "_size", F.substring_index(FAIL, ":", 1).alias("kind"),
+        F.expr(f"substring({FAIL}, locate(':', {FAIL}) + 2)").alias("message"))
+
+
+def _failure_events(failed: DataFrame, batch_id: int, now: _dt.datetime) -> DataFrame:
+    """SKIPPED, or FAILED as retryable (due again after its back-off) or fatal (dead-lettered at once)."""
+    outcome = classify_outcome(F.col("kind"))
+    return conform(failed.select(
+        "task_id", F.col(FILE).alias("file_path"), F.col("_mtime").alias("file_mtime"), F.col("_size").alias("file_size"),
+        F.when(outcome == "SKIPPED", outcome).otherwise(F.lit("FAILED")).alias("event"),
+        F.when(outcome == "SKIPPED", F.lit("SkipFile")).when(outcome == "RETRY", F.lit("RetryableError"))
+        .otherwise(F.lit("FatalError")).alias("error_type"),
+        F.col("message").alias("error_message"), ts_lit(now).alias("event_time"), _seq(batch_id, OUTCOME).alias("seq")))
+
+
 def _quality_rows(per_file: DataFrame, batch_id: int, now: _dt.datetime) -> DataFrame:
     return per_file.select(
         file_id("task_id", FILE, "_mtime").alias("file_id"),
@@ -216,13 +239,15 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                   prepare: Callable[[DataFrame], DataFrame] | None = None,
                   encryption_key: str | bytes | None = None,
                   target_schema: T.StructType | None = None,
-                  files: DataFrame | None = None) -> dict:
+                  files: DataFrame | None = None, failures: list | None = None) -> dict:
     """One set of files' rows (``batch``: the parsed columns, ``_file``, ``_mtime``, ``_size``).
 
     ``prepare`` reshapes parsed rows first (e.g. ``explode_json_path`` for nested JSON);
     ``target_schema`` conforms valid rows to the month table's columns and types.  ``files``
     (``_file``, ``_mtime``, ``_size``) lists the claimed files, so that those without rows get
-    their outcome too; without it the ledger decides which files' rows are dropped.
+    their outcome too; without it the ledger decides which files' rows are dropped.  Files with a row whose
+    ``_fail`` is set end as FAILED (or SKIPPED), none of their rows is written, and ``failures`` gets their number;
+    the others are loaded in the same pass.  Without ``failures``, such a file's error is raised.
     """
     spark = batch.sparkSession
     started = time.monotonic()
@@ -245,13 +270,24 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
     flagged = flagged.withColumn(VALID, F.coalesce(F.col(VALID).cast("boolean"), F.lit(False)))
     routed = route_months(flagged, spec, now)
     if target_schema is not None:  # K1/G9: cast to the month table's schema; failures are row errors
-        extra = tuple(c for c in (POS,) if c in routed.columns)
+        extra = tuple(c for c in (POS, FAIL) if c in routed.columns)
         routed = conform_to_target(routed, target_schema,
                                    keep=("task_id", FILE, ROW, "_mtime", "_size", MONTH, FALLBACK, *extra))
     # everything below reads this: files are read and user code runs once
-    checked = enforce_on_row_error(routed, spec.on_row_error).persist()
-    per_file = None
+    every = mark_row_errors(routed, spec.on_row_error).persist()
+    per_file = failed = None
     try:
+        checked = every
+        if FAIL in every.columns:
+            failed = _failed_files(every).persist()
+            n = failed.count()
+            if n and failures is None:
+                raise of_kind(*failed.select("kind", "message").orderBy(FILE).first())
+            if n:
+                failures.append(n)
+            checked = every.drop(FAIL)
+            if n:
+                checked = checked.join(failed, [FILE, "_mtime"], "left_anti")
         # _file, _mtime and _row stay with the stored rows as provenance (and arrival order)
         valid = checked.filter(F.col(VALID)).drop(VALID, REASON, "task_id", "_size")
         order = [*order_cols, POS] if POS in checked.columns and POS not in order_cols else list(order_cols)
@@ -268,19 +304,23 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
         done = per_file.select("task_id", FILE, "_mtime", "_size", "total_rows", "valid_rows")
         if files is not None:  # files without rows are loaded too, with none
             key = [FILE, "_mtime"]
-            loaded = files if bad is None else files.join(bad, key, "left_anti")
+            loaded = files
+            for left_out in (bad, failed):
+                loaded = loaded if left_out is None else loaded.join(left_out, key, "left_anti")
             zero = F.lit(0).cast("long")
             done = loaded.join(per_file.select(*key, "total_rows", "valid_rows"), key, "left").select(
                 F.lit(spec.task_id).alias("task_id"), *key, "_size", F.coalesce("total_rows", zero).alias("total_rows"),
                 F.coalesce("valid_rows", zero).alias("valid_rows"))
         elapsed_ms = int((time.monotonic() - started) * 1000)
         # the files' commit point; partitioned by task so per-task reads prune
-        _ledger_events(done, bad, batch_id, now, elapsed_ms).write.mode("append") \
-            .partitionBy("task_id").parquet(paths.ledger)
+        events = _ledger_events(done, bad, batch_id, now, elapsed_ms)
+        if failed is not None:
+            events = events.unionByName(_failure_events(failed.withColumn("task_id", F.lit(spec.task_id)), batch_id, now))
+        append_events(events, paths.ledger)
         if paths.runs:
             _write_run(spark, paths.runs, spec, batch_id, now, per_file, counts, elapsed_ms)
     finally:
-        for df in (base, checked, per_file):
+        for df in (base, every, per_file, failed):
             if df is not None and df.is_cached:
                 df.unpersist()
     return counts
@@ -296,13 +336,20 @@ def _archived(spark: SparkSession, paths: IntakePaths, spec: TaskSpec) -> list[s
 
 
 NO_ROWS = {"received": 0, "inserted": 0, "ignored": 0, "fallback_routed": 0, "rejected_archived": 0}
-# Errors that another attempt cannot mend.
-FATAL_ERRORS = ("TransformContractError", "RowErrorAbort", "row error (on_row_error=abort)", "must return a list",
-                "must return a DataFrame", "cannot be encrypted")
 
 
-def _append(spark: SparkSession, events: DataFrame, path: str) -> None:
-    events.write.mode("append").partitionBy("task_id").parquet(path)
+# A side of a join that is listed on the driver is broadcast up to so many files (some 20 MB), and shuffled beyond.
+BROADCAST_FILES = 100_000
+# Files that a batch run takes at once; more are taken in several rounds, in the order of arrival.
+FILES_AT_ONCE = 50_000
+
+
+def _side(df: DataFrame, files: int) -> DataFrame:
+    return F.broadcast(df) if files <= BROADCAST_FILES else df
+
+
+def _days(files: list[tuple]) -> set[int]:
+    return {-1 if m is None else m // DAY_MS for _, m, _ in files}
 
 
 def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: IntakePaths, now: _dt.datetime,
@@ -313,16 +360,16 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
     """
     key = "task_id string, file_path string, file_mtime long, file_size long, ext string"
     listed = spark.createDataFrame([(spec.task_id, f, m, n, _suffix(f)) for f, m, n in files], key)
-    ledger = _read_ledger(spark, paths.ledger)
-    if ledger is None:
-        current = fold(spark.createDataFrame([], EVENT_SCHEMA))
-        failed = spark.createDataFrame([], "task_id string, file_path string, file_mtime long, failed_at timestamp_ntz")
-    else:
-        own = ledger.filter(F.col("task_id") == spec.task_id)
-        if not retry_due:  # only the listed files' history is read
-            own = own.join(F.broadcast(listed.select(*KEY)), list(KEY), "left_semi")
-        current = fold(own).persist()  # read by the decision and by the owner check
-        failed = own.filter("event = 'FAILED'").groupBy(*KEY).agg(F.max("event_time").alias("failed_at"))
+    # only the days of the listed files are read, and those of files that another run left open
+    keys, days = _side(listed.select(*KEY), len(files)), _days(files)
+    left_open = open_keys(spark, paths.ledger, spec.task_id)
+    if retry_due:
+        left_open = left_open.persist()
+        days |= {r[0] for r in left_open.select(F.coalesce(F.floor(F.col("file_mtime") / DAY_MS), F.lit(-1))).distinct().collect()}
+        keys = listed.select(*KEY).unionByName(left_open)
+    own = file_slice(spark, paths.ledger, spec.task_id, days).join(keys, list(KEY), "left_semi")
+    current = fold(own).persist()  # read by the decision and by the owner check
+    failed = own.filter("event = 'FAILED'").groupBy(*KEY).agg(F.max("event_time").alias("failed_at"))
     if retry_due:
         again = current.filter(F.col("status").isin("FAILED", "CLAIMED", "PROCESSING")).select(
             *KEY, "file_size", _ext(F.col("file_path")).alias("ext"))
@@ -338,19 +385,23 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
              .filter((F.col("decision") != "CLAIM_RETRY") | F.col("failed_at").isNull() | (due <= ts_lit(now))))
     rows = with_format(taken.withColumnRenamed("file_path", "path")).withColumnRenamed("path", "file_path").select(
         *KEY, "file_size", "skip_reason", "decision").collect()  # the batch's own files
-    current.unpersist()
     skip = [r for r in rows if r.skip_reason is not None]
     todo = [r for r in rows if r.skip_reason is None]
     frame = lambda some, *more: spark.createDataFrame(
         [(r.task_id, r.file_path, r.file_mtime, r.file_size, *(r[c] for c in more)) for r in some],
         "task_id string, file_path string, file_mtime long, file_size long" + "".join(f", {c} string" for c in more))
+    if todo:  # before the claims, so that no claimed file is missing from it
+        still = current.filter(F.col("status").isin(*OPEN_STATES) & ~F.col("dead_lettered")) if retry_due else left_open
+        write_open(still.select(*KEY).unionByName(frame(todo).select(*KEY)), paths.ledger, spec.task_id)
+    for df in (current, left_open):
+        df.unpersist()
     if skip:
-        _append(spark, conform(frame(skip, "skip_reason").withColumnRenamed("skip_reason", "error_message").select(
+        append_events(conform(frame(skip, "skip_reason").withColumnRenamed("skip_reason", "error_message").select(
             "*", F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
             _seq(batch_id, OUTCOME).alias("seq"), F.lit("SkipFile").alias("error_type"))), paths.ledger)
     if todo:
-        _append(spark, claim_events(frame(todo, "decision"), owner, now).withColumn("seq", _seq(batch_id, CLAIM)),
-                paths.ledger)
+        append_events(claim_events(frame(todo, "decision"), owner, now).withColumn("seq", _seq(batch_id, CLAIM)),
+                      paths.ledger)
     return [(r.file_path, r.file_mtime, r.file_size) for r in todo]
 
 
@@ -369,7 +420,7 @@ def _file_rows(spark: SparkSession, files: list[tuple], spec: TaskSpec, schema:
     elif fmt == "excel":
         books = spark.read.format("binaryFile").load(names).select(
             F.regexp_replace("path", "^file:", "").alias("path"), "content")
-        return _workbook_rows(books.join(F.broadcast(listed.withColumnRenamed(FILE, "path")), "path"), schema), listed
+        return _workbook_rows(books.join(_side(listed.withColumnRenamed(FILE, "path"), len(files)), "path"), schema), listed
     else:
         if CORRUPT not in schema.fieldNames():
             schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
@@ -377,7 +428,7 @@ def _file_rows(spark: SparkSession, files: list[tuple], spec: TaskSpec, schema:
                 .option("columnNameOfCorruptRecord", CORRUPT).json(names)
                 .withColumn(FILE, plain_path(F.col("_metadata.file_path"))))
         rows = rows.withColumn(ROW, F.monotonically_increasing_id())
-    return rows.join(F.broadcast(listed), FILE), listed
+    return rows.join(_side(listed, len(files)), FILE), listed
 
 
 def process_files(spark: SparkSession, files: list[tuple], batch_id: int, spec: TaskSpec, paths: IntakePaths,
@@ -386,43 +437,46 @@ def process_files(spark: SparkSession, files: list[tuple], batch_id: int, spec:
                   owner: str | None = None, isolate_errors: bool = True, retry_due: bool = False, **options) -> dict:
     """Claim, read and load a set of files ``(path, mtime, size)``; returns the summed counts of the writer.
 
-    An error in a set of files leads to its halves, down to the file that causes it, which is
-    recorded as FAILED; ``isolate_errors=False`` raises instead.
+    Files that fail as data (``_fail``) cost no second pass.  An error that ends the job of a set of files leads to
+    its halves, down to the file that causes it, which is recorded as FAILED, or SKIPPED, by the error's class;
+    ``isolate_errors=False`` raises instead, and so does an error that is no file's fault (a lost
+    executor, a full disk): the claims run out and the files are taken again.
     """
     owner = owner or f"run-{batch_id}"
     todo = _claim(spark, files, spec, paths, as_of(), batch_id, owner, retry_due)
     total = dict(NO_ROWS)
     stack = [todo] if todo else []
-    failed = False
+    failures: list[int] = []
     while stack:
         some = stack.pop()
         try:
             rows, listed = _file_rows(spark, some, spec, schema, fmt)
-            counts = process_batch(rows, batch_id, spec, paths, flag, as_of, order_cols, files=listed, **options)
+            counts = process_batch(rows, batch_id, spec, paths, flag, as_of, order_cols, files=listed,
+                                   failures=failures if isolate_errors else None, **options)
             total = {k: total[k] + counts[k] for k in total}
         except Exception as exc:  # noqa: BLE001 - user code, unreadable files
-            if not isolate_errors:
+            text = str(exc)
+            kind = raised_kind(text) if isinstance(exc, PySparkException) or not str(type(exc).__module__).startswith(
+                "intakeflow") else error_kind(exc)
+            if not isolate_errors or kind == "infrastructure":
                 raise
             if len(some) > 1:
                 stack += [some[len(some) // 2:], some[:len(some) // 2]]
                 continue
-            failed = True
-            text = str(exc)
-            kind = "FatalError" if any(f in text or f == type(exc).__name__ for f in FATAL_ERRORS) else "RetryableError"
+            failures.append(1)
             (path, mtime, size), now = some[0], as_of()
-            _append(spark, conform(spark.createDataFrame(
-                [(spec.task_id, path, mtime, size, "FAILED", kind, _error_line(text))],
-                "task_id string, file_path string, file_mtime long, file_size long, event string, error_type string, "
-                "error_message string").select("*", ts_lit(now).alias("event_time"),
-                                               _seq(batch_id, OUTCOME).alias("seq"))), paths.ledger)
-    if failed:  # K7: what no further attempt can mend
+            append_events(_failure_events(spark.createDataFrame(
+                [(spec.task_id, path, mtime, size, kind, _error_line(text))],
+                f"task_id string, {FILE} string, _mtime long, _size long, kind string, message string"), batch_id, now),
+                paths.ledger)
+    if failures:  # K7: what no further attempt can mend
         now = as_of()
-        own = _read_ledger(spark, paths.ledger).filter(F.col("task_id") == spec.task_id)
         mine = spark.createDataFrame([(spec.task_id, f, m) for f, m, _ in todo], "task_id string, file_path string, file_mtime long")
-        state = fold(own.join(F.broadcast(mine), list(KEY), "left_semi")).filter("not dead_lettered")
+        own = file_slice(spark, paths.ledger, spec.task_id, _days(todo))
+        state = fold(own.join(_side(mine, len(todo)), list(KEY), "left_semi")).filter("not dead_lettered")
         ensure_checkpoint_dir(spark)
         dead = dead_letter(state, spec.max_retries).checkpoint(eager=True)  # read before the ledger is appended to
-        _append(spark, dead_letter_events(dead, now).withColumn("seq", _seq(batch_id, DEAD)), paths.ledger)
+        append_events(dead_letter_events(dead, now).withColumn("seq", _seq(batch_id, DEAD)), paths.ledger)
         write_quarantine(dead, paths.ledger.rstrip("/") + "_dead_letter")
     return total
 
@@ -487,10 +541,15 @@ def run_batch_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T
         raise ValueError(f"unsupported format {fmt}")
     wanted = {e.lower() for e in spec.extensions if FORMATS.get(e.lower()) in (fmt, None) or e.lower() == ".xls"}
     files = [f for f in list_paths(spark, folder, recursive) if _suffix(f[0]) in wanted]
+    files.sort(key=lambda f: (f[1], f[0]))
     clock = as_of or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
-    return process_files(spark, files, run_id, spec, paths, flag or pass_through, clock, schema, fmt, order_cols,
-                         isolate_errors=isolate_errors, prepare=prepare, encryption_key=encryption_key,
-                         target_schema=target_schema)
+    total = dict(NO_ROWS)
+    for k in range(0, max(1, len(files)), FILES_AT_ONCE):
+        counts = process_files(spark, files[k:k + FILES_AT_ONCE], run_id, spec, paths, flag or pass_through, clock, schema,
+                               fmt, order_cols, isolate_errors=isolate_errors, prepare=prepare,
+                               encryption_key=encryption_key, target_schema=target_schema)
+        total = {c: total[c] + counts[c] for c in total}
+    return total
 
 
 # Place of an item in its document; orders rows after ``_row``.

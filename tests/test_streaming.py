@@ -390,7 +390,7 @@ def test_file_outcomes_and_restart(spark, tmpdir_path):
     def flag(df):
         df = df.withColumn("_valid", F.lit(True)).withColumn("_error", F.lit(None).cast("string"))
         if broken[0]:
-            df = df.withColumn("id", F.when(F.col("id") == "boom", F.raise_error(F.lit("cannot read"))).otherwise(F.col("id")))
+            df = df.withColumn("id", F.when(F.col("id") == "boom", F.raise_error(F.lit("retryable: cannot read"))).otherwise(F.col("id")))
         return df
 
     def state(status=None):
@@ -456,7 +456,7 @@ def test_excel_outcomes_stream_and_batch(spark, tmpdir_path):
 
     def flag(df):
         return (df.withColumn("_valid", F.lit(True)).withColumn("_error", F.lit(None).cast("string"))
-                .withColumn("id", F.when(F.col("id") == "boom", F.raise_error(F.lit("cannot read"))).otherwise(F.col("id"))))
+                .withColumn("id", F.when(F.col("id") == "boom", F.raise_error(F.lit("retryable: cannot read"))).otherwise(F.col("id"))))
 
     def state(paths):
         return {os.path.basename(r.file_path).split(".")[0]: (r.status, r.row_count, r.dead_lettered)
