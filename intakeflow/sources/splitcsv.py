@@ -16,13 +16,13 @@ import csv
 import io
 import re
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intakeflow.sources.files import plain_path
-
 FILE, ROW = "_file", "_row"
 BATCH = 10_000  # records of an Arrow batch at most
 BATCH_BYTES = 8 << 20
@@ -72,8 +72,14 @@ class Range:
         self.open: list[bytes] = []
         self.at = self.start = 0
 
-    def feed(self, lines: list[bytes], quotes: list[bool]) -> list[tuple[int, bytes]]:
-        """(place in the range, record) of the records that end in these lines."""
+    def feed(self, lines: list[bytes], quotes: list[bool] | None) -> list[tuple[int, bytes]]:
+        """(place in the range, record) of the records that end in these lines; ``quotes``: None if none has one."""
+        if quotes is None:
+            if not self.inside:
+                places = list(accumulate(map(len, lines), lambda a, n: a + n + 1, initial=self.at))
+                self.at = places.pop()
+                return list(zip(places, lines))
+            quotes = [False] * len(lines)
         out = []
         for line, quote in zip(lines, quotes):
             if self.inside:
@@ -112,28 +118,39 @@ def lines(spark: SparkSession, paths: Sequence[str], recursive: bool = False, gl
         r = r.option("pathGlobFilter", glob)
     m = F.col("_metadata")
     return r.text(list(paths)).select(
-        F.col("value").cast("binary").alias("line"), plain_path(m["file_path"]).alias("file"),
+        F.col("value").cast("binary").alias("line"), m["file_path"].alias("file"),
         m["file_block_start"].alias("at"),
         (m["file_block_start"] + m["file_block_length"] >= m["file_size"]).alias("ends"),
         ((m["file_block_start"] == 0) & (m["file_block_length"] >= m["file_size"])).alias("whole"),
         F.monotonically_increasing_id().alias("n"))
 
 
+def _path(uri: str) -> str:
+    """A file's path as listings show it, from its percent-encoded URI."""
+    return unquote(re.sub(r"^file:(//(?=/))?", "", uri))
+
+
 def _runs(batches) -> Iterator[tuple]:
-    """(file, at, ends, whole, lines, whether each has a quote) of the lines of one range in one batch."""
+    """(file, at, ends, whole, lines, whether each has a quote or None) of the lines of one range in one batch."""
     import numpy as np
     import pyarrow.compute as pc
 
+    known: dict[str, str] = {}
     for b in batches:
         if not b.num_rows:
             continue
-        code = b.column(1).dictionary_encode().indices.to_numpy()
-        at = b.column(2).to_numpy()
-        cut = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(at) != 0)) + 1).tolist(), b.num_rows]
-        quote = pc.match_substring(b.column(0), '"').to_pylist()
+        ends = pc.run_end_encode(b.column(1)).run_ends.to_numpy()
+        turns = np.flatnonzero(np.diff(b.column(2).to_numpy())) + 1
+        cut = [0, *sorted({*ends.tolist(), *turns.tolist()})]
+        quote = pc.match_substring(b.column(0), '"')
         body = b.column(0).to_pylist()
         for s, e in zip(cut, cut[1:]):
-            yield (b.column(1)[s].as_py(), int(at[s]), b.column(3)[s].as_py(), b.column(4)[s].as_py(), body[s:e], quote[s:e])
+            uri = b.column(1)[s].as_py()
+            if uri not in known:
+                known[uri] = _path(uri)
+            own = quote.slice(s, e - s)
+            yield (known[uri], b.column(2)[s].as_py(), b.column(3)[s].as_py(), b.column(4)[s].as_py(), body[s:e],
+                   own.to_pylist() if own.true_count else None)
 
 
 def decode(record: bytes, encoding: str) -> str:
@@ -212,7 +229,7 @@ def transitions(found: DataFrame) -> DataFrame:
                 if key is not None:
                     yield row()
                 key, state = (file, at), [False, True]
-            for line, q in zip(body, quote):
+            for line, q in zip(body, quote or ()):
                 if q:  # a line without quotes changes neither state
                     first = ends_inside(line, state[0])
                     state = [first, first if state[0] == state[1] else ends_inside(line, state[1])]
@@ -240,30 +257,40 @@ def starts(functions: DataFrame) -> DataFrame:
 def _columns(pa, names: list[str], header: list[str], rows: list[list]) -> list:
     """Arrays of the wanted columns of rows; the last of two columns with one name counts."""
     place = {n: i for i, n in enumerate(header)}
-    out = []
-    for n in names:
-        i = place.get(n)
-        out.append(pa.nulls(len(rows), pa.string()) if i is None else
-                   pa.array([r[i] if i < len(r) else None for r in rows], pa.string()))
-    return out
+    width = max((place[n] + 1 for n in names if n in place), default=0)
+    if rows and min(map(len, rows)) >= width:
+        columns = list(zip(*rows))
+    else:
+        columns = [[r[i] if i < len(r) else None for r in rows] for i in range(width)]
+    return [pa.nulls(len(rows), pa.string()) if n not in place else pa.array(columns[place[n]], pa.string()) for n in names]
+
+
+def _texts(records: list[bytes], encoding: str) -> list[str]:
+    """Decoded records; together, where none holds a line end."""
+    together = b"\n".join(records)
+    if together.count(b"\n") == len(records) - 1:
+        out = decode(together, encoding).split("\n")
+        if len(out) == len(records):
+            return out
+    return [decode(r, encoding) for r in records]
 
 
 def _parse(pa, names: list[str], header: list[str], file: str, at: int, found: list[tuple[int, bytes]], encoding: str):
     """A record batch of parsed records (place in the range, bytes)."""
-    texts, places = [], []
-    for place, record in found:
-        if record and record != b"\r":
-            texts.append(decode(record, encoding))
-            places.append(at + place)
+    found = [(place, r) for place, r in found if r and r != b"\r"]
+    texts = _texts([r for _, r in found], encoding) if found else []
     rows = cells(texts)
-    if len(rows) != len(texts):  # a record held several rows, or none
+    if len(rows) == len(texts):
+        places = [at + place for place, _ in found]
+    else:  # a record held several rows, or none
         rows, places = [], []
-        for (place, record) in found:
-            some = cells([decode(record, encoding)]) if record and record != b"\r" else []
+        for (place, _), text in zip(found, texts):
+            some = cells([text])
             rows += some
             places += [at + place + i for i in range(len(some))]
     return pa.RecordBatch.from_arrays(
-        [*_columns(pa, names, header, rows), pa.array([file] * len(rows), pa.string()), pa.array(places, pa.int64())],
+        [*_columns(pa, names, header, rows), pa.DictionaryArray.from_arrays(
+            pa.array([0] * len(rows), pa.int32()), pa.array([file], pa.string())).cast(pa.string()), pa.array(places, pa.int64())],
         names=[*names, FILE, ROW])
 
 
@@ -333,7 +360,7 @@ def read_split_csv(spark: SparkSession, paths: Sequence[str], names: Sequence[st
         if part is not None:
             yield from close()
 
-    out = found.mapInArrow(run, schema)
+    out = found.drop("n").mapInArrow(run, schema)
     if any(ranges.values()):
         out = out.unionByName(_over_borders(found, names, schema, shared, encoding))
     return out
@@ -341,7 +368,7 @@ def read_split_csv(spark: SparkSession, paths: Sequence[str], names: Sequence[st
 
 def _over_borders(found: DataFrame, names: list[str], schema: T.StructType, shared, encoding: str) -> DataFrame:
     """The records that start in one range and end in another, put together from their parts."""
-    files = sorted({file for (file, _), inside in shared.value[1].items() if inside})
+    files = frozenset({file for (file, _), inside in shared.value[1].items() if inside})
 
     def parts(batches):
         import pyarrow as pa
@@ -361,6 +388,8 @@ def _over_borders(found: DataFrame, names: list[str], schema: T.StructType, shar
                 names=["file", "at", "start", "part"])
 
         for file, at, _, _, body, quote in _runs(batches):
+            if file not in files:
+                continue
             if (file, at) != key:
                 if part is not None:
                     yield rows()
@@ -370,7 +399,7 @@ def _over_borders(found: DataFrame, names: list[str], schema: T.StructType, shar
             yield rows()
 
     # a head belongs to the last record that was left open before it
-    some = found.where(F.col("file").isin(files)).mapInArrow(parts, "file string, at long, start long, part binary")
+    some = found.mapInArrow(parts, "file string, at long, start long, part binary")
     before = Window.partitionBy("file").orderBy("at", F.col("start").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     whole = some.withColumn("record", F.last("start", ignorenulls=True).over(before)).withColumn(
         "n", F.count(F.lit(1)).over(Window.partitionBy("file", "record"))).where("n > 1")
