@@ -102,8 +102,8 @@ def file_slice(spark: SparkSession, path: str, task_id: str, days: Iterable[int]
     """The events of a task's files that were modified on ``days``; other days' folders are not even listed."""
     folders = [f"{path}/task_id={_escaped(spark, task_id)}/{DAY}={int(d)}" for d in sorted(set(days))]
     folders = [f for f in folders if path_exists(spark, f)]
-    if not folders:
-        return spark.createDataFrame([], EVENT_SCHEMA)
+    if not folders:  # an empty relation that the optimizer sees through
+        return conform(spark.sql("SELECT 1 AS none WHERE false"))
     stored = T.StructType([*EVENT_SCHEMA.fields, T.StructField(DAY, T.StringType())])
     return conform(spark.read.schema(stored).option("basePath", path).parquet(*folders))
 
@@ -157,8 +157,8 @@ def _order() -> Column:
     return F.struct(F.col("event_time"), F.col("seq"))
 
 
-def fold(events: DataFrame, lease_seconds: int = CLAIM_LEASE_SECONDS) -> DataFrame:
-    """L2: current state per key from the event log (all keys at once)."""
+def fold(events: DataFrame, lease_seconds: int = CLAIM_LEASE_SECONDS, failed_at: bool = False) -> DataFrame:
+    """L2: current state per key from the event log (all keys at once); ``failed_at``: with the last failure's time."""
     ev = conform(events)
     o = _order()
     reset = ev.groupBy(*KEY).agg(
@@ -187,6 +187,7 @@ def fold(events: DataFrame, lease_seconds: int = CLAIM_LEASE_SECONDS) -> DataFra
         last(F.col("archive_path"), ev_is("ARCHIVED")).alias("archive_path"),
         F.count_if(ev_is("DEAD_LETTER") & after).alias("_dead"),
         last(F.struct("file_size", "file_hash"), F.col("file_size").isNotNull()).alias("_id"),
+        F.max(F.when(ev_is("FAILED"), F.col("event_time"))).alias("failed_at"),
     )
     st = F.col("_st.event")
     status = (F.when(st == "SNAPSHOT", F.col("_st.status")).when(st == "RETRY", F.lit("PENDING"))
@@ -205,6 +206,7 @@ def fold(events: DataFrame, lease_seconds: int = CLAIM_LEASE_SECONDS) -> DataFra
         F.col("_ok_t").alias("processed_at"), "created_at", "archive_path",
         (F.col("_dead") > 0).alias("dead_lettered"),
         F.col("_id.file_size").alias("file_size"), F.col("_id.file_hash").alias("file_hash"),
+        *(["failed_at"] if failed_at else []),
     )
 
 
@@ -212,8 +214,8 @@ def fold(events: DataFrame, lease_seconds: int = CLAIM_LEASE_SECONDS) -> DataFra
 # Claim rule on the pre-image
 # ---------------------------------------------------------------------------
 def claim_decisions(arrivals: DataFrame, current: DataFrame, as_of: _dt.datetime,
-                    max_retries: int | Column = 3) -> DataFrame:
-    """Decide, for each listed file, whether this run claims it.
+                    max_retries: int | Column = 3, extra: Sequence[str] = ()) -> DataFrame:
+    """Decide, for each listed file, whether this run claims it (``extra``: columns of ``current`` to keep).
 
     CLAIM_NEW       no ledger row
     CLAIM_RETRY     FAILED with retry_count < max_retries and not dead-lettered
@@ -223,7 +225,8 @@ def claim_decisions(arrivals: DataFrame, current: DataFrame, as_of: _dt.datetime
     All conditions read the ledger as it was before this run (G2).
     """
     arrivals = arrivals.dropDuplicates(list(KEY))
-    cur_cols = ["status", "retry_count", "claim_expires_at"]
+    cur_cols = ["status", "retry_count", "claim_expires_at",
+                *extra]
     cur = current.select(*KEY, *cur_cols,
                          (F.col("dead_lettered") if "dead_lettered" in current.columns
                           else F.lit(False)).alias("dead_lettered"))

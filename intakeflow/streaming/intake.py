@@ -368,20 +368,19 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
         days |= {r[0] for r in left_open.select(F.coalesce(F.floor(F.col("file_mtime") / DAY_MS), F.lit(-1))).distinct().collect()}
         keys = listed.select(*KEY).unionByName(left_open)
     own = file_slice(spark, paths.ledger, spec.task_id, days).join(keys, list(KEY), "left_semi")
-    current = fold(own).persist()  # read by the decision and by the owner check
-    failed = own.filter("event = 'FAILED'").groupBy(*KEY).agg(F.max("event_time").alias("failed_at"))
+    current = fold(own, failed_at=True)
+    if retry_due:
+        current = current.persist()  # read for the files that are due, the decision and what stays open
     if retry_due:
         again = current.filter(F.col("status").isin("FAILED", "CLAIMED", "PROCESSING")).select(
             *KEY, "file_size", _ext(F.col("file_path")).alias("ext"))
         listed = listed.unionByName(again).dropDuplicates(list(KEY))
     mine = (F.col("prior_status") == "CLAIMED") & (F.col("claimed_by") == owner)  # this batch, replayed
-    decided = claim_decisions(listed, current, now, spec.max_retries).join(
-        current.select(*KEY, "claimed_by"), list(KEY), "left").withColumn(
+    decided = claim_decisions(listed, current, now, spec.max_retries, ("claimed_by", "failed_at")).withColumn(
         "decision", F.when(mine, F.lit("CLAIM_RESUMED")).otherwise(F.col("decision")))
     due = F.col("failed_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff_delay(
         F.col("retry_count"), spec.retry_backoff))
-    taken = (decided.join(failed, list(KEY), "left")
-             .filter(F.col("decision").startswith("CLAIM"))
+    taken = (decided.filter(F.col("decision").startswith("CLAIM"))
              .filter((F.col("decision") != "CLAIM_RETRY") | F.col("failed_at").isNull() | (due <= ts_lit(now))))
     rows = with_format(taken.withColumnRenamed("file_path", "path")).withColumnRenamed("path", "file_path").select(
         *KEY, "file_size", "skip_reason", "decision").collect()  # the batch's own files
