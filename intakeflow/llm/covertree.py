@@ -28,7 +28,7 @@ LIMIT = 0.95
 MARGIN = 1e-6      # bounds are widened by this much, far above rounding
 FINEST = 1e-3      # covering radius below which a node's points are its children
 STEP = 4_000_000   # numbers (node pairs x dimensions) examined at once
-WIDE = 2_000_000   # products of wide nodes' children looked at at once, in single precision ...
+WIDE = 250_000     # products of wide nodes' children looked at at once, in single precision ...
 SINGLE = 2e-5      # ... which is off by less than this
 
 
@@ -139,6 +139,7 @@ def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
 
     a4 = a.u.astype("f4")
     b4 = a4 if same else b.u.astype("f4")
+    held: list = [None, None]
     most = max(64, STEP // a.x.shape[1])  # node pairs examined at once
     # node pairs to open; of one pair of wide nodes, also the child from which on it is still to be opened
     stack = [(np.array([0]), np.array([0]), 0)]
@@ -209,9 +210,12 @@ def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
             ra, rb = a.radius[k:e], b.radius[wide]
             reach = far + MARGIN + (ra[:, None] + rb if ra.any() or rb.any() else 0.0)
             least = (1 - SINGLE - reach * reach / 2)
-            hit = np.nonzero(a4[a.centre[k:e]] @ b4[b.centre[wide]].T >= np.asarray(least, "f4"))
-            for s in range(0, len(hit[0]), most):
-                i, j = hit[0][s:s + most] + k, hit[1][s:s + most] + wide.start
+            if held[0] != q[0]:  # slices of one pair share the second node's children
+                held[:] = [q[0], np.ascontiguousarray(b4[b.centre[wide]].T)]
+            hit = np.flatnonzero(a4[a.centre[k:e]] @ held[1] >= np.asarray(least, "f4"))
+            for s in range(0, len(hit), most):
+                i, j = np.divmod(hit[s:s + most], wide.stop - wide.start)
+                i, j = i + k, j + wide.start
                 examine(i, j, np.full(len(i), bool(p[0] == q[0])))
     got_a[a.order] += np.cumsum(total_a)[:-1]
     got_b[b.order] += np.cumsum(total_b)[:-1]
