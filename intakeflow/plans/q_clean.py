@@ -9,7 +9,7 @@ from intakeflow.operators.cleaners import (deduplicate, fillna_and_trim, normali
                                            test_clean, test_clean_flagged)
 from intakeflow.operators.split import counters, error_rows
 from intakeflow.plans.catalog import register
-from intakeflow.sources.fixtures import RAW_SQL, raw_rows, with_cte
+from intakeflow.sources.fixtures import RAW_SQL, raw_rows, table, with_cte
 
 _VALUE = ("CASE WHEN try_cast(value AS DOUBLE) IS NULL OR isnan(try_cast(value AS DOUBLE)) "
           "THEN 0.0 ELSE try_cast(value AS DOUBLE) END")
@@ -50,6 +50,23 @@ def clean_fillna_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillna_and_trim(raw_rows(spark, sf_dir))
 
 
+@register("clean_fillna_typed", oracle="""
+SELECT p_partkey AS key, CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS INTEGER) AS size,
+       CAST(CASE WHEN p_partkey % 5 IN (0, 1) THEN 0 ELSE p_size / 2.0 END AS DOUBLE) AS ratio,
+       CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'x y' END AS note
+FROM part WHERE p_partkey % 7 <> 0
+""")
+def clean_fillna_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows of nulls only go; nulls and NaNs of number columns become 0, of text columns empty."""
+    k, gone = F.col("p_partkey"), F.col("p_partkey") % 7 == 0
+    size = F.col("p_size").cast("int")
+    rows = table(spark, sf_dir, "part").select(
+        F.when(~gone, k).alias("key"), F.when(~gone & (k % 3 != 0), size).alias("size"),
+        F.when(~gone & (k % 5 != 1), F.when(k % 5 == 0, F.lit(float("nan"))).otherwise(size / 2.0)).alias("ratio"),
+        F.when(~gone & (k % 4 != 0), F.lit("  x y ")).alias("note"))
+    return fillna_and_trim(rows)
+
+
 @register("clean_dedup", oracle=with_cte("SELECT DISTINCT * FROM raw", raw=RAW_SQL))
 def clean_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """exact duplicate rows removed."""
