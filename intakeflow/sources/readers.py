@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intakeflow.sources import splitcsv
+from intakeflow.sources import splitcsv, splitjson
 from intakeflow.sources.files import as_glob, plain_path
 
 FILE = "_file"
@@ -98,57 +98,43 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "u
                          F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields], FILE, ROW)
 
 
-def _json_text(spark: SparkSession, paths, recursive: bool) -> DataFrame:
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower())
-    df = r.text(list(paths) if not isinstance(paths, str) else paths)
-    return df.select(plain_path(F.col("_metadata.file_path")).alias(FILE), "value")
-
-
-def _item_schema(spark: SparkSession, paths, recursive: bool) -> T.DataType:
-    """Schema of a document, primitives as strings (one inference pass over the files)."""
-    r = (spark.read.option("multiLine", True).option("primitivesAsString", True)
-         .option("recursiveFileLookup", str(recursive).lower())
-         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
-    sch = r.json(list(paths) if not isinstance(paths, str) else paths).schema
-    return T.StructType([f for f in sch.fields if f.name != CORRUPT])
-
-
-def _parse_documents(spark: SparkSession, paths, json_path: str | None, recursive: bool):
-    """(file, parsed array of items or NULL when the document does not parse)."""
-    doc = _item_schema(spark, paths, recursive)
+def _json_items(spark: SparkSession, paths, json_path: str | None, recursive: bool) -> tuple[DataFrame, list[str]]:
+    """Items ``(file, row, item, fault)`` of all documents, and the large documents that do not parse."""
     parts = [p for p in (json_path or "").split(".") if p and p != "item"]
-    text = _json_text(spark, paths, recursive)
-    if not parts:  # top-level array: the inferred schema is the item schema
-        parsed = F.from_json("value", T.ArrayType(doc), {"mode": "PERMISSIVE"})
-        return text.select(FILE, parsed.alias("_items"))
-    parsed = F.from_json("value", doc, {"mode": "PERMISSIVE"})
-    arr = parsed
-    for p in parts:
-        arr = arr.getField(p)
-    return text.select(FILE, parsed.isNull().alias("_bad"), arr.alias("_items")) \
-        .select(FILE, F.when(~F.col("_bad"), F.col("_items")).alias("_items"))
+    found = splitjson.pieces(spark, _as_list(paths), recursive)
+    known = splitjson.plan(found, parts)
+    items = splitjson.cut(found, parts, known)
+    if known.single:
+        text = spark.read.option("wholetext", True).text([as_glob(f) for f in sorted(known.single)]).select(
+            plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").cast("binary").alias("line"))
+        items = items.unionByName(splitjson.cut_single(text, parts))
+    return items, sorted(known.bad)
 
 
 def read_json(spark: SparkSession, paths: str | Sequence[str], json_path: str | None = None,
-              recursive: bool = False) -> DataFrame:
+              recursive: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """Items of a top-level array, or of the array at ``json_path`` (e.g. ``data.item``
     or ``data``; a trailing ``.item`` means "the items of").  Primitive values are read as strings.
 
-    Each file is one document parsed in one task; a file that does not parse is
-    skipped whole (its rows never appear; ``json_skips`` reports it).  ``_row`` is
-    the item's position in the document.
+    One document is read by many tasks (``splitjson``); a document that does not parse as a whole is
+    skipped whole (its rows never appear; ``json_skips`` reports it), and one without an array at the path has no rows.
+    ``_row`` rises with a document's items.  Without ``schema`` the columns are found by a further pass over the items.
     """
-    docs = _parse_documents(spark, paths, json_path, recursive)
-    return docs.select(FILE, F.posexplode("_items").alias(ROW, "_item")).select(
-        FILE, F.col(ROW).cast("long").alias(ROW), "_item.*")
+    items, _ = _json_items(spark, paths, json_path, recursive)
+    items = items.where("fault is null")
+    if schema is None:
+        schema = splitjson.item_schema(items)
+    return items.select(F.col("file").alias(FILE), F.col("row").alias(ROW),
+                        F.from_json("item", schema, {"mode": "PERMISSIVE"}).alias("_item")).select(FILE, ROW, "_item.*")
 
 
 def json_skips(spark: SparkSession, paths: str | Sequence[str], json_path: str | None = None,
                recursive: bool = False) -> DataFrame:
     """Files that fail to parse, with a skip reason."""
-    docs = _parse_documents(spark, paths, json_path, recursive)
-    return docs.filter(F.col("_items").isNull()).select(
-        FILE, F.concat(F.lit("JSON parse error in "), F.col(FILE)).alias("skip_reason"))
+    items, bad = _json_items(spark, paths, json_path, recursive)
+    files = items.where("fault is not null").select(F.col("file").alias(FILE)).unionByName(
+        spark.createDataFrame([(f,) for f in bad], f"{FILE} string"))
+    return files.distinct().withColumn("skip_reason", F.concat(F.lit("JSON parse error in "), F.col(FILE)))
 
 
 # ---------------------------------------------------------------------------

@@ -105,15 +105,16 @@ class Range:
         return [(self.start, b"\n".join(self.open))] if self.open else []
 
 
-def lines(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """(line, file, at, ends, whole, n): physical lines with their file's path and range, whether the range is the
-    file's last and whether it is its only one.
+def lines(spark: SparkSession, paths: Sequence[str], recursive: bool = False, glob: str | None = None,
+          sep: str = "\n") -> DataFrame:
+    """(line, file, at, ends, whole, n, size): physical lines with their file's path and range, whether the range is
+    the file's last and whether it is its only one, and the file's size.
 
     Ranges must be the same in every pass: the number of cores at the first is kept as the setting that Spark deals
     ranges by, and ``n`` keeps filters from reaching the source, which would deal out fewer files."""
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    r = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
+    r = spark.read.option("lineSep", sep).option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)
     m = F.col("_metadata")
@@ -122,7 +123,7 @@ def lines(spark: SparkSession, paths: Sequence[str], recursive: bool = False, gl
         m["file_block_start"].alias("at"),
         (m["file_block_start"] + m["file_block_length"] >= m["file_size"]).alias("ends"),
         ((m["file_block_start"] == 0) & (m["file_block_length"] >= m["file_size"])).alias("whole"),
-        F.monotonically_increasing_id().alias("n"))
+        F.monotonically_increasing_id().alias("n"), m["file_size"].alias("size"))
 
 
 def _path(uri: str) -> str:
@@ -360,7 +361,7 @@ def read_split_csv(spark: SparkSession, paths: Sequence[str], names: Sequence[st
         if part is not None:
             yield from close()
 
-    out = found.drop("n").mapInArrow(run, schema)
+    out = found.drop("n", "size").mapInArrow(run, schema)
     if any(ranges.values()):
         out = out.unionByName(_over_borders(found, names, schema, shared, encoding))
     return out
