@@ -11,13 +11,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intakeflow.operators.route import month_counts, route_months
 from intakeflow.plans.catalog import AS_OF_ORDERS, register
 from intakeflow.session import scratch_path
 from intakeflow.sources.files import fingerprints, list_files, with_format
 from intakeflow.sources.fixtures import table
-from intakeflow.sources.readers import read_csv, read_json
+from intakeflow.sources.readers import json_skips, read_csv, read_json
 from intakeflow.spec import TaskSpec
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -95,6 +96,60 @@ def json_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       F.count_distinct("o_custkey").alias("customers"))
 
 
+# Rows per written JSON document that is read in ranges: some 15 MB, several ranges each.
+JSON_ROWS_PER_LARGE_FILE = 100_000
+
+
+def write_large_json(df: DataFrame, folder: str, files: int, end: str) -> None:
+    """Write rows as JSON documents ``{"before": [...], "data": [row, ...] ...`` with ``end`` behind the last row:
+    one document per task, streamed."""
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(['{"before": [{"data": [{"l_orderkey": 0}]}, "}]"], "data": ['])], ["value"])
+        first = True
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array([t if first and not i else "," + t for i, t in enumerate(texts)])],
+                                                 ["value"])
+                first = False
+        if end:
+            yield pa.RecordBatch.from_arrays([pa.array([end])], ["value"])
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"timestampNTZFormat": TS_TEXT}).alias("value"))
+    rows.repartition(files).mapInArrow(run, "value string").write.text(folder)
+
+
+@register("json_split_documents", oracle="""
+SELECT strftime(l_shipdate, '%Y%m') AS month, count(*) AS row_count, CAST(sum(l_orderkey) AS BIGINT) AS key_sum,
+       CAST(sum(length('{"[' || CAST(l_orderkey AS STRING) || chr(10) || chr(92) || '}')) AS BIGINT) AS note_chars
+FROM lineitem WHERE l_orderkey % 7 <> 3 GROUP BY 1
+UNION ALL
+SELECT 'skipped documents', greatest(1, CAST(ceil(count(*) / 100000.0) AS BIGINT) // 6), 0, 0 FROM lineitem
+""")
+def json_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem delivered as large JSON documents (texts with braces, quotes, line ends and backslashes, a
+    second array called like the wanted one), each read by several tasks.  Rows with an order key of 3 modulo 7 come in
+    documents whose end is missing, which are skipped whole."""
+    note = F.concat(F.lit('{"['), F.col("l_orderkey").cast("string"), F.lit("\n\\}"))
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", note.alias("note"),
+                                                 F.array(F.struct("l_quantity")).alias("parts"))
+    out = scratch_path(spark, f"deliveries-large-json-{uuid.uuid4().hex[:8]}")
+    files = max(1, -(-df.count() // JSON_ROWS_PER_LARGE_FILE))
+    write_large_json(df.where("l_orderkey % 7 <> 3"), f"{out}/whole", files, '], "after": {"data": [{"l_orderkey": 0}]}}')
+    write_large_json(df.where("l_orderkey % 7 = 3"), f"{out}/damaged", max(1, files // 6), "")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("l_orderkey", "l_shipdate", "note")])
+    rows = read_json(spark, out, "data.item", recursive=True, schema=schema)
+    skips = json_skips(spark, out, "data.item", recursive=True).agg(
+        F.lit("skipped documents").alias("month"), F.count(F.lit(1)).alias("row_count"),
+        F.count_if(F.col("_file").contains("/whole/")).alias("key_sum"), F.lit(0).cast("bigint").alias("note_chars"))
+    routed = route_months(rows, LINEITEM_CSV, AS_OF_ORDERS)
+    return routed.groupBy("month").agg(F.count(F.lit(1)).alias("row_count"),
+                                      F.sum(F.col("l_orderkey").cast("bigint")).alias("key_sum"),
+                                      F.sum(F.length("note")).cast("bigint").alias("note_chars")).unionByName(skips)
+
+
 @register("file_manifest", oracle="""
 SELECT 'csv' AS fmt, CAST(greatest(4, ceil(count(*) / 200000.0)) AS INTEGER) AS files,
        CAST(greatest(4, ceil(count(*) / 200000.0)) AS INTEGER) AS distinct_hashes, 0 AS skipped,
@@ -126,8 +181,6 @@ def batch_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     (ledger, quality log, first-wins month target), then delivered again (nothing new is stored)."""
     import datetime as _dt
 
-    from pyspark.sql import types as T
-
     from intakeflow.streaming.intake import IntakePaths, read_target, run_batch_intake
 
     folder = write_csv_deliveries(spark, sf_dir, "lineitem")
@@ -152,8 +205,6 @@ def stream_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     (``availableNow``, two files per micro-batch, first-wins across batches)."""
     import datetime as _dt
 
-    from pyspark.sql import types as T
-
     from intakeflow.streaming.intake import IntakePaths, read_target, start_intake
 
     folder = write_csv_deliveries(spark, sf_dir, "lineitem")
