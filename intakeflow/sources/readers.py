@@ -111,6 +111,14 @@ def _json_items(spark: SparkSession, paths, json_path: str | None, recursive: bo
     return items, sorted(known.bad)
 
 
+def json_items(spark: SparkSession, paths: str | Sequence[str], json_path: str | None = None) -> DataFrame:
+    """``(file, row, item, fault)``: the items of all documents as texts, and one row at least with a fault for a
+    document that does not parse, which has no items then."""
+    items, bad = _json_items(spark, paths, json_path, False)
+    faults = spark.createDataFrame([(f, None, None, "parse") for f in bad], splitjson.ITEMS)
+    return items.unionByName(faults) if bad else items
+
+
 def read_json(spark: SparkSession, paths: str | Sequence[str], json_path: str | None = None,
               recursive: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """Items of a top-level array, or of the array at ``json_path`` (e.g. ``data.item``

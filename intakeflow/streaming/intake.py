@@ -46,7 +46,7 @@ from intakeflow.operators.split import mark_row_errors, pass_through
 from intakeflow.operators.writer import write_first_wins
 from intakeflow.session import ensure_checkpoint_dir, path_exists
 from intakeflow.sources.files import _ext, as_glob, list_paths, plain_path, with_format
-from intakeflow.sources.readers import CORRUPT, FILE, ROW, parse_xlsx, read_csv
+from intakeflow.sources.readers import CORRUPT, FILE, ROW, json_items, parse_xlsx, read_csv
 from intakeflow.spec import FORMATS, QUALITY_ALERT_MIN_SCORE, TaskSpec
 from intakeflow.streaming.alerts import quality_alerts
 
@@ -409,6 +409,12 @@ def _suffix(path: str) -> str:
     return "." + name.rsplit(".", 1)[1].lower() if "." in name else ""
 
 
+def _of_document(schema: T.StructType, spec: TaskSpec) -> bool:
+    """Whether a schema is that of whole JSON documents, which ``prepare`` takes apart, and not of their items."""
+    parts = [p for p in (spec.json_path or "").split(".") if p and p != "item"]
+    return bool(parts) and parts[0] in schema.fieldNames()
+
+
 def _file_rows(spark: SparkSession, files: list[tuple], spec: TaskSpec, schema: T.StructType,
                fmt: str) -> tuple[DataFrame, DataFrame]:
     """The rows of the files with their identity, and the files as a table."""
@@ -420,6 +426,13 @@ def _file_rows(spark: SparkSession, files: list[tuple], spec: TaskSpec, schema:
         books = spark.read.format("binaryFile").load(names).select(
             F.regexp_replace("path", "^file:", "").alias("path"), "content")
         return _workbook_rows(books.join(_side(listed.withColumnRenamed(FILE, "path"), len(files)), "path"), schema), listed
+    elif not _of_document(schema, spec):
+        fields = [f for f in schema.fields if f.name != CORRUPT]
+        item = F.from_json("item", T.StructType(fields), {"mode": "PERMISSIVE"}).alias("_item")
+        rows = json_items(spark, names, spec.json_path).select(
+            F.col("file").alias(FILE), F.col("row").alias(ROW),
+            F.when(F.col("fault").isNotNull(), F.lit("parse error")).alias(CORRUPT), item).select(
+            FILE, ROW, CORRUPT, *[F.col(f"_item.`{f.name}`") for f in fields])
     else:
         if CORRUPT not in schema.fieldNames():
             schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
@@ -503,7 +516,8 @@ def start_intake(spark: SparkSession, folder: str, spec: TaskSpec, schema: T.Str
     """Start the intake stream for one task; returns the running query.
 
     ``fmt`` is ``csv`` (``spec.encoding`` applies), ``json`` or ``excel``; for JSON with a
-    nested ``spec.json_path`` pass ``prepare=lambda df: explode_json_path(df, spec.json_path)``.
+    nested ``spec.json_path`` ``schema`` is that of the items, and a document is read by many tasks; with the
+    schema of whole documents pass ``prepare=lambda df: explode_json_path(df, spec.json_path)``.
     Every micro-batch also takes the ledger's failed files that are due again.
     """
     stream = _read_stream(spark, folder, fmt, max_files_per_trigger, clean_source,

@@ -131,6 +131,15 @@ def test_intake_stream_json_and_excel(spark, tmpdir_path):
     cur = {os.path.basename(r.file_path): r.status for r in fold(spark.read.parquet(paths.ledger)).collect()}
     assert cur == {"a.json": "SUCCESS", "bad.json": "SKIPPED"}
 
+    # with the schema of the items, documents are read in ranges
+    paths = _paths(f"{tmpdir_path}/jsitems")
+    q = start_intake(spark, js, spec, item, paths, fmt="json", available_now=True, as_of=lambda: AS_OF)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert {(r.month, r.id) for r in read_target(spark, paths.target).collect()} == {("202601", "1"), ("202602", "2")}
+    cur = {os.path.basename(r.file_path): r.status for r in fold(spark.read.parquet(paths.ledger)).collect()}
+    assert cur == {"a.json": "SUCCESS", "bad.json": "SKIPPED"}
+
     xl = f"{tmpdir_path}/xl"
     os.makedirs(xl)
     with open(f"{xl}/a.xlsx", "wb") as f:
