@@ -19,6 +19,7 @@ from intakeflow.plans import reports as R
 from intakeflow.plans.catalog import AS_OF_ORDERS, register
 from intakeflow.plans.q_sources import delivery_count
 from intakeflow.session import scratch_path
+from intakeflow.sources.files import fingerprints
 from intakeflow.sources.fixtures import DQ_SQL, PF_SQL, ledger_rows, quality_log_rows, table, with_cte
 from intakeflow.sources.readers import read_csv, read_csv_detected
 from intakeflow.spec import TaskSpec
@@ -79,6 +80,40 @@ def charset_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"), F.sum(F.col("编号").cast("bigint")).alias("key_sum"))
 
 
+# Status texts of deliveries in five charsets, by order key modulo 5.
+SCRIPTS = [("GBK", "订单已经完成，等待客户确认"), ("Big5", "訂單已經完成，等待客戶確認"),
+           ("Shift_JIS", "注文はまだ届いていません"), ("windows-1251", "заказ выполнен и отправлен"),
+           ("ISO-8859-1", "commande livrée à François, très bientôt")]
+
+
+@register("charset_scripts", oracle=f"""
+SELECT CASE o_orderkey % 5 {" ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(SCRIPTS))} END AS status,
+       count(*) AS row_count, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+       CAST(greatest(1, ceil(count(*) / 50000.0)) AS BIGINT) AS files
+FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1
+UNION ALL SELECT '', count(*), CAST(sum(o_orderkey) AS BIGINT), 0 FROM orders WHERE o_orderkey % 3 = 0
+""")
+def charset_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with status texts in five charsets (a third of the rows without a text), each file's charset
+    found from ranges of its bytes; with the number of files of different fingerprints."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    df = table(spark, sf_dir, "orders")
+    sizes = {r["part"]: r["n"] for r in df.where("o_orderkey % 3 <> 0").groupBy((F.col("o_orderkey") % 5).alias("part"))
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = _folder(spark, "scripts")
+    for i, (name, text) in enumerate(SCRIPTS):
+        _csv(df.where(F.col("o_orderkey") % 5 == i).select(
+            "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.lit(text)).alias("status"), "o_orderdate"),
+            f"{out}/{name}", max(1, -(-sizes.get(i, 0) // 50_000)), name)
+    rows = read_csv_detected(spark, out, recursive=True)
+    hashes = fingerprints(spark, out, recursive=True).select(F.col("path").alias("_file"), "file_hash")
+    per = rows.groupBy("status", "_file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey").cast("bigint")).alias("k"))
+    named = per.join(hashes, "_file", "left")
+    return named.groupBy(F.coalesce("status", F.lit("")).alias("status")).agg(
+        F.sum("n").alias("row_count"), F.sum("k").alias("key_sum"),
+        F.count_distinct(F.when(F.col("status").isNotNull(), F.col("file_hash"))).alias("files"))
+
+
 def _outcome_code(rows: list[dict]) -> list[dict]:
     """User code that fails on status P: for good, for the moment, or to have the file left out."""
     for r in rows:

@@ -1,20 +1,21 @@
 """File manifest, fingerprints and charset detection (S5, S6, S7, S8, L8 listing, J2).
 
 Listing uses the ``binaryFile`` source; when the ``content`` column is not
-selected no file bytes are read.  Fingerprints and charset sniffing do read
-file bytes (inside the scan tasks), so point them at folders of new deliveries
-rather than at archives.
+selected no file bytes are read.  Fingerprints and charset detection read ranges of
+files inside the tasks, a few kilobytes of files of any size.
 """
 
 from __future__ import annotations
 
-import codecs
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from intakeflow.sources import charset
 from intakeflow.spec import EXTENSIONS, FINGERPRINT_SAMPLE, FORMATS
 
 
@@ -81,14 +82,6 @@ def with_format(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("fmt", fmt).withColumn("skip_reason", reason)
 
 
-def fingerprint_expr(content: Column, length: Column) -> Column:
-    """First 16 hex of md5(first 4 KiB + last 4 KiB when size > 8 KiB + decimal size)."""
-    head = F.substring(content, 1, FINGERPRINT_SAMPLE)
-    tail = F.when(length > 2 * FINGERPRINT_SAMPLE,
-                  F.substring(content, -FINGERPRINT_SAMPLE, FINGERPRINT_SAMPLE)).otherwise(F.lit(b""))
-    return F.substring(F.md5(F.concat(head, tail, length.cast("string").cast("binary"))), 1, 16)
-
-
 def _binary(spark: SparkSession, folder: str, recursive: bool, modified_after: str | None) -> DataFrame:
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if modified_after:  # incremental poll: bytes of older files are never read
@@ -96,63 +89,88 @@ def _binary(spark: SparkSession, folder: str, recursive: bool, modified_after: s
     return r.load(folder)
 
 
+# ---------------------------------------------------------------------------
+# Ranged reads: a few kilobytes of files of any size
+# ---------------------------------------------------------------------------
+def _file_system(path: str):
+    """The file system of a path as listings show it, and the file's name there."""
+    from pyarrow import fs
+
+    if re.match(r"[a-z0-9+.-]+:/", path):
+        return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return fs.LocalFileSystem(), path
+
+
+def can_read_ranges(folder: str) -> bool:
+    """Whether Arrow knows the folder's file system; where it does not, whole files pass through Spark's source."""
+    import pyarrow as pa
+
+    try:
+        _file_system(folder.removeprefix("file:"))
+        return True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def _per_file(files: DataFrame, value: Callable[[Callable[[int, int], bytes], int], object], out: str, ranged: bool) -> DataFrame:
+    """``(path, length)`` and the columns ``out`` that ``value(read, size)`` gives for every file, where
+    ``read(offset, bytes)`` reads a range of it."""
+    schema = T.StructType.fromDDL(f"path string, length long, {out}")
+    names = schema.fieldNames()[2:]
+    some = files.select(F.regexp_replace("path", "^file:", "").alias("path"), "length",
+                        *([] if ranged else ["content"]))
+
+    def run(batches: Iterator):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, size, *content in pdf.itertuples(index=False):
+                if ranged:
+                    system, name = _file_system(path)
+                    with system.open_input_file(name) as f:
+                        rows.append(value(lambda at, n: f.read_at(min(n, max(0, size - at)), at), size))  # noqa: B023
+                else:
+                    rows.append(value(lambda at, n: bytes(content[0])[at:at + n], size))  # noqa: B023
+            yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"],
+                                **{n: [r[i] for r in rows] for i, n in enumerate(names)}})
+
+    return some.mapInPandas(run, schema)
+
+
+def _ends(read: Callable[[int, int], bytes], size: int) -> tuple[bytes, bytes]:
+    n = FINGERPRINT_SAMPLE
+    return read(0, n), read(size - n, n) if size > 2 * n else b""
+
+
 def fingerprints(spark: SparkSession, folder: str, recursive: bool = False,
                  modified_after: str | None = None) -> DataFrame:
     """S8 for the files of a folder (modified after ``modified_after`` when given):
-    ``(path, file_size, file_hash)``, computed inside the scan tasks.
+    ``(path, file_size, file_hash)``: first 16 hex of md5(first 4 KiB + last 4 KiB when size > 8 KiB + decimal
+    size).  Only these bytes are read, in the tasks.
     """
     files = _binary(spark, folder, recursive, modified_after)
-    return files.select(F.regexp_replace("path", "^file:", "").alias("path"),
-                        F.col("length").alias("file_size"),
-                        fingerprint_expr(F.col("content"), F.col("length")).alias("file_hash"))
+    ends = _per_file(files, _ends, "head binary, tail binary", can_read_ranges(folder))
+    size = F.col("length").cast("string").cast("binary")
+    return ends.select("path", F.col("length").alias("file_size"),
+                       F.substring(F.md5(F.concat("head", "tail", size)), 1, 16).alias("file_hash"))
 
 
 # ---------------------------------------------------------------------------
 # Charset detection
 # ---------------------------------------------------------------------------
-_BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"),
-         (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
-# Trial order after BOM sniffing: strict decoders over the whole content.
-_TRIALS = ("utf-8", "gb18030")
-
-
-def _decodes(data: bytes, charset: str, step: int = 1 << 20) -> bool:
-    dec = codecs.getincrementaldecoder(charset)("strict")
-    try:
-        for i in range(0, len(data), step):
-            dec.decode(data[i:i + step], final=i + step >= len(data))
-        return True
-    except UnicodeDecodeError:
-        return False
-
-
 def sniff_charset(data: bytes, rest: bytes | None = None) -> str:
-    """Charset of a file's content: BOM, else the first strict decoder that accepts all of it, else utf-8."""
+    """Charset of a file's content (``charset.charset_of``)."""
     data = data + (rest or b"")
-    for bom, name in _BOMS:
-        if data.startswith(bom):
-            return name
-    return next((cs for cs in _TRIALS if _decodes(data, cs)), "utf-8")
+    return charset.charset_of(lambda at, n: data[at:at + n], len(data))
 
 
 def detect_charsets(spark: SparkSession, folder: str, hint: str | None = None,
                     recursive: bool = False, modified_after: str | None = None) -> DataFrame:
-    """``(path, charset)`` per file.  An explicit hint wins.  Valid UTF-8 without a byte order
-    mark is told apart in the JVM; only other files' bytes go to the strict decoders, whole."""
+    """``(path, charset)`` per file.  An explicit hint wins.  Samples of the head and the middle are read, and
+    more only of files that are plain ASCII there."""
     files = _binary(spark, folder, recursive, modified_after)
-    path = F.regexp_replace("path", "^file:", "").alias("path")
     if hint and hint != "auto":
-        return files.select(path, F.lit(hint).alias("charset"))
-    bom = F.substring(F.hex(F.substring("content", 1, 4)), 1, 8)
-    marked = bom.startswith("EFBBBF") | bom.startswith("FFFE") | bom.startswith("FEFF") | (bom == "0000FEFF")
-    plain = F.expr("is_valid_utf8(cast(content as string))") & ~F.coalesce(marked, F.lit(False))
-    known = files.select(path, F.when(~plain, F.col("content")).alias("content"))
-
-    def run(batches: Iterator):
-        import pandas as pd
-        for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "charset": [
-                "utf-8" if c is None else sniff_charset(bytes(c)) for c in pdf["content"]]})
-
-    return known.mapInPandas(run, T.StructType([T.StructField("path", T.StringType()),
-                                                T.StructField("charset", T.StringType())]))
+        return files.select(F.regexp_replace("path", "^file:", "").alias("path"), F.lit(hint).alias("charset"))
+    return _per_file(files, lambda read, size: (charset.charset_of(read, size),), "charset string",
+                     can_read_ranges(folder)).select("path", "charset")
