@@ -92,7 +92,7 @@ def _binary(spark: SparkSession, folder: str, recursive: bool, modified_after: s
 # ---------------------------------------------------------------------------
 # Ranged reads: a few kilobytes of files of any size
 # ---------------------------------------------------------------------------
-def _file_system(path: str):
+def file_system(path: str):
     """The file system of a path as listings show it, and the file's name there."""
     from pyarrow import fs
 
@@ -106,7 +106,7 @@ def can_read_ranges(folder: str) -> bool:
     import pyarrow as pa
 
     try:
-        _file_system(folder.removeprefix("file:"))
+        file_system(folder.removeprefix("file:"))
         return True
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return False
@@ -127,7 +127,7 @@ def _per_file(files: DataFrame, value: Callable[[Callable[[int, int], bytes], in
             rows = []
             for path, size, *content in pdf.itertuples(index=False):
                 if ranged:
-                    system, name = _file_system(path)
+                    system, name = file_system(path)
                     with system.open_input_file(name) as f:
                         rows.append(value(lambda at, n: f.read_at(min(n, max(0, size - at)), at), size))  # noqa: B023
                 else:

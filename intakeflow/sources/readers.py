@@ -12,6 +12,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from contextlib import ExitStack
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeflow.sources import splitcsv, splitjson
-from intakeflow.sources.files import as_glob, plain_path
+from intakeflow.sources.files import as_glob, can_read_ranges, file_system, plain_path
 
 FILE = "_file"
 ROW = "_row"
@@ -184,71 +185,137 @@ def _plain_text(node) -> str:
     return "".join(t.text or "" for t in [*node.findall("m:t", _NS), *node.findall("m:r/m:t", _NS)])
 
 
+# Bytes of a sheet's XML up to which its rows are held while it is read; larger sheets are read twice.
+SHEET_BUFFER = 64 << 20
+# Cells of an Arrow batch of sheet rows at most.
+SHEET_CELLS = 50_000
+
+
+def _elements(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ET.Element]:
+    """The elements of one name in a part of a workbook, one at a time; each is forgotten after its turn."""
+    wanted, around = f"{{{_NS['m']}}}{tag}", []
+    with z.open(name) as f:
+        for event, node in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                around.append(node)
+                continue
+            around.pop()
+            if node.tag == wanted:
+                yield node
+                if around:
+                    around[-1].remove(node)
+                node.clear()
+
+
+class Sheet:
+    """The active sheet of a workbook (a file or its bytes), with cached cell values as text.
+
+    Memory is bounded by the workbook's shared strings and one row.  Rows must rise, as the format asks."""
+
+    def __init__(self, source):
+        z = self.z = zipfile.ZipFile(io.BytesIO(source) if isinstance(source, bytes) else source)
+        wb = ET.fromstring(z.read("xl/workbook.xml"))
+        pr = wb.find("m:workbookPr", _NS)
+        self.date1904 = pr is not None and pr.get("date1904") in ("1", "true")
+        view = wb.find("m:bookViews/m:workbookView", _NS)
+        active = int(view.get("activeTab", "0")) if view is not None else 0
+        sheets = wb.findall("m:sheets/m:sheet", _NS)
+        rid = sheets[min(active, len(sheets) - 1)].get(f"{{{_NS['r']}}}id")
+        rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+        target = next(r.get("Target") for r in rels.findall("pr:Relationship", _NS) if r.get("Id") == rid)
+        target = target.lstrip("/")
+        self.path = target if target.startswith("xl/") else "xl/" + target
+        self.shared: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            self.shared = [_plain_text(si) for si in _elements(z, "xl/sharedStrings.xml", "si")]
+        self.date_styles: set[int] = set()
+        if "xl/styles.xml" in z.namelist():
+            st = ET.fromstring(z.read("xl/styles.xml"))
+            custom = {int(n.get("numFmtId")): n.get("formatCode", "")
+                      for n in st.findall("m:numFmts/m:numFmt", _NS)}
+            for i, xf in enumerate(st.findall("m:cellXfs/m:xf", _NS)):
+                fid = int(xf.get("numFmtId", "0"))
+                code = re.sub(r'"[^"]*"|\[[^\]]*\]', "", custom.get(fid, "")).lower()
+                if fid in _DATE_FMT_IDS or (fid in custom and re.search(r"[dmyhs]", code)):
+                    self.date_styles.add(i)
+
+    def _value(self, c: ET.Element) -> str | None:
+        t, v = c.get("t", "n"), c.find("m:v", _NS)
+        if t == "inlineStr":
+            return _plain_text(c.find("m:is", _NS)) if c.find("m:is", _NS) is not None else None
+        if v is None or v.text is None:
+            return None
+        if t == "s":
+            return self.shared[int(v.text)]
+        if t == "b":
+            return "True" if v.text == "1" else "False"
+        if t in ("str", "e"):
+            return v.text
+        if int(c.get("s", "0")) in self.date_styles:
+            return _excel_serial(float(v.text), self.date1904)
+        return _number(v.text)
+
+    def rows(self) -> Iterator[tuple[int, dict[int, str]]]:
+        """(number, cells by column) of every row that has a value."""
+        ri = last = 0
+        for row in _elements(self.z, self.path, "row"):
+            ri = int(row.get("r", ri + 1))  # the references are optional: positions count then
+            ci, cells = -1, {}
+            for c in row.findall("m:c", _NS):
+                m = _CELL.fullmatch(c.get("r", ""))
+                ci = _col_index(m.group(1)) if m else ci + 1
+                value = self._value(c)
+                if value is not None:
+                    cells[ci] = value
+            if cells:
+                if ri <= last:
+                    raise ValueError(f"row {ri} after row {last}")
+                last = ri
+                yield ri, cells
+
+    def named(self) -> tuple[list[str], Iterator[tuple[int, dict[str, str]]]]:
+        """The header - the first row with a value, a missing name as ``col_{i}`` - and the rows behind it: number
+        from 0 and values by name, without those that are missing.  Rows without a value between others are
+        empty.  A sheet is known to be readable as a whole before its first row comes out."""
+        small = self.z.getinfo(self.path).file_size <= SHEET_BUFFER
+        held, width = [], 0
+        for row in self.rows():
+            width = max(width, max(row[1]) + 1)
+            if small or not held:
+                held.append(row)
+        if not held:
+            return [], iter(())
+        start, names = held[0]
+        header = [names.get(i, f"col_{i}") for i in range(width)]
+        place = {n: i for i, n in enumerate(header)}  # the last of two columns with one name counts
+        mine = [place[n] == i for i, n in enumerate(header)]
+
+        def behind():
+            at = start + 1
+            for ri, cells in held if small else self.rows():
+                if ri == start:
+                    continue
+                while at < ri:
+                    yield at - start - 1, {}
+                    at += 1
+                yield at - start - 1, {header[c]: v for c, v in cells.items() if mine[c]}
+                at += 1
+
+        return header, behind()
+
+
 def parse_xlsx(data: bytes) -> tuple[list[str], list[list[str | None]]]:
-    """Active sheet of a workbook: (header, rows) with cached cell values as text.
+    """Active sheet of a small workbook: (header, rows) with cached cell values as text.
 
     A missing header cell becomes ``col_{i}``; date-formatted numbers become
     ISO date-times; booleans ``True``/``False``.
     """
-    z = zipfile.ZipFile(io.BytesIO(data))
-    wb = ET.fromstring(z.read("xl/workbook.xml"))
-    pr = wb.find("m:workbookPr", _NS)
-    date1904 = pr is not None and pr.get("date1904") in ("1", "true")
-    view = wb.find("m:bookViews/m:workbookView", _NS)
-    active = int(view.get("activeTab", "0")) if view is not None else 0
-    sheets = wb.findall("m:sheets/m:sheet", _NS)
-    rid = sheets[min(active, len(sheets) - 1)].get(f"{{{_NS['r']}}}id")
-    rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-    target = next(r.get("Target") for r in rels.findall("pr:Relationship", _NS) if r.get("Id") == rid)
-    target = target.lstrip("/")
-    sheet_path = target if target.startswith("xl/") else "xl/" + target
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append(_plain_text(si))
-    date_styles: set[int] = set()
-    if "xl/styles.xml" in z.namelist():
-        st = ET.fromstring(z.read("xl/styles.xml"))
-        custom = {int(n.get("numFmtId")): n.get("formatCode", "")
-                  for n in st.findall("m:numFmts/m:numFmt", _NS)}
-        for i, xf in enumerate(st.findall("m:cellXfs/m:xf", _NS)):
-            fid = int(xf.get("numFmtId", "0"))
-            code = re.sub(r'"[^"]*"|\[[^\]]*\]', "", custom.get(fid, "")).lower()
-            if fid in _DATE_FMT_IDS or (fid in custom and re.search(r"[dmyhs]", code)):
-                date_styles.add(i)
-    rows: dict[int, dict[int, str | None]] = {}
-    width = 0
-    ri = 0
-    for row in ET.fromstring(z.read(sheet_path)).iter(f"{{{_NS['m']}}}row"):
-        ri = int(row.get("r", ri + 1))  # the references are optional: positions count then
-        ci = -1
-        for c in row.findall("m:c", _NS):
-            m = _CELL.fullmatch(c.get("r", ""))
-            ci = _col_index(m.group(1)) if m else ci + 1
-            t, v = c.get("t", "n"), c.find("m:v", _NS)
-            if t == "inlineStr":
-                val = _plain_text(c.find("m:is", _NS)) if c.find("m:is", _NS) is not None else None
-            elif v is None or v.text is None:
-                val = None
-            elif t == "s":
-                val = shared[int(v.text)]
-            elif t == "b":
-                val = "True" if v.text == "1" else "False"
-            elif t in ("str", "e"):
-                val = v.text
-            elif int(c.get("s", "0")) in date_styles:
-                val = _excel_serial(float(v.text), date1904)
-            else:
-                val = _number(v.text)
-            if val is not None:
-                rows.setdefault(ri, {})[ci] = val
-                width = max(width, ci + 1)
+    sheet = Sheet(data)
+    rows = dict(sheet.rows())
     if not rows:
         return [], []
-    first, last = min(rows), max(rows)
-    grid = [[rows.get(r, {}).get(c) for c in range(width)] for r in range(first, last + 1)]
-    header = [h if h is not None else f"col_{i}" for i, h in enumerate(grid[0])]
-    return header, grid[1:]
+    header, _ = sheet.named()
+    return header, [[rows.get(r, {}).get(c) for c in range(len(header))] for r in range(min(rows) + 1, max(rows) + 1)]
 
 
 EXCEL_SCHEMA = T.StructType([
@@ -259,35 +326,56 @@ EXCEL_SCHEMA = T.StructType([
 ])
 
 
+def sheet_batches(rows: Iterator[tuple[int, dict[str, str]]]) -> Iterator[list[tuple[int, dict[str, str]]]]:
+    """Rows in lists of at most ``SHEET_CELLS`` cells (and as many rows)."""
+    some, n = [], 0
+    for row in rows:
+        some.append(row)
+        n += len(row[1]) + 1
+        if n >= SHEET_CELLS:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 def parse_workbooks(files: DataFrame) -> DataFrame:
-    """S4 core: ``files`` holds one workbook per row (``path``, ``content``); every row of each
-    workbook's active sheet comes out as a ``cells`` map (header -> text).  A workbook that
-    cannot be opened yields one row with ``skip_reason``.  One workbook is parsed per row
-    inside ``mapInPandas`` (a workbook is bounded by the format's sheet size)."""
+    """S4 core: ``files`` holds one workbook per row (``path``, and ``content`` or else the file is opened where
+    it lies); every row of each workbook's active sheet comes out as a ``cells`` map (header -> text, cells
+    without a value left out), the first one with the whole header.  A workbook that cannot be read as a whole yields one row with ``skip_reason``.
+    Sheets are read row by row, in bounded memory, and a workbook is one task's work (the format ends at 1,048,576 rows)."""
+    ranged = "content" not in files.columns
 
     def run(batches: Iterator):
         import pandas as pd
         for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, *content in pdf.itertuples(index=False):
                 try:
-                    header, rows = parse_xlsx(bytes(content))
+                    with ExitStack() as stack:
+                        if ranged:
+                            system, name = file_system(path)
+                            sheet = Sheet(stack.enter_context(system.open_input_file(name)))
+                        else:
+                            sheet = Sheet(bytes(content[0]))
+                        header, rows = sheet.named()
+                        for some in sheet_batches(rows):
+                            yield pd.DataFrame([(path, i, None if i else header, cells, None)
+                                                for i, cells in some], columns=EXCEL_SCHEMA.fieldNames())
+                except GeneratorExit:
+                    raise
                 except Exception as exc:  # noqa: BLE001 - unreadable workbook -> skip the file
-                    out.append((path, -1, None, None, f"Failed to open Excel file {path}: {exc}"))
-                    continue
-                for i, r in enumerate(rows):
-                    out.append((path, i, header, dict(zip(header, r)), None))
-            yield pd.DataFrame(out, columns=EXCEL_SCHEMA.fieldNames())
+                    yield pd.DataFrame([(path, -1, None, None, f"Failed to open Excel file {path}: {exc}")],
+                                       columns=EXCEL_SCHEMA.fieldNames())
 
-    return files.select("path", "content").mapInPandas(run, EXCEL_SCHEMA)
+    return files.select("path", *([] if ranged else ["content"])).mapInPandas(run, EXCEL_SCHEMA)
 
 
 def read_excel_cells(spark: SparkSession, folder_or_glob: str, recursive: bool = False) -> DataFrame:
     """The ``.xlsx`` workbooks of a folder through ``parse_workbooks``."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-             .option("pathGlobFilter", "*.xlsx").load(folder_or_glob)
-             .select(F.regexp_replace("path", "^file:", "").alias("path"), "content"))
-    return parse_workbooks(files)
+             .option("pathGlobFilter", "*.xlsx").load(folder_or_glob))
+    content = [] if can_read_ranges(folder_or_glob) else ["content"]
+    return parse_workbooks(files.select(F.regexp_replace("path", "^file:", "").alias("path"), *content))
 
 
 def excel_columns(cells: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -46,7 +46,7 @@ from intakeflow.operators.split import mark_row_errors, pass_through
 from intakeflow.operators.writer import write_first_wins
 from intakeflow.session import ensure_checkpoint_dir, path_exists
 from intakeflow.sources.files import _ext, as_glob, list_paths, plain_path, with_format
-from intakeflow.sources.readers import CORRUPT, FILE, ROW, json_items, parse_xlsx, read_csv
+from intakeflow.sources.readers import CORRUPT, FILE, ROW, Sheet, json_items, read_csv, sheet_batches
 from intakeflow.spec import FORMATS, QUALITY_ALERT_MIN_SCORE, TaskSpec
 from intakeflow.streaming.alerts import quality_alerts
 
@@ -108,12 +108,14 @@ def _workbook_rows(files: DataFrame, schema: T.StructType) -> DataFrame:
         for pdf in batches:
             for path, content, mt, size in zip(pdf["path"], pdf["content"], pdf["_mtime"], pdf["_size"]):
                 try:
-                    header, data = parse_xlsx(bytes(content))
-                    rows = [[cells.get(n) for n in names] + [path, i, mt, size, None]
-                            for i, cells in enumerate(dict(zip(header, r)) for r in data)]
+                    for some in sheet_batches(Sheet(bytes(content)).named()[1]):
+                        yield pd.DataFrame([[cells.get(n) for n in names] + [path, i, mt, size, None]
+                                            for i, cells in some], columns=out.fieldNames())
+                except GeneratorExit:
+                    raise
                 except Exception as exc:  # noqa: BLE001 - unreadable workbook: the file is skipped
-                    rows = [[None] * len(names) + [path, -1, mt, size, f"Failed to open Excel file: {exc}"]]
-                yield pd.DataFrame(rows, columns=out.fieldNames())
+                    yield pd.DataFrame([[None] * len(names) + [path, -1, mt, size, f"Failed to open Excel file: {exc}"]],
+                                       columns=out.fieldNames())
 
     return files.mapInPandas(run, out)
 
