@@ -80,7 +80,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: int = FINE) -> DataFrame:
     different slots.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rows = written(measured(docs), "shard-rows")
+    # rows that are equal in every respect are told apart by a number that is written with them
+    rows = written(measured(docs).withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     totals = np.array([total[0] or 0, total[1] or 0, total[2]], float)
     large = max(1.0, totals[0] / (shards * fine))
@@ -94,14 +95,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: int = FINE) -> DataFrame:
     parts = {g: max(1, round(b * SPLIT / even)) for g, b, _, _ in big if b > even}
     split = spark.createDataFrame(list(parts.items()), "g string, n int")
     part = F.pmod(F.xxhash64("doc_id", "size", "row"), F.col("n")).cast("long")
-    # rows of an oversized group differ by doc_id; equal ids are told apart by their place
-    numbered = rows.withColumn("row", F.monotonically_increasing_id()) if parts else rows.withColumn(
-        "row", F.lit(0).cast("long"))
     keys: list[tuple[str | None, int]] = [(g, 0) for g, *_ in big if g not in parts]
     items = [(b, t, r) for g, b, t, r in big if g not in parts]
     if parts:
-        numbered = written(numbered, "shard-numbered")
-        cut = (numbered.join(F.broadcast(split), "g").withColumn("part", part).groupBy("g", "part").agg(*sums)
+        cut = (rows.join(F.broadcast(split), "g").withColumn("part", part).groupBy("g", "part").agg(*sums)
                .orderBy("g", "part").collect())
         keys += [(r.g, r.part) for r in cut]
         items += [(r.b, r.t, r.r) for r in cut]
@@ -114,7 +111,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: int = FINE) -> DataFrame:
     alone = spark.createDataFrame([x for x in placed if x[0] is not None], "g string, part long, shard int")
     bundles = spark.createDataFrame([x[1:] for x in placed if x[0] is None], "bundle long, in_bundle int")
     cells = max(1, round(totals[2] / CELL_ROWS))
-    out = (numbered.join(F.broadcast(split), "g", "left")
+    out = (rows.join(F.broadcast(split), "g", "left")
            .withColumn("part", F.coalesce(part, F.lit(0).cast("long")))
            .withColumn("bundle", bundle)
            .join(F.broadcast(alone), ["g", "part"], "left").join(F.broadcast(bundles), "bundle", "left")

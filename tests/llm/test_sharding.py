@@ -33,6 +33,18 @@ def test_near_equal_bytes_with_a_hot_group(spark):
     assert load.max() - load.min() < 0.01 * load.mean()
 
 
+def test_rows_equal_in_every_respect(spark):
+    """Clashing extra columns, and a third of all rows with one id and text: all slots differ."""
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-7)).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"),
+        F.lit("x").alias("size"), F.lit("x").alias("shard"), F.lit("x").alias("g"), F.lit("x").alias("row"))
+    rows = check(docs, 10)
+    load = np.bincount([r.shard for r in rows], [r.size for r in rows], 10)
+    assert load.max() - load.min() < 0.02 * load.mean()
+    assert len({(r.shard, r.slot) for r in rows if r.doc_id == -7}) == 1000
+
+
 def test_place_takes_the_best_dot_product():
     items = np.array([[9, 1, 1], [8, 1, 1], [1, 9, 1], [1, 8, 1]], float)
     to = sharding.place(items, 2, items.sum(0))
