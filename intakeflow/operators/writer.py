@@ -18,17 +18,26 @@ Scale notes
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intakeflow.functions.columns import qcol
 from intakeflow.operators.route import FALLBACK, MONTH
-from intakeflow.session import path_exists
+from intakeflow.session import ensure_checkpoint_dir, folder_size, path_exists, read_note, write_note
 
 # Group key of rows that are duplicates of nothing (see ``first_per_key``).
 ALONE = "__alone"
+HASH = "__hash"
+# Types, besides plain strings, whose equal values have equal hashes.
+HASHED = (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+# Rows of a batch up to which its key hashes are broadcast, and one task can write a whole month of it.
+SMALL_BATCH = 1_000_000
+# Contested keys up to which their hashes are broadcast (some 50 MB); with more of them all rows are compared.
+MOST_CONTESTED = 1_000_000
 
 
 def align_columns(frames: Sequence[DataFrame]) -> DataFrame:
@@ -83,6 +92,84 @@ def plan_first_wins(new: DataFrame, existing: DataFrame | None, keys: Sequence[s
     return firsts.join(existing_keys, full_key, "left_anti").select(*[qcol(c) for c in new.columns])
 
 
+def _key_hash(full_key: Sequence[str]):
+    return F.xxhash64(*[qcol(c) for c in full_key]).alias(HASH)
+
+
+def _types(df: DataFrame, full_key: Sequence[str]) -> list[T.DataType]:
+    return [f.dataType for f in df.select(*[qcol(c) for c in full_key]).schema]
+
+
+def key_index(spark: SparkSession, target_path: str, new: DataFrame | None, existing: DataFrame | None,
+              keys: Sequence[str]) -> str | None:
+    """The folder of the target's keys and their hashes, few files for every batch, built from the target at first.
+
+    It holds every (month, key) of the target, and may hold more (each batch's are written before its rows), so a key
+    that it lacks is new.  None where equal keys may differ in their hashes (types or collations), or
+    where the target is written to without it (``new`` None says so); such an index is not used again."""
+    folder = target_path.rstrip("/") + "_keys"
+    full_key = [MONTH] + [k for k in keys if k != MONTH]
+    types = _types(new, full_key) if new is not None else []
+    mark = hashlib.md5(repr([full_key, [t.simpleString() for t in types]]).encode()).hexdigest()
+    there = path_exists(spark, folder)
+    if there and path_exists(spark, f"{folder}/_stale"):
+        return None
+    if there and path_exists(spark, f"{folder}/_complete-{mark}"):
+        return folder
+    usable = new is not None and all(t == T.StringType() or isinstance(t, HASHED) for t in types)
+    if usable and existing is not None and types != _types(existing, full_key):
+        usable = False
+    if there or not usable:  # of other keys, or never completed
+        if there:
+            write_note(spark, f"{folder}/_stale", "")
+        return None
+    first = (new.limit(0) if existing is None else existing.where(~_null_key(keys)))
+    first.select(_key_hash(full_key), *[qcol(c) for c in full_key]).write.mode("append").parquet(folder)
+    write_note(spark, f"{folder}/_state", _state(spark, target_path))
+    write_note(spark, f"{folder}/_complete-{mark}", "")
+    return folder
+
+
+def _state(spark: SparkSession, target_path: str) -> str:
+    """What the target looks like from outside: its files and bytes."""
+    return "files {} bytes {}".format(*folder_size(spark, target_path))
+
+
+def contested_keys(new: DataFrame, index: str, keys: Sequence[str], n: int) -> tuple[DataFrame | None, int]:
+    """The hashes (persisted) of the keys of ``new``, ``n`` rows, that another row of it or the target may hold too, and
+    their number; None if they are too many to be broadcast.  Only hashes are shuffled, and of the index none where the
+    batch's hashes can be broadcast.  Keys that merely share a hash cost a comparison and change nothing."""
+    full_key = [MONTH] + [k for k in keys if k != MONTH]
+    hashes = new.where(~_null_key(keys)).select(_key_hash(full_key))
+    stored = new.sparkSession.read.parquet(index).select(HASH)
+    mine = F.broadcast(hashes) if n <= SMALL_BATCH else hashes
+    twice = hashes.groupBy(HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(HASH)
+    found = twice.unionByName(stored.join(mine, HASH, "left_semi")).distinct().persist()
+    try:
+        many = found.count()
+        # cut loose from the index, which is written next
+        ensure_checkpoint_dir(new.sparkSession)
+        return (found.checkpoint(eager=True) if 0 < many <= MOST_CONTESTED else None), many
+    finally:
+        found.unpersist()
+
+
+def uncontested_or_first(new: DataFrame, existing: DataFrame | None, keys: Sequence[str], order_cols: Sequence[str],
+                         contested: DataFrame) -> DataFrame:
+    """As ``plan_first_wins``: rows of a key that no other row has are stored as they are, the others are compared.
+    ``existing`` may have its keys' hashes already."""
+    full_key = [MONTH] + [k for k in keys if k != MONTH]
+    rows = new.withColumn(HASH, F.when(~_null_key(keys), _key_hash(full_key)))
+    some = F.broadcast(contested)
+    alone = rows.join(some, HASH, "left_anti").drop(HASH)
+    others = rows.join(some, HASH, "left_semi").drop(HASH)
+    if existing is not None:
+        if HASH not in existing.columns:
+            existing = existing.withColumn(HASH, _key_hash(full_key))
+        existing = existing.join(some, HASH, "left_semi").drop(HASH)
+    return alone.unionByName(plan_first_wins(others, existing, keys, order_cols))
+
+
 def read_target(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame | None:
     """Target table restricted to the given months (partition pruning); None if absent."""
     if not path_exists(spark, path):  # first write to this target
@@ -102,7 +189,7 @@ def read_target(spark: SparkSession, path: str, months: Sequence[str] | None = N
 def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
                      order_cols: Sequence[str], archived_months: Sequence[str] = (),
                      quarantine_path: str | None = None,
-                     finish: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+                     finish: Callable[[DataFrame], DataFrame] | None = None, cached: bool = False) -> dict:
     """K2 end to end: dedupe, anti-join against the target, append by month.
 
     ``new`` must carry ``month`` (see ``route_months``).  Returns counts
@@ -111,7 +198,8 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
     routed to an ARCHIVED month are not written to the target (L7): they are counted
     as rejected and appended to the dataset at ``quarantine_path`` (default: beside the
     target), never dropped.  ``finish`` reshapes the surviving rows
-    just before they are stored (e.g. field encryption, which must not touch the keys).
+    just before they are stored (e.g. field encryption, which must not touch the keys).  ``cached`` says that ``new``
+    reads a cached frame: it is gone through more than once then, and whole rows pass one shuffle only.
 
     Counts stay exact when executors are lost: the input counts come from a
     per-month aggregate job (job results, one row per month - which also gives the
@@ -130,18 +218,40 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
         (body.filter(archived).withColumn("quarantine_reason", F.lit("archived_month"))
          .write.mode("append").partitionBy(MONTH).parquet(quarantine_path))
     body = body.filter(~archived)
-    existing = read_target(spark, target_path) if keys else None
+    whole = existing = read_target(spark, target_path) if keys else None
     if existing is not None:  # prune the target to the months this batch touches
         months = spark.createDataFrame([(r[MONTH],) for r in rows if r["rej"] < r["n"]], f"{MONTH} string")
         existing = existing.join(F.broadcast(months), MONTH, "left_semi").select(MONTH, *[qcol(k) for k in keys])
     # REBALANCE by month: AQE sizes the write tasks per month (few files per month partition,
     # a hot month split into several tasks) instead of every task writing into every month.
     obs_out = Observation("inserted")
-    to_insert = plan_first_wins(body, existing, keys, order_cols)
+    contested, many, sure = None, -1, False
+    index = key_index(spark, target_path, body if cached else None, whole, keys) if keys else None
+    if index is not None:
+        # a target that looks as after the last batch holds just the index's keys; otherwise it is asked
+        sure = read_note(spark, f"{index}/_state") == _state(spark, target_path)
+        write_note(spark, f"{index}/_state", "a batch is written")
+        contested, many = contested_keys(body, index, keys, received - rej)
+        full_key = [MONTH] + [k for k in keys if k != MONTH]
+        mine = body.where(~_null_key(keys)).select(_key_hash(full_key), *[qcol(c) for c in full_key])
+        stored = spark.read.schema(mine.schema).parquet(index) if sure else existing  # listed before it is added to
+        (mine.coalesce(1) if received <= SMALL_BATCH else mine).write.mode("append").parquet(index)
+    if many == 0:
+        to_insert = body
+    elif contested is not None:
+        to_insert = uncontested_or_first(body, stored, keys, order_cols, contested)
+    else:
+        to_insert = plan_first_wins(body, existing, keys, order_cols)
     if finish is not None:
         to_insert = finish(to_insert)
-    to_insert = to_insert.hint("rebalance", MONTH).observe(obs_out, F.count(F.lit(1)).alias("n"))
+    if received <= SMALL_BATCH:  # also a single month is little work for one task
+        to_insert = to_insert.repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)), MONTH)
+    else:
+        to_insert = to_insert.hint("rebalance", MONTH)
+    to_insert = to_insert.observe(obs_out, F.count(F.lit(1)).alias("n"))
     to_insert.write.mode("append").partitionBy(MONTH).parquet(target_path)
     inserted = int(obs_out.get["n"])
+    if sure:
+        write_note(spark, f"{index}/_state", _state(spark, target_path))
     return {"received": received, "inserted": inserted, "ignored": received - inserted - rej,
             "fallback_routed": fallback, "rejected_archived": rej}

@@ -35,14 +35,18 @@ def delivery_count(rows: int, minimum: int) -> int:
     return max(minimum, -(-rows // CSV_ROWS_PER_FILE))
 
 
-def write_csv_deliveries(spark: SparkSession, sf_dir: str, name: str = "lineitem", files: int = 8) -> str:
+def write_csv_deliveries(spark: SparkSession, sf_dir: str, name: str = "lineitem", files: int = 8,
+                         even: bool = True) -> str:
     """Write a test table as CSV deliveries (header, quoted; at least ``files`` files, at most
-    ``CSV_ROWS_PER_FILE`` rows each) and return the folder."""
+    ``CSV_ROWS_PER_FILE`` rows each) and return the folder.  Without ``even`` a table of more rows than that is
+    written by the tasks that read it, without a shuffle, in a few files more."""
     out = scratch_path(spark, f"deliveries-{name}-{uuid.uuid4().hex[:8]}")
     df = table(spark, sf_dir, name)
-    (df.repartition(delivery_count(df.count(), files))
-     .write.option("header", True).option("escape", '"').option("timestampNTZFormat", TS_TEXT)
-     .csv(out))
+    n = delivery_count(df.count(), files)
+    if even or n == files:
+        df = df.repartition(n)
+    (df.write.option("header", True).option("escape", '"').option("timestampNTZFormat", TS_TEXT)
+     .option("maxRecordsPerFile", CSV_ROWS_PER_FILE if not even else 0).csv(out))
     return out
 
 
@@ -183,7 +187,7 @@ def batch_intake_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from intakeflow.streaming.intake import IntakePaths, read_target, run_batch_intake
 
-    folder = write_csv_deliveries(spark, sf_dir, "lineitem")
+    folder = write_csv_deliveries(spark, sf_dir, "lineitem", even=False)
     base = scratch_path(spark, f"intake-{uuid.uuid4().hex[:8]}")
     paths = IntakePaths(*(f"{base}/{n}" for n in ("target", "ledger", "quality", "alerts", "ckpt")))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in table(spark, sf_dir, "lineitem").columns])

@@ -90,3 +90,42 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, in place of one that is there."""
+    fs, p = _hadoop(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.writeUTF(text)
+    finally:
+        out.close()
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """The text of ``write_note``; None if there is none."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    try:
+        f = fs.open(p)
+        try:
+            return f.readUTF()
+        finally:
+            f.close()
+    except Exception:  # noqa: BLE001 - cut short
+        return None
+
+
+def folder_size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Files and bytes under a folder."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return 0, 0
+    found = fs.getContentSummary(p)
+    return int(found.getFileCount()), int(found.getLength())

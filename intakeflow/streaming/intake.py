@@ -297,7 +297,7 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
         if encrypted:  # P12: after routing and the choice of first rows, which read the plain text
             finish = lambda df: encrypt_fields(df, encrypted, encryption_key)
         counts = write_first_wins(valid, paths.target, list(spec.keys), order, finish=finish,
-                                  archived_months=_archived(spark, paths, spec))
+                                  archived_months=_archived(spark, paths, spec), cached=True)
         per_file = quality_report(checked, ["task_id", FILE, "_mtime", "_size"], spec.required_fields).persist()
         quality = _quality_rows(per_file, batch_id, now)
         quality.write.mode("append").partitionBy("task_id").parquet(paths.quality)

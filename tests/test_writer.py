@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from intakeflow.operators.route import route_months
@@ -130,3 +131,79 @@ def test_drifting_deliveries_read_back_merged(spark, tmpdir_path):
     write_first_wins(b, target, ["id"], ["_row"])
     got = {r.id: r.note for r in read_target(spark, target).collect()}
     assert got == {1: None, 2: "extra"}
+
+
+def _batches(spark):
+    """Three batches with keys that come again, in one batch and in others, and NULL keys."""
+    def one(b):
+        return spark.range(400).select(
+            F.when(F.col("id") % 50 == 7, F.lit(None)).otherwise((F.col("id") * 7 + b * 300) % 1000).alias("k"),
+            F.when(F.col("id") % 3 == 0, "200101").otherwise("200102").alias("month"),
+            F.concat(F.lit(f"{b}-"), F.col("id").cast("string")).alias("v"), F.lit(b).alias("b"), F.col("id").alias("row"))
+    return [one(b).unionByName(one(b).where("id % 20 = 0").withColumn("row", F.col("row") + 1000)) for b in range(3)]
+
+
+def _stored(spark, path):
+    return sorted(map(tuple, spark.read.parquet(path).select("k", F.col("month").cast("string"), "v", "b", "row").collect()),
+                  key=str)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_key_index_stores_what_the_target_itself_would(spark, tmp_path, monkeypatch, most):
+    from intakeflow.operators import writer
+
+    monkeypatch.setattr(writer, "MOST_CONTESTED", most)
+    got = {}
+    for cached in (False, True):
+        path = f"{tmp_path}/{cached}"
+        got[cached] = [writer.write_first_wins(b, path, ["k"], ["b", "row"], cached=cached) for b in _batches(spark)]
+        # a batch that comes again adds its NULL keys only
+        again = writer.write_first_wins(_batches(spark)[1].where("k is not null"), path, ["k"], ["b", "row"], cached=cached)
+        assert again["inserted"] == 0
+    assert got[False] == got[True]
+    assert _stored(spark, f"{tmp_path}/False") == _stored(spark, f"{tmp_path}/True")
+
+
+def test_key_index_is_not_believed_against_the_target(spark, tmp_path):
+    from intakeflow.operators import writer
+    from intakeflow.session import write_note
+
+    path = f"{tmp_path}/t"
+    first, second, _ = _batches(spark)
+    write = lambda df: writer.write_first_wins(df, path, ["k"], ["b", "row"], cached=True)
+    n = write(first)["inserted"]
+    assert n > 0
+    # a batch that ended between its keys and its rows
+    keyed = second.where("k is not null")
+    keyed.select(writer._key_hash(["month", "k"]), "month", "k").write.mode("append").parquet(path + "_keys")
+    write_note(spark, path + "_keys/_state", "a batch is written")
+    plain = writer.plan_first_wins(second, spark.read.parquet(path).withColumn("month", F.col("month").cast("string")),
+                                   ["k"], ["b", "row"]).count()
+    assert write(second)["inserted"] == plain > 0
+    # rows written past the index: it is not used again
+    other = second.limit(0).unionByName(first.where("row = 5").withColumn("k", F.lit(5000).cast("long")))
+    writer.write_first_wins(other, path, ["k"], ["b", "row"])
+    assert write(other)["inserted"] == 0
+
+
+def test_rows_without_contested_keys_are_not_compared(spark, tmp_path):
+    from intakeflow.operators import writer
+
+    df = _batches(spark)[0].where("row < 1000 and k is not null").persist()
+    path = f"{tmp_path}/t"
+    index = writer.key_index(spark, path, df, None, ["k"])
+    assert writer.contested_keys(df, index, ["k"], 400) == (None, 0)
+    writer.write_first_wins(df, path, ["k"], ["b", "row"], cached=True)
+    found, many = writer.contested_keys(df.where("row < 10"), index, ["k"], 10)
+    assert many == df.where("row < 10").count() == found.count()
+    df.unpersist()
+
+
+def test_large_deliveries_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from intakeflow.plans import q_sources
+
+    monkeypatch.setattr(q_sources, "CSV_ROWS_PER_FILE", 100)
+    spark.range(1050).selectExpr("id", "cast(id as string) as name").write.parquet(f"{tmp_path}/x.parquet")
+    out = q_sources.write_csv_deliveries(spark, str(tmp_path), "x", even=False)
+    per = spark.read.option("header", True).csv(out).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in per) == 1050 and max(r["count"] for r in per) <= 100
