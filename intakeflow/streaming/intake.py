@@ -350,6 +350,17 @@ def _side(df: DataFrame, files: int) -> DataFrame:
     return F.broadcast(df) if files <= BROADCAST_FILES else df
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a local relation (``createDataFrame`` of a list is a job's work each time it is read)."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    fields = [pa.field(n, kinds[k]) for n, k in (f.split() for f in schema.split(","))]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)],
+                                                      schema=pa.schema(fields)))
+
+
 def _days(files: list[tuple]) -> set[int]:
     return {-1 if m is None else m // DAY_MS for _, m, _ in files}
 
@@ -361,7 +372,7 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
     With ``retry_due`` the ledger's failed files that are due and its expired claims are taken too.
     """
     key = "task_id string, file_path string, file_mtime long, file_size long, ext string"
-    listed = spark.createDataFrame([(spec.task_id, f, m, n, _suffix(f)) for f, m, n in files], key)
+    listed = _local(spark, [(spec.task_id, f, m, n, _suffix(f)) for f, m, n in files], key)
     # only the days of the listed files are read, and those of files that another run left open
     keys, days = _side(listed.select(*KEY), len(files)), _days(files)
     left_open = open_keys(spark, paths.ledger, spec.task_id)
@@ -371,7 +382,9 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
         keys = listed.select(*KEY).unionByName(left_open)
     own = file_slice(spark, paths.ledger, spec.task_id, days).join(keys, list(KEY), "left_semi")
     current = fold(own, failed_at=True)
-    if retry_due:
+    if own.isEmpty():  # nothing is known of these files: no plan over the ledger is needed
+        current = current.limit(0)
+    elif retry_due:
         current = current.persist()  # read for the files that are due, the decision and what stays open
     if retry_due:
         again = current.filter(F.col("status").isin("FAILED", "CLAIMED", "PROCESSING")).select(
@@ -388,8 +401,8 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
         *KEY, "file_size", "skip_reason", "decision").collect()  # the batch's own files
     skip = [r for r in rows if r.skip_reason is not None]
     todo = [r for r in rows if r.skip_reason is None]
-    frame = lambda some, *more: spark.createDataFrame(
-        [(r.task_id, r.file_path, r.file_mtime, r.file_size, *(r[c] for c in more)) for r in some],
+    frame = lambda some, *more: _local(
+        spark, [(r.task_id, r.file_path, r.file_mtime, r.file_size, *(r[c] for c in more)) for r in some],
         "task_id string, file_path string, file_mtime long, file_size long" + "".join(f", {c} string" for c in more))
     if todo:  # before the claims, so that no claimed file is missing from it
         still = current.filter(F.col("status").isin(*OPEN_STATES) & ~F.col("dead_lettered")) if retry_due else left_open
@@ -420,7 +433,7 @@ def _of_document(schema: T.StructType, spec: TaskSpec) -> bool:
 def _file_rows(spark: SparkSession, files: list[tuple], spec: TaskSpec, schema: T.StructType,
                fmt: str) -> tuple[DataFrame, DataFrame]:
     """The rows of the files with their identity, and the files as a table."""
-    listed = spark.createDataFrame(files, f"{FILE} string, _mtime long, _size long")
+    listed = _local(spark, files, f"{FILE} string, _mtime long, _size long")
     names = [as_glob(f) for f, _, _ in files]
     if fmt == "csv":
         rows = read_csv(spark, names, spec.encoding or "utf-8", schema)
