@@ -113,3 +113,42 @@ def test_keys_without_their_prefix():
     assert [k for _, k in got[::2]] == keys
     assert all(8 <= len(k) < 16 and full.startswith(k) for (_, k), full in zip(got[1::2], keys))
     assert not any("password" in t for t, _ in got[:2]) and not any("AKIA" in t for t, _ in got[2:4])
+
+
+def test_fitted_on_all_documents(spark):
+    r = np.random.default_rng(3)
+
+    def text(i):
+        if i % 3:
+            return f"write to someone.{i:04d}@mail.example.com please about invoice {i:020d} and deliveries"
+        # one key in eight is of another kind
+        pool = "0123456789abcdef" if i % 8 else "GHIJKLMNOPQRSTUVWXYZ"
+        return f"some words here password={''.join(r.choice(list(pool), 14))} and more of them"
+
+    texts = [text(i) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # neither few rows for the first weights nor few documents decide what is found
+    net = secrets.fit(docs, train_docs=100, train_rows=25)
+    t = secrets.Texts(texts)
+    found = net.score(secrets.keys_of(t, t.base()))
+    assert len(found) == 500 and (found >= net.threshold).mean() >= secrets.RECALL
+    assert not any(secrets.spans_of([x for i, x in enumerate(texts) if i % 3], net))
+
+
+def test_training_counts_and_moves():
+    r = np.random.default_rng(9)
+    x, y = r.integers(0, secrets.CODES, (400, secrets.Network.SIZE)).astype(np.uint8), np.arange(400) % 2
+    net = secrets.Network()
+    net.fit(x, y.astype(float))
+    texts = ["password=0123abcd4567 plainword another_plain_word 20240101", "abcdefghij " * 40, ""] * 30
+    own = secrets.Training(net, x[y == 1])
+    before = {k: w.copy() for k, w in net.w.items()}
+    for i in range(0, len(texts), 10):
+        own.add(texts[i:i + 10])
+    t = secrets.Texts(texts)
+    of, rows = t.rows(*t.candidates(t.base()))
+    assert own.counts.sum(1).tolist() == [len(rows), len(secrets.keys_of(t, t.base()))]
+    assert all((net.w[k] == before[k]).all() for k in before) and own.steps
+    plain = own.net.logits(rows)
+    assert plain.mean() < net.logits(rows).mean()
+    assert (own.net.logits(rows.at(slice(None))) - plain).max() < 1e-4
