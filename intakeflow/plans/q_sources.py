@@ -109,15 +109,16 @@ def write_large_json(df: DataFrame, folder: str, files: int, end: str) -> None:
     one document per task, streamed."""
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         yield pa.RecordBatch.from_arrays([pa.array(['{"before": [{"data": [{"l_orderkey": 0}]}, "}]"], "data": ['])], ["value"])
         first = True
         for b in batches:
-            texts = b.column(0).to_pylist()
-            if texts:
-                yield pa.RecordBatch.from_arrays([pa.array([t if first and not i else "," + t for i, t in enumerate(texts)])],
-                                                 ["value"])
-                first = False
+            if first and b.num_rows:
+                yield b.slice(0, 1)
+                b, first = b.slice(1), False
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(",", b.column(0), "")], ["value"])
         if end:
             yield pa.RecordBatch.from_arrays([pa.array([end])], ["value"])
 

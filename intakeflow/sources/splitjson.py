@@ -1,11 +1,13 @@
 """JSON documents read by many tasks each (S2, S3): a parallel scan of strings and brackets.
 
-Spark's text source deals a document out in byte ranges, in pieces that end at a closing brace.  What a range
-does to a reader is a function of whether it starts inside a string: whether it ends inside one, how many
+Documents are dealt out in byte ranges that end at a closing brace: tasks read them where the files lie, in
+stretches of a megabyte; on file systems that only Spark reads, and of compressed files, Spark's text source hands
+out the pieces between closing braces.  What a range does to a reader is a function of whether it starts inside a string: whether it ends inside one, how many
 containers it closes that it did not open, and which it leaves open (their kind, and their key in the object
 around them).  Such functions combine associatively, so the open containers at each range's start follow
 from those before it.  A range is then parsed alone: containers down to the array at the path are
-walked, everything below them goes to the standard library's parser, and the array's items come out as texts.
+walked, everything below them goes to the standard library's parser, runs of the array's items in one call, and
+the items come out as texts.
 An item that runs over a border is put together from its parts.
 
 What the driver holds is the open containers at the ranges of large documents.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,16 +26,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeflow.sources import splitcsv
+from intakeflow.sources.files import can_read_ranges, file_system
 
 BATCH = 10_000  # items of an Arrow batch at most
 BATCH_BYTES = 8 << 20
+STRETCH = 1 << 20  # bytes read at once
+RUN = 300  # items parsed in one call at most
 DEEPEST = 900  # containers inside each other; deeper documents do not parse
 UNKNOWN = 0  # the key of a container whose key's start is not in the bytes at hand
 _CLOSER = {"{": "}", "[": "]"}
 _SPACE = b" \t\r\n"
 
-_ESCAPED = re.compile(rb'\\+"')
 _BLANK = re.compile(r"[ \t\n\r]*")
+_NEXT_OBJECT = {"first": re.compile(rb"[ \t\n\r]*(?={)"), "after": re.compile(rb"[ \t\n\r]*,[ \t\n\r]*(?={)")}
+_NEXT_OBJECT["next"] = _NEXT_OBJECT["first"]
+# names that Spark's text source unpacks
+_PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|zstd|passthrough)$"
 _CODE = np.zeros(256, np.int8)
 _CODE[[ord("{"), ord("[")]] = 1
 _CODE[[ord("}"), ord("]")]] = -1
@@ -77,6 +86,19 @@ def key_before(data: bytes, at: int) -> str | int | None:
         return None
 
 
+def _escaped(b: np.ndarray, quotes: np.ndarray) -> np.ndarray:
+    """Which quotes stand behind an odd number of backslashes."""
+    odd = np.zeros(len(quotes), bool)
+    some = np.flatnonzero((quotes > 0) & (b[quotes - 1] == 92))
+    step = 1
+    while len(some):  # those with so many backslashes before them, at least
+        odd[some] = step % 2 == 1
+        step += 1
+        at = quotes[some]
+        some = some[(at >= step) & (b[at - step] == 92)]
+    return odd
+
+
 class Scan:
     """Strings and brackets of a stretch of a document that does not start behind a backslash."""
 
@@ -85,8 +107,7 @@ class Scan:
         b = np.frombuffer(data, np.uint8)
         quotes = np.flatnonzero(b == 34)
         if b"\\" in data:
-            escaped = [m.end() - 1 for m in _ESCAPED.finditer(data) if (m.end() - 1 - m.start()) % 2]
-            quotes = np.setdiff1d(quotes, escaped, assume_unique=True)
+            quotes = quotes[~_escaped(b, quotes)]
         code = _CODE[b]
         self.at = np.flatnonzero(code)
         self.sign = code[self.at].astype(np.int64)
@@ -126,8 +147,10 @@ class Cutter:
     The range is cut behind every closing brace after which no container below the array is open; the pieces
     between are parsed one by one, with the containers open before them."""
 
-    def __init__(self, parts: Sequence[str], inside: bool = False, stack: Sequence[Open] = (), first: bool = True):
+    def __init__(self, parts: Sequence[str], inside: bool = False, stack: Sequence[Open] = (), first: bool = True,
+                 texts: bool = True):
         self.parts, self.level = list(parts), len(parts) + 1
+        self.texts = texts  # without them items are parsed and not handed out
         self.inside, self.depth = inside, len(stack)
         self.stack: list[Open] = list(stack)
         self.phase = "root" if first else "after" if stack else "done"
@@ -150,11 +173,25 @@ class Cutter:
         if len(depth) and (depth.max() > DEEPEST or depth.min() < 0):
             raise ValueError("brackets do not match")
         closing = np.frombuffer(data, np.uint8)[at] == 125
-        cuts = (at[closing & (depth <= self.level)] + 1).tolist()
+        closing &= depth <= self.level
+        cuts = (at[closing] + 1).tolist()
+        lower = [*np.flatnonzero(depth[closing] < self.level).tolist(), len(cuts)]  # these pieces close the array
         self.inside = (scan.quotes + self.inside) % 2 == 1
         self.depth = int(depth[-1]) if len(depth) else self.depth
-        out, lo = [], 0
-        for hi in cuts:
+        out, lo, k, below = [], 0, 0, 0
+        while k < len(cuts):
+            while lower[below] < k:
+                below += 1
+            upto = min(lower[below], k + RUN)
+            if not self.skip and not self.rest and upto - k > 1:
+                some = self.parse_objects(data, lo, cuts[k:upto])
+                if some is not None:
+                    out += some
+                    k = upto
+                    lo = cuts[k - 1]
+                    self.rest_at = self.at + lo
+                    continue
+            hi, k = cuts[k], k + 1
             piece = data[lo:hi]
             if self.skip:
                 self.head.append(piece)
@@ -171,6 +208,32 @@ class Cutter:
         self.at += len(data)
         return out
 
+    def parse_objects(self, data: bytes, lo: int, ends: list[int]) -> list[tuple[int, str]] | None:
+        """The items of a run of pieces that are one object of the array each, parsed in one call; None if they are
+        anything else or do not parse."""
+        gap = _NEXT_OBJECT.get(self.phase)
+        gap = gap.match(data, lo) if gap and self.is_target() else None
+        if gap is None:
+            return None
+        body = data[gap.end():ends[-1]]
+        try:
+            text = body.decode("utf-8")
+            values = _DECODER.decode(f"[{text}]")
+        except FAULTS:
+            return None
+        if len(values) != len(ends) or set(map(type, values)) != {dict}:
+            return None
+        self.phase = "after"
+        if not self.texts:
+            return []
+        if len(text) == len(body):
+            base = gap.end()
+            cut = [text[a - base:b - base] for a, b in zip([base, *ends], ends)]
+        else:
+            cut = [data[a:b].decode("utf-8") for a, b in zip([gap.end(), *ends], ends)]
+        places = [self.rest_at, *[self.at + e for e in ends[:-1]]]
+        return [(p, x.lstrip(", \t\r\n")) for p, x in zip(places, cut)]
+
     def behind_head(self) -> None:
         inside, stack = self.start
         effect = combine((inside, 0, stack), Scan(b"".join(self.head)).effect(inside))
@@ -230,7 +293,7 @@ class Cutter:
                 i = blank(text, i + 1).end()
                 continue
             _, end = decode(text, i)
-            if target:
+            if target and self.texts:
                 out.append((place + len(out), text[i:end]))
             self.phase = "after" if stack else "done"
             i = blank(text, end).end()
@@ -244,7 +307,17 @@ FAULTS = (ValueError, RecursionError)
 def _ranges(batches) -> Iterator[tuple]:
     """(file, at, ends, whole, size, bytes, is the last of the range) stretch by stretch.
 
-    The last piece of a range comes alone, without its brace, since a document's last piece may have none."""
+    The last piece of a range comes without its brace, since a document's last piece may have none."""
+    batches = iter(batches)
+    first = next(batches, None)
+    if first is None:
+        return
+    batches = chain([first], batches)
+    if "stop" in first.schema.names:
+        for b in batches:
+            for file, at, stop, whole, size in zip(*(b[c].to_pylist() for c in ("file", "at", "stop", "whole", "size"))):
+                yield from _read_range(file, at, stop, whole, size)
+        return
     key, held = None, None
     for file, at, ends, whole, body, _, size in _sized(batches):
         if (file, at) != key:
@@ -260,6 +333,40 @@ def _ranges(batches) -> Iterator[tuple]:
         yield *key, *held[1:], held[0], True
 
 
+def _read_range(file: str, at: int, stop: int, whole: bool, size: int) -> Iterator[tuple]:
+    """A range's stretches, read where the file lies.  A range goes from behind the first closing brace at its start
+    or later (a document's first range: from the document's start) to the first one at its end or later."""
+    system, name = file_system(file)
+    with system.open_input_file(name) as f:
+        pos, rest, begun = at, [], at == 0
+        while pos < size:
+            data = f.read_at(min(STRETCH, size - pos), pos)
+            if not data:
+                raise EOFError(f"{file} is shorter than when it was listed")
+            here, pos = pos, pos + len(data)
+            if not begun:
+                k = data.find(b"}", 0, None if pos <= stop else max(0, stop - here))
+                if k < 0:
+                    if pos >= stop:
+                        return  # no range's piece starts here
+                    continue
+                data, here, begun = data[k + 1:], here + k + 1, True
+                if here == size:
+                    return
+            end = data.find(b"}", max(0, stop - here)) + 1 if pos > stop else 0
+            if end and here + end < size:
+                yield file, at, False, whole, size, b"".join([*rest, data[:end - 1]]), True
+                return
+            if pos < size:
+                k = data.rfind(b"}") + 1
+                if k:
+                    yield file, at, False, whole, size, b"".join([*rest, data[:k]]), False
+                    rest = []
+                rest.append(data[k:])
+            else:
+                yield file, at, True, whole, size, b"".join([*rest, data]).removesuffix(b"}"), True
+
+
 def _sized(batches) -> Iterator[tuple]:
     for b in batches:
         seen = 0
@@ -269,8 +376,32 @@ def _sized(batches) -> Iterator[tuple]:
 
 
 def pieces(spark: SparkSession, paths: Sequence[str], recursive: bool) -> DataFrame:
-    """(line, file, at, ends, whole, n, size): pieces that end at a closing brace, which is left out."""
-    return splitcsv.lines(spark, paths, recursive, sep="}")
+    """(file, at, stop, whole, size): the ranges of all documents; or else (line, file, at, ends, whole, n, size),
+    pieces that end at a closing brace, which is left out.
+
+    Ranges are as large as Spark's own."""
+    path = F.col("path")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(list(paths))
+             .select(F.regexp_replace(path, "^file:", "").alias("file"), F.col("length").alias("size")))
+    total = files.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"), F.max("file").alias("file"),
+                      F.count_if(F.col("file").rlike(_PACKED)).alias("packed")).first()
+    if not total["files"] or total["packed"] or not can_read_ranges(total["file"]):
+        return splitcsv.lines(spark, paths, recursive, sep="}")
+    cores = spark.sparkContext.defaultParallelism
+    most, least = (_bytes(spark, f"spark.sql.files.{c}") for c in ("maxPartitionBytes", "openCostInBytes"))
+    n = max(1, min(most, max(least, total["bytes"] // cores)))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(n).cast("long"))).alias("at")
+    stop = F.least(F.col("at") + n, "size")
+    ranges = files.where("size > 0").select("file", at, "size").select(
+        "file", "at", stop.alias("stop"), (F.col("size") <= n).alias("whole"), "size")
+    tasks = min(total["files"] + total["bytes"] // n, max(4 * cores, -(-total["bytes"] // n)))
+    return ranges.repartition(int(max(1, tasks)))
+
+
+def _bytes(spark: SparkSession, key: str) -> int:
+    """A setting's bytes, as Spark writes them ("134217728b", "16m")."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", spark.conf.get(key).strip().lower()).groups()
+    return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit[:1], 0)
 
 
 def _has_last_brace(read: int, size: int) -> bool:
@@ -383,7 +514,7 @@ def cut(found: DataFrame, parts: Sequence[str], known: Plan, items: bool = True)
                 continue
             if cutter is None:
                 inside, stack = (False, []) if whole else _state(known_, file, at)
-                cutter, ready, size_, fault, read = Cutter(parts, inside, stack, at == 0), [], 0, None, 0
+                cutter, ready, size_, fault, read = Cutter(parts, inside, stack, at == 0, items), [], 0, None, 0
             read += len(data) + last
             if last and (not ends or (_has_last_brace(read, size) if whole else known_.brace[file])):
                 data += b"}"
@@ -431,7 +562,7 @@ def _over_borders(found: DataFrame, parts: list[str], shared) -> DataFrame:
             if file in known_.bad or file in known_.single:
                 continue
             if cutter is None:
-                cutter = Cutter(parts, *_state(known_, file, at), at == 0)
+                cutter = Cutter(parts, *_state(known_, file, at), at == 0, False)
                 ok = True
             if last and (not ends or known_.brace[file]):
                 data += b"}"
