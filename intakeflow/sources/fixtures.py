@@ -268,10 +268,18 @@ def workbook_bytes(header: list[str], rows: list[list], date_cols: frozenset = f
 
     epoch = dt.datetime(1899, 12, 30)
 
+    letters = [_cell_ref(0, c)[:-1] for c in range(max(map(len, [header, *rows])))]
+
     def cell(r, c, v, name):
-        ref = _cell_ref(r, c)
         if v is None:
             return ""
+        ref, kind = f"{letters[c]}{r + 1}", type(v)
+        if kind is int:
+            return f'<c r="{ref}"><v>{v}</v></c>'
+        if kind is float:
+            return f'<c r="{ref}"><v>{v!r}</v></c>'
+        if kind is str:
+            return f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
         if name in date_cols and isinstance(v, dt.datetime):
             serial = (v - epoch).days + (v - epoch).seconds / 86400
             return f'<c r="{ref}" s="1"><v>{serial:g}</v></c>'
@@ -325,4 +333,6 @@ def table_as_workbooks(spark: SparkSession, sf_dir: str, name: str, rows_per_boo
                              "content": [workbook_bytes(cols, rows, dates)]})
 
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
-    return keyed.groupBy("_book").applyInPandas(build, schema)
+    # a row's work is far more than its bytes tell: partitions are dealt by workbooks and not put together
+    tasks = min(n_books, 16 * spark.sparkContext.defaultParallelism)
+    return keyed.repartition(tasks, "_book").groupBy("_book").applyInPandas(build, schema)
