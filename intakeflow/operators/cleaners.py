@@ -251,26 +251,36 @@ def apply_row_function(df: DataFrame, fn: Callable[[list[dict]], list], out_sche
             files: dict = {}
             for r in rows:
                 files.setdefault(r.get(file_col), []).append(r)
-            ok, seen = [], set()
+            sources, outs, fails, seen = [], [], [], set()  # of every output row
             for some in files.values():
                 try:
                     pairs = _outputs(limited, some, id_col, by_row)
                 except Exception as exc:  # noqa: BLE001 - user code
                     if not fail:
                         raise
-                    first = some[0]
-                    ok.append({**{k: first.get(k) for k in keep}, **{k: None for k in fields},
-                               id_col: first[id_col], VALID: False, REASON: None, FAIL: failure(exc)})
+                    sources.append(some[0])
+                    outs.append({})
+                    fails.append(failure(exc))
                     seen.update(r[id_col] for r in some)
                     continue
-                for src, r in pairs:
-                    seen.add(src[id_col])
-                    ok.append({**{k: src.get(k) for k in keep}, **{k: r.get(k) for k in fields},
-                               id_col: src[id_col], VALID: True, REASON: None})
-            bad = [{**{k: r.get(k) for k in keep}, **{k: None for k in fields}, id_col: r[id_col],
-                    VALID: False, REASON: json.dumps({k: v for k, v in r.items() if k != id_col}, default=str)}
-                   for r in rows if r[id_col] not in seen]
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in ok + bad], dtype=object) for c in schema.fieldNames()})
+                sources += [src for src, _ in pairs]
+                outs += [r for _, r in pairs]
+                fails += [None] * len(pairs)
+                seen.update(src[id_col] for src, _ in pairs)
+            bad = [r for r in rows if r[id_col] not in seen]
+            valid = [f is None for f in fails] + [False] * len(bad)
+            reasons = [None] * len(sources) + [json.dumps({k: v for k, v in r.items() if k != id_col}, default=str) for r in bad]
+            sources += bad
+            outs += [{}] * len(bad)
+            made = {id_col: lambda: [r[id_col] for r in sources], VALID: lambda: valid, REASON: lambda: reasons,
+                    **{c: lambda: fails + [None] * len(bad) for c in fail}}
+
+            def column(c):
+                if c in made:
+                    return made[c]()
+                return [r.get(c) for r in (outs if c in fields else sources)]
+
+            yield pd.DataFrame({c: pd.Series(column(c), dtype=object) for c in schema.fieldNames()})
 
     return df.mapInPandas(run, schema)
 
