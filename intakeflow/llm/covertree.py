@@ -19,37 +19,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intakeflow.llm.common import components, written
+from intakeflow.llm.common import components, shuffle_partitions, written
 from intakeflow.llm.vectors import matrix, typed, usable
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 65536  # most vectors of a block, and the least where that leaves fewer than BLOCKS blocks
+LEAST_ROWS = 8192
+BLOCKS = 10
 PIVOTS = 256       # most pivots; the sample they are drawn from has as many vectors
 LIMIT = 0.95
 MARGIN = 1e-6      # bounds are widened by this much, far above rounding
+FIRST = 0.5        # radius of the first level: wider nodes lie too near each other on the sphere to be told apart
 FINEST = 1e-3      # covering radius below which a node's points are its children
 STEP = 4_000_000   # numbers (node pairs x dimensions) examined at once
-WIDE = 250_000     # products of wide nodes' children looked at at once, in single precision ...
+WIDE = 1 << 18     # products of two nodes' children looked at at once, in single precision ...
 SINGLE = 2e-5      # ... which is off by less than this
+MOST_PARTS = 2000  # partitions that pairs of blocks are dealt into at most, or the session's if those are more
+FEW = 2048         # up to so many, they are looked at together with those of other pairs of nodes
 
 
 class CoverTree:
     """Nested levels with halving radii over the unit vectors of ``x``."""
 
+    NUMBERS = ("order", "centre", "lo", "hi", "first", "last")
+
     def __init__(self, ids: np.ndarray, x: np.ndarray, count: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.count = ids[order], np.ascontiguousarray(x[order]), count[order]
         self.norm = np.sqrt((self.x * self.x).sum(1))
-        u = self.u = self.x / self.norm[:, None]
+        u = self.u
+        small = u.astype("f4")
         centre, radius, lo, hi, first, last = [0], [2.0], [0], [len(u)], [0], [0]
         self.order = np.arange(len(u))
-        queue = [(0, 2.0)]
+        queue = [(0, 2 * FIRST)]
         while queue:
             node, r = queue.pop()
-            some = self.order[lo[node]:hi[node]].copy()
-            if len(some) == 1:
+            if hi[node] - lo[node] == 1:
                 radius[node] = 0.0
-                first[node] = last[node] = 0
                 continue
+            some = self.order[lo[node]:hi[node]].copy()
             r /= 2
             own = centre[node]
             rest = some[some != own]
@@ -59,7 +66,7 @@ class CoverTree:
             if r <= FINEST or len(some) <= 4:
                 groups = [(c, np.array([c])) for c in [own, *rest]]
             else:
-                groups = self._net(own, rest, r)
+                groups = _net(small, own, rest, r)
             at, first[node] = lo[node], len(centre)
             for c, members in groups:
                 self.order[at:at + len(members)] = members
@@ -75,35 +82,58 @@ class CoverTree:
         self.centre, self.radius, self.lo, self.hi, self.first, self.last = map(
             np.array, (centre, radius, lo, hi, first, last))
 
-    def _net(self, own: int, rest: np.ndarray, r: float) -> list[tuple[int, np.ndarray]]:
-        """Centres further than r apart that cover all points within r, ``own`` among them."""
-        u, close = self.u, 1 - r * r / 2
-        groups: list[tuple[int, list]] = []
-        left, some = rest, np.array([own])
-        while len(some):
-            near = u[some] @ u[some].T >= close
-            free, centres = np.ones(len(some), bool), []
-            for i in range(len(some)):
-                if free[i]:
-                    centres.append(i)
-                    free &= ~near[i]
-            centres = some[centres]
-            base = len(groups)
-            groups += [(int(c), [np.array([c])]) for c in centres]
-            left = left[~np.isin(left, centres)]
-            taken = np.zeros(len(left), bool)
-            for k in range(0, len(left), 4096):
-                part = left[k:k + 4096]
-                s = u[part] @ u[centres].T
-                best = s.argmax(1)
-                hit = np.flatnonzero(s[np.arange(len(part)), best] >= close)
-                taken[k + hit] = True
-                by = hit[np.argsort(best[hit], kind="stable")]
-                for g, members in zip(*_split(best[by], part[by])):
-                    groups[base + g][1].append(members)
-            left = left[~taken]
-            some = left[:512]
-        return [(c, np.concatenate(m)) for c, m in groups]
+    @property
+    def u(self) -> np.ndarray:
+        return self.x / self.norm[:, None]
+
+    def unit(self, which: np.ndarray) -> np.ndarray:
+        return self.x[which] / self.norm[which, None]
+
+    def __getstate__(self):
+        """Without loss in fewer bytes: numbers of nodes and rows as 32 bits, as are vectors that came so."""
+        some = {k: v.astype("i4") if k in self.NUMBERS else v for k, v in self.__dict__.items()}
+        small = self.x.astype("f4")
+        return some | ({"x": small} if np.array_equal(self.x, small) else {})
+
+    def __setstate__(self, state):
+        self.__dict__.update({k: v.astype("i8") if k in self.NUMBERS else v for k, v in state.items()})
+
+
+def _net(u: np.ndarray, own: int, rest: np.ndarray, r: float) -> list[tuple[int, np.ndarray]]:
+    """Centres further than r apart that cover all points within r, ``own`` among them (as far as single
+    precision tells: nodes' radii are measured apart)."""
+    close = np.float32(1 - r * r / 2)
+    groups: list[tuple[int, list]] = []
+    left, some = rest, np.array([own])
+    gone = np.zeros(len(u), bool)
+    while len(some):
+        near = u[some] @ u[some].T >= close
+        free, centres = np.ones(len(some), bool), []
+        for i in range(len(some)):
+            if free[i]:
+                centres.append(i)
+                free &= ~near[i]
+        centres = some[centres]
+        base = len(groups)
+        groups += [(int(c), [np.array([c])]) for c in centres]
+        gone[centres] = True
+        left = left[~gone[left]]
+        taken = np.zeros(len(left), bool)
+        middle = np.ascontiguousarray(u[centres].T)
+        for k in range(0, len(left), 1024):
+            part = left[k:k + 1024]
+            s = u[part] @ middle
+            hit = np.flatnonzero((s >= close).any(1))
+            if not len(hit):
+                continue
+            best = s[hit].argmax(1)
+            taken[k + hit] = True
+            by = np.argsort(best, kind="stable")
+            for g, members in zip(*_split(best[by], part[hit[by]])):
+                groups[base + g][1].append(members)
+        left = left[~taken]
+        some = left[:512]
+    return [(c, np.concatenate(m)) for c, m in groups]
 
 
 def _split(key: np.ndarray, values: np.ndarray) -> tuple[list, list]:
@@ -123,6 +153,12 @@ def _product(first: np.ndarray, last: np.ndarray, first2: np.ndarray, last2: np.
     return first[row] + k // m[row], first2[row] + k % m[row], row
 
 
+def _by_radius(tree: CoverTree, unit: np.ndarray, first: int, last: int):
+    """The nodes [first, last) by ascending radius: (numbers, radii, centres)."""
+    node = first + np.argsort(tree.radius[first:last], kind="stable")
+    return node, tree.radius[node], unit[tree.centre[node]]
+
+
 def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
     """Link counts of a's and b's vectors (weighted by the size of the class met) and a star of every
     connected part: (counts of a, counts of b, edges [[i, j]] over a's vectors and then b's)."""
@@ -139,11 +175,22 @@ def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
 
     a4 = a.u.astype("f4")
     b4 = a4 if same else b.u.astype("f4")
-    held: list = [None, None]
+    held: list = [None]
+    edge_rows = 0
     most = max(64, STEP // a.x.shape[1])  # node pairs examined at once
-    # node pairs to open; of one pair of wide nodes, also the child from which on it is still to be opened
+    # node pairs to open; of one pair with many children also the tile from which on they are still to be looked at
     stack = [(np.array([0]), np.array([0]), 0)]
 
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal edge_rows
+        if len(i):
+            edges.append(np.stack([i, j + off], 1))
+            edge_rows += len(i)
+        if edge_rows > 4 * (n + len(b.x)):  # a spanning star says as much as all links
+            joined = stars(np.concatenate(edges), n + (0 if same else len(b.x)))
+            edges[:] = [np.stack([np.arange(len(joined)), joined], 1)]
+            edge_rows = len(joined)
+
     def examine(p: np.ndarray, q: np.ndarray, parent: np.ndarray) -> None:
         """Drop, link or keep open the pairs of children, at most ``most``; ``parent``: of a node with itself."""
         if same:  # of a node with itself every pair of children once
@@ -151,72 +198,93 @@ def links(a: CoverTree, b: CoverTree, limit: float, same: bool):
             p, q = p[up], q[up]
         if not len(p):
             return
-        d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.u[a.centre[p]], b.u[b.centre[q]]), 0))
+        d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.unit(a.centre[p]), b.unit(b.centre[q])), 0))
         reach = a.radius[p] + b.radius[q]
         near = d - reach <= far + MARGIN
         one = (a.hi[p] - a.lo[p] == 1) & (b.hi[q] - b.lo[q] == 1)
         itself = (p == q) if same else np.zeros(len(p), bool)
         sure = near & ~one & (np.where(itself, 2 * a.radius[p], d + reach) <= far - MARGIN)
         # whole nodes
-        for i, j, me in zip(p[sure], q[sure], itself[sure]):
-            total_a[a.lo[i]] += weight_b[b.hi[j]] - weight_b[b.lo[j]]
-            total_a[a.hi[i]] -= weight_b[b.hi[j]] - weight_b[b.lo[j]]
-            whole_a[i] = True
-            if not me:
-                total_b[b.lo[j]] += weight_a[a.hi[i]] - weight_a[a.lo[i]]
-                total_b[b.hi[j]] -= weight_a[a.hi[i]] - weight_a[a.lo[i]]
-                whole_b[j] = True
         if sure.any():
-            edges.append(np.stack([a.centre[p[sure]], b.centre[q[sure]] + off], 1))
-        if same:  # a node linked with itself has counted each vector's own class
-            for i in p[sure & itself]:
-                got_a[a.order[a.lo[i]:a.hi[i]]] -= a.count[a.order[a.lo[i]:a.hi[i]]]
+            i, j, me = p[sure], q[sure], itself[sure]
+            met = weight_b[b.hi[j]] - weight_b[b.lo[j]]
+            np.add.at(total_a, a.lo[i], met)
+            np.add.at(total_a, a.hi[i], -met)
+            whole_a[i] = True
+            met = (weight_a[a.hi[i]] - weight_a[a.lo[i]])[~me]
+            np.add.at(total_b, b.lo[j[~me]], met)
+            np.add.at(total_b, b.hi[j[~me]], -met)
+            whole_b[j[~me]] = True
+            link(a.centre[i], b.centre[j])
+            for k in i[me]:  # a node linked with itself has counted each vector's own class
+                got_a[a.order[a.lo[k]:a.hi[k]]] -= a.count[a.order[a.lo[k]:a.hi[k]]]
         # single pairs
         pick = near & one & ~itself
         i, j = a.centre[p[pick]], b.centre[q[pick]]
-        cosine = (a.x[i] * b.x[j]).sum(1) / (a.norm[i] * b.norm[j])
+        cosine = (a.x[i].astype(float) * b.x[j]).sum(1) / (a.norm[i] * b.norm[j])
         i, j = i[cosine >= limit], j[cosine >= limit]
         np.add.at(got_a, i, b.count[j])
         np.add.at(got_b, j, a.count[i])
-        edges.append(np.stack([i, j + off], 1))
+        link(i, j)
         open_ = near & ~one & ~sure
         if open_.any():
             stack.append((p[open_], q[open_], 0))
 
+    def tile(p: int, q: int, done: tuple[int, int]) -> None:
+        """One tile of the products of the children of two nodes, by ascending radius."""
+        if held[0] != (p, q):
+            held[:] = [(p, q), *_by_radius(a, a4, fa[0], la[0]), *_by_radius(b, b4, fb[0], lb[0])]
+        _, row, ra, xa, column, rb, xb = held
+        high = min(len(row), max(1, int(WIDE ** 0.5)))
+        wide = max(1, WIDE // high)
+        me = same and p == q
+        # of a node with itself the tiles on and above the diagonal
+        k, m = done
+        nxt = (k, m + wide) if m + wide < len(column) else (k + high, (k + high) // wide * wide if me else 0)
+        if nxt[0] < len(row):
+            stack.append((np.array([p]), np.array([q]), nxt))
+        ra, rb = ra[k:k + high], rb[m:m + wide]
+        # two nodes may hold a near pair if their centres are within the limit and both radii
+        s = xa[k:k + high] @ xb[m:m + wide].T
+        reach = far + MARGIN + ra[-1] + rb
+        hit = np.flatnonzero(s >= (1 - SINGLE - reach * reach / 2).astype("f4"))
+        if not len(hit):
+            return
+        i, j = np.divmod(hit, s.shape[1])
+        reach = far + MARGIN + ra[i] + rb[j]
+        keep = s.ravel()[hit] >= 1 - SINGLE - reach * reach / 2
+        if me:
+            keep &= i + k <= j + m
+        i, j = row[i[keep] + k], column[j[keep] + m]
+        if me:
+            i, j = np.minimum(i, j), np.maximum(i, j)
+        for k in range(0, len(i), most):
+            examine(i[k:k + most], j[k:k + most], np.full(len(i[k:k + most]), me))
+
     while stack:
-        if sum(map(len, edges)) > 4 * (n + len(b.x)):  # a spanning star says as much as all links
-            joined = stars(np.concatenate(edges), n + (0 if same else len(b.x)))
-            edges[:] = [np.stack([np.arange(len(joined)), joined], 1)]
         p, q, done = stack.pop()
         # children of a pair's nodes; a single point is its own child
         fa = np.where(a.first[p] < a.last[p], a.first[p], p)
         la = np.where(a.first[p] < a.last[p], a.last[p], p + 1)
         fb = np.where(b.first[q] < b.last[q], b.first[q], q)
         lb = np.where(b.first[q] < b.last[q], b.last[q], q + 1)
-        cost = np.cumsum((la - fa) * (lb - fb))
+        size = (la - fa) * (lb - fb)
+        big = size > min(FEW, most)
+        if len(p) == 1 and big[0]:
+            tile(int(p[0]), int(q[0]), done or (0, 0))
+            continue
+        if big.any():
+            stack += [(p[k:k + 1], q[k:k + 1], 0) for k in np.flatnonzero(big)]
+            if not big.all():
+                stack.append((p[~big], q[~big], 0))
+            continue
+        cost = np.cumsum(size)
         if cost[-1] <= most:
             i, j, row = _product(fa, la, fb, lb)
             examine(i, j, (p == q)[row])
-        elif len(p) > 1:  # fewer pairs at a time
+        else:  # fewer pairs at a time
             cut = min(max(1, int(np.searchsorted(cost, most))), len(p) - 1)
             stack += [(p[cut:], q[cut:], 0), (p[:cut], q[:cut], 0)]
-        else:  # one pair of wide nodes: matrix products, a slice of the first node's children at a time
-            k, end = int(fa[0]) + done, int(la[0])
-            wide = slice(int(fb[0]), int(lb[0]))
-            e = min(k + max(1, WIDE // (wide.stop - wide.start)), end)
-            if e < end:
-                stack.append((p, q, e - int(fa[0])))
-            # two nodes may hold a near pair if their centres are within the limit and both radii
-            ra, rb = a.radius[k:e], b.radius[wide]
-            reach = far + MARGIN + (ra[:, None] + rb if ra.any() or rb.any() else 0.0)
-            least = (1 - SINGLE - reach * reach / 2)
-            if held[0] != q[0]:  # slices of one pair share the second node's children
-                held[:] = [q[0], np.ascontiguousarray(b4[b.centre[wide]].T)]
-            hit = np.flatnonzero(a4[a.centre[k:e]] @ held[1] >= np.asarray(least, "f4"))
-            for s in range(0, len(hit), most):
-                i, j = np.divmod(hit[s:s + most], wide.stop - wide.start)
-                i, j = i + k, j + wide.start
-                examine(i, j, np.full(len(i), bool(p[0] == q[0])))
     got_a[a.order] += np.cumsum(total_a)[:-1]
     got_b[b.order] += np.cumsum(total_b)[:-1]
     # the points of a node that was linked as a whole are connected through the other side
@@ -252,6 +320,7 @@ def stars(edges: np.ndarray, n: int) -> np.ndarray:
 def _pairs(classes: DataFrame, limit: float, block_rows: int, name: str) -> DataFrame:
     """(id, links, root) of the classes (class_id, embedding, m) of one vector length."""
     n = classes.count()
+    block_rows = min(block_rows, max(LEAST_ROWS, -(-n // BLOCKS)))
     want = min(PIVOTS, max(1, -(-n // block_rows)))
     drawn = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(want).collect()
     unit = np.array([r.embedding for r in drawn], float).reshape(len(drawn), -1)
@@ -283,11 +352,7 @@ def _pairs(classes: DataFrame, limit: float, block_rows: int, name: str) -> Data
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = CoverTree(pdf["class_id"].to_numpy(), matrix(pdf["embedding"]), pdf["m"].to_numpy(float))
-        tree.x = None if np.array_equal(tree.x, tree.x.astype("f4")) else tree.x
-        small = (tree.u * tree.norm[:, None]).astype("f4") if tree.x is None else None
-        tree.u = None
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "sub": pdf["sub"].iloc[:1],
-                             "tree": [pickle.dumps((tree, small))]})
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "sub": pdf["sub"].iloc[:1], "tree": [pickle.dumps(tree)]})
 
     trees = written(blocked.groupBy("cell", "sub").applyInPandas(build, "cell int, sub int, tree binary"),
                     name + "-trees")
@@ -296,13 +361,15 @@ def _pairs(classes: DataFrame, limit: float, block_rows: int, name: str) -> Data
     pairs = (a.join(meeting, "cell").select("a", F.col("cell2").alias("cell"))
              .join(trees.select("cell", block.alias("b")), "cell").where("a <= b").select("a", "b"))
     pairs = written(pairs, name + "-blocks")
-    left = trees.select(block.alias("a"), "tree").join(pairs, "a").select("a", "b", "tree")
+    # pairs of blocks are few and heavy: many partitions, so that hardly any has two
+    parts = min(4 * pairs.count(), max(MOST_PARTS, shuffle_partitions(spark)))
+    left = trees.select(block.alias("a"), "tree").join(pairs, "a").select("a", "b", "tree").repartition(parts, "a", "b")
     right = trees.select(block.alias("b"), "tree").join(pairs.where("a < b"), "b").select(
-        *[F.col(c).alias(c) for c in ("a", "b", "tree")])  # columns of their own for the cogroup
+        *[F.col(c).alias(c) for c in ("a", "b", "tree")]).repartition(parts, "a", "b")  # columns of their own for the cogroup
 
     def match(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        first = _load(l["tree"].iloc[0])
-        second = _load(r["tree"].iloc[0]) if len(r) else first
+        first = pickle.loads(l["tree"].iloc[0])
+        second = pickle.loads(r["tree"].iloc[0]) if len(r) else first
         got, got2, edges = links(first, second, limit, not len(r))
         ids = np.concatenate([first.ids, second.ids]) if len(r) else first.ids
         count = np.concatenate([got, got2])
@@ -317,14 +384,6 @@ def _pairs(classes: DataFrame, limit: float, block_rows: int, name: str) -> Data
         match, "id long, links long, root long")
 
 
-def _load(data: bytes) -> CoverTree:
-    tree, small = pickle.loads(data)
-    if tree.x is None:
-        tree.x = small.astype(float)
-    tree.u = tree.x / tree.norm[:, None]
-    return tree
-
-
 def near_duplicates(vectors: DataFrame, limit: float = LIMIT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors (vec_id, embedding)``.
 

@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -74,6 +76,32 @@ def test_cover_trees_gather_little_at_once(monkeypatch):
     assert (want[0][0] == (u @ u.T >= 0.95).sum(1) - 1).all()
 
 
+def test_independent_vectors_are_hardly_looked_at_one_by_one(monkeypatch):
+    """Pairs too far apart to link but nearer than others make no wide nodes, which would meet all others."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1800:] = 0.6 * x[:200] + 0.8 * x[1800:]
+    x[1700:1710] = x[:10] + 0.01 * r.normal(size=(10, 64))
+    tree = pickle.loads(pickle.dumps(covertree.CoverTree(np.arange(2000), x, np.ones(2000))))
+    seen, stack = [], np.einsum
+    monkeypatch.setattr(covertree.np, "einsum", lambda *a: (seen.append(len(a[1])), stack(*a))[1])
+    got = covertree.links(tree, tree, 0.95, True)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert (got[0] == (u @ u.T >= 0.95).sum(1) - 1).all() and got[0].sum() == 20
+    assert sum(seen) <= 4000  # of two million pairs
+
+
+def test_trees_travel_without_loss():
+    r = np.random.default_rng(6)
+    for x in (r.normal(size=(50, 5)), r.normal(size=(50, 5)).astype("f4").astype(float)):
+        tree = covertree.CoverTree(np.arange(50), x, np.ones(50))
+        back = pickle.loads(pickle.dumps(tree))
+        for k, v in tree.__dict__.items():
+            assert np.array_equal(back.__dict__[k], v) and (k != "x" or back.x.itemsize == (8 if (x != x.astype("f4")).any() else 4))
+        assert all(back.__dict__[k].dtype == "i8" for k in covertree.CoverTree.NUMBERS)
+
+
 def test_recall_of_relaxed_search():
     r = np.random.default_rng(3)
     x = r.normal(size=(3000, 48))
