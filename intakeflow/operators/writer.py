@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from intakeflow.functions.columns import qcol
 from intakeflow.operators.route import FALLBACK, MONTH
-from intakeflow.session import ensure_checkpoint_dir, folder_size, path_exists, read_note, write_note
+from intakeflow.session import Beside, ensure_checkpoint_dir, folder_size, path_exists, read_note, write_note
 
 # Group key of rows that are duplicates of nothing (see ``first_per_key``).
 ALONE = "__alone"
@@ -100,13 +100,14 @@ def _types(df: DataFrame, full_key: Sequence[str]) -> list[T.DataType]:
     return [f.dataType for f in df.select(*[qcol(c) for c in full_key]).schema]
 
 
-def key_index(spark: SparkSession, target_path: str, new: DataFrame | None, existing: DataFrame | None,
-              keys: Sequence[str]) -> str | None:
+def key_index(spark: SparkSession, target_path: str, new: DataFrame | None,
+              existing: DataFrame | Callable[[], DataFrame | None] | None, keys: Sequence[str]) -> str | None:
     """The folder of the target's keys and their hashes, few files for every batch, built from the target at first.
 
     It holds every (month, key) of the target, and may hold more (each batch's are written before its rows), so a key
     that it lacks is new.  None where equal keys may differ in their hashes (types or collations), or
-    where the target is written to without it (``new`` None says so); such an index is not used again."""
+    where the target is written to without it (``new`` None says so); such an index is not used again.
+    ``existing`` is the target, or finds it where it is needed."""
     folder = target_path.rstrip("/") + "_keys"
     full_key = [MONTH] + [k for k in keys if k != MONTH]
     types = _types(new, full_key) if new is not None else []
@@ -117,6 +118,8 @@ def key_index(spark: SparkSession, target_path: str, new: DataFrame | None, exis
     if there and path_exists(spark, f"{folder}/_complete-{mark}"):
         return folder
     usable = new is not None and all(t == T.StringType() or isinstance(t, HASHED) for t in types)
+    if callable(existing):
+        existing = existing() if usable and not there else None
     if usable and existing is not None and types != _types(existing, full_key):
         usable = False
     if there or not usable:  # of other keys, or never completed
@@ -135,23 +138,22 @@ def _state(spark: SparkSession, target_path: str) -> str:
     return "files {} bytes {}".format(*folder_size(spark, target_path))
 
 
-def contested_keys(new: DataFrame, index: str, keys: Sequence[str], n: int) -> tuple[DataFrame | None, int]:
-    """The hashes (persisted) of the keys of ``new``, ``n`` rows, that another row of it or the target may hold too, and
-    their number; None if they are too many to be broadcast.  Only hashes are shuffled, and of the index none where the
+def contested_keys(new: DataFrame, index: str | DataFrame, keys: Sequence[str], n: int) -> tuple[DataFrame | None, int]:
+    """The hashes (checkpointed) of the keys of ``new``, ``n`` rows, that another row of it or the target may hold too, and
+    their number; None if there are none, or too many to be broadcast.  Only hashes are shuffled, and of the index none where the
     batch's hashes can be broadcast.  Keys that merely share a hash cost a comparison and change nothing."""
     full_key = [MONTH] + [k for k in keys if k != MONTH]
     hashes = new.where(~_null_key(keys)).select(_key_hash(full_key))
-    stored = new.sparkSession.read.parquet(index).select(HASH)
+    stored = new.sparkSession.read.schema(f"{HASH} long").parquet(index) if isinstance(index, str) else index.select(HASH)
     mine = F.broadcast(hashes) if n <= SMALL_BATCH else hashes
-    twice = hashes.groupBy(HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(HASH)
-    found = twice.unionByName(stored.join(mine, HASH, "left_semi")).distinct().persist()
-    try:
-        many = found.count()
-        # cut loose from the index, which is written next
-        ensure_checkpoint_dir(new.sparkSession)
-        return (found.checkpoint(eager=True) if 0 < many <= MOST_CONTESTED else None), many
-    finally:
-        found.unpersist()
+    seen = stored.join(mine, HASH, "left_semi")
+    found = (hashes.withColumn("n", F.lit(1)).unionByName(seen.withColumn("n", F.lit(2)))
+             .groupBy(HASH).agg(F.sum("n").alias("n")).where("n > 1").select(HASH))
+    # cut loose from the index, which is written next
+    ensure_checkpoint_dir(new.sparkSession)
+    found = found.checkpoint(eager=True)
+    many = found.count()
+    return (found if 0 < many <= MOST_CONTESTED else None), many
 
 
 def uncontested_or_first(new: DataFrame, existing: DataFrame | None, keys: Sequence[str], order_cols: Sequence[str],
@@ -189,7 +191,8 @@ def read_target(spark: SparkSession, path: str, months: Sequence[str] | None = N
 def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
                      order_cols: Sequence[str], archived_months: Sequence[str] = (),
                      quarantine_path: str | None = None,
-                     finish: Callable[[DataFrame], DataFrame] | None = None, cached: bool = False) -> dict:
+                     finish: Callable[[DataFrame], DataFrame] | None = None, cached: bool = False,
+                     once_cached: Callable[[], None] | None = None) -> dict:
     """K2 end to end: dedupe, anti-join against the target, append by month.
 
     ``new`` must carry ``month`` (see ``route_months``).  Returns counts
@@ -200,6 +203,7 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
     target), never dropped.  ``finish`` reshapes the surviving rows
     just before they are stored (e.g. field encryption, which must not touch the keys).  ``cached`` says that ``new``
     reads a cached frame: it is gone through more than once then, and whole rows pass one shuffle only.
+    ``once_cached`` is called when that frame has been read for the first time, and before anything is written.
 
     Counts stay exact when executors are lost: the input counts come from a
     per-month aggregate job (job results, one row per month - which also gives the
@@ -214,34 +218,47 @@ def write_first_wins(new: DataFrame, target_path: str, keys: Sequence[str],
                                   F.count_if(archived).alias("rej")).collect()
     received, fallback, rej = (sum(int(r[c] or 0) for r in rows) for c in ("n", "fb", "rej"))
     body = new.drop(FALLBACK) if FALLBACK in new.columns else new
+    if once_cached is not None:
+        once_cached()
     if rej:
         (body.filter(archived).withColumn("quarantine_reason", F.lit("archived_month"))
          .write.mode("append").partitionBy(MONTH).parquet(quarantine_path))
     body = body.filter(~archived)
-    whole = existing = read_target(spark, target_path) if keys else None
-    if existing is not None:  # prune the target to the months this batch touches
+
+    def existing() -> DataFrame | None:
+        """The target's keys of the months this batch touches; asked for where the key index does not do."""
+        found = read_target(spark, target_path) if keys else None
+        if found is None:
+            return None
         months = spark.createDataFrame([(r[MONTH],) for r in rows if r["rej"] < r["n"]], f"{MONTH} string")
-        existing = existing.join(F.broadcast(months), MONTH, "left_semi").select(MONTH, *[qcol(k) for k in keys])
+        return found.join(F.broadcast(months), MONTH, "left_semi").select(MONTH, *[qcol(k) for k in keys])
+
     # REBALANCE by month: AQE sizes the write tasks per month (few files per month partition,
     # a hot month split into several tasks) instead of every task writing into every month.
     obs_out = Observation("inserted")
     contested, many, sure = None, -1, False
-    index = key_index(spark, target_path, body if cached else None, whole, keys) if keys else None
+    index = key_index(spark, target_path, body if cached else None, lambda: read_target(spark, target_path), keys) if keys else None
     if index is not None:
         # a target that looks as after the last batch holds just the index's keys; otherwise it is asked
         sure = read_note(spark, f"{index}/_state") == _state(spark, target_path)
         write_note(spark, f"{index}/_state", "a batch is written")
-        contested, many = contested_keys(body, index, keys, received - rej)
         full_key = [MONTH] + [k for k in keys if k != MONTH]
         mine = body.where(~_null_key(keys)).select(_key_hash(full_key), *[qcol(c) for c in full_key])
-        stored = spark.read.schema(mine.schema).parquet(index) if sure else existing  # listed before it is added to
-        (mine.coalesce(1) if received <= SMALL_BATCH else mine).write.mode("append").parquet(index)
+        indexed = spark.read.schema(mine.schema).parquet(index)  # listed before it is added to
+        stored = indexed if sure else existing()
+        adding = (mine.coalesce(1) if received <= SMALL_BATCH else mine).write.mode("append")
+        added = Beside(lambda: adding.parquet(index))
+        try:
+            contested, many = contested_keys(body, indexed, keys, received - rej)
+        finally:
+            added.wait()
+        added.result()  # the keys lie there before any row does
     if many == 0:
         to_insert = body
     elif contested is not None:
         to_insert = uncontested_or_first(body, stored, keys, order_cols, contested)
     else:
-        to_insert = plan_first_wins(body, existing, keys, order_cols)
+        to_insert = plan_first_wins(body, existing(), keys, order_cols)
     if finish is not None:
         to_insert = finish(to_insert)
     if received <= SMALL_BATCH:  # also a single month is little work for one task

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 # Settings that matter for the plans this library builds.
@@ -129,3 +131,29 @@ def folder_size(spark: SparkSession, path: str) -> tuple[int, int]:
         return 0, 0
     found = fs.getContentSummary(p)
     return int(found.getFileCount()), int(found.getLength())
+
+
+class Beside:
+    """Work of small jobs done beside this thread's, with its local properties (job group, micro-batch); ``result`` waits
+    for its end and returns or raises what it did."""
+
+    def __init__(self, work: Callable):
+        self._out = self._error = None
+
+        def run():
+            try:
+                self._out = work()
+            except BaseException as exc:  # noqa: BLE001 - raised by ``result``
+                self._error = exc
+
+        self._thread = InheritableThread(target=run)
+        self._thread.start()
+
+    def wait(self) -> None:
+        self._thread.join()
+
+    def result(self):
+        self.wait()
+        if self._error is not None:
+            raise self._error
+        return self._out

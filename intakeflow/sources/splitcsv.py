@@ -214,22 +214,29 @@ def _header_batch(pa, file: str, record: bytes, encoding: str):
                                       names=["file", "header"])
 
 
-def transitions(found: DataFrame) -> DataFrame:
-    """(file, at, outside, inside): whether a range ends inside quotes if it starts outside, or inside, quotes."""
+def transitions(found: DataFrame, encoding: str) -> DataFrame:
+    """(file, at, outside, inside, header): whether a range ends inside quotes if it starts outside, or inside, quotes,
+    and of a file's first range its first record that is not blank."""
     def run(batches):
         import pyarrow as pa
 
-        key, state = None, [False, True]
+        key, state, part, header = None, [False, True], None, None
 
         def row():
+            some = header_of(part.last()[0][1], encoding) if part is not None and part.open else header
             return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([state[0]]),
-                                               pa.array([state[1]])], names=["file", "at", "outside", "inside"])
+                                               pa.array([state[1]]), pa.array([some], pa.list_(pa.string()))],
+                                              names=["file", "at", "outside", "inside", "header"])
 
         for file, at, _, _, body, quote in _runs(batches):
             if (file, at) != key:
                 if key is not None:
                     yield row()
-                key, state = (file, at), [False, True]
+                key, state, part, header = (file, at), [False, True], None if at else Range(False), None
+            if part is not None:
+                record = next((r for _, r in part.feed(body, quote) if r.strip()), None)
+                if record is not None:
+                    part, header = None, header_of(record, encoding)
             for line, q in zip(body, quote or ()):
                 if q:  # a line without quotes changes neither state
                     first = ends_inside(line, state[0])
@@ -237,11 +244,11 @@ def transitions(found: DataFrame) -> DataFrame:
         if key is not None:
             yield row()
 
-    return found.mapInArrow(run, "file string, at long, outside boolean, inside boolean")
+    return found.mapInArrow(run, "file string, at long, outside boolean, inside boolean, header array<string>")
 
 
 def starts(functions: DataFrame) -> DataFrame:
-    """(file, at, starts_inside): the composition of all ranges' functions before each range.
+    """(file, at, starts_inside) and further columns: the composition of all ranges' functions before each range.
 
     A range either fixes the state it ends in, or keeps it, or turns it: the state is that after the last
     range that fixes it (at first: outside), turned as often as ranges after that one turn it."""
@@ -252,7 +259,8 @@ def starts(functions: DataFrame) -> DataFrame:
     last = F.last(fixed, ignorenulls=True).over(before)
     so_far = F.coalesce(F.max("turns").over(before), F.lit(0))
     turned = F.pmod(so_far - F.coalesce(last["turns"], F.lit(0)), F.lit(2)) == 1
-    return f.select("file", "at", (F.coalesce(last["outside"], F.lit(False)) != turned).alias("starts_inside"))
+    more = [c for c in functions.columns if c not in ("file", "at", "outside", "inside")]
+    return f.select("file", "at", (F.coalesce(last["outside"], F.lit(False)) != turned).alias("starts_inside"), *more)
 
 
 def _columns(pa, names: list[str], header: list[str], rows: list[list]) -> list:
@@ -310,10 +318,12 @@ def read_split_csv(spark: SparkSession, paths: Sequence[str], names: Sequence[st
     known: dict[str, list[str]] = {}
     ranges: dict[tuple[str, int], bool] = {}  # whether a range starts inside quotes
     # file names and ranges pass through the driver, as they do in Spark's file index
-    for r in headers(large.where("at = 0"), encoding).collect():
-        known[r["file"]] = r["header"]
-    if known:
-        ranges = {(r["file"], r["at"]): r["starts_inside"] for r in starts(transitions(large)).collect()}
+    for r in starts(transitions(large, encoding)).collect():
+        ranges[r["file"], r["at"]] = r["starts_inside"]
+        if r["header"] is not None:
+            known[r["file"]] = r["header"]
+    if not known:
+        ranges.clear()
     shared = spark.sparkContext.broadcast((known, ranges))
     fields = [T.StructField(n, T.StringType()) for n in names]
     schema = T.StructType([*fields, T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())])

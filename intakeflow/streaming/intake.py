@@ -34,7 +34,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from intakeflow.operators.cleaners import REASON, VALID
 from intakeflow.errors import FAIL, error_kind, of_kind, raised_kind
-from intakeflow.operators.ledger import (DAY_MS, KEY, OPEN_STATES, append_events, backoff_delay, claim_decisions, claim_events,
+from intakeflow.operators.ledger import (DAY_MS, KEY, OPEN_STATES, STATUS_EVENTS, append_events, backoff_delay, claim_decisions, claim_events,
                                          classify_outcome, conform, dead_letter, dead_letter_events, file_slice, fold,
                                          open_keys, write_open, write_quarantine)
 from intakeflow.operators.quality import quality_report
@@ -44,7 +44,7 @@ from intakeflow.functions.columns import file_id, ts_lit
 from intakeflow.functions.crypto import encrypt_fields
 from intakeflow.operators.split import mark_row_errors, pass_through
 from intakeflow.operators.writer import write_first_wins
-from intakeflow.session import ensure_checkpoint_dir, path_exists
+from intakeflow.session import Beside, ensure_checkpoint_dir, path_exists
 from intakeflow.sources.files import _ext, as_glob, list_paths, plain_path, with_format
 from intakeflow.sources.readers import CORRUPT, FILE, ROW, Sheet, json_items, read_csv, sheet_batches
 from intakeflow.spec import FORMATS, QUALITY_ALERT_MIN_SCORE, TaskSpec
@@ -216,7 +216,7 @@ def _quality_rows(per_file: DataFrame, batch_id: int, now: _dt.datetime) -> Data
         file_id("task_id", FILE, "_mtime").alias("file_id"),
         "task_id", F.col(FILE).alias("file_path"), ts_lit(now).alias("batch_time"),
         "total_rows", "valid_rows", "error_rows", "null_rate", "error_rate", "quality_score",
-        F.to_json("error_details").alias("error_details"), F.lit(int(batch_id)).alias("batch_id"))
+        "error_details", F.lit(int(batch_id)).alias("batch_id"))
 
 
 def _write_run(spark: SparkSession, path: str, spec: TaskSpec, batch_id: int, now: _dt.datetime,
@@ -241,7 +241,8 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                   prepare: Callable[[DataFrame], DataFrame] | None = None,
                   encryption_key: str | bytes | None = None,
                   target_schema: T.StructType | None = None,
-                  files: DataFrame | None = None, failures: list | None = None) -> dict:
+                  files: DataFrame | None = None, failures: list | None = None,
+                  claimed: Beside | None = None) -> dict:
     """One set of files' rows (``batch``: the parsed columns, ``_file``, ``_mtime``, ``_size``).
 
     ``prepare`` reshapes parsed rows first (e.g. ``explode_json_path`` for nested JSON);
@@ -249,7 +250,8 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
     (``_file``, ``_mtime``, ``_size``) lists the claimed files, so that those without rows get
     their outcome too; without it the ledger decides which files' rows are dropped.  Files with a row whose
     ``_fail`` is set end as FAILED (or SKIPPED), none of their rows is written, and ``failures`` gets their number;
-    the others are loaded in the same pass.  Without ``failures``, such a file's error is raised.
+    the others are loaded in the same pass.  Without ``failures``, such a file's error is raised.  ``claimed`` is
+    waited for before anything is written.
     """
     spark = batch.sparkSession
     started = time.monotonic()
@@ -277,7 +279,8 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
                                    keep=("task_id", FILE, ROW, "_mtime", "_size", MONTH, FALLBACK, *extra))
     # everything below reads this: files are read and user code runs once
     every = mark_row_errors(routed, spec.on_row_error).persist()
-    per_file = failed = None
+    failed = None
+    beside: list[Beside] = []
     try:
         checked = every
         if FAIL in every.columns:
@@ -296,13 +299,26 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
         finish = None
         if encrypted:  # P12: after routing and the choice of first rows, which read the plain text
             finish = lambda df: encrypt_fields(df, encrypted, encryption_key)
+        report = quality_report(checked, ["task_id", FILE, "_mtime", "_size"], spec.required_fields).withColumn(
+            "error_details", F.to_json("error_details"))
+
+        def once_cached() -> None:
+            if claimed is not None:
+                claimed.result()
+            beside.append(Beside(report.toArrow))
+
         counts = write_first_wins(valid, paths.target, list(spec.keys), order, finish=finish,
-                                  archived_months=_archived(spark, paths, spec), cached=True)
-        per_file = quality_report(checked, ["task_id", FILE, "_mtime", "_size"], spec.required_fields).persist()
+                                  archived_months=_archived(spark, paths, spec), cached=True, once_cached=once_cached)
+        # one row a file, as the listing has; what is written of them needs no further plans over the rows
+        per_file = spark.createDataFrame(beside[0].result()).coalesce(1)
         quality = _quality_rows(per_file, batch_id, now)
-        quality.write.mode("append").partitionBy("task_id").parquet(paths.quality)
-        alerts = quality_alerts(quality, QUALITY_ALERT_MIN_SCORE)
-        alerts.write.mode("append").partitionBy("task_id").parquet(paths.alerts)
+
+        def log() -> None:
+            quality.write.mode("append").partitionBy("task_id").parquet(paths.quality)
+            alerts = quality_alerts(quality, QUALITY_ALERT_MIN_SCORE)
+            alerts.write.mode("append").partitionBy("task_id").parquet(paths.alerts)
+
+        beside.append(Beside(log))
         done = per_file.select("task_id", FILE, "_mtime", "_size", "total_rows", "valid_rows")
         if files is not None:  # files without rows are loaded too, with none
             key = [FILE, "_mtime"]
@@ -310,7 +326,7 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
             for left_out in (bad, failed):
                 loaded = loaded if left_out is None else loaded.join(left_out, key, "left_anti")
             zero = F.lit(0).cast("long")
-            done = loaded.join(per_file.select(*key, "total_rows", "valid_rows"), key, "left").select(
+            done = loaded.join(_side(per_file.select(*key, "total_rows", "valid_rows"), 0), key, "left").select(
                 F.lit(spec.task_id).alias("task_id"), *key, "_size", F.coalesce("total_rows", zero).alias("total_rows"),
                 F.coalesce("valid_rows", zero).alias("valid_rows"))
         elapsed_ms = int((time.monotonic() - started) * 1000)
@@ -318,11 +334,14 @@ def process_batch(batch: DataFrame, batch_id: int, spec: TaskSpec, paths: Intake
         events = _ledger_events(done, bad, batch_id, now, elapsed_ms)
         if failed is not None:
             events = events.unionByName(_failure_events(failed.withColumn("task_id", F.lit(spec.task_id)), batch_id, now))
+        beside[1].result()
         append_events(events, paths.ledger)
         if paths.runs:
             _write_run(spark, paths.runs, spec, batch_id, now, per_file, counts, elapsed_ms)
     finally:
-        for df in (base, every, per_file, failed):
+        for work in beside:
+            work.wait()
+        for df in (base, every, failed):
             if df is not None and df.is_cached:
                 df.unpersist()
     return counts
@@ -344,6 +363,8 @@ NO_ROWS = {"received": 0, "inserted": 0, "ignored": 0, "fallback_routed": 0, "re
 BROADCAST_FILES = 100_000
 # Files that a batch run takes at once; more are taken in several rounds, in the order of arrival.
 FILES_AT_ONCE = 50_000
+# Files, and files left open, up to which a claim looks through their events on the driver.
+FEW_FILES = 10_000
 
 
 def _side(df: DataFrame, files: int) -> DataFrame:
@@ -365,24 +386,69 @@ def _days(files: list[tuple]) -> set[int]:
     return {-1 if m is None else m // DAY_MS for _, m, _ in files}
 
 
+def _settled(events: list) -> set[tuple] | None:
+    """The files whose last status is an end, as ``fold`` would find it; None if there are others, which it must decide."""
+    last: dict[tuple, tuple] = {}
+    for r in events:
+        key, at = tuple(r[c] for c in KEY), (r.event_time, r.seq)
+        if None in at:
+            return None
+        if r.event not in STATUS_EVENTS:
+            last.setdefault(key, ((_dt.datetime.min, 0), set()))
+            continue
+        before = last.get(key)
+        if before is None or at > before[0]:
+            last[key] = (at, {r.event})
+        elif at == before[0]:
+            before[1].add(r.event)
+    ended = all(states and states <= {"SUCCESS", "SKIPPED"} for _, states in last.values())
+    return set(last) if ended else None
+
+
 def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: IntakePaths, now: _dt.datetime,
            batch_id: int, owner: str, retry_due: bool) -> list[tuple]:
-    """The files this run takes, written to the ledger as CLAIMED; SKIPPED for those not read.
+    """The files this run takes, written to the ledger as CLAIMED; SKIPPED for those not read."""
+    todo, record = _decide(spark, files, spec, paths, now, batch_id, owner, retry_due)
+    record()
+    return todo
+
+
+def _decide(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: IntakePaths, now: _dt.datetime,
+            batch_id: int, owner: str, retry_due: bool) -> tuple[list[tuple], Callable[[], None]]:
+    """The files this run takes, and what writes so to the ledger.
 
     With ``retry_due`` the ledger's failed files that are due and its expired claims are taken too.
     """
-    key = "task_id string, file_path string, file_mtime long, file_size long, ext string"
+    name = "task_id string, file_path string, file_mtime long"
+    key = f"{name}, file_size long, ext string"
     listed = _local(spark, [(spec.task_id, f, m, n, _suffix(f)) for f, m, n in files], key)
     # only the days of the listed files are read, and those of files that another run left open
     keys, days = _side(listed.select(*KEY), len(files)), _days(files)
     left_open = open_keys(spark, paths.ledger, spec.task_id)
+    few = len(files) <= FEW_FILES
+    if few:
+        opened = [tuple(r) for r in left_open.limit(FEW_FILES + 1).collect()]
+        few = len(opened) <= FEW_FILES
+    if few:
+        left_open = _local(spark, opened, name)
     if retry_due:
-        left_open = left_open.persist()
-        days |= {r[0] for r in left_open.select(F.coalesce(F.floor(F.col("file_mtime") / DAY_MS), F.lit(-1))).distinct().collect()}
-        keys = listed.select(*KEY).unionByName(left_open)
+        if few:
+            days |= _days([o[1:] + (None,) for o in opened])
+            keys = F.broadcast(_local(spark, [(spec.task_id, f, m) for f, m, _ in files] + opened, name))
+        else:
+            left_open = left_open.persist()
+            days |= {r[0] for r in left_open.select(F.coalesce(F.floor(F.col("file_mtime") / DAY_MS), F.lit(-1))).distinct().collect()}
+            keys = listed.select(*KEY).unionByName(left_open)
     own = file_slice(spark, paths.ledger, spec.task_id, days).join(keys, list(KEY), "left_semi")
+    settled = _settled(own.select(*KEY, "event", "event_time", "seq").collect()) if few else None
+    if settled is not None:  # each of these files has ended or is new: no plan over the ledger is needed
+        new = {(f, m): (spec.task_id, f, m, n, _suffix(f)) for f, m, n in reversed(files)
+               if (spec.task_id, f, m) not in settled}
+        listed = _local(spark, list(reversed(new.values())), key).withColumn("decision", F.lit("CLAIM_NEW"))
+        still = None if retry_due else left_open
+        return _take(spark, listed, still, True, spec, paths, now, batch_id, owner)
     current = fold(own, failed_at=True)
-    if own.isEmpty():  # nothing is known of these files: no plan over the ledger is needed
+    if not few and own.isEmpty():  # nothing is known of these files
         current = current.limit(0)
     elif retry_due:
         current = current.persist()  # read for the files that are due, the decision and what stays open
@@ -397,6 +463,14 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
         F.col("retry_count"), spec.retry_backoff))
     taken = (decided.filter(F.col("decision").startswith("CLAIM"))
              .filter((F.col("decision") != "CLAIM_RETRY") | F.col("failed_at").isNull() | (due <= ts_lit(now))))
+    still = current.filter(F.col("status").isin(*OPEN_STATES) & ~F.col("dead_lettered")) if retry_due else left_open
+    return _take(spark, taken, still, few, spec, paths, now, batch_id, owner, (current, left_open))
+
+
+def _take(spark: SparkSession, taken: DataFrame, still: DataFrame | None, few: bool, spec: TaskSpec, paths: IntakePaths,
+          now: _dt.datetime, batch_id: int, owner: str, kept: tuple = ()) -> tuple[list[tuple], Callable[[], None]]:
+    """The files taken, and what records them: SKIPPED, or first as open (beside those that are ``still`` open) and then
+    as CLAIMED; ``kept`` is given back then."""
     rows = with_format(taken.withColumnRenamed("file_path", "path")).withColumnRenamed("path", "file_path").select(
         *KEY, "file_size", "skip_reason", "decision").collect()  # the batch's own files
     skip = [r for r in rows if r.skip_reason is not None]
@@ -404,19 +478,22 @@ def _claim(spark: SparkSession, files: list[tuple], spec: TaskSpec, paths: Intak
     frame = lambda some, *more: _local(
         spark, [(r.task_id, r.file_path, r.file_mtime, r.file_size, *(r[c] for c in more)) for r in some],
         "task_id string, file_path string, file_mtime long, file_size long" + "".join(f", {c} string" for c in more))
-    if todo:  # before the claims, so that no claimed file is missing from it
-        still = current.filter(F.col("status").isin(*OPEN_STATES) & ~F.col("dead_lettered")) if retry_due else left_open
-        write_open(still.select(*KEY).unionByName(frame(todo).select(*KEY)), paths.ledger, spec.task_id)
-    for df in (current, left_open):
-        df.unpersist()
-    if skip:
-        append_events(conform(frame(skip, "skip_reason").withColumnRenamed("skip_reason", "error_message").select(
-            "*", F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
-            _seq(batch_id, OUTCOME).alias("seq"), F.lit("SkipFile").alias("error_type"))), paths.ledger)
-    if todo:
-        append_events(claim_events(frame(todo, "decision"), owner, now).withColumn("seq", _seq(batch_id, CLAIM)),
-                      paths.ledger)
-    return [(r.file_path, r.file_mtime, r.file_size) for r in todo]
+
+    def record() -> None:
+        if todo:  # before the claims, so that no claimed file is missing from it
+            left = frame(todo).select(*KEY) if still is None else still.select(*KEY).unionByName(frame(todo).select(*KEY))
+            write_open(left.coalesce(1) if few else left, paths.ledger, spec.task_id)
+        for df in kept:
+            df.unpersist()
+        if skip:
+            append_events(conform(frame(skip, "skip_reason").withColumnRenamed("skip_reason", "error_message").select(
+                "*", F.lit("SKIPPED").alias("event"), ts_lit(now).alias("event_time"),
+                _seq(batch_id, OUTCOME).alias("seq"), F.lit("SkipFile").alias("error_type"))), paths.ledger)
+        if todo:
+            claims = claim_events(frame(todo, "decision"), owner, now).withColumn("seq", _seq(batch_id, CLAIM))
+            append_events(claims.coalesce(1) if few else claims, paths.ledger)
+
+    return [(r.file_path, r.file_mtime, r.file_size) for r in todo], record
 
 
 def _suffix(path: str) -> str:
@@ -470,7 +547,19 @@ def process_files(spark: SparkSession, files: list[tuple], batch_id: int, spec:
     executor, a full disk): the claims run out and the files are taken again.
     """
     owner = owner or f"run-{batch_id}"
-    todo = _claim(spark, files, spec, paths, as_of(), batch_id, owner, retry_due)
+    todo, record = _decide(spark, files, spec, paths, as_of(), batch_id, owner, retry_due)
+    claimed = Beside(record)  # the files are read meanwhile; nothing of them is written before
+    try:
+        return _load(spark, todo, claimed, batch_id, spec, paths, flag, as_of, schema, fmt, order_cols, isolate_errors,
+                     options)
+    finally:
+        claimed.wait()
+
+
+def _load(spark: SparkSession, todo: list[tuple], claimed: Beside, batch_id: int, spec: TaskSpec, paths: IntakePaths,
+          flag: Callable[[DataFrame], DataFrame], as_of: Callable[[], _dt.datetime], schema: T.StructType, fmt: str,
+          order_cols: tuple[str, ...], isolate_errors: bool, options: dict) -> dict:
+    """Load the claimed files; the summed counts of the writer."""
     total = dict(NO_ROWS)
     stack = [todo] if todo else []
     failures: list[int] = []
@@ -478,10 +567,11 @@ def process_files(spark: SparkSession, files: list[tuple], batch_id: int, spec:
         some = stack.pop()
         try:
             rows, listed = _file_rows(spark, some, spec, schema, fmt)
-            counts = process_batch(rows, batch_id, spec, paths, flag, as_of, order_cols, files=listed,
+            counts = process_batch(rows, batch_id, spec, paths, flag, as_of, order_cols, files=listed, claimed=claimed,
                                    failures=failures if isolate_errors else None, **options)
             total = {k: total[k] + counts[k] for k in total}
         except Exception as exc:  # noqa: BLE001 - user code, unreadable files
+            claimed.result()  # a claim that cannot be written is no file's fault
             text = str(exc)
             kind = raised_kind(text) if isinstance(exc, PySparkException) or not str(type(exc).__module__).startswith(
                 "intakeflow") else error_kind(exc)
@@ -496,6 +586,7 @@ def process_files(spark: SparkSession, files: list[tuple], batch_id: int, spec:
                 [(spec.task_id, path, mtime, size, kind, _error_line(text))],
                 f"task_id string, {FILE} string, _mtime long, _size long, kind string, message string"), batch_id, now),
                 paths.ledger)
+    claimed.result()
     if failures:  # K7: what no further attempt can mend
         now = as_of()
         mine = spark.createDataFrame([(spec.task_id, f, m) for f, m, _ in todo], "task_id string, file_path string, file_mtime long")

@@ -97,6 +97,16 @@ def test_a_large_file_in_many_ranges(spark, tmp_path, small_ranges):
     assert len(got) == 1520
 
 
+def test_headers_and_states_are_found_in_one_pass(spark, tmp_path, small_ranges, monkeypatch):
+    monkeypatch.setattr(splitcsv, "headers", lambda *a: pytest.fail("a pass for headers alone"))
+    rows = [[str(i), "one\ntwo" if i % 7 == 0 else "z" * (i % 50)] for i in range(500)]
+    put(tmp_path / "a.csv", ["k", "first\nname"], rows)
+    (tmp_path / "b.csv").write_text("\n \n" + (tmp_path / "a.csv").read_text())
+    schema = "k string, `first\nname` string"
+    got = read_csv(spark, str(tmp_path), schema=spark.createDataFrame([], schema).schema).orderBy("_file", "_row").collect()
+    assert [list(x)[:2] for x in got] == [[k, v or None] for k, v in rows] * 2
+
+
 def test_odd_records(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b'\xef\xbb\xbf\n"k","v",w\n1,5" disk,more,cells\n\n2,"a"b,\n3\n4,"",x\xff\r\n5,"open\nend')
     got = [tuple(x)[:3] for x in read_csv(spark, str(tmp_path)).orderBy("_row").collect()]
